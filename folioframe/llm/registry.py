@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from folioframe.llm import byte_bpe, exact_dedup, jaccard_join, mixing, quality_rules
+from folioframe.llm import byte_bpe, exact_dedup, jaccard_join, mixing, quality_rules, substring_dedup, url_filters
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -11,6 +11,8 @@ QUERIES = {
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op8_byte_bpe": byte_bpe.op8_byte_bpe,
+    "op9_substring_dedup": substring_dedup.op9_substring_dedup,
+    "op10_url_filters": url_filters.op10_url_filters,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -19,4 +21,6 @@ ORACLES = {
     "op3_jaccard_join": jaccard_join.ORACLE,
     "op5_exact_dedup": exact_dedup.ORACLE,
     "op6_quality_rules": quality_rules.ORACLE,
+    "op9_substring_dedup": substring_dedup.ORACLE,
+    "op10_url_filters": url_filters.ORACLE,
 }
