@@ -53,29 +53,76 @@ def _mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_BLANK = np.zeros(256, bool)
+_BLANK[list(b" \t\n\r\x0b\x0c")] = True
+_BASE = 0x9E3779B97F4A7C15
+_EMPTY = np.empty(0, np.uint64)
+
+
 class Shingler:
-    """Distinct shingles of texts as sorted 64-bit hashes. Words: A-Z lower-cased, split at ASCII white space."""
-
-    def __init__(self, words: int = SHINGLE_WORDS):
-        self.words, self.known = words, {}
-
-    def _hashes(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        if len(known) > 500_000:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh64_intdigest(w)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-
-    def __call__(self, text: bytes | None) -> np.ndarray:
-        words = text.lower().split() if text else []
-        if not words:
-            return np.empty(0, np.uint64)
-        h, size = self._hashes(words), min(self.words, len(words))
+    """Distinct shingles of texts as sorted 64-bit hashes. Words: A-Z lower-cased, split at ASCII white space.
+
+    Works on slices of texts at once: a word's hash is a difference of running sums of bytes times powers of an odd
+    base, with the power at the word's start divided out.
+    """
+
+    def __init__(self, words: int = SHINGLE_WORDS, slice_bytes: int = 500_000):
+        self.words, self.slice_bytes, self.powers, self.inverse = words, slice_bytes, np.ones(1, np.uint64), np.ones(1, np.uint64)
+
+    def _grow(self, size: int) -> None:
+        if len(self.powers) < size:
+            self.powers, self.inverse = (
+                np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, _U(b))])) for b in (_BASE, pow(_BASE, -1, 1 << 64))
+            )
+
+    def __call__(self, texts: list[bytes | None]) -> list[np.ndarray]:
+        found, held, size = [], [], 0
+        for text in texts:
+            held.append(text or b"")
+            size += len(held[-1])
+            if size > self.slice_bytes:
+                found += self._slice(held)
+                held, size = [], 0
+        return found + self._slice(held)
+
+    def _words(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the words of all texts in order, and the number of words up to the end of each text."""
+        data = _LOWER[np.frombuffer(b"\n".join([*texts, b""]), np.uint8)]
+        if not len(data):
+            return _EMPTY, np.zeros(0, np.int64)
+        self._grow(len(data) + 1)
+        edge = np.diff(_BLANK[data], prepend=True)
+        starts, stops = np.flatnonzero(edge).reshape(-1, 2).T
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + _U(1)) * self.powers[: len(data)], out=sums[1:])
+        return _mix((sums[stops] - sums[starts]) * self.inverse[starts]), np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts]))
+
+    def word_hashes(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the words of all texts in order, and the number of the text that each is in."""
+        h, at = self._words(texts)
+        return h, np.repeat(np.arange(len(texts)), np.diff(at, prepend=0))
+
+    def _slice(self, texts: list[bytes]) -> list[np.ndarray]:
+        h, at = self._words(texts)
+        rolled = self._roll(h, self.words) if len(h) >= self.words else _EMPTY
+        found, first = [], 0
+        for last in at.tolist():
+            if last - first >= self.words:
+                s = np.sort(rolled[first : last - self.words + 1])
+                found.append(s[np.concatenate([[True], s[1:] != s[:-1]])])
+            else:
+                found.append(self._roll(h[first:last], last - first) if last > first else _EMPTY)
+            first = last
+        return found
+
+    @staticmethod
+    def _roll(h: np.ndarray, size: int) -> np.ndarray:
         rolled = np.zeros(len(h) - size + 1, np.uint64)
         for i in range(size):
             rolled = rolled * _U(0xD6E8FEB86659FD93) + h[i : i + len(rolled)]
-        return np.unique(_mix(rolled, size))
+        return _mix(rolled, size)
 
 
 def set_id(shingles: np.ndarray) -> int:
@@ -92,14 +139,17 @@ class TokenOrder:
 
     def __init__(self, tokens: np.ndarray, classes: np.ndarray):
         self.tokens, self.classes = tokens, classes
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[tokens >> _U(44)] = True
 
     def prefix(self, shingles: np.ndarray, order: int, percent: int) -> np.ndarray:
         size = len(shingles) - least_overlap(len(shingles), percent) + 1 if len(shingles) else 0
         key = _mix(shingles, 100 + order) >> _U(6)
-        if len(self.tokens):
-            at = np.minimum(np.searchsorted(self.tokens, shingles), len(self.tokens) - 1)
-            key |= np.where(self.tokens[at] == shingles, self.classes[at], 0).astype(np.uint64) << _U(58)
-        return shingles[np.argsort(key, kind="stable")[:size]]
+        few = np.flatnonzero(self.maybe[shingles >> _U(44)])
+        if len(few):
+            at = np.minimum(np.searchsorted(self.tokens, shingles[few]), len(self.tokens) - 1)
+            key[few] |= np.where(self.tokens[at] == shingles[few], self.classes[at], 0).astype(np.uint64) << _U(58)
+        return shingles[np.argpartition(key, size - 1)[:size]] if size else shingles
 
 
 def _binary(column: pa.ChunkedArray | pa.Array) -> list[bytes | None]:
@@ -117,8 +167,7 @@ def frequent_tokens(docs: DataFrame, words: int, least: int = FREQUENT_COUNT, li
             return pa.RecordBatch.from_arrays([pa.array(tokens[n > 1].view(np.int64)), pa.array(n[n > 1])], ["token", "n"])
 
         for batch in batches:
-            for text in _binary(batch.column(0)):
-                s = shingler(text)
+            for s in shingler(_binary(batch.column(0))):
                 if len(s) and (own := set_id(s)) not in seen:
                     seen.add(own)
                     held.append(s)
@@ -143,8 +192,7 @@ def _sets(docs: DataFrame, order, words: int, percent: int) -> DataFrame:
         shingler, seen, tokens = Shingler(words), set(), TokenOrder(*order.value)
         for batch in batches:
             sizes, ids, prefixes = [], [], []
-            for text in _binary(batch.column(1)):
-                s = shingler(text)
+            for s in shingler(_binary(batch.column(1))):
                 own = set_id(s) if len(s) else None
                 sizes.append(len(s))
                 ids.append(own)
@@ -163,17 +211,15 @@ def _sets(docs: DataFrame, order, words: int, percent: int) -> DataFrame:
 def _buckets(sets: DataFrame) -> DataFrame:
     """(bucket, set_id, n): sets that share a prefix token, at least two to a bucket, each membership once."""
     emitted = sets.where("prefix is not null")
-    twice = checkpoint(emitted.groupBy("set_id").agg(F.count("*").alias("times"), F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("first")).where("times > 1"))
+    twice = checkpoint(emitted.groupBy("set_id").agg(F.count("*").alias("times"), F.min("row").alias("first")).where("times > 1"))
     repeated = broadcast_if_small(twice.select(F.col("set_id").alias("again"), "first"))
-    # Of a set that several tasks emitted, one row is used; rows alike in doc_id too are made distinct below.
-    once = emitted.join(repeated, F.col("set_id") == F.col("again"), "left").where(
-        F.col("first").isNull() | (F.coalesce("doc_id", F.lit(-(1 << 63))) == F.col("first"))
-    )
+    # Of a set that several tasks emitted, one row is used.
+    once = emitted.join(repeated, F.col("set_id") == F.col("again"), "left").where(F.col("first").isNull() | (F.col("row") == F.col("first")))
     rows = once.select("set_id", F.col("n_shingles").alias("n"), F.explode("prefix").alias("token"))
-    shared = rows.groupBy("token").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("set_id")).alias("members"), F.min("set_id").alias("low"), F.max("set_id").alias("high"))
-    shared = shared.where("low < high").groupBy("size", "members").agg(F.min("token").alias("bucket"))
+    shared = rows.groupBy("token").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("set_id")).alias("members")).where("size > 1")
+    shared = shared.groupBy("size", "members").agg(F.min("token").alias("bucket"))
     kept = broadcast_if_small(checkpoint(shared.select("bucket")))
-    return checkpoint(rows.join(kept, rows["token"] == kept["bucket"]).select("bucket", "set_id", "n").distinct())
+    return checkpoint(rows.join(kept, rows["token"] == kept["bucket"]).select("bucket", "set_id", "n"))
 
 
 def _candidate_texts(docs: DataFrame, sets: DataFrame, buckets: DataFrame, words: int) -> DataFrame:
@@ -187,7 +233,7 @@ def _candidate_texts(docs: DataFrame, sets: DataFrame, buckets: DataFrame, words
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for batch in batches:
-            ids = [set_id(s) if len(s := shingler(t)) else None for t in _binary(batch.column(0))]
+            ids = [set_id(s) if len(s) else None for s in shingler(_binary(batch.column(0)))]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), batch.column(0)], ["set_id", "text"])
 
     named = texts.mapInArrow(name, "set_id long, text string").where("set_id is not null")
@@ -199,18 +245,21 @@ def _verify(pairs: DataFrame, texts: DataFrame, order, words: int, percent: int)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, tokens = Shingler(words), TokenOrder(*order.value)
-        last, mine = None, None
+
+        def prefixes(s: np.ndarray) -> list[np.ndarray]:
+            return [tokens.prefix(s, k, percent) for k in range(1, ORDERS)]
+
         for batch in batches:
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            # A hub's text is often beside several partners' here.
+            text = dict(zip(a, _binary(batch.column(2)), strict=True)) | dict(zip(b, _binary(batch.column(3)), strict=True))
+            sets = {k: (s, prefixes(s)) for k, s in zip(text, shingler(list(text.values())), strict=True)}
             linked = []
-            for x, y, s, t in zip(a, b, _binary(batch.column(2)), _binary(batch.column(3)), strict=True):
-                if x != last:
-                    s = shingler(s)
-                    last, mine = x, (s, [tokens.prefix(s, k, percent) for k in range(1, ORDERS)])
-                t = shingler(t)
-                met = all(len(np.intersect1d(p, tokens.prefix(t, k, percent), assume_unique=True)) for k, p in enumerate(mine[1], 1))
-                common = len(np.intersect1d(mine[0], t, assume_unique=True)) if met else 0
-                if common and 100 * common >= percent * (len(mine[0]) + len(t) - common):
+            for x, y in zip(a, b, strict=True):
+                (s, p), (t, q) = sets[x], sets[y]
+                met = all(len(np.intersect1d(i, j, assume_unique=True)) for i, j in zip(p, q, strict=True))
+                common = len(np.intersect1d(s, t, assume_unique=True)) if met else 0
+                if common and 100 * common >= percent * (len(s) + len(t) - common):
                     linked.append((x, y))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in linked], pa.int64()) for i in (0, 1)], ["a", "b"])
 
@@ -226,22 +275,24 @@ def set_components(docs: DataFrame, sets: DataFrame, order, words: int, percent:
     links = docs.sparkSession.createDataFrame([], "a long, b long")
     tested, roots, before = links, links.select(F.col("a").alias("set_id"), F.col("b").alias("root")), 0
     for turn in range(STAR_ROUNDS + 1):
-        now = buckets.join(roots, "set_id", "left").select("bucket", "set_id", "n", F.coalesce("root", "set_id").alias("root"))
-        mixed = now.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct(F.xxhash64("set_id", F.lit(turn)), "set_id", "n", "root")).alias("hub"))
-        mixed = mixed.where("low < high")
+        now = buckets.join(roots, "set_id", "left").select("bucket", F.struct("set_id", "n", F.coalesce("root", "set_id").alias("root")).alias("s"))
+        mixed = now.groupBy("bucket").agg(F.min("s.root").alias("low"), F.max("s.root").alias("high"), F.min(F.struct(F.xxhash64("s.set_id", F.lit(turn)), "s")).alias("hub"))
+        mixed = mixed.where("low < high").select("bucket", F.col("hub.s").alias("t"))
         if turn < STAR_ROUNDS:
-            met = now.join(mixed.select("bucket", "hub"), "bucket").select(F.col("set_id").alias("s"), F.col("n").alias("ns"), F.col("root").alias("rs"), F.col("hub.set_id").alias("t"), F.col("hub.n").alias("nt"), F.col("hub.root").alias("rt"))
+            met = now.join(mixed, "bucket")
         else:
             left = now.join(mixed.select("bucket"), "bucket", "left_semi")
-            right = left.select("bucket", F.col("set_id").alias("t"), F.col("n").alias("nt"), F.col("root").alias("rt"))
-            met = left.select("bucket", F.col("set_id").alias("s"), F.col("n").alias("ns"), F.col("root").alias("rs")).join(right, "bucket").where("s < t")
-        near = met.where((F.col("rs") != F.col("rt")) & (100 * F.least("ns", "nt") >= percent * F.greatest("ns", "nt")))
-        pairs = near.select(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b")).distinct()
-        pairs = checkpoint(pairs.join(tested, ["a", "b"], "left_anti"))
+            met = left.join(left.select("bucket", F.col("s").alias("t")), "bucket").where("s.set_id < t.set_id")
+        near = met.where((F.col("s.root") != F.col("t.root")) & (100 * F.least("s.n", "t.n") >= percent * F.greatest("s.n", "t.n")))
+        pairs = near.select(F.col("s.set_id").alias("s"), F.least("s.set_id", "t.set_id").alias("a"), F.greatest("s.set_id", "t.set_id").alias("b"))
+        pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        if turn < STAR_ROUNDS:
+            # Each set goes to one hub a round, the one that most of its kind go to: the least by this round's hash.
+            by_hub = F.struct(F.xxhash64(F.when(F.col("s") == F.col("a"), F.col("b")).otherwise(F.col("a")), F.lit(turn)), "a", "b")
+            pairs = pairs.groupBy("s").agg(F.min(by_hub).alias("p")).select("p.a", "p.b")
+        pairs = checkpoint(pairs.select("a", "b").distinct())
         if pairs.isEmpty():
-            if turn < STAR_ROUNDS and not mixed.isEmpty():
-                continue
-            break
+            continue
         tested = tested.unionByName(pairs)
         links = checkpoint(links.unionByName(_verify(pairs, texts, order, words, percent)))
         count = links.count()
@@ -257,7 +308,7 @@ def near_duplicate_components(docs: DataFrame, words: int = SHINGLE_WORDS, perce
     bounded_batches(spark)
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
     order = spark.sparkContext.broadcast(frequent_tokens(docs, words))
-    sets = checkpoint(_sets(docs, order, words, percent))
+    sets = checkpoint(_sets(docs, order, words, percent)).withColumn("row", F.monotonically_increasing_id())
     roots = set_components(docs, sets, order, words, percent)
     linked = sets.select("set_id", "doc_id").join(roots, "set_id", "left").where("set_id is not null")
     firsts = linked.groupBy("set_id").agg(F.min("doc_id").alias("first"), F.first("root").alias("root"))
