@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from folioframe.llm.common import bounded_batches, checkpoint, read
 from folioframe.llm.jaccard_join import Shingler, _mix
 
-DEPTH = 4
+DEPTH = 6
 #: 2 to this power is the number of rows of a block.
 BLOCK_BITS = 13
 #: Blocks whose answers one task gives at most.
@@ -86,6 +86,22 @@ def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     return k[first], np.add.reduceat(n, first) if len(k) else n
 
 
+def _pack(values: np.ndarray, steps: bool = False) -> bytes:
+    """Bytes of an array, plane by plane, compressed; steps: of a sorted array, by its differences."""
+    values = np.diff(values, prepend=values.dtype.type(0)) if steps else values
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T) if len(values) else values.view(np.uint8)
+    return len(values).to_bytes(8, "little") + (pa.compress(planes.tobytes(), codec="zstd", asbytes=True) if len(values) else b"")
+
+
+def _unpack(data: bytes, kind, steps: bool = False) -> np.ndarray:
+    n, size = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
+    if not n:
+        return np.empty(0, kind)
+    planes = np.frombuffer(pa.decompress(data[8:], decompressed_size=n * size, codec="zstd", asbytes=True), np.uint8)
+    values = np.ascontiguousarray(planes.reshape(size, n).T).view(kind).ravel()
+    return np.cumsum(values, dtype=kind) if steps else values
+
+
 def _bucket(kind: int, keys: np.ndarray, buckets: int) -> np.ndarray:
     return (_mix(keys >> _U(8 * (DEPTH - 1)) if kind == _STRINGS else keys, 5) % _U(buckets)).astype(np.int64)
 
@@ -102,7 +118,7 @@ def count_blocks(docs: DataFrame, buckets: int) -> DataFrame:
                 keys, n = _merge(*zip(*parts[kind], strict=True)) if parts[kind] else _merge([], [])
                 at = _bucket(kind, keys, buckets)
                 for b in np.unique(at):
-                    rows.append((kind, int(b), block, keys[at == b].tobytes(), n[at == b].tobytes()))
+                    rows.append((kind, int(b), block, _pack(keys[at == b], steps=True), _pack(n[at == b])))
             return pa.RecordBatch.from_pylist([dict(zip(("kind", "bucket", "block", "keys", "counts"), r, strict=True)) for r in rows], schema)
 
         schema = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
@@ -204,7 +220,7 @@ def log10_probability(keys: np.ndarray, tables: list[tuple[np.ndarray, np.ndarra
 
 
 def _arrays(table: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    return [np.frombuffer(k, np.uint64) for k in table["keys"].to_pylist()], [np.frombuffer(n, np.int64) for n in table["counts"].to_pylist()]
+    return [_unpack(k, np.uint64, steps=True) for k in table["keys"].to_pylist()], [_unpack(n, np.int64) for n in table["counts"].to_pylist()]
 
 
 def build_model(counted: DataFrame, salts: int) -> DataFrame:
@@ -212,14 +228,14 @@ def build_model(counted: DataFrame, salts: int) -> DataFrame:
 
     def merge(table: pa.Table) -> pa.Table:
         keys, n = _merge(*_arrays(table))
-        return pa.table({"kind": table["kind"][:1], "bucket": table["bucket"][:1], "keys": pa.array([keys[n > 0].tobytes()]), "counts": pa.array([n[n > 0].tobytes()])})
+        return pa.table({"kind": table["kind"][:1], "bucket": table["bucket"][:1], "keys": pa.array([_pack(keys[n > 0], steps=True)]), "counts": pa.array([_pack(n[n > 0])])})
 
     def build(table: pa.Table) -> pa.Table:
         keys, n = _merge(*_arrays(table))
         keys, n = keys[n > 0], n[n > 0]
         up = (np.empty(0, np.int64), *[np.empty(0)] * 3)
         if table["kind"][0].as_py() == _WORDS:
-            blob = pickle.dumps((keys, n))
+            blob = pickle.dumps((keys, n.astype(np.float64)))
         else:
             levels = subtrees(keys, n)
             blob = pickle.dumps([x.table() for x in levels])
@@ -253,7 +269,7 @@ def answer_blocks(counted: DataFrame, model: DataFrame, top, salts: int) -> Data
     def answer(asked: pa.Table, part: pa.Table) -> pa.Table:
         if not asked.num_rows:
             return schema.empty_table()
-        keys, _ = _arrays(asked)
+        keys = [_unpack(k, np.uint64, steps=True) for k in asked["keys"].to_pylist()]
         want = np.unique(np.concatenate(keys))
         blob = pickle.loads(part["blob"][0].as_py())
         if asked["kind"][0].as_py() == _WORDS:
@@ -262,11 +278,13 @@ def answer_blocks(counted: DataFrame, model: DataFrame, top, salts: int) -> Data
             values = np.where(known[at] == want, n[at], 0).astype(np.float64) if len(known) else np.zeros(len(want))
         else:
             values = log10_probability(want, blob + top.value)
-        out = [values[np.searchsorted(want, k)].tobytes() for k in keys]
+        if asked["kind"][0].as_py() == _STRINGS:
+            values = values.astype(np.float32)
+        out = [_pack(values[np.searchsorted(want, k)]) for k in keys]
         return pa.table([asked["block"], asked["kind"], asked["keys"], pa.array(out, pa.binary())], schema=schema)
 
     salt = F.pmod(F.xxhash64("block"), F.lit(salts).cast("long"))
-    asked = counted.select("kind", "bucket", salt.alias("salt"), "block", "keys", "counts")
+    asked = counted.select("kind", "bucket", salt.alias("salt"), "block", "keys")
     parts = model.select("kind", "bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"), "blob")
     return asked.groupBy("kind", "bucket", "salt").cogroup(parts.groupBy("kind", "bucket", "salt")).applyInArrow(answer, "block long, kind int, keys binary, values binary")
 
@@ -280,8 +298,9 @@ def score_blocks(docs: DataFrame, answers: DataFrame) -> DataFrame:
             return schema.empty_table()
         tables, kinds = [], found["kind"].to_numpy()
         for kind in (_STRINGS, _WORDS):
-            keys = np.concatenate([np.frombuffer(found["keys"][int(i)].as_py(), np.uint64) for i in np.flatnonzero(kinds == kind)])
-            values = np.concatenate([np.frombuffer(found["values"][int(i)].as_py(), np.float64) for i in np.flatnonzero(kinds == kind)])
+            at = [int(i) for i in np.flatnonzero(kinds == kind)]
+            keys = np.concatenate([_unpack(found["keys"][i].as_py(), np.uint64, steps=True) for i in at])
+            values = np.concatenate([_unpack(found["values"][i].as_py(), np.float32 if kind == _STRINGS else np.float64) for i in at]).astype(np.float64)
             by = np.argsort(keys)
             tables.append((keys[by], values[by]))
         hasher, out = Shingler(), []
