@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def read_delimited(spark: SparkSession, path: str, max_columns: int = 256) -> DataFrame:
     """Cells of delimited files: tab-separated if a file's first line has a tab, else by commas. Rows may be ragged.
 
-    Every field is text; an empty file is one empty row; records beyond repair are skipped. The sheet is the file.
+    Every field is text; records beyond repair are skipped; Spark's readers pass over empty files. The sheet is the file.
     """
     heads = spark.read.option("wholetext", False).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("i"), F.contains("value", F.lit("\t")).alias("tab"))
     first = heads.groupBy("file").agg(F.min_by("tab", F.struct("block", "i")).alias("tab"))
@@ -23,10 +23,9 @@ def read_delimited(spark: SparkSession, path: str, max_columns: int = 256) -> Da
             rows = spark.read.schema(schema).options(sep="\t" if tab else ",", quote='"', escape='"', multiLine=True, emptyValue="", nullValue="\0").csv(files)
             rows = rows.select(F.col("_metadata.file_path").alias("sheet_id"), F.monotonically_increasing_id().alias("_i"), F.array(*[f"_{i}" for i in range(max_columns)]).alias("_v"))
             out = rows if out is None else out.unionByName(rows)
-    empty = spark.read.format("binaryFile").load(path).where("length = 0").select(F.col("path").alias("sheet_id"), F.lit(0).alias("row"), F.lit(0).alias("col"), F.lit("").alias("value"), F.lit(None).cast("string").alias("formula"))
     if out is None:
-        return empty
-    return _rows_to_cells(out, F.col("_v")).unionByName(empty)
+        return spark.createDataFrame([], "sheet_id string, row int, col int, value string, formula string")
+    return _rows_to_cells(out, F.col("_v"))
 
 
 def _rows_to_cells(rows: DataFrame, values: Column) -> DataFrame:

@@ -185,7 +185,7 @@ def test_delimited(spark, tmp_path):
     (tmp_path / "b.csv").write_text("x\ty,z\n")
     (tmp_path / "c.csv").write_text("")
     got = {(r.sheet_id.rsplit("/", 1)[1], r.row, r.col): r.value for r in X.read_delimited(spark, str(tmp_path)).collect()}
-    assert got == {("a.csv", 0, 0): "a", ("a.csv", 0, 1): 'b "q", c', ("a.csv", 1, 0): "1", ("b.csv", 0, 0): "x", ("b.csv", 0, 1): "y,z", ("c.csv", 0, 0): ""}
+    assert got == {("a.csv", 0, 0): "a", ("a.csv", 0, 1): 'b "q", c', ("a.csv", 1, 0): "1", ("b.csv", 0, 0): "x", ("b.csv", 0, 1): "y,z"}
 
 
 def test_damaged_archive_is_a_warning(spark, tmp_path):
