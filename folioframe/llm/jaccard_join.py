@@ -10,11 +10,13 @@ What keeps this in bounds:
 * equal sets are one node; their documents are joined to it at the end;
 * counts of frequent tokens are gathered from all documents, each task summing what it sees, and only the list of
   the most frequent (FREQUENT_LIMIT at most) is broadcast, to sort by;
+* a pair counts in a bucket only if its token comes early enough in both sets for their sizes to be similar: a set with
+  many tokens of its own is in few pairs, however many copies share the rest;
 * buckets with the same members are one bucket;
 * links are sought in rounds: everyone in a bucket is compared with one member, components are formed, and members
   of different components go on, each round with another member. What is left after the rounds is compared pair by
   pair, but never within a component. So a bucket of copies costs its size, not its square, and no link is lost;
-* texts move only for documents that have a candidate.
+* a pair's prefixes must share as many tokens as its sizes ask for, before its texts are fetched and compared.
 
 Defined results: a null or empty text has an empty set and is linked with nothing; a null doc_id takes part and
 counts as none in the smallest doc_id; repeated rows share a set; extra columns are ignored; an empty table gives an
@@ -41,7 +43,7 @@ ORDERS = 3
 FREQUENT_COUNT = 8
 FREQUENT_LIMIT = 2_000_000
 #: Rounds of one against all in each bucket, before what is left is compared pair by pair.
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 
 _U = np.uint64
 
@@ -134,6 +136,11 @@ def least_overlap(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def pair_overlap(n: int, m: int, percent: int) -> int:
+    """Shingles that sets of n and m must share."""
+    return -(-percent * (n + m) // (100 + percent))
+
+
 class TokenOrder:
     """Sort keys of tokens: the class of a frequent token's count, then a hash that differs by order."""
 
@@ -143,13 +150,14 @@ class TokenOrder:
         self.maybe[tokens >> _U(44)] = True
 
     def prefix(self, shingles: np.ndarray, order: int, percent: int) -> np.ndarray:
+        """Keys of the first tokens, in order; a key stands for its token."""
         size = len(shingles) - least_overlap(len(shingles), percent) + 1 if len(shingles) else 0
         key = _mix(shingles, 100 + order) >> _U(6)
         few = np.flatnonzero(self.maybe[shingles >> _U(44)])
         if len(few):
             at = np.minimum(np.searchsorted(self.tokens, shingles[few]), len(self.tokens) - 1)
             key[few] |= np.where(self.tokens[at] == shingles[few], self.classes[at], 0).astype(np.uint64) << _U(58)
-        return shingles[np.argpartition(key, size - 1)[:size]] if size else shingles
+        return np.sort(np.partition(key, size - 1)[:size]) if size else key
 
 
 def _binary(column: pa.ChunkedArray | pa.Array) -> list[bytes | None]:
@@ -182,7 +190,7 @@ def frequent_tokens(docs: DataFrame, words: int, least: int = FREQUENT_COUNT, li
     top = counted.orderBy(F.desc("n"), "token").limit(limit).toArrow()
     tokens = top["token"].to_numpy().view(np.uint64)
     by = np.argsort(tokens)
-    return tokens[by], np.minimum(np.log2(np.maximum(top["n"].to_numpy()[by], 1)).astype(np.int64), 63)
+    return tokens[by], np.minimum(np.log2(np.maximum(top["n"].to_numpy()[by], 1)).astype(np.int64), 31)
 
 
 def _sets(docs: DataFrame, order, words: int, percent: int) -> DataFrame:
@@ -209,25 +217,40 @@ def _sets(docs: DataFrame, order, words: int, percent: int) -> DataFrame:
 
 
 def _buckets(sets: DataFrame) -> DataFrame:
-    """(bucket, set_id, n): sets that share a prefix token, at least two to a bucket, each membership once."""
+    """(bucket, set_id, n, pos): sets that share a prefix token and its place in each; of buckets with the same members the first by order."""
     emitted = sets.where("prefix is not null")
     twice = checkpoint(emitted.groupBy("set_id").agg(F.count("*").alias("times"), F.min("row").alias("first")).where("times > 1"))
     repeated = broadcast_if_small(twice.select(F.col("set_id").alias("again"), "first"))
     # Of a set that several tasks emitted, one row is used.
     once = emitted.join(repeated, F.col("set_id") == F.col("again"), "left").where(F.col("first").isNull() | (F.col("row") == F.col("first")))
-    rows = once.select("set_id", F.col("n_shingles").alias("n"), F.explode("prefix").alias("token"))
+    rows = once.select("set_id", F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("pos", "token"))
     shared = rows.groupBy("token").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("set_id")).alias("members")).where("size > 1")
     shared = shared.groupBy("size", "members").agg(F.min("token").alias("bucket"))
     kept = broadcast_if_small(checkpoint(shared.select("bucket")))
-    return checkpoint(rows.join(kept, rows["token"] == kept["bucket"]).select("bucket", "set_id", "n"))
+    return checkpoint(rows.join(kept, rows["token"] == kept["bucket"]).select("bucket", "set_id", "n", "pos"))
+
+
+def _ids(pairs: DataFrame) -> DataFrame:
+    """The set_ids of pairs (a, b), broadcast where they are joined if they are few."""
+    return broadcast_if_small(checkpoint(pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()))
+
+
+def _overlapping(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose prefixes share enough: beyond the prefix that ends first, no more can be shared than it leaves."""
+    own = sets.where("prefix is not null").join(_ids(pairs), "set_id", "left_semi").dropDuplicates(["set_id"])
+    left = own.select(F.col("set_id").alias("a"), F.col("n_shingles").alias("na"), F.col("prefix").alias("pa"))
+    right = own.select(F.col("set_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("prefix").alias("pb"))
+    both = pairs.join(left, "a").join(right, "b")
+    need = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))
+    left_over = F.when(F.element_at("pa", -1) <= F.element_at("pb", -1), F.col("na") - F.size("pa")).otherwise(F.col("nb") - F.size("pb"))
+    return both.where(F.size(F.array_intersect("pa", "pb")) + left_over >= need).select("a", "b")
 
 
-def _candidate_texts(docs: DataFrame, sets: DataFrame, buckets: DataFrame, words: int) -> DataFrame:
-    """(set_id, text) of every set that is in a bucket: one document's text for each."""
-    wanted = buckets.select("set_id").distinct()
+def _texts(docs: DataFrame, sets: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+    """(set_id, text) of every set of the pairs (a, b): one document's text for each."""
+    wanted = _ids(pairs)
     firsts = sets.join(wanted, "set_id", "left_semi").groupBy("set_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("at"))
-    firsts = checkpoint(firsts.select(F.col("set_id").alias("want_set"), F.col("at.doc_id").alias("want_doc")))
-    few = broadcast_if_small(firsts.select("want_doc").distinct())
+    few = broadcast_if_small(checkpoint(firsts.select(F.col("at.doc_id").alias("want_doc")).distinct()))
     texts = docs.join(few, docs["doc_id"].eqNullSafe(few["want_doc"])).select(docs["text"])
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,8 +259,8 @@ def _candidate_texts(docs: DataFrame, sets: DataFrame, buckets: DataFrame, words
             ids = [set_id(s) if len(s) else None for s in shingler(_binary(batch.column(0)))]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), batch.column(0)], ["set_id", "text"])
 
-    named = texts.mapInArrow(name, "set_id long, text string").where("set_id is not null")
-    return checkpoint(named.join(firsts.select(F.col("want_set").alias("set_id")), "set_id", "left_semi").dropDuplicates(["set_id"]))
+    named = texts.mapInArrow(name, "set_id long, text string")
+    return named.join(wanted, "set_id", "left_semi").dropDuplicates(["set_id"])
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, order, words: int, percent: int) -> DataFrame:
@@ -257,7 +280,9 @@ def _verify(pairs: DataFrame, texts: DataFrame, order, words: int, percent: int)
             linked = []
             for x, y in zip(a, b, strict=True):
                 (s, p), (t, q) = sets[x], sets[y]
-                met = all(len(np.intersect1d(i, j, assume_unique=True)) for i, j in zip(p, q, strict=True))
+                # The first token that a similar pair shares lies so early in both, in any order.
+                need = pair_overlap(len(s), len(t), percent)
+                met = all(len(np.intersect1d(i[: len(s) - need + 1], j[: len(t) - need + 1])) for i, j in zip(p, q, strict=True))
                 common = len(np.intersect1d(s, t, assume_unique=True)) if met else 0
                 if common and 100 * common >= percent * (len(s) + len(t) - common):
                     linked.append((x, y))
@@ -271,30 +296,36 @@ def _verify(pairs: DataFrame, texts: DataFrame, order, words: int, percent: int)
 def set_components(docs: DataFrame, sets: DataFrame, order, words: int, percent: int) -> DataFrame:
     """(set_id, root) of every set that is linked with another."""
     buckets = _buckets(sets)
-    texts = _candidate_texts(docs, sets, buckets, words)
     links = docs.sparkSession.createDataFrame([], "a long, b long")
     tested, roots, before = links, links.select(F.col("a").alias("set_id"), F.col("b").alias("root")), 0
     for turn in range(STAR_ROUNDS + 1):
-        now = buckets.join(roots, "set_id", "left").select("bucket", F.struct("set_id", "n", F.coalesce("root", "set_id").alias("root")).alias("s"))
-        mixed = now.groupBy("bucket").agg(F.min("s.root").alias("low"), F.max("s.root").alias("high"), F.min(F.struct(F.xxhash64("s.set_id", F.lit(turn)), "s")).alias("hub"))
+        now = buckets.join(roots, "set_id", "left").select("bucket", F.struct("set_id", "n", "pos", F.coalesce("root", "set_id").alias("root")).alias("s"))
+        # The first hub is the set where the token comes earliest: that with the least of its own; later ones are drawn.
+        first = F.floor(1000 * F.col("s.pos") / F.col("s.n")) if turn == 0 else F.lit(0)
+        hub = F.min(F.struct(first, F.xxhash64("s.set_id", F.lit(turn)), "s"))
+        mixed = now.groupBy("bucket").agg(F.min("s.root").alias("low"), F.max("s.root").alias("high"), hub.alias("hub"))
         mixed = mixed.where("low < high").select("bucket", F.col("hub.s").alias("t"))
         if turn < STAR_ROUNDS:
             met = now.join(mixed, "bucket")
         else:
             left = now.join(mixed.select("bucket"), "bucket", "left_semi")
             met = left.join(left.select("bucket", F.col("s").alias("t")), "bucket").where("s.set_id < t.set_id")
-        near = met.where((F.col("s.root") != F.col("t.root")) & (100 * F.least("s.n", "t.n") >= percent * F.greatest("s.n", "t.n")))
-        pairs = near.select(F.col("s.set_id").alias("s"), F.least("s.set_id", "t.set_id").alias("a"), F.greatest("s.set_id", "t.set_id").alias("b"))
+        need = F.ceil(percent * (F.col("s.n") + F.col("t.n")) / (100 + percent))
+        early = (F.col("s.pos") <= F.col("s.n") - need) & (F.col("t.pos") <= F.col("t.n") - need)
+        near = met.where((F.col("s.root") != F.col("t.root")) & early)
+        late = F.floor(1000 * F.col("t.pos") / F.col("t.n")) if turn == 0 else F.lit(0)
+        pairs = near.select(F.col("s.set_id").alias("s"), F.least("s.set_id", "t.set_id").alias("a"), F.greatest("s.set_id", "t.set_id").alias("b"), late.alias("late"))
         pairs = pairs.join(tested, ["a", "b"], "left_anti")
         if turn < STAR_ROUNDS:
-            # Each set goes to one hub a round, the one that most of its kind go to: the least by this round's hash.
-            by_hub = F.struct(F.xxhash64(F.when(F.col("s") == F.col("a"), F.col("b")).otherwise(F.col("a")), F.lit(turn)), "a", "b")
+            # Each set goes to one hub a round: the earliest hub, or the least by this round's hash, to which most of its kind go.
+            by_hub = F.struct("late", F.xxhash64(F.when(F.col("s") == F.col("a"), F.col("b")).otherwise(F.col("a")), F.lit(turn)), "a", "b")
             pairs = pairs.groupBy("s").agg(F.min(by_hub).alias("p")).select("p.a", "p.b")
         pairs = checkpoint(pairs.select("a", "b").distinct())
         if pairs.isEmpty():
             continue
         tested = tested.unionByName(pairs)
-        links = checkpoint(links.unionByName(_verify(pairs, texts, order, words, percent)))
+        near = checkpoint(_overlapping(pairs, sets, percent))
+        links = checkpoint(links.unionByName(_verify(near, _texts(docs, sets, near, words), order, words, percent)))
         count = links.count()
         if count > before:
             roots = connected_components(links).withColumnsRenamed({"node": "set_id", "component": "root"})
