@@ -72,7 +72,7 @@ def plan_mix(docs: DataFrame, size: Column, seed: str = SEED, max_epochs: float
     before = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = bins.withColumn("before", F.coalesce(F.sum("bin_size").over(before), F.lit(0)))
     part = s.select(F.col("source").alias("s"), "part")
-    edges = bins.join(part, bins["source"].eqNullSafe(part["s"])).where("before < part and before + bin_size > part")
+    edges = bins.join(part, bins["source"].eqNullSafe(part["s"])).where("part > 1e-6 and before < part and before + bin_size > part")
     edges = broadcast_if_small(checkpoint(edges.select(F.col("s").alias("edge_source"), F.col("bin").alias("edge"), F.col("before").alias("edge_before"), "part")))
     at_edge = docs.join(edges, docs["source"].eqNullSafe(edges["edge_source"]) & (F.substring(order, 1, BIN_DIGITS) == edges["edge"]))
     at_edge = at_edge.select("edge_source", "edge", "edge_before", "part", order.alias("hash"), size.alias("size"))
@@ -80,33 +80,33 @@ def plan_mix(docs: DataFrame, size: Column, seed: str = SEED, max_epochs: float
     at_edge = at_edge.withColumn("here", F.col("edge_before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     cuts = at_edge.groupBy(F.col("edge_source").alias("cut_source")).agg(F.max(F.when(F.col("here") + F.col("size") / 2 <= F.col("part"), F.col("hash"))).alias("in_edge"))
     # Without a document of the edge bin, or without an edge bin, the cut is the end of the last bin before.
-    full = bins.join(part, bins["source"].eqNullSafe(part["s"])).where("before + bin_size <= part")
+    full = bins.join(part, bins["source"].eqNullSafe(part["s"])).where("part > 1e-6 and before + bin_size <= part")
     full = full.groupBy(F.col("s").alias("full_source")).agg(F.concat(F.max("bin"), F.lit("g")).alias("in_full"))
     s = s.join(cuts, s["source"].eqNullSafe(cuts["cut_source"]), "left").join(full, s["source"].eqNullSafe(full["full_source"]), "left")
     return checkpoint(s.select("source", "source_size", "target", "whole", F.coalesce("in_edge", "in_full").alias("cut")))
 
 
 def apply_mix(docs: DataFrame, plan: DataFrame, seed: str = SEED) -> DataFrame:
-    """docs with source_size, target and copies: a join by source with the plan, which is broadcast if it is small."""
-    own = plan.withColumnRenamed("source", "plan_source")
-    joined = docs.join(broadcast_if_small(own, 100_000), docs["source"].eqNullSafe(own["plan_source"]))
-    extra = F.coalesce((_order_hash(docs, seed) <= F.col("cut")).cast("long"), F.lit(0))
-    return joined.withColumn("copies", (F.col("whole") + extra).cast("long")).drop("plan_source", "whole", "cut")
+    """docs with mix_source_size, mix_target and mix_copies: a join by source with the plan, which is broadcast if it is small."""
+    own = broadcast_if_small(plan.select(*[F.col(c).alias(f"mix_{c}") for c in plan.columns]), 100_000)
+    extra = F.coalesce((_order_hash(docs, seed) <= own["mix_cut"]).cast("long"), F.lit(0))
+    joined = docs.join(own, docs["source"].eqNullSafe(own["mix_source"]))
+    return joined.select(*[docs[c] for c in docs.columns], "mix_source_size", "mix_target", (own["mix_whole"] + extra).cast("long").alias("mix_copies"))
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
     mixed = apply_mix(docs, plan_mix(docs, word_count(docs["text"])))
-    size = word_count(docs["text"])
-    return mixed.select("doc_id", size.alias("size"), "source_size", "target", "copies").withColumn("taken", F.col("copies") * F.col("size")).drop("copies")
+    sized = mixed.select("doc_id", word_count(mixed["text"]).alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), "mix_copies")
+    return sized.select("doc_id", "size", "source_size", "target", (F.col("mix_copies") * F.col("size")).alias("taken"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
-    columns = docs.columns
-    mixed = apply_mix(docs.select(*columns), plan_mix(docs, word_count(docs["text"])))
-    copies = F.when(F.col("copies") > 0, F.sequence(F.lit(1).cast("long"), F.col("copies")))
-    return mixed.withColumn("__copy", F.explode(copies)).select(*[docs[c] for c in columns])
+    plan = plan_mix(docs, word_count(docs["text"]))
+    mixed = apply_mix(docs, plan)
+    copies = F.when(F.col("mix_copies") > 0, F.sequence(F.lit(1).cast("long"), F.col("mix_copies")))
+    return mixed.withColumn("mix_copy", F.explode(copies)).select(*[mixed[c] for c in docs.columns])
 
 
 ORACLE = r"""
