@@ -380,10 +380,10 @@ def parse_dates(spark, sf):
     return _t(spark, sf, "orders").select("o_orderkey", S.parse_date_like(S.format_date(d, "yyyy/m/d")).cast("timestamp_ntz").alias("day"), S.parse_date_like(S.format_date(d, "yyyy-mm-dd hh:mm")).cast("timestamp_ntz").alias("minute"))
 
 
-@query("format_tokens", "SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN '' WHEN 1 THEN 'int' WHEN 2 THEN '0.00' WHEN 3 THEN 'thousands' ELSE 'thousands2' END AS token, CASE WHEN p_size % 5 > 0 THEN p_size % 5 END AS id FROM part")
+@query("format_tokens", "SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN '' WHEN 1 THEN 'int' WHEN 2 THEN '0.00' WHEN 3 THEN 'thousands' ELSE 'thousands2' END AS token, (CASE WHEN p_size % 5 > 0 THEN p_size % 5 ELSE -1 END)::INT AS id FROM part")
 def format_tokens(spark, sf):
     p = _t(spark, sf, "part").select("p_partkey", S.fmt_token(F.col("p_size") % 5, F.lit("")).alias("token"))
-    return p.select("p_partkey", "token", S.fmt_id(F.col("token"))["id"].alias("id"))
+    return p.select("p_partkey", "token", F.coalesce(S.fmt_id(F.col("token"))["id"], F.lit(-1)).alias("id"))
 
 
 # Validation, differences, recency -----------------------------------------------------------------------------------

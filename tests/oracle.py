@@ -5,12 +5,13 @@ from __future__ import annotations
 import os
 
 import duckdb
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 def _cell(x):
-    if x is None or x != x:
+    if x is None or x is pd.NA or x != x:
         return None
     if hasattr(x, "tolist"):
         x = x.tolist()
