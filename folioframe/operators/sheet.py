@@ -45,8 +45,8 @@ def filter_values(df: DataFrame, col: str, search: str | None = None) -> DataFra
     values = values.join(F.broadcast(numeric))
     if search:
         values = values.where((F.col("value") == "") | F.lower("value").contains(search.lower()))
-    order = Window.orderBy(F.col("value") == "", F.when(F.col("_numeric"), js_number(F.col("value"))), "value")
-    return values.select("value", F.row_number().over(order).alias("pos"))
+    ordered = values.orderBy(F.col("value") == "", F.when(F.col("_numeric"), js_number(F.col("value"))), "value")
+    return number_rows(ordered, "pos").select("value", (F.col("pos") + 1).cast("int").alias("pos"))
 
 
 def multi_sort(df: DataFrame, levels: list[tuple[str, bool]], order_col: str, locale: str | None = "zh", pos: str | None = None) -> DataFrame:

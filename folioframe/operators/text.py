@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,30 +15,34 @@ CJK_WIDE = r"㐀-䶿一-鿿豈-﫿"
 _TOKEN = rf"[A-Za-z0-9][A-Za-z0-9'-]*|[{CJK}]"
 
 
-def _with_offsets(text: Column, pattern: str) -> Column:
-    """Array of struct(word, start, stop) of all matches, offsets in characters."""
-    found = F.regexp_extract_all(text, F.lit(pattern), 0)
-    gaps = F.split(text, pattern)
-    # The text is gap, match, gap, ...: a match starts after the gaps and matches before it.
-    zipped = F.transform(found, lambda w, i: F.struct(w.alias("w"), F.length(F.coalesce(F.get(gaps, i), F.lit(""))).alias("gap")))
-    empty = F.array().cast("array<struct<word:string,start:int,stop:int>>")
-    step = lambda s, x: F.struct(
-        (s["at"] + x["gap"] + F.length(x["w"])).alias("at"),
-        F.array_append(s["out"], F.struct(x["w"].alias("word"), (s["at"] + x["gap"]).alias("start"), (s["at"] + x["gap"] + F.length(x["w"])).alias("stop"))).alias("out"),
-    )
-    return F.aggregate(zipped, F.struct(F.lit(0).alias("at"), empty.alias("out")), step)["out"]
+def placed_matches(df: DataFrame, id_col: str, text_col: str, pattern: str) -> DataFrame:
+    """(id, idx, word, start, stop) of all matches in a text, offsets in characters; a null text has none.
+
+    Map-only: placing matches with built-in functions would take a window over each document's tokens, and so a shuffle
+    of all of them.
+    """
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = re.compile(pattern).finditer
+        for batch in batches:
+            owner, idx, words, starts, stops = [], [], [], [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                for k, m in enumerate(find(text or "")):
+                    owner.append(i)
+                    idx.append(k)
+                    words.append(m[0])
+                    starts.append(m.start())
+                    stops.append(m.end())
+            columns = [batch.column(0).take(pa.array(owner, pa.int64())), pa.array(idx, pa.int32()), pa.array(words, pa.string()), pa.array(starts, pa.int32()), pa.array(stops, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, [id_col, "idx", "word", "start", "stop"])
+
+    kind = df.schema[id_col].dataType.simpleString()
+    return df.select(id_col, text_col).mapInArrow(place, f"`{id_col}` {kind}, idx int, word string, start int, stop int")
 
 
 def tokenize(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, tok_idx, word, start, stop): runs of ASCII letters and digits with ' and -, or single CJK characters."""
-    gaps_start = F.posexplode(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(rf"[^A-Za-z0-9{CJK}]*(?:{_TOKEN})"), 0))
-    pieces = df.select(F.col(id_col), gaps_start.alias("tok_idx", "piece"))
-    # Pieces, a separator run and a token each, tile the text; their lengths add up within the document.
-
-    w = Window.partitionBy(id_col).orderBy("tok_idx").rowsBetween(Window.unboundedPreceding, 0)
-    word = F.regexp_extract("piece", rf"({_TOKEN})$", 1)
-    stops = pieces.withColumn("word", word).withColumn("stop", F.sum(F.length("piece")).over(w).cast("int"))
-    return stops.select(id_col, "tok_idx", "word", (F.col("stop") - F.length("word")).alias("start"), "stop")
+    return placed_matches(df, id_col, text_col, _TOKEN).withColumnRenamed("idx", "tok_idx")
 
 
 def words_only(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -44,9 +52,8 @@ def words_only(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def script_runs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, run_idx, is_cjk, run, start, stop): alternating runs of CJK and other characters, whole text."""
-    runs = F.regexp_extract_all(F.col(text_col), F.lit(rf"[{CJK}]+|[^{CJK}]+"), 0)
-    placed = df.select(F.col(id_col), F.posexplode(_with_offsets(F.col(text_col), rf"[{CJK}]+|[^{CJK}]+")).alias("run_idx", "r"), F.size(runs).alias("_n"))
-    return placed.select(id_col, "run_idx", contains_cjk(F.col("r.word")).alias("is_cjk"), F.col("r.word").alias("run"), F.col("r.start").alias("start"), F.col("r.stop").alias("stop"))
+    runs = placed_matches(df, id_col, text_col, rf"[{CJK}]+|[^{CJK}]+")
+    return runs.select(id_col, F.col("idx").alias("run_idx"), contains_cjk(F.col("word")).alias("is_cjk"), F.col("word").alias("run"), "start", "stop")
 
 
 def contains_cjk(text: Column) -> Column:
@@ -60,8 +67,8 @@ def segment_cjk(df: DataFrame, id_col: str, text_col: str, words: DataFrame) ->
     longest word at each place is then walked from the left. A run without CJK is one segment.
     """
     longest = words.agg(F.max(F.length("word"))).first()[0] or 1
-    runs = df.select(F.col(id_col), F.posexplode(_with_offsets(F.col(text_col), rf"[{CJK_WIDE}]+|[^{CJK_WIDE}]+")).alias("run_idx", "r"))
-    runs = runs.select(id_col, "run_idx", F.col("r.word").alias("run"), F.col("r.start").alias("at"), F.col("r.word").rlike(f"^[{CJK_WIDE}]").alias("cjk"))
+    runs = placed_matches(df, id_col, text_col, rf"[{CJK_WIDE}]+|[^{CJK_WIDE}]+")
+    runs = runs.select(id_col, F.col("idx").alias("run_idx"), F.col("word").alias("run"), F.col("start").alias("at"), F.col("word").rlike(f"^[{CJK_WIDE}]").alias("cjk"))
     n = F.length("run")
     places = runs.where("cjk").select(id_col, "run_idx", "run", F.explode(F.sequence(F.lit(1), n)).alias("pos"))
     spans = places.select("*", F.explode(F.sequence(F.lit(2), F.lit(max(int(longest), 2)))).alias("size")).where(F.col("pos") + F.col("size") - 1 <= n)
@@ -107,8 +114,6 @@ def doc_stats(blocks: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def _pieces(text: Column, query: str, case_sensitive: bool) -> Column:
-    import re
-
     quoted = "\\Q" + query.replace("\\E", "\\E\\\\E\\Q") + "\\E"
     return F.split(text, quoted if case_sensitive else f"(?iu){quoted}" if re.search("[^\x00-\x7f]", query) else f"(?i){quoted}")
 
