@@ -33,6 +33,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Narrow rows to a partition, where a checkpointed frame is made compact.
+COMPACT_ROWS = 100_000
+
+
+def compact(df: DataFrame) -> DataFrame:
+    """A checkpoint of narrow rows, in as many partitions as its size asks for: a small frame isn't spread over thousands of tasks."""
+    done = checkpoint(df)
+    return done.coalesce(max(1, -(-done.count() // COMPACT_ROWS)))
+
+
 def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
     """Keep Arrow batches short, so that a batch of very long texts still fits a Python worker."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -68,23 +78,26 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """(node, component) for every node of an edge list; component is the smallest node that links reach.
 
     Alternates large-star and small-star rounds as joins against per-node minima, so a hub's edges are
-    never gathered in one row. Each round is checkpointed; only a count and a checksum reach the driver.
+    never gathered in one row. Each round is checkpointed, in as many partitions as the edges left ask for; only a
+    count and a checksum reach the driver.
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
     e = checkpoint(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    seen = None
+    seen, size = None, e.count()
     while True:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        parts = max(1, -(-size // COMPACT_ROWS))
+        e = e.coalesce(parts)
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(parts)
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").coalesce(parts)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
+        small = large.join(low, "u").coalesce(parts)
         e = checkpoint(
-            small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+            small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").coalesce(parts).distinct().coalesce(parts)
         )
         now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == seen:
             break
-        seen = now
+        seen, size = now, now[0]
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.llm.common import bounded_batches, broadcast_if_small, checkpoint, connected_components, read
+from folioframe.llm.common import bounded_batches, broadcast_if_small, checkpoint, compact, connected_components, read
 
 SHINGLE_WORDS = 5
 PERCENT = 80
@@ -219,20 +219,20 @@ def _sets(docs: DataFrame, order, words: int, percent: int) -> DataFrame:
 def _buckets(sets: DataFrame) -> DataFrame:
     """(bucket, set_id, n, pos): sets that share a prefix token and its place in each; of buckets with the same members the first by order."""
     emitted = sets.where("prefix is not null")
-    twice = checkpoint(emitted.groupBy("set_id").agg(F.count("*").alias("times"), F.min("row").alias("first")).where("times > 1"))
+    twice = compact(emitted.groupBy("set_id").agg(F.count("*").alias("times"), F.min("row").alias("first")).where("times > 1"))
     repeated = broadcast_if_small(twice.select(F.col("set_id").alias("again"), "first"))
     # Of a set that several tasks emitted, one row is used.
     once = emitted.join(repeated, F.col("set_id") == F.col("again"), "left").where(F.col("first").isNull() | (F.col("row") == F.col("first")))
     rows = once.select("set_id", F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("pos", "token"))
     shared = rows.groupBy("token").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("set_id")).alias("members")).where("size > 1")
     shared = shared.groupBy("size", "members").agg(F.min("token").alias("bucket"))
-    kept = broadcast_if_small(checkpoint(shared.select("bucket")))
-    return checkpoint(rows.join(kept, rows["token"] == kept["bucket"]).select("bucket", "set_id", "n", "pos"))
+    kept = broadcast_if_small(compact(shared.select("bucket")))
+    return compact(rows.join(kept, rows["token"] == kept["bucket"]).select("bucket", "set_id", "n", "pos"))
 
 
 def _ids(pairs: DataFrame) -> DataFrame:
     """The set_ids of pairs (a, b), broadcast where they are joined if they are few."""
-    return broadcast_if_small(checkpoint(pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()))
+    return broadcast_if_small(compact(pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()))
 
 
 def _overlapping(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -250,7 +250,7 @@ def _texts(docs: DataFrame, sets: DataFrame, pairs: DataFrame, words: int) -> Da
     """(set_id, text) of every set of the pairs (a, b): one document's text for each."""
     wanted = _ids(pairs)
     firsts = sets.join(wanted, "set_id", "left_semi").groupBy("set_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("at"))
-    few = broadcast_if_small(checkpoint(firsts.select(F.col("at.doc_id").alias("want_doc")).distinct()))
+    few = broadcast_if_small(compact(firsts.select(F.col("at.doc_id").alias("want_doc")).distinct()))
     texts = docs.join(few, docs["doc_id"].eqNullSafe(few["want_doc"])).select(docs["text"])
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,15 +320,15 @@ def set_components(docs: DataFrame, sets: DataFrame, order, words: int, percent:
             # Each set goes to one hub a round: the earliest hub, or the least by this round's hash, to which most of its kind go.
             by_hub = F.struct("late", F.xxhash64(F.when(F.col("s") == F.col("a"), F.col("b")).otherwise(F.col("a")), F.lit(turn)), "a", "b")
             pairs = pairs.groupBy("s").agg(F.min(by_hub).alias("p")).select("p.a", "p.b")
-        pairs = checkpoint(pairs.select("a", "b").distinct())
+        pairs = compact(pairs.select("a", "b").distinct())
         if pairs.isEmpty():
             continue
         tested = tested.unionByName(pairs)
-        near = checkpoint(_overlapping(pairs, sets, percent))
-        links = checkpoint(links.unionByName(_verify(near, _texts(docs, sets, near, words), order, words, percent)))
+        near = compact(_overlapping(pairs, sets, percent))
+        links = compact(links.unionByName(_verify(near, _texts(docs, sets, near, words), order, words, percent)))
         count = links.count()
         if count > before:
-            roots = connected_components(links).withColumnsRenamed({"node": "set_id", "component": "root"})
+            roots = compact(connected_components(links).withColumnsRenamed({"node": "set_id", "component": "root"}))
         before = count
     return roots
 
@@ -359,7 +359,7 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, the one with the smallest doc_id; the rest of a null doc_id stay."""
     found = near_duplicate_components(docs)
-    gone = checkpoint(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct())
+    gone = compact(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct())
     gone = broadcast_if_small(gone)
     return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
 
