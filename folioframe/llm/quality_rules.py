@@ -31,20 +31,23 @@ _SYMBOLS = "#*$%&|<>"
 
 
 def _line_fails(line: Column) -> Column:
-    """Punctuation: symbols or exclamation marks on a third of the words, or shouting. Navigation: a chain of separators."""
+    """Punctuation: symbols on a third of the words, more exclamation marks than words, or shouting. Navigation: a chain of separators.
+
+    Cheap tests come first: the words of a line are counted only if its marks are suspicious.
+    """
     words = F.size(words_of(line))
     symbols = F.length(line) - F.length(F.translate(line, _SYMBOLS, ""))
     marks = F.length(line) - F.length(F.replace(line, F.lit("!"), F.lit("")))
-    shouting = (words >= 4) & (line == F.upper(line)) & (line != F.lower(line))
-    return (3 * symbols > words) & (words > 0) & (symbols >= 3) | (marks > words) | shouting | line.rlike(NAVIGATION) | line.rlike(BOILERPLATE)
+    shouting = (line == F.upper(line)) & (line != F.lower(line)) & (words >= 4)
+    return ((symbols >= 3) & (3 * symbols > words)) | ((marks >= 1) & (marks > words)) | shouting | line.rlike(NAVIGATION) | line.rlike(BOILERPLATE)
 
 
 def _lines_with_words(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda x: F.translate(x, " \t\n\x0b\f\r", "") != "")
 
 
-def _repeated_words(words: Column) -> Column:
-    """Words that lie in a three-word window found at least twice.
+def _repeated_words(w: Column) -> Column:
+    """Of the words w, an expression that is bound: words that lie in a three-word window found at least twice.
 
     Window hash and position share one long, so a primitive sort puts equal windows side by side; the sorted
     positions of repeated windows then tell how many words they cover, overlaps once. Texts of over 65,536
@@ -82,34 +85,37 @@ def _repeated_words(words: Column) -> Column:
         keys = F.transform(starts, lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i")))
         return let(F.sort_array(keys), lambda s: covered(s, lambda x: x["h"], lambda x: x["i"]))
 
-    return let(
-        words,
-        lambda w: F.when(F.size(w) < 4, F.lit(0).cast("long")).when(F.size(w) <= 65_536, packed(w)).otherwise(paired(w)),
-    )
+    return F.when(F.size(w) < 4, F.lit(0).cast("long")).when(F.size(w) <= 65_536, packed(w)).otherwise(paired(w))
 
 
-def quality_columns(text: Column) -> dict[str, Column]:
-    """The base counts of one text column; n_kept_chars counts word characters on lines that pass the line rules."""
+def quality(text: Column, min_words: int = MIN_WORDS, min_kept_share: float = MIN_KEPT_SHARE) -> Column:
+    """struct(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_kept_chars, base_failed, kept) of a text.
+
+    n_kept_chars counts word characters on lines that pass the line rules. Words and lines are split once each.
+    """
     text = F.coalesce(text, F.lit(""))
-    lines = _lines_with_words(text)
-    kept = F.filter(lines, lambda x: ~_line_fails(x))
-    return {
-        "n_words": F.size(words_of(text)).cast("long"),
-        "word_chars": F.length(F.translate(text, " \t\n\x0b\f\r", "")).cast("long"),
-        "n_symbols": (F.length(text) - F.length(F.translate(text, _SYMBOLS, ""))).cast("long"),
-        "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-        "n_repeat_words": _repeated_words(words_of(text)),
-        "n_kept_chars": F.length(F.translate(F.array_join(kept, ""), " \t\n\x0b\f\r", "")).cast("long"),
-    }
-
-
-def judge_quality(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS, min_kept_share: float = MIN_KEPT_SHARE) -> DataFrame:
-    """docs with the struct column `quality`: base counts, base_failed, kept."""
-    counts = docs.withColumn("quality", F.struct(*[c.alias(n) for n, c in quality_columns(docs[text]).items()]))
-    q = F.col("quality")
-    failed = (q["n_words"] < min_words) | (100 * q["n_repeat_words"] > MAX_REPEAT_PERCENT * q["n_words"])
-    kept = ~failed & (q["n_kept_chars"] >= min_kept_share * q["word_chars"])
-    return counts.withColumn("quality", F.struct("quality.*", failed.alias("base_failed"), kept.alias("kept")))
+    chars = lambda c: F.length(F.translate(c, " \t\n\x0b\f\r", "")).cast("long")
+    of_words = let(words_of(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), _repeated_words(w).alias("n_repeat_words")))
+    of_lines = let(
+        _lines_with_words(text),
+        lambda x: F.struct(
+            (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"), chars(F.array_join(F.filter(x, lambda y: ~_line_fails(y)), "")).alias("n_kept_chars")
+        ),
+    )
+    counts = F.struct(
+        of_words.alias("w"), chars(text).alias("word_chars"), (F.length(text) - F.length(F.translate(text, _SYMBOLS, ""))).cast("long").alias("n_symbols"), of_lines.alias("l")
+    )
+
+    def judged(c: Column) -> Column:
+        n, repeated = c["w"]["n_words"], c["w"]["n_repeat_words"]
+        failed = (n < min_words) | (100 * repeated > MAX_REPEAT_PERCENT * n)
+        kept = ~failed & (c["l"]["n_kept_chars"] >= min_kept_share * c["word_chars"])
+        return F.struct(
+            n.alias("n_words"), c["word_chars"].alias("word_chars"), c["n_symbols"].alias("n_symbols"), c["l"]["n_dup_lines"].alias("n_dup_lines"), repeated.alias("n_repeat_words"),
+            c["l"]["n_kept_chars"].alias("n_kept_chars"), failed.alias("base_failed"), kept.alias("kept"),
+        )
+
+    return let(counts, judged)
 
 
 def clean_lines(text: Column) -> Column:
@@ -118,16 +124,15 @@ def clean_lines(text: Column) -> Column:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return judge_quality(docs).select(
-        "doc_id", *[f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")]
+    docs = read(spark, sf_dir, "documents")
+    return docs.select("doc_id", quality(docs["text"]).alias("q")).select(
+        "doc_id", *[f"q.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")]
     )
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; the rest pass unchanged."""
-    columns = docs.columns
-    return judge_quality(docs).where("quality.kept").select(*columns)
+    return docs.where(quality(docs["text"])["kept"])
 
 
 _LINE_FAILS_SQL = r"""
