@@ -24,15 +24,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioframe.llm.common import bounded_batches, checkpoint, read
 from folioframe.llm.jaccard_join import Shingler, _mix
 
-DEPTH = 6
+DEPTH = 5
 #: 2 to this power is the number of rows of a block.
-BLOCK_BITS = 13
+BLOCK_BITS = 12
 #: Blocks whose answers one task gives at most.
 SALT_BLOCKS = 512
 #: Key of the end in the table of words.
@@ -66,12 +66,12 @@ def word_keys(texts: list[bytes], hasher: Shingler) -> tuple[np.ndarray, np.ndar
     return np.concatenate([hashes, np.full(len(texts), END)]), np.concatenate([doc, np.arange(len(texts))])
 
 
-def _slices(texts: list[bytes], size: int = 1_000_000) -> Iterator[tuple[int, list[bytes]]]:
+def _slices(texts: list[bytes], size: int = 500_000) -> Iterator[list[bytes]]:
     first, held = 0, 0
     for i, t in enumerate(texts):
         held += len(t)
         if held > size or i == len(texts) - 1:
-            yield first, texts[first : i + 1]
+            yield texts[first : i + 1]
             first, held = i + 1, 0
 
 
@@ -86,6 +86,33 @@ def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     return k[first], np.add.reduceat(n, first) if len(k) else n
 
 
+def _distinct(keys: np.ndarray, learn: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and how often each occurs, or 0 if nothing is learnt from them."""
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+    return keys[first], np.diff(first, append=len(keys)) if learn else np.zeros(len(first), np.int64)
+
+
+class Lookup:
+    """Values by key: a table of hashed places finds most keys at once, a search in the sorted keys the rest."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        by = np.argsort(keys)
+        self.keys, self.values = keys[by], values[by]
+        self.bits = max(8, int(np.ceil(np.log2(max(len(keys), 1) * 4))))
+        self.place = np.zeros(1 << self.bits, np.int32)
+        self.place[self._hash(self.keys)] = np.arange(len(keys), dtype=np.int32)
+
+    def _hash(self, keys: np.ndarray) -> np.ndarray:
+        return (((keys ^ (keys >> _U(29))) * _U(0x9E3779B97F4A7C15)) >> _U(64 - self.bits)).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        at = self.place[self._hash(keys)]
+        missed = np.flatnonzero(self.keys[at] != keys)
+        at[missed] = np.searchsorted(self.keys, keys[missed])
+        return self.values[at]
+
+
 def _pack(values: np.ndarray, steps: bool = False) -> bytes:
     """Bytes of an array, plane by plane, compressed; steps: of a sorted array, by its differences."""
     values = np.diff(values, prepend=values.dtype.type(0)) if steps else values
@@ -112,7 +139,7 @@ def count_blocks(docs: DataFrame, buckets: int) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Shingler()
 
-        def finish(block: int, parts: list) -> pa.RecordBatch:
+        def finish(block: int, parts: tuple[list, list]) -> pa.RecordBatch:
             rows = []
             for kind in (_STRINGS, _WORDS):
                 keys, n = _merge(*zip(*parts[kind], strict=True)) if parts[kind] else _merge([], [])
@@ -132,10 +159,10 @@ def count_blocks(docs: DataFrame, buckets: int) -> DataFrame:
                         yield finish(block, parts)
                     block, parts = int(own), ([], [])
                 here = np.flatnonzero(blocks == own)
-                for first, some in _slices([texts[i] for i in here]):
-                    learn = train[here[first : first + len(some)]].astype(np.int64)
-                    for kind, (keys, doc) in enumerate((byte_strings(some), word_keys(some, hasher))):
-                        parts[kind].append(_merge([keys], [learn[doc]]))
+                for learn in (True, False):
+                    for some in _slices([texts[i] for i in here if train[i] == learn]):
+                        for kind, keys in enumerate((byte_strings(some)[0], word_keys(some, hasher)[0])):
+                            parts[kind].append(_distinct(keys, learn))
                 for kind in (_STRINGS, _WORDS):
                     if len(parts[kind]) > 16:
                         parts[kind][:] = [_merge(*zip(*parts[kind], strict=True))]
@@ -235,10 +262,10 @@ def build_model(counted: DataFrame, salts: int) -> DataFrame:
         keys, n = keys[n > 0], n[n > 0]
         up = (np.empty(0, np.int64), *[np.empty(0)] * 3)
         if table["kind"][0].as_py() == _WORDS:
-            blob = pickle.dumps((keys, n.astype(np.float64)))
+            blob = pickle.dumps((_pack(keys, steps=True), _pack(n)))
         else:
             levels = subtrees(keys, n)
-            blob = pickle.dumps([x.table() for x in levels])
+            blob = pickle.dumps([(_pack(k, steps=True), _pack(one.astype(np.float32)), _pack(stop.astype(np.float32))) for k, one, stop in (x.table() for x in levels)])
             last = levels[-1]
             parent, at = np.unique(last.parents(), return_inverse=True)
             up = (parent.astype(np.int64), *(np.bincount(at, weights=v, minlength=len(parent)) for v in (last.zeros, last.ones, last.weighted)))
@@ -273,11 +300,12 @@ def answer_blocks(counted: DataFrame, model: DataFrame, top, salts: int) -> Data
         want = np.unique(np.concatenate(keys))
         blob = pickle.loads(part["blob"][0].as_py())
         if asked["kind"][0].as_py() == _WORDS:
-            known, n = blob
+            known, n = _unpack(blob[0], np.uint64, steps=True), _unpack(blob[1], np.int64)
             at = np.minimum(np.searchsorted(known, want), max(len(known) - 1, 0))
             values = np.where(known[at] == want, n[at], 0).astype(np.float64) if len(known) else np.zeros(len(want))
         else:
-            values = log10_probability(want, blob + top.value)
+            tables = [(_unpack(k, np.uint64, steps=True), _unpack(one, np.float32).astype(np.float64), _unpack(stop, np.float32).astype(np.float64)) for k, one, stop in blob]
+            values = log10_probability(want, tables + top.value)
         if asked["kind"][0].as_py() == _STRINGS:
             values = values.astype(np.float32)
         out = [_pack(values[np.searchsorted(want, k)]) for k in keys]
@@ -301,14 +329,13 @@ def score_blocks(docs: DataFrame, answers: DataFrame) -> DataFrame:
             at = [int(i) for i in np.flatnonzero(kinds == kind)]
             keys = np.concatenate([_unpack(found["keys"][i].as_py(), np.uint64, steps=True) for i in at])
             values = np.concatenate([_unpack(found["values"][i].as_py(), np.float32 if kind == _STRINGS else np.float64) for i in at]).astype(np.float64)
-            by = np.argsort(keys)
-            tables.append((keys[by], values[by]))
+            tables.append(Lookup(keys, values))
         hasher, out = Shingler(), []
         texts = [t or b"" for t in rows["text"].cast(pa.binary()).to_pylist()]
-        for _, some in _slices(texts):
+        for some in _slices(texts):
             (keys, doc), (words, of) = byte_strings(some), word_keys(some, hasher)
-            bits = np.bincount(doc, weights=tables[0][1][np.searchsorted(tables[0][0], keys)], minlength=len(some))
-            c = tables[1][1][np.searchsorted(tables[1][0], words)]
+            bits = np.bincount(doc, weights=tables[_STRINGS](keys), minlength=len(some))
+            c = tables[_WORDS](words)
             out.append((np.bincount(of, minlength=len(some)), np.bincount(of, weights=c > 0, minlength=len(some)), np.bincount(of, weights=np.log10(c + 0.5), minlength=len(some)), bits))
         n, known, base, bits = (np.concatenate(x) for x in zip(*out, strict=True))
         return pa.table([rows["doc_id"], rows["train"], pa.array(n.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(bits)], schema=schema)
@@ -316,15 +343,21 @@ def score_blocks(docs: DataFrame, answers: DataFrame) -> DataFrame:
     return docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, "doc_id long, train boolean, n_tokens long, n_known long, base_sum double, score double")
 
 
-def score_texts(docs: DataFrame, block_bits: int = BLOCK_BITS) -> DataFrame:
-    """doc_id, train, n_tokens, n_known, train_tokens, base_score, score of docs (doc_id, text, train); learns from rows with train."""
+def score_texts(docs: DataFrame, block: Column | None = None, block_bits: int = BLOCK_BITS) -> DataFrame:
+    """doc_id, train, n_tokens, n_known, train_tokens, base_score, score of docs (doc_id, text, train); learns from rows with train.
+
+    block numbers the blocks, alike whenever docs is read, rows of a block side by side; without it the rows are
+    checkpointed and numbered in the order that they then have.
+    """
     spark = docs.sparkSession
     bounded_batches(spark)
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"], F.coalesce(docs["train"], F.lit(False)).alias("train"))
-    # Row numbers of a scan: the partition above 33 bits, the row below; the same files are split alike in every pass.
-    rows = rows.withColumn("block", F.shiftright(F.monotonically_increasing_id(), block_bits))
+    columns = [docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), F.coalesce(docs["train"], F.lit(False)).alias("train")]
+    if block is None:
+        rows = checkpoint(docs.select(*columns)).withColumn("block", F.shiftright(F.monotonically_increasing_id(), block_bits))
+    else:
+        rows = docs.select(*columns, block.cast("long").alias("block"))
     blocks = max(1, -(-docs.count() >> block_bits))
-    buckets, salts = min(4096, max(16, blocks // 2)), max(1, -(-blocks // SALT_BLOCKS))
+    buckets, salts = min(4096, max(32, blocks)), max(1, -(-blocks // SALT_BLOCKS))
     counted = checkpoint(count_blocks(rows, buckets))
     model = checkpoint(build_model(counted, salts))
     totals = model.where(F.col("kind") == _WORDS).agg(F.sum("total").alias("n"), F.sum("kinds").alias("v")).first()
@@ -338,5 +371,7 @@ def score_texts(docs: DataFrame, block_bits: int = BLOCK_BITS) -> DataFrame:
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     out = F.pmod(F.crc32(F.coalesce(docs["doc_id"].cast("string"), F.lit(""))), F.lit(5)) == 1
-    scored = score_texts(docs.select("doc_id", "text", (~out).alias("train")))
+    # A block is so many rows of a file, by their place in it.
+    block = F.xxhash64(F.col("_metadata.file_path"), F.shiftright(F.col("_metadata.row_index"), BLOCK_BITS))
+    scored = score_texts(docs.withColumn("train", ~out), block)
     return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
