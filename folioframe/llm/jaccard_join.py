@@ -187,7 +187,14 @@ def frequent_tokens(docs: DataFrame, words: int, least: int = FREQUENT_COUNT, li
             yield flush()
 
     counted = docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    top = counted.orderBy(F.desc("n"), "token").limit(limit).toArrow()
+    counted = checkpoint(counted.withColumn("class", F.floor(F.log2("n")).cast("int")))
+    # Whole classes from the top, as many as fit the limit: at most 64 rows tell which.
+    sizes, lowest, room = {r["class"]: r["count"] for r in counted.groupBy("class").count().collect()}, 64, limit
+    for c in sorted(sizes, reverse=True):
+        if sizes[c] > room:
+            break
+        lowest, room = c, room - sizes[c]
+    top = counted.where(F.col("class") >= lowest).select("token", "n").toArrow()
     tokens = top["token"].to_numpy().view(np.uint64)
     by = np.argsort(tokens)
     return tokens[by], np.minimum(np.log2(np.maximum(top["n"].to_numpy()[by], 1)).astype(np.int64), 31)
