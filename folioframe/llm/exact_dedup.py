@@ -204,7 +204,7 @@ def _repeats(docs: DataFrame) -> DataFrame:
 def dedup_report(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
-    groups = _repeats(docs)
+    groups = broadcast_if_small(_repeats(docs))
     rows = docs.select("doc_id", text_digest(docs["text"]).alias("digest"))
     joined = rows.join(groups, "digest", "left").select(
         "doc_id",
