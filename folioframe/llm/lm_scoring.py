@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from folioframe.llm.common import bounded_batches, checkpoint, read
 from folioframe.llm.jaccard_join import Shingler, _mix
 
-DEPTH = 5
+DEPTH = 6
 #: 2 to this power is the number of rows of a block.
 BLOCK_BITS = 12
 #: Blocks whose answers one task gives at most.

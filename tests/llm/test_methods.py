@@ -172,6 +172,16 @@ def test_scores_are_those_of_the_tree(spark):
         assert got[i] == pytest.approx(brute_ctw(train, t.encode().lower(), lm_scoring.DEPTH), rel=1e-5)
 
 
+def test_scores_look_six_bytes_back(spark):
+    # The last byte depends on the byte six places before it, so that a tree of depth 5 can't tell these texts apart.
+    rows = [(i, ("a-----x", "b-----y")[i % 2], i < 8) for i in range(10)] + [(10, "a-----y", False)]
+    got = {r.doc_id: r.score for r in lm_scoring.score_texts(spark.createDataFrame(rows, "doc_id long, text string, train boolean")).collect()}
+    train = [t.encode() for _, t, learn in rows if learn]
+    for i, t, _ in rows:
+        assert got[i] == pytest.approx(brute_ctw(train, t.encode(), 6), rel=1e-5)
+    assert abs(brute_ctw(train, b"a-----y", 6) - brute_ctw(train, b"a-----y", 5)) > 0.1
+
+
 def test_base_scores(spark):
     rows = {r.doc_id: r for r in QUERIES["op4_lm_scoring"](spark, SF).collect()}
     tokens = {r.doc_id: [*(r.text or "").encode().lower().split(), None] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
