@@ -8,6 +8,14 @@ the original text, from which the texts can be cut.
 Defined results: a null or empty text has no units; lines of fewer than MIN_WORDS words are left alone, being alike by
 chance; a null doc_id ranks first; rows of one doc_id are one document at one rank, so a repeated row loses nothing
 to itself; extra columns are ignored; an empty table gives an empty result. A text of any length is taken whole.
+
+Lines miss passages that don't fill the same lines, so repeated_passages finds those, wherever they begin or end: a
+passage is a run of PASSAGE tokens that an earlier place in rank has too; overlapping ones are one span. A token is a
+run of characters between ASCII white space, A-Z lower-cased; each character of Chinese, Japanese, Thai, Lao, Khmer and
+Burmese is a token of its own. The result is exact, up to 64-bit hashes of tokens: of each run of PASSAGE tokens the
+GRAM tokens of the least hash are an anchor, so equal runs have equal anchors. Occurrences of an anchor with equal
+surroundings (all tokens of the runs that it anchors) are settled by one group; only for an anchor met in several
+surroundings are the runs of one occurrence of each compared. A place may overlap its earlier one: of a period, one stays.
 """
 
 from __future__ import annotations
@@ -15,13 +23,23 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioframe.llm.common import bounded_batches, broadcast_if_small, checkpoint, read
+from folioframe.llm.jaccard_join import _mix
 
 MIN_WORDS = 5
+#: Tokens of the shortest passage, and of an anchor.
+PASSAGE, GRAM = 50, 25
+
+_U = np.uint64
+_BASE = 0x9E3779B97F4A7C15
+_BYTES = np.random.default_rng(9).integers(1, 1 << 63, 256, np.uint64)
+#: Code points written without blanks between words, of three bytes in UTF-8.
+_UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF))
 
 
 def text_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -79,6 +97,145 @@ def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     return joined.withColumn("text", F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(walked["kept"], "\n")))
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(n - 1, 0), base, np.uint64)]), dtype=np.uint64)[:n]
+
+
+class Tokens:
+    """Tokens of texts: document, place in it, offsets in characters; hashes of the runs between any two of a document."""
+
+    def __init__(self, texts: list[bytes]):
+        b = np.frombuffer(b"\n".join([*texts, b"   "]).lower(), np.uint8)
+        sizes = np.array([len(t) + 1 for t in texts])
+        begins = np.cumsum(sizes) - sizes
+        space = (b == 32) | ((b >= 9) & (b <= 13))
+        lead, wide = (b & 0xC0) != 0x80, np.zeros(len(b), bool)
+        three = np.flatnonzero(b >> 4 == 0xE)
+        point = (b[three].astype(np.int32) & 15) << 12 | (b[three + 1].astype(np.int32) & 63) << 6 | b[three + 2].astype(np.int32) & 63
+        wide[three] = np.any([(point >= lo) & (point <= hi) for lo, hi in _UNSPACED], axis=0)
+        four = np.flatnonzero(b == 0xF0)
+        wide[four] = b[four + 1] >= 0xA0
+        # The character that a byte belongs to is wide if its lead is.
+        at = np.maximum.accumulate(np.where(lead, np.arange(len(b)), 0))
+        inside = wide[at]
+        before = np.concatenate([[True], (space | inside)[:-1]])
+        first = np.flatnonzero(~space & lead & (before | wide))
+        edge = (space | (lead & wide)) | np.concatenate([[False], inside[:-1] & lead[1:]])
+        edges = np.flatnonzero(edge)
+        stop = edges[np.searchsorted(edges, first, "right")]
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[b] * _powers(_BASE, len(b)), dtype=np.uint64)])
+        self.inverse = _powers(pow(_BASE, -1, 1 << 64), len(b))
+        hashes = _mix((sums[stop] - sums[first]) * self.inverse[first], 1)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * _powers(_BASE, len(first)), dtype=np.uint64)])
+        self.doc = np.searchsorted(begins, first, "right") - 1
+        self.begin = np.searchsorted(self.doc, np.arange(len(texts)))
+        chars = np.concatenate([[0], np.cumsum(lead)])
+        self.start, self.stop = chars[first] - chars[begins[self.doc]], chars[stop] - chars[begins[self.doc]]
+
+    def runs(self, first: np.ndarray, length: int | np.ndarray, seed: int) -> np.ndarray:
+        return _mix((self.sums[first + length] - self.sums[first]) * self.inverse[first], seed)
+
+    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(token, hash, first run, last run) of the anchors; the runs that an anchor has are neighbours."""
+        n, wide = len(self.doc), PASSAGE - GRAM + 1
+        if n < PASSAGE:
+            return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        grams = self.runs(np.arange(n - GRAM + 1), GRAM, 2) | _U(1)
+        least = np.lib.stride_tricks.sliding_window_view(grams, wide).min(axis=1)
+        least = np.where(self.doc[: n - PASSAGE + 1] == self.doc[PASSAGE - 1 :], least, _U(0))
+        padded = np.concatenate([np.zeros(wide - 1, np.uint64), least, np.zeros(wide - 1, np.uint64)])
+        around = np.lib.stride_tricks.sliding_window_view(padded, wide)
+        token = np.flatnonzero(around.max(axis=1) == grams)
+        own = around[token] == grams[token, None]
+        return token, grams[token], token - wide + 1 + own.argmax(axis=1), token - own[:, ::-1].argmax(axis=1)
+
+
+def _some_texts(batch: pa.RecordBatch, size: int = 500_000) -> Iterator[tuple[int, list[bytes]]]:
+    """(row of the first, texts) of slices of a batch (doc_id, text, ...)."""
+    texts, first, held = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()], 0, 0
+    for i, t in enumerate(texts):
+        held += len(t)
+        if held > size or i == len(texts) - 1:
+            yield first, texts[first : i + 1]
+            first, held = i + 1, 0
+
+
+def text_anchors(docs: DataFrame) -> DataFrame:
+    """(doc_id, at, anchor, around, start, stop) of docs (doc_id, text): anchors by token, hash of the tokens of all their runs, and those tokens' offsets."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, texts in _some_texts(batch):
+                t = Tokens(texts)
+                token, anchor, lo, hi = t.anchors()
+                around = _mix(t.runs(lo, hi - lo + PASSAGE, 3) + (token - lo).astype(np.uint64) * _U(64) + (hi - lo).astype(np.uint64), 4)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(row + t.doc[token])), pa.array((token - t.begin[t.doc[token]]).astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(around.view(np.int64)),
+                     pa.array(t.start[lo].astype(np.int32)), pa.array(t.stop[hi + PASSAGE - 1].astype(np.int32))], ["doc_id", "at", "anchor", "around", "start", "stop"],
+                )
+
+    bounded_batches(docs.sparkSession)
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
+    return rows.mapInArrow(cut, "doc_id long, at int, anchor long, around long, start int, stop int")
+
+
+def anchored_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, at, anchor, run, start, stop) of docs (doc_id, text, wanted): every run of PASSAGE tokens of the anchors at the wanted tokens."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wanted = batch.column(2).to_pylist()
+            for row, texts in _some_texts(batch):
+                t = Tokens(texts)
+                token, anchor, lo, hi = t.anchors()
+                wants = np.concatenate([t.begin[i] + np.array(wanted[row + i], np.int64) for i in range(len(texts))])
+                use = np.isin(token, wants)
+                anchor, lo, hi = anchor[use], lo[use], hi[use]
+                size = hi - lo + 1
+                run = np.repeat(lo, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(row + t.doc[run])), pa.array((run - t.begin[t.doc[run]]).astype(np.int32)), pa.array(np.repeat(anchor, size).view(np.int64)),
+                     pa.array(t.runs(run, PASSAGE, 5).view(np.int64)), pa.array(t.start[run].astype(np.int32)), pa.array(t.stop[run + PASSAGE - 1].astype(np.int32))],
+                    ["doc_id", "at", "anchor", "run", "start", "stop"],
+                )
+
+    return docs.select("doc_id", "text", "wanted").mapInArrow(cut, "doc_id long, at int, anchor long, run long, start int, stop int")
+
+
+def _firsts(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "at")).alias("first"))
+
+
+def _later(rows: DataFrame, firsts: DataFrame, *keys: str) -> DataFrame:
+    """(doc_id, start, stop, first_doc_id) of the rows whose keys an earlier row has."""
+    joined = rows.join(broadcast_if_small(firsts), [*keys])
+    same = joined["doc_id"].eqNullSafe(F.col("first.doc_id")) & (joined["at"] == F.col("first.at"))
+    return joined.where(~same).select("doc_id", "start", "stop", F.col("first.doc_id").alias("first_doc_id"))
+
+
+def repeated_passages(docs: DataFrame) -> DataFrame:
+    """One row per maximal span of repeated passages: doc_id, start, stop (in characters), first_doc_id (the earliest document that has a part of it)."""
+    docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
+    # Anchors are cut twice, which is cheaper than to keep them all: only those met twice are.
+    met = text_anchors(docs).select("anchor").groupBy("anchor").agg(F.count("*").alias("met")).where("met > 1").select("anchor")
+    anchors = checkpoint(text_anchors(docs).join(broadcast_if_small(checkpoint(met)), "anchor"))
+    groups = checkpoint(_firsts(anchors, "anchor", "around"))
+    kinds = groups.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    whole = _later(anchors, groups.where("n > 1").select("anchor", "around", "first"), "anchor", "around")
+    wanted = groups.join(kinds, "anchor").groupBy(F.col("first.doc_id").alias("_id")).agg(F.collect_set("first.at").alias("wanted"))
+    runs = checkpoint(anchored_runs(docs.join(broadcast_if_small(checkpoint(wanted), 50_000), docs["doc_id"].eqNullSafe(F.col("_id")))))
+    part = _later(runs, checkpoint(_firsts(runs, "anchor", "run").where("n > 1").select("anchor", "run", "first")), "anchor", "run")
+    by = Window.partitionBy("doc_id").orderBy("start", "stop")
+    spans = whole.unionByName(part).groupBy("doc_id", "start", "stop").agg(F.min(F.struct("first_doc_id")).alias("first"))
+    reach = F.max("stop").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    spans = spans.withColumn("_new", F.coalesce((F.col("start") > reach).cast("int"), F.lit(1))).withColumn("_span", F.sum("_new").over(by))
+    return spans.groupBy("doc_id", "_span").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("first")["first_doc_id"].alias("first_doc_id")).drop("_span")
+
+
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(read(spark, sf_dir, "documents"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans(read(spark, sf_dir, "documents"))
 

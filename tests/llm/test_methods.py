@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -13,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from folioframe.llm import byte_bpe, common, exact_dedup, jaccard_join, language_id, lm_scoring, mixing, quality_classifier, quality_rules, url_filters
+from folioframe.llm import byte_bpe, common, exact_dedup, jaccard_join, language_id, lm_scoring, mixing, quality_classifier, quality_rules, substring_dedup, url_filters
 from folioframe.llm.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -264,3 +265,37 @@ def test_pipeline_run(spark):
     mixed = mixing.mixing_stage(spark, docs.where(F.col("doc_id").isin(sorted(near))), SF)
     want = Counter(r.doc_id for r in mixed.collect())
     assert Counter(r.doc_id for r in out.collect()) == want and set(want) <= near
+
+
+def brute_passages(docs: list[tuple[int, str]], passage: int) -> set[tuple[int, int, int]]:
+    """Spans of repeated runs of tokens, by a dictionary of all runs."""
+    seen, spans = set(), set()
+    for doc, text in sorted(docs):
+        tokens = [(m.start(), m.end(), m[0].encode().lower()) for m in re.finditer(r"[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\U00020000-\U0003FFFF]|[^ \t-\r\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\U00020000-\U0003FFFF]+", text)]
+        found: list[list[int]] = []
+        for i in range(len(tokens) - passage + 1):
+            run = tuple(t[2] for t in tokens[i : i + passage])
+            if run in seen:
+                if found and tokens[i][0] <= found[-1][1]:
+                    found[-1][1] = tokens[i + passage - 1][1]
+                else:
+                    found.append([tokens[i][0], tokens[i + passage - 1][1]])
+            seen.add(run)
+        spans |= {(doc, a, b) for a, b in found}
+    return spans
+
+
+def test_passages_repeat_wherever_lines_break(spark):
+    draw = random.Random(9)
+    words = lambda n: [draw.choice("abcdefgh") * draw.randint(1, 9) + str(draw.randint(0, 999)) for _ in range(n)]
+    shared, short, chinese = words(54), words(49), "".join(chr(0x4E00 + draw.randint(0, 3000)) for _ in range(60)) + "\U00020001"
+    docs = [(0, " ".join(words(30) + shared + words(40))), (1, " ".join(words(7)) + "\nÉté " + "\n".join(" ".join(shared[i : i + 3]) for i in range(0, 54, 3)).upper() + "\nend")]
+    docs += [(2, " ".join(words(5) + short + words(5))), (3, " ".join(words(9) + short)), (4, "x" + chinese + "y"), (5, "Ж。" + chinese), (6, "tail " * 120), (7, ""), (8, " ".join(shared[2:52]))]
+    pool = [" ".join(words(draw.randint(10, 70))) for _ in range(12)]
+    docs += [(i, "\n".join(draw.choice(pool) for _ in range(draw.randint(1, 6)))) for i in range(9, 60)]
+    got = substring_dedup.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    want = brute_passages(docs, 50)
+    assert {(r.doc_id, r.start, r.stop) for r in got} == want and len(got) == len(want)
+    assert {1, 5, 6, 8} <= {d for d, _, _ in want} and not {2, 3} & {d for d, _, _ in want}
+    by_line = {r.doc_id for r in substring_dedup.repeated_spans(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert not {1, 5} & by_line
