@@ -187,14 +187,13 @@ def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
 
 
 class Nodes:
-    """The nodes of one depth: sorted keys (context, decision prefix), the chance of a one, and the weight of stopping here."""
+    """The nodes of one depth: sorted keys (context, decision prefix), counts, and the weight of stopping here."""
 
     def __init__(self, keys: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray | None):
         own = log_kt(zeros, ones)
         self.keys, self.zeros, self.ones = keys, zeros, ones
         self.weighted = own if below is None else np.logaddexp(own, below) - np.log(2)
         self.stop = np.ones(len(keys)) if below is None else np.exp(own - np.log(2) - self.weighted)
-        self.one = (ones + 0.5) / (zeros + ones + 1)
 
     @classmethod
     def count(cls, strings: np.ndarray, n: np.ndarray, deeper: Nodes | None) -> Nodes:
@@ -213,8 +212,8 @@ class Nodes:
         """Keys of the nodes one byte shorter: the oldest byte of the context goes."""
         return self.keys >> _U(16) << _U(8) | self.keys & _U(255)
 
-    def table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return self.keys, self.one, self.stop
+    def table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        return self.keys, self.zeros, self.ones, self.stop
 
 
 def subtrees(keys: np.ndarray, n: np.ndarray) -> list[Nodes]:
@@ -227,22 +226,25 @@ def subtrees(keys: np.ndarray, n: np.ndarray) -> list[Nodes]:
     return found
 
 
-def log10_probability(keys: np.ndarray, tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Log10 probability of each key's last byte in its context; tables by depth, deepest first, down to 0."""
+def log10_probability(keys: np.ndarray, tables: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Log10 probability of each key's last byte in its context; tables by depth, deepest first, down to 0.
+
+    The chance of the bit that comes is mixed, never one minus another's, so that none rounds to 0.
+    """
     context, byte = keys >> _U(8), keys & _U(255)
     total = np.zeros(len(keys))
     for k in range(8):
         prefix, bit = _U(1 << k) | byte >> _U(8 - k), byte >> _U(7 - k) & _U(1)
-        one = np.full(len(keys), np.nan)
-        for back, (node, chance, stop) in enumerate(tables):
+        chance = np.full(len(keys), np.nan)
+        for back, (node, zeros, ones, stop) in enumerate(tables):
             if not len(node):
                 continue
             want = context >> _U(8 * back) << _U(8) | prefix
             at = np.minimum(np.searchsorted(node, want), len(node) - 1)
-            mixed = np.where(np.isnan(one), chance[at], stop[at] * chance[at] + (1 - stop[at]) * one)
-            one = np.where(node[at] == want, mixed, one)
-        one = np.where(np.isnan(one), 0.5, one)
-        total += np.log10(np.where(bit == 1, one, 1 - one))
+            own = (np.where(bit == 1, ones[at], zeros[at]) + 0.5) / (zeros[at] + ones[at] + 1)
+            mixed = np.where(np.isnan(chance), own, stop[at] * own + (1 - stop[at]) * chance)
+            chance = np.where(node[at] == want, mixed, chance)
+        total += np.log10(np.where(np.isnan(chance), 0.5, chance))
     return total
 
 
@@ -261,12 +263,10 @@ def build_model(counted: DataFrame, salts: int) -> DataFrame:
         keys, n = _merge(*_arrays(table))
         keys, n = keys[n > 0], n[n > 0]
         up = (np.empty(0, np.int64), *[np.empty(0)] * 3)
-        if table["kind"][0].as_py() == _WORDS:
-            blob = pickle.dumps((_pack(keys, steps=True), _pack(n)))
-        else:
-            levels = subtrees(keys, n)
-            blob = pickle.dumps([(_pack(k, steps=True), _pack(one.astype(np.float32)), _pack(stop.astype(np.float32))) for k, one, stop in (x.table() for x in levels)])
-            last = levels[-1]
+        # The counts are the model; where answers are given, the nodes are made from them again.
+        blob = pickle.dumps((_pack(keys, steps=True), _pack(n)))
+        if table["kind"][0].as_py() == _STRINGS:
+            last = subtrees(keys, n)[-1]
             parent, at = np.unique(last.parents(), return_inverse=True)
             up = (parent.astype(np.int64), *(np.bincount(at, weights=v, minlength=len(parent)) for v in (last.zeros, last.ones, last.weighted)))
         return pa.table({
@@ -280,7 +280,7 @@ def build_model(counted: DataFrame, salts: int) -> DataFrame:
     return rows.groupBy("kind", "bucket").applyInArrow(build, "kind int, bucket long, blob binary, total long, kinds long, up array<struct<node: long, zeros: double, ones: double, below: double>>")
 
 
-def top_tables(model: DataFrame) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def top_tables(model: DataFrame) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Tables of depth 1 and 0, from the sums that the buckets pass up: one row per first context byte and prefix."""
     up = model.select(F.explode("up").alias("u")).groupBy("u.node").agg(*[F.sum(f"u.{c}").alias(c) for c in ("zeros", "ones", "below")]).orderBy("node").toArrow()
     one = Nodes(*(up[c].to_numpy() for c in ("node", "zeros", "ones", "below"))) if up.num_rows else Nodes(np.empty(0, np.int64), *[np.empty(0)] * 3)
@@ -299,13 +299,12 @@ def answer_blocks(counted: DataFrame, model: DataFrame, top, salts: int) -> Data
         keys = [_unpack(k, np.uint64, steps=True) for k in asked["keys"].to_pylist()]
         want = np.unique(np.concatenate(keys))
         blob = pickle.loads(part["blob"][0].as_py())
+        known, n = _unpack(blob[0], np.uint64, steps=True), _unpack(blob[1], np.int64)
         if asked["kind"][0].as_py() == _WORDS:
-            known, n = _unpack(blob[0], np.uint64, steps=True), _unpack(blob[1], np.int64)
             at = np.minimum(np.searchsorted(known, want), max(len(known) - 1, 0))
             values = np.where(known[at] == want, n[at], 0).astype(np.float64) if len(known) else np.zeros(len(want))
         else:
-            tables = [(_unpack(k, np.uint64, steps=True), _unpack(one, np.float32).astype(np.float64), _unpack(stop, np.float32).astype(np.float64)) for k, one, stop in blob]
-            values = log10_probability(want, tables + top.value)
+            values = log10_probability(want, [x.table() for x in subtrees(known, n)] + top.value)
         if asked["kind"][0].as_py() == _STRINGS:
             values = values.astype(np.float32)
         out = [_pack(values[np.searchsorted(want, k)]) for k in keys]

@@ -183,6 +183,18 @@ def test_scores_look_six_bytes_back(spark):
     assert abs(brute_ctw(train, b"a-----y", 6) - brute_ctw(train, b"a-----y", 5)) > 0.1
 
 
+def test_no_bit_has_probability_zero():
+    # A billion ones and no zero in the deepest node, and a stop weight of one above.
+    for n in (1e9, 1e12):
+        deep, top = [lm_scoring.Nodes(np.array([k], np.uint64), np.zeros(1), np.full(1, n), None).table() for k in (ord("a") << 8 | 1, 1)]
+        got = lm_scoring.log10_probability(np.array([ord("a") << 8, ord("a") << 8 | 255], np.uint64), [deep, top])
+        assert got == pytest.approx([math.log10(0.5 / (n + 1)) + 7 * math.log10(0.5), 7 * math.log10(0.5)], rel=1e-9)
+    # In the model as it is stored: 2e8 times 'a' then 'x', whose first bit is 0, and the unseen end, whose first bit is 1.
+    keys = np.array([int.from_bytes(b"a" * lm_scoring.DEPTH + b"x", "big")], np.uint64)
+    unseen = np.array([int.from_bytes(b"a" * lm_scoring.DEPTH + c, "big") for c in (b"\xff", b"y")], np.uint64)
+    assert np.isfinite(lm_scoring.log10_probability(unseen, [x.table() for x in lm_scoring.subtrees(keys, np.array([200_000_000]))])).all()
+
+
 def test_base_scores(spark):
     rows = {r.doc_id: r for r in QUERIES["op4_lm_scoring"](spark, SF).collect()}
     tokens = {r.doc_id: [*(r.text or "").encode().lower().split(), None] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
