@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,17 +37,19 @@ def range_agg(cells: DataFrame, ranges: DataFrame, cap: int | None = RANGE_CAP)
     return j.select("target", "fn", F.when(empty, 0.0).otherwise(value).alias("result"), F.when(value.isNull() & ~empty, "#NAME?").alias("error"))
 
 
-def recalc(cells: DataFrame, formulas: DataFrame, max_iter: int = 20, cap: int | None = RANGE_CAP) -> DataFrame:
+def recalc(cells: DataFrame, formulas: DataFrame, max_iter: int | None = None, cap: int | None = RANGE_CAP) -> DataFrame:
     """cells after formulas (sheet_id, row, col, fn, r1, c1, r2, c2), range aggregates over other cells, have settled.
 
-    Every pass evaluates all formulas on the last values; it ends when none changed, or after max_iter passes (cycles).
+    Every pass evaluates all formulas on the last values; it ends when none changed. Without cycles that takes a pass a
+    level, so at most as many as there are formulas; values that still change after those, or after max_iter, are
+    returned with a warning.
     An error doesn't replace a value. Lineage is cut each pass; only whether anything changed reaches the driver.
     """
     keys = ["sheet_id", "row", "col"]
     f = formulas.withColumn("target", F.concat_ws("|", *keys))
     plain = cells.select(*keys, "value")
     state = plain
-    for _ in range(max_iter):
+    for _ in range(f.count() + 1 if max_iter is None else max_iter):
         found = range_agg(state, f.select("target", "fn", "sheet_id", "r1", "c1", "r2", "c2"), cap)
         text = sheet_result(F.struct(F.col("result").alias("number"), F.col("error").alias("error")))
         new = f.select(*keys, "target").join(found, "target").select(*keys, text.alias("new"))
@@ -55,6 +59,8 @@ def recalc(cells: DataFrame, formulas: DataFrame, max_iter: int = 20, cap: int |
         state = merged.select(*keys, F.col("after").alias("value"))
         if merged.where(~F.col("after").eqNullSafe(F.col("value"))).isEmpty():
             break
+    else:
+        warnings.warn("recalc: formulas still change; the values are those of the last pass", stacklevel=2)
     return state
 
 

@@ -200,3 +200,12 @@ def test_damaged_archive_is_a_warning(spark, tmp_path):
     parts = A.ingest_ooxml(spark, str(tmp_path))
     assert [(c.row, c.col, c.value) for c in parts["cells"].collect()] == [(1, 1, "v")] and [m.ref for m in parts["merges"].collect()] == ["B2:C3"]
     assert parts["warnings"].count() == 1
+
+
+def test_recalc_settles_a_long_chain(spark):
+    cells = spark.createDataFrame([("s", 0, 0, "1")], "sheet_id string, row int, col int, value string")
+    chain = [("s", r, 0, "SUM", r - 1, 0, r - 1, 0) for r in range(1, 22)]
+    formulas = spark.createDataFrame(chain, "sheet_id string, row int, col int, fn string, r1 int, c1 int, r2 int, c2 int")
+    assert {r.row: float(r.value) for r in K.recalc(cells, formulas).collect()} == {r: 1.0 for r in range(22)}
+    with pytest.warns(UserWarning, match="still change"):
+        K.recalc(cells, formulas, max_iter=3)
