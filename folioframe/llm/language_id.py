@@ -5,8 +5,8 @@ the language that its markup declares, the address suffix, and a prior of its ho
 towards its suffix's, and that towards the prior of all pages; all three, and how often a declaration is right, are
 sums of text posteriors by grouped aggregation, with the page's own vote left out.
 
-Trigram likelihoods are learnt from a bounded sample of labelled documents (SAMPLE of them, by a hash of doc_id);
-every page is scored over its whole text. Only sums per host are joined back; a host of a third of all pages is one
+Trigram likelihoods are learnt from a bounded sample of labelled documents (SAMPLE of them, by a hash of doc_id, and at
+least LEAST of every language that has as many); there are as many languages as labels. Every page is scored over its whole text. Only sums per host are joined back; a host of a third of all pages is one
 row, summed in each task first, and broadcast only with the rest if they are few.
 
 Defined results: a page without text, and a null html, rests on the other evidence; a null url has an empty host and
@@ -25,13 +25,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.llm.common import bounded_batches, broadcast_if_small, checkpoint, read
+from folioframe.llm.common import bounded_batches, broadcast_if_small, checkpoint, let, read
 from folioframe.llm.url_filters import host_and_path
 
 #: Labelled documents that likelihoods are learnt from, about; a documented bound, not a limit on what is scored.
 SAMPLE = 20_000
-#: Languages told apart at most: those with the most labelled documents.
-LANGUAGES = 200
+LEAST = 20
 BUCKETS = 1 << 14
 #: Trigrams of one text are far from independent: their log likelihood counts as that of so many at most.
 TEXT_WEIGHT = 40.0
@@ -57,23 +56,24 @@ def trigram_buckets(text: str) -> np.ndarray:
 def learn_trigrams(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """(languages, log probabilities [language, bucket]) from documents (doc_id, text, lang)."""
     rows = labelled.where("lang is not null and text is not null").select("doc_id", "text", "lang")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    languages = sorted(r["lang"] for r in counts)
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    languages, total = sorted(counts), sum(counts.values())
+    number = {x: i for i, x in enumerate(languages)}
     if not languages:
         return [], np.empty((0, BUCKETS))
-    total = sum(r["count"] for r in counts)
-    step = max(1, -(-total // sample))
-    some = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0).where(F.col("lang").isin(languages)) if step > 1 else rows.where(F.col("lang").isin(languages))
+    # Of a language one document in so many, by a hash; of a rare one more than its share.
+    steps = {x: max(1, min(-(-total // sample), n // LEAST)) for x, n in counts.items()}
+    if max(steps.values()) > 1:
+        step = F.create_map(*[F.lit(v) for x in languages for v in (x, steps[x])])[F.col("lang")]
+        rows = rows.where(F.pmod(F.xxhash64("doc_id"), step) == 0)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((len(languages), BUCKETS), np.int64)
         for batch in batches:
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                table[languages.index(lang)] += np.bincount(trigram_buckets(text), minlength=BUCKETS)
-        at, bucket = np.nonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(bucket), pa.array(table[at, bucket])], ["lang", "bucket", "n"])
+            keys = [number[lang] * BUCKETS + trigram_buckets(text) for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            at, n = np.unique(np.concatenate(keys or [np.empty(0, np.int64)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(at // BUCKETS), pa.array(at % BUCKETS), pa.array(n)], ["lang", "bucket", "n"])
 
-    seen = some.select("text", "lang").mapInArrow(count, "lang long, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    seen = rows.select("text", "lang").mapInArrow(count, "lang long, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     table = np.full((len(languages), BUCKETS), 0.5)
     table[seen["lang"].to_numpy(), seen["bucket"].to_numpy()] += seen["n"].to_numpy()
     return languages, np.log(table / table.sum(axis=1, keepdims=True))
@@ -103,8 +103,12 @@ def text_votes(pages: DataFrame, logs: np.ndarray) -> DataFrame:
 
 
 def _softmax(scores: Column) -> Column:
-    e = F.transform(scores, lambda x: F.exp(x - F.array_max(scores)))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda s, y: s + y))
+    shares = lambda e: let(_total(e), lambda t: F.transform(e, lambda x: x / t))
+    return let(scores, lambda s: let(F.array_max(s), lambda top: let(F.transform(s, lambda x: F.exp(x - top)), shares)))
+
+
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
 
 
 def _sums(rows: DataFrame, by: list[str], n: int, name: str) -> DataFrame:
@@ -137,8 +141,7 @@ def fuse_evidence(voted: DataFrame, languages: list[str], strength: float = STRE
     def smooth(sums: str, parent: Column) -> Column:
         """The group's sums without this page's, and `strength` pages of the parent's prior."""
         rest = _zip(F.col(sums), F.col("own"), lambda x, y: F.greatest(x - y, F.lit(0.0)))
-        mass = F.aggregate(rest, F.lit(0.0), lambda s, x: s + x)
-        return _zip(rest, parent, lambda x, p: (x + strength * p) / (mass + strength))
+        return let(rest, lambda r: let(_total(r), lambda mass: _zip(r, parent, lambda x, p: (x + strength * p) / (mass + strength))))
 
     joined = joined.withColumn("suffix_prior", smooth("suffix_sum", prior)).withColumn("host_prior", smooth("host_sum", F.col("suffix_prior")))
     # How likely this declaration is in a page of each language: counted over the others, and a prior that it is right.
