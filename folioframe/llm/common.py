@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +23,7 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         configured = context.getConf().get("spark.checkpoint.dir")
-        if configured is None and not context.master.startswith("local"):
+        if configured is None and not re.fullmatch(r"local(\[.*\])?", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return context.getCheckpointDir()
@@ -33,6 +35,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df as a table written to the shared folder: cuts lineage like a checkpoint, and readers take only the columns that they use."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 #: Narrow rows to a partition, where a checkpointed frame is made compact.
 COMPACT_ROWS = 100_000
 
@@ -43,8 +52,12 @@ def compact(df: DataFrame) -> DataFrame:
     return done.coalesce(max(1, -(-done.count() // COMPACT_ROWS)))
 
 
-def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Keep Arrow batches short, so that a batch of very long texts still fits a Python worker."""
+def bounded_batches(spark: SparkSession, rows: int = 512, size: str = "16m") -> None:
+    """Keep Arrow batches short, in rows and in bytes, so that a batch of very long texts still fits a Python worker.
+
+    The session keeps the setting, as Spark reads it when the plan that a caller gets is run.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
         spark.conf.set(key, str(rows))

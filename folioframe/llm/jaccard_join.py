@@ -3,8 +3,8 @@
 Two sets of similarity t or more share a token among the first n - ceil(t n) + 1 tokens of each, under any order
 that both follow. Here several orders are used: in each, tokens that are known to be frequent come last, by
 classes of their counts, and a different hash orders the tokens of a class. Candidates meet in a bucket of a
-prefix token under the first order; a pair is compared in full only if the prefixes under every other order meet
-too. The orders affect the work only, never the result.
+prefix token under the first order; the prefixes under all orders must then share as many tokens as the sizes ask for,
+before a text is fetched and compared in full. The orders affect the work only, never the result.
 
 What keeps this in bounds:
 * equal sets are one node; their documents are joined to it at the end;
@@ -15,8 +15,8 @@ What keeps this in bounds:
 * buckets with the same members are one bucket;
 * links are sought in rounds: everyone in a bucket is compared with one member, components are formed, and members
   of different components go on, each round with another member. What is left after the rounds is compared pair by
-  pair, but never within a component. So a bucket of copies costs its size, not its square, and no link is lost;
-* a pair's prefixes must share as many tokens as its sizes ask for, before its texts are fetched and compared.
+  pair, but never within a component; buckets that are still large are first cut by the prefix tokens of the other
+  orders, which a similar pair shares too. So a bucket of copies costs its size, not its square, and no link is lost.
 
 Defined results: a null or empty text has an empty set and is linked with nothing; a null doc_id takes part and
 counts as none in the smallest doc_id; repeated rows share a set; extra columns are ignored; an empty table gives an
@@ -30,20 +30,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.llm.common import bounded_batches, broadcast_if_small, checkpoint, compact, connected_components, read
+from folioframe.llm.common import bounded_batches, broadcast_if_small, checkpoint, compact, connected_components, read, stored
 
 SHINGLE_WORDS = 5
 PERCENT = 80
-#: Token orders; the first one makes candidates, the others filter them.
+#: Token orders; the first one makes candidates, all filter them.
 ORDERS = 3
 #: Tokens of this count or more are sorted by class of count; at most so many are broadcast, the most frequent.
 FREQUENT_COUNT = 8
 FREQUENT_LIMIT = 2_000_000
 #: Rounds of one against all in each bucket, before what is left is compared pair by pair.
 STAR_ROUNDS = 2
+#: Members of a bucket beyond which it is cut by the other orders before that.
+PAIRED = 64
 
 _U = np.uint64
 
@@ -201,26 +203,31 @@ def frequent_tokens(docs: DataFrame, words: int, least: int = FREQUENT_COUNT, li
 
 
 def _sets(docs: DataFrame, order, words: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, set_id, and for the first row of a set in each task its prefix under the first order."""
+    """doc_id, n_shingles, set_id, and for the first row of a set in each task its prefix under the first order and under the others."""
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, seen, tokens = Shingler(words), set(), TokenOrder(*order.value)
         for batch in batches:
-            sizes, ids, prefixes = [], [], []
+            sizes, ids, prefixes, others = [], [], [], []
             for s in shingler(_binary(batch.column(1))):
                 own = set_id(s) if len(s) else None
                 sizes.append(len(s))
                 ids.append(own)
-                prefixes.append(None if own is None or own in seen else tokens.prefix(s, 0, percent).view(np.int64))
+                known = own is None or own in seen
+                prefixes.append(None if known else tokens.prefix(s, 0, percent).view(np.int64))
+                others.append(None if known else [tokens.prefix(s, k, percent).view(np.int64) for k in range(1, ORDERS)])
                 if len(seen) > 1_000_000:
                     seen.clear()
                 seen.add(own)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "set_id", "prefix"],
-            )
+                [
+                    batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())),
+                    pa.array(others, pa.list_(pa.list_(pa.int64()))),
+                ],
+                ["doc_id", "n_shingles", "set_id", "prefix", "others"],
+            )
 
-    return docs.mapInArrow(shingle, "doc_id long, n_shingles long, set_id long, prefix array<long>")
+    return docs.mapInArrow(shingle, "doc_id long, n_shingles long, set_id long, prefix array<long>, others array<array<long>>")
 
 
 def _buckets(sets: DataFrame) -> DataFrame:
@@ -243,14 +250,35 @@ def _ids(pairs: DataFrame) -> DataFrame:
 
 
 def _overlapping(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose prefixes share enough: beyond the prefix that ends first, no more can be shared than it leaves."""
+    """The pairs (a, b) whose prefixes share enough under every order: beyond the prefix that ends first, no more can be shared than it leaves."""
     own = sets.where("prefix is not null").join(_ids(pairs), "set_id", "left_semi").dropDuplicates(["set_id"])
-    left = own.select(F.col("set_id").alias("a"), F.col("n_shingles").alias("na"), F.col("prefix").alias("pa"))
-    right = own.select(F.col("set_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("prefix").alias("pb"))
+    every = F.concat(F.array("prefix"), "others")
+    left = own.select(F.col("set_id").alias("a"), F.col("n_shingles").alias("na"), every.alias("pa"))
+    right = own.select(F.col("set_id").alias("b"), F.col("n_shingles").alias("nb"), every.alias("pb"))
     both = pairs.join(left, "a").join(right, "b")
     need = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))
-    left_over = F.when(F.element_at("pa", -1) <= F.element_at("pb", -1), F.col("na") - F.size("pa")).otherwise(F.col("nb") - F.size("pb"))
-    return both.where(F.size(F.array_intersect("pa", "pb")) + left_over >= need).select("a", "b")
+
+    def enough(p: Column, q: Column) -> Column:
+        left_over = F.when(F.element_at(p, -1) <= F.element_at(q, -1), F.col("na") - F.size(p)).otherwise(F.col("nb") - F.size(q))
+        return F.size(F.array_intersect(p, q)) + left_over >= need
+
+    for k in range(ORDERS):
+        both = both.where(enough(F.get("pa", F.lit(k)), F.get("pb", F.lit(k))))
+    return both.select("a", "b")
+
+
+def _narrowed(left: DataFrame, sets: DataFrame, order: int) -> DataFrame:
+    """left (bucket, s) with large buckets cut by the prefix tokens of another order; those with one component alone go."""
+    sizes = compact(left.groupBy("bucket").agg(F.count("*").alias("size")).where(F.col("size") > PAIRED).select("bucket"))
+    if sizes.isEmpty():
+        return left
+    hot = broadcast_if_small(sizes)
+    many = left.join(hot, "bucket", "left_semi").withColumn("set_id", F.col("s.set_id"))
+    own = sets.where("prefix is not null").select("set_id", F.get("others", F.lit(order - 1)).alias("tokens"))
+    own = own.join(broadcast_if_small(compact(many.select("set_id").distinct())), "set_id", "left_semi").dropDuplicates(["set_id"])
+    cut = many.join(own, "set_id").select("bucket", "s", F.explode("tokens").alias("token")).select(F.xxhash64("bucket", "token").alias("bucket"), "s")
+    mixed = cut.groupBy("bucket").agg(F.min("s.root").alias("low"), F.max("s.root").alias("high")).where("low < high").select("bucket")
+    return compact(left.join(hot, "bucket", "left_anti").unionByName(cut.join(mixed, "bucket", "left_semi")))
 
 
 def _texts(docs: DataFrame, sets: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
@@ -270,27 +298,20 @@ def _texts(docs: DataFrame, sets: DataFrame, pairs: DataFrame, words: int) -> Da
     return named.join(wanted, "set_id", "left_semi").dropDuplicates(["set_id"])
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, order, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that are similar: prefixes under the other orders must meet before the sets are compared."""
+def _verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that are similar, by their whole sets."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, tokens = Shingler(words), TokenOrder(*order.value)
-
-        def prefixes(s: np.ndarray) -> list[np.ndarray]:
-            return [tokens.prefix(s, k, percent) for k in range(1, ORDERS)]
-
+        shingler = Shingler(words)
         for batch in batches:
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             # A hub's text is often beside several partners' here.
             text = dict(zip(a, _binary(batch.column(2)), strict=True)) | dict(zip(b, _binary(batch.column(3)), strict=True))
-            sets = {k: (s, prefixes(s)) for k, s in zip(text, shingler(list(text.values())), strict=True)}
+            sets = dict(zip(text, shingler(list(text.values())), strict=True))
             linked = []
             for x, y in zip(a, b, strict=True):
-                (s, p), (t, q) = sets[x], sets[y]
-                # The first token that a similar pair shares lies so early in both, in any order.
-                need = pair_overlap(len(s), len(t), percent)
-                met = all(len(np.intersect1d(i[: len(s) - need + 1], j[: len(t) - need + 1])) for i, j in zip(p, q, strict=True))
-                common = len(np.intersect1d(s, t, assume_unique=True)) if met else 0
+                s, t = sets[x], sets[y]
+                common = len(np.intersect1d(s, t, assume_unique=True))
                 if common and 100 * common >= percent * (len(s) + len(t) - common):
                     linked.append((x, y))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in linked], pa.int64()) for i in (0, 1)], ["a", "b"])
@@ -300,7 +321,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, order, words: int, percent: int)
     return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long")
 
 
-def set_components(docs: DataFrame, sets: DataFrame, order, words: int, percent: int) -> DataFrame:
+def set_components(docs: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
     """(set_id, root) of every set that is linked with another."""
     buckets = _buckets(sets)
     links = docs.sparkSession.createDataFrame([], "a long, b long")
@@ -316,6 +337,8 @@ def set_components(docs: DataFrame, sets: DataFrame, order, words: int, percent:
             met = now.join(mixed, "bucket")
         else:
             left = now.join(mixed.select("bucket"), "bucket", "left_semi")
+            for order in range(1, ORDERS):
+                left = _narrowed(left, sets, order)
             met = left.join(left.select("bucket", F.col("s").alias("t")), "bucket").where("s.set_id < t.set_id")
         need = F.ceil(percent * (F.col("s.n") + F.col("t.n")) / (100 + percent))
         early = (F.col("s.pos") <= F.col("s.n") - need) & (F.col("t.pos") <= F.col("t.n") - need)
@@ -332,7 +355,7 @@ def set_components(docs: DataFrame, sets: DataFrame, order, words: int, percent:
             continue
         tested = tested.unionByName(pairs)
         near = compact(_overlapping(pairs, sets, percent))
-        links = compact(links.unionByName(_verify(near, _texts(docs, sets, near, words), order, words, percent)))
+        links = compact(links.unionByName(_verify(near, _texts(docs, sets, near, words), words, percent)))
         count = links.count()
         if count > before:
             roots = compact(connected_components(links).withColumnsRenamed({"node": "set_id", "component": "root"}))
@@ -346,8 +369,8 @@ def near_duplicate_components(docs: DataFrame, words: int = SHINGLE_WORDS, perce
     bounded_batches(spark)
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
     order = spark.sparkContext.broadcast(frequent_tokens(docs, words))
-    sets = checkpoint(_sets(docs, order, words, percent)).withColumn("row", F.monotonically_increasing_id())
-    roots = set_components(docs, sets, order, words, percent)
+    sets = stored(_sets(docs, order, words, percent).withColumn("row", F.monotonically_increasing_id()))
+    roots = set_components(docs, sets, words, percent)
     linked = sets.select("set_id", "doc_id").join(roots, "set_id", "left").where("set_id is not null")
     firsts = linked.groupBy("set_id").agg(F.min("doc_id").alias("first"), F.first("root").alias("root"))
     lone = firsts.where("root is null").select(F.col("set_id").alias("own"), F.col("first").alias("component"))
