@@ -1,12 +1,12 @@
 """Quality rules, line first.
 
-Rules for punctuation, navigation and boilerplate judge each line; failing lines go, and a document that
+Rules for punctuation, navigation and boilerplate judge each line; failing lines are removed, and a document that
 loses too much of its text this way is rejected. Everything is one projection over the documents: built-in
 expressions only, no shuffle, no Python. A document never leaves its row, so hot sources or groups of copies
 change nothing.
 
 Defined results: a null or empty text has no words and fails; repeated rows are judged alike; extra columns
-pass through; an empty table gives an empty table. Words repeat by a 64-bit hash of their three-word window.
+pass through; an empty table gives an empty table. Counts of repeated words are exact at every length.
 """
 
 from __future__ import annotations
@@ -20,18 +20,26 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: Least share of a document's word characters that must survive the line rules.
 MIN_KEPT_SHARE = 0.5
-#: Lines that licences, cookie notices and page frames consist of.
+#: Words of a line from which on it must end like a sentence.
+SENTENCE_WORDS = 5
+#: Phrases of licences, cookie notices and page frames, in English, French, German and Spanish.
 BOILERPLATE = (
     r"(?i)\b(all rights reserved|licen[sc]ed under|released under the|cookie policy|privacy policy|terms of (use|service)"
-    r"|powered by|sign up for|subscribe to|click here|javascript is (disabled|required))\b|^\s*(copyright|©)"
+    r"|powered by|sign up for|subscribe to|click here|javascript is (disabled|required)"
+    r"|tous droits r[éÉ]serv[éÉ]s|politique de confidentialit[éÉ]|mentions l[éÉ]gales|conditions d'utilisation|abonnez-vous|cliquez ici"
+    r"|alle rechte vorbehalten|datenschutzerkl[äÄ]rung|nutzungsbedingungen|hier klicken|newsletter abonnieren"
+    r"|todos los derechos reservados|pol[íÍ]tica de (privacidad|cookies)|t[éÉ]rminos de uso|suscr[íÍ]bete a|haga clic aqu[íÍ])|^\s*(copyright|©)"
 )
 NAVIGATION = r"(\s[|»›>•·]\s.*){3,}"
+#: How a sentence ends: a mark, and whatever quotes and brackets it is in.
+SENTENCE_END = r"[.!?…。！？:;][\"'”’»)\]]*\s*\z"
 
 _SYMBOLS = "#*$%&|<>"
 
 
 def _line_fails(line: Column) -> Column:
-    """Punctuation: symbols on a third of the words, more exclamation marks than words, or shouting. Navigation: a chain of separators.
+    """Punctuation: symbols on a third of the words, more exclamation marks than words, shouting, or a long line without a sentence's end.
+    Navigation: a chain of separators. Boilerplate: its phrases.
 
     Cheap tests come first: the words of a line are counted only if its marks are suspicious.
     """
@@ -39,33 +47,31 @@ def _line_fails(line: Column) -> Column:
     symbols = F.length(line) - F.length(F.translate(line, _SYMBOLS, ""))
     marks = F.length(line) - F.length(F.replace(line, F.lit("!"), F.lit("")))
     shouting = (line == F.upper(line)) & (line != F.lower(line)) & (words >= 4)
-    return ((symbols >= 3) & (3 * symbols > words)) | ((marks >= 1) & (marks > words)) | shouting | line.rlike(NAVIGATION) | line.rlike(BOILERPLATE)
+    endless = ~line.rlike(SENTENCE_END) & (words >= SENTENCE_WORDS)
+    return ((symbols >= 3) & (3 * symbols > words)) | ((marks >= 1) & (marks > words)) | shouting | endless | line.rlike(NAVIGATION) | line.rlike(BOILERPLATE)
 
 
 def _lines_with_words(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda x: F.translate(x, " \t\n\x0b\f\r", "") != "")
 
 
+#: Bits of a window's place beside its hash in one long.
+PLACE_BITS = 20
+
+
 def _repeated_words(w: Column) -> Column:
     """Of the words w, an expression that is bound: words that lie in a three-word window found at least twice.
 
-    Window hash and position share one long, so a primitive sort puts equal windows side by side; the sorted
-    positions of repeated windows then tell how many words they cover, overlaps once. Texts of over 65,536
-    words sort (hash, position) pairs instead.
+    Equal windows are put side by side by a sort; the sorted places of repeated windows then tell how many words they
+    cover, overlaps once. Hash and place share one long, so that the sort is a primitive one; if two neighbours of
+    equal hashes differ in their words, or there are too many places for the long, the windows are sorted by their
+    words instead. Both ways are exact.
     """
+    same = lambda i, j: (F.get(w, i) == F.get(w, j)) & (F.get(w, i + 1) == F.get(w, j + 1)) & (F.get(w, i + 2) == F.get(w, j + 2))
+    starts = F.sequence(F.lit(0), F.size(w) - 3)
 
-    def covered(sorted_pairs: Column, key, place) -> Column:
-        n = F.size(sorted_pairs)
-        hit = F.filter(
-            F.transform(
-                sorted_pairs,
-                lambda x, i: F.when(
-                    ((i > 0) & (key(F.get(sorted_pairs, i - 1)) == key(x))) | ((i < n - 1) & (key(F.get(sorted_pairs, i + 1)) == key(x))),
-                    place(x),
-                ),
-            ),
-            lambda x: x.isNotNull(),
-        )
+    def covered(s: Column, alike, place) -> Column:
+        hit = F.filter(F.transform(s, lambda x, i: F.when(alike(F.get(s, i - 1), x) | alike(x, F.get(s, i + 1)), place(x))), lambda x: x.isNotNull())
         return let(
             F.sort_array(hit),
             lambda p: F.aggregate(
@@ -75,17 +81,22 @@ def _repeated_words(w: Column) -> Column:
             ),
         )
 
-    def packed(w: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.size(w) - 3)
-        keys = F.transform(starts, lambda i: F.shiftleft(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)), 16).bitwiseOR(i.cast("long")))
-        return let(F.sort_array(keys), lambda s: covered(s, lambda x: F.shiftright(x, 16), lambda x: x.bitwiseAND(F.lit(0xFFFF)).cast("int")))
+    place = lambda x: x.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
+    hashed = lambda x: F.shiftright(x, PLACE_BITS)
+    no = F.lit(False)
+    met = lambda x, y: F.coalesce(hashed(x) == hashed(y), no)
+
+    def packed(s: Column) -> Column:
+        clash = F.exists(F.filter(F.transform(s, lambda x, i: F.when(met(F.get(s, i - 1), x), ~same(place(F.get(s, i - 1)), place(x)))), lambda x: x.isNotNull()), lambda x: x)
+        return F.when(clash, spelt()).otherwise(covered(s, met, place))
 
-    def paired(w: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.size(w) - 3)
-        keys = F.transform(starts, lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i")))
-        return let(F.sort_array(keys), lambda s: covered(s, lambda x: x["h"], lambda x: x["i"]))
+    def spelt() -> Column:
+        windows = F.transform(starts, lambda i: F.struct(F.get(w, i).alias("a"), F.get(w, i + 1).alias("b"), F.get(w, i + 2).alias("c"), i.alias("i")))
+        alike = lambda x, y: F.coalesce((x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"]), no)
+        return let(F.sort_array(windows), lambda s: covered(s, alike, lambda x: x["i"]))
 
-    return F.when(F.size(w) < 4, F.lit(0).cast("long")).when(F.size(w) <= 65_536, packed(w)).otherwise(paired(w))
+    keys = F.transform(starts, lambda i: F.shiftleft(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)), PLACE_BITS).bitwiseOR(i.cast("long")))
+    return F.when(F.size(w) < 4, F.lit(0).cast("long")).when(F.size(w) <= 1 << PLACE_BITS, let(F.sort_array(keys), packed)).otherwise(spelt())
 
 
 def quality(text: Column, min_words: int = MIN_WORDS, min_kept_share: float = MIN_KEPT_SHARE) -> Column:
@@ -130,19 +141,28 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def clean_documents(docs: DataFrame) -> DataFrame:
+    """Documents that pass, without their failing lines; n_chars, if there is such a column, counts what is left."""
+    kept = docs.where(quality(docs["text"])["kept"])
+    text = clean_lines(kept["text"])
+    return kept.select(*[text.alias(c) if c == "text" else F.length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else kept[c] for c in docs.columns])
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go; the rest pass unchanged."""
-    return docs.where(quality(docs["text"])["kept"])
+    """Rejected documents go; the rest lose their failing lines."""
+    return clean_documents(docs)
 
 
-_LINE_FAILS_SQL = r"""
-  (3 * (length(x) - length(translate(x, '#*$%&|<>', ''))) > len(regexp_extract_all(x, '[^\x20\x09-\x0D]+'))
-   AND length(x) - length(translate(x, '#*$%&|<>', '')) >= 3)
-  OR length(x) - length(replace(x, '!', '')) > len(regexp_extract_all(x, '[^\x20\x09-\x0D]+'))
-  OR (len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) >= 4 AND x = upper(x) AND x <> lower(x))
-  OR regexp_matches(x, '(\s[|»›>•·]\s.*){3,}')
-  OR regexp_matches(x, '(?i)\b(all rights reserved|licen[sc]ed under|released under the|cookie policy|privacy policy|terms of (use|service)|powered by|sign up for|subscribe to|click here|javascript is (disabled|required))\b|^\s*(copyright|©)')
-"""
+def _line_fails_sql() -> str:
+    quoted = lambda pattern: "'" + pattern.replace("'", "''") + "'"
+    words = r"len(regexp_extract_all(x, '[^\x20\x09-\x0D]+'))"
+    symbols = "length(x) - length(translate(x, '#*$%&|<>', ''))"
+    return f"""(3 * ({symbols}) > {words} AND {symbols} >= 3)
+  OR length(x) - length(replace(x, '!', '')) > {words}
+  OR ({words} >= 4 AND x = upper(x) AND x <> lower(x))
+  OR ({words} >= {SENTENCE_WORDS} AND NOT regexp_matches(x, {quoted(SENTENCE_END)}))
+  OR regexp_matches(x, {quoted(NAVIGATION)}) OR regexp_matches(x, {quoted(BOILERPLATE)})"""
+
 
 ORACLE = r"""
 WITH d AS (
@@ -157,7 +177,7 @@ base AS (
   SELECT doc_id, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
          length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols,
          len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
-         length(regexp_replace(array_to_string(list_filter(l, lambda x: NOT (""" + _LINE_FAILS_SQL + r""")), ''), '[\x20\x09-\x0D]+', '', 'g')) AS kept_chars
+         length(regexp_replace(array_to_string(list_filter(l, lambda x: NOT (""" + _line_fails_sql() + r""")), ''), '[\x20\x09-\x0D]+', '', 'g')) AS kept_chars
   FROM d LEFT JOIN cov USING (rid)),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
