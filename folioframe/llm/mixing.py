@@ -1,15 +1,13 @@
 """Mixing sources to target weights by capped water-filling, and sampling whole and fractional repetitions.
 
 A source's target is its weighted share of the budget, but at most max_epochs times its size; what capped sources
-leave is shared among the rest by weight until none is above. The level at which that holds has a closed form
-over the sources sorted by size per weight, so one pass over per-source sums finds it.
+leave is shared among the rest by weight until none is above.
 
 A source whose target is e times its size gives floor(e) copies of every document and one more of some, taken in
 the order of a seeded hash until the fraction is met. Documents of a source are summed in hash bins first, so a
-source with a third of all rows costs no more in one task than its bins; only the bin where the fraction ends is
-sorted by document. What remains is one cut of the hash per source, so texts are never shuffled.
-
-Per-source sums are one row a source, and only they pass through one task.
+source with a third of all rows costs no more in one task than its bins, whose number follows the table's; only the
+bin where the fraction ends is sorted by document. What remains is one cut of the hash per source, so texts are never
+shuffled. Sources may be as many as hosts: they are ranked over range partitions, and levels are sums over them.
 
 Defined results: a null source is a source of its own, last in order; a null text has size 0; a null doc_id is hashed
 as an empty string; rows of one doc_id are taken alike; a source without words
@@ -22,35 +20,40 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioframe.llm.common import broadcast_if_small, checkpoint, read, word_count
+from folioframe.operators.sheet import number_rows
 
 MAX_EPOCHS = 3
 SEED = "mix-1"
-#: Hash bins of a source: 16**BIN_DIGITS.
-BIN_DIGITS = 3
+#: Documents that share a hash bin, about, if all are of one source: the bin where a fraction ends is sorted in one task.
+BIN_ROWS = 100_000
 
 
 def water_fill(sources: DataFrame, budget: Column | None = None, max_epochs: float = MAX_EPOCHS) -> DataFrame:
     """sources (source, source_size, weight) with target: min(cap, level * weight), summing to the budget (default: all sizes).
 
-    Sorted by cap per weight, the first k sources are capped exactly if the level that is left for the rest,
-XX
+    Sources whose share exceeds their cap are clamped to it, and what they leave is shared anew by weight among the rest,
+    until none exceeds its cap. Each turn is one sum over the sources; only the level reaches the driver.
     """
-    everything = Window.partitionBy()
-    by_room = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
     s = sources.withColumn("cap", F.lit(max_epochs) * F.col("source_size"))
-    s = s.withColumn("budget", budget if budget is not None else F.sum("source_size").over(everything))
-    s = s.withColumn("caps_before", F.coalesce(F.sum("cap").over(by_room.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    s = s.withColumn("weight_left", F.sum("weight").over(by_room.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
-    s = s.withColumn("level_here", (F.col("budget") - F.col("caps_before")) / F.col("weight_left"))
-    s = s.withColumn("level", F.max(F.when(F.col("level_here") * F.col("weight") <= F.col("cap"), F.col("level_here"))).over(everything))
-    target = F.least(F.col("cap").cast("double"), F.coalesce(F.col("level") * F.col("weight"), F.col("cap").cast("double")))
-    return s.select("source", "source_size", "weight", target.alias("target"))
+    total = s.agg((F.sum("source_size") if budget is None else F.max(budget)).alias("v")).first()["v"] or 0
+    clamped, level = -1, None
+    while True:
+        over = F.lit(False) if level is None else F.lit(level) * F.col("weight") > F.col("cap")
+        caps = F.coalesce(F.sum(F.when(over, F.col("cap"))), F.lit(0))
+        found = s.agg(F.count_if(over).alias("n"), caps.alias("caps"), F.sum(F.when(~over, F.col("weight"))).alias("weights")).first()
+        if found["n"] <= clamped:
+            break
+        clamped, level = found["n"], (total - found["caps"]) / found["weights"] if found["weights"] else None
+        if level is None:
+            break
+    share = F.col("cap").cast("double") if level is None else F.lit(float(level)) * F.col("weight")
+    return s.select("source", "source_size", "weight", F.least(F.col("cap").cast("double"), share).alias("target"))
 
 
 def ranked_weights(sources: DataFrame, cycle: int = 3) -> DataFrame:
     """Weights 1, 2, ... cycle, repeating, by the code point order of source, null last."""
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    return sources.withColumn("weight", F.pmod(rank, F.lit(cycle)) + 1)
+    ranked = number_rows(sources.orderBy(F.col("source").asc_nulls_last()), "_rank")
+    return ranked.withColumn("weight", F.pmod("_rank", F.lit(cycle)) + 1).drop("_rank")
 
 
 def _order_hash(docs: DataFrame, seed: str) -> Column:
@@ -64,7 +67,10 @@ def plan_mix(docs: DataFrame, size: Column, seed: str = SEED, max_epochs: float
     of that document's, are still within the fraction; a null cut gives none.
     """
     order = _order_hash(docs, seed)
-    bins = checkpoint(docs.groupBy("source", F.substring(order, 1, BIN_DIGITS).alias("bin")).agg(F.sum(size).alias("bin_size")))
+    digits, rows = 3, docs.count()
+    while rows > BIN_ROWS * 16**digits:
+        digits += 1
+    bins = checkpoint(docs.groupBy("source", F.substring(order, 1, digits).alias("bin")).agg(F.sum(size).alias("bin_size")))
     sizes = bins.groupBy("source").agg(F.sum("bin_size").alias("source_size"))
     s = water_fill(ranked_weights(sizes), max_epochs=max_epochs)
     s = s.withColumn("whole", F.floor(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0) + 1e-9))
@@ -74,7 +80,7 @@ def plan_mix(docs: DataFrame, size: Column, seed: str = SEED, max_epochs: float
     part = s.select(F.col("source").alias("s"), "part")
     edges = bins.join(part, bins["source"].eqNullSafe(part["s"])).where("part > 1e-6 and before < part and before + bin_size > part")
     edges = broadcast_if_small(checkpoint(edges.select(F.col("s").alias("edge_source"), F.col("bin").alias("edge"), F.col("before").alias("edge_before"), "part")))
-    at_edge = docs.join(edges, docs["source"].eqNullSafe(edges["edge_source"]) & (F.substring(order, 1, BIN_DIGITS) == edges["edge"]))
+    at_edge = docs.join(edges, docs["source"].eqNullSafe(edges["edge_source"]) & (F.substring(order, 1, digits) == edges["edge"]))
     at_edge = at_edge.select("edge_source", "edge", "edge_before", "part", order.alias("hash"), size.alias("size"))
     inside = Window.partitionBy("edge_source").orderBy("hash", "size").rowsBetween(Window.unboundedPreceding, -1)
     at_edge = at_edge.withColumn("here", F.col("edge_before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
@@ -86,12 +92,16 @@ def plan_mix(docs: DataFrame, size: Column, seed: str = SEED, max_epochs: float
     return checkpoint(s.select("source", "source_size", "target", "whole", F.coalesce("in_edge", "in_full").alias("cut")))
 
 
-def apply_mix(docs: DataFrame, plan: DataFrame, seed: str = SEED) -> DataFrame:
-    """docs with mix_source_size, mix_target and mix_copies: a join by source with the plan, which is broadcast if it is small."""
-    own = broadcast_if_small(plan.select(*[F.col(c).alias(f"mix_{c}") for c in plan.columns]), 100_000)
-    extra = F.coalesce((_order_hash(docs, seed) <= own["mix_cut"]).cast("long"), F.lit(0))
-    joined = docs.join(own, docs["source"].eqNullSafe(own["mix_source"]))
-    return joined.select(*[docs[c] for c in docs.columns], "mix_source_size", "mix_target", (own["mix_whole"] + extra).cast("long").alias("mix_copies"))
+def apply_mix(docs: DataFrame, plan: DataFrame, seed: str = SEED, prefix: str = "mix_") -> DataFrame:
+    """docs with mix_source_size, mix_target and mix_copies: a join by source with the plan, which is broadcast if it is small.
+
+    Columns of these names that docs already has, from an earlier mix, are replaced.
+    """
+    own = broadcast_if_small(plan.select(*[F.col(c).alias(f"__{c}") for c in plan.columns]), 100_000)
+    extra = F.coalesce((_order_hash(docs, seed) <= own["__cut"]).cast("long"), F.lit(0))
+    made = {"source_size": own["__source_size"], "target": own["__target"], "copies": (own["__whole"] + extra).cast("long")}
+    kept = [docs[c] for c in docs.columns if c.removeprefix(prefix) == c or c.removeprefix(prefix) not in made]
+    return docs.join(own, docs["source"].eqNullSafe(own["__source"])).select(*kept, *[v.alias(prefix + c) for c, v in made.items()])
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,10 +113,9 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
-    plan = plan_mix(docs, word_count(docs["text"]))
-    mixed = apply_mix(docs, plan)
-    copies = F.when(F.col("mix_copies") > 0, F.sequence(F.lit(1).cast("long"), F.col("mix_copies")))
-    return mixed.withColumn("mix_copy", F.explode(copies)).select(*[mixed[c] for c in docs.columns])
+    mixed = apply_mix(docs, plan_mix(docs, word_count(docs["text"])), prefix="__mix_")
+    copies = F.when(F.col("__mix_copies") > 0, F.sequence(F.lit(1).cast("long"), F.col("__mix_copies")))
+    return mixed.withColumn("__mix_copy", F.explode(copies)).select(*[mixed[c] for c in docs.columns])
 
 
 ORACLE = r"""
