@@ -1,12 +1,13 @@
 """Exact deduplication of a new batch against immutable snapshots.
 
-A snapshot is indexed once: one row per distinct digest (its copies counted), and a static binary-fuse filter
-per digest shard, about nine bits a digest. Digests of an incoming batch are grouped among themselves first, so
+A snapshot is indexed once, into tables of the shared folder: one row per distinct digest (its copies counted), and a
+static binary-fuse filter per digest shard, about nine bits a digest. Digests of an incoming batch are grouped among themselves first, so
 a text with a million copies is one digest. The filters screen those digests; only positives join the snapshot's
 exact bucket, where the texts themselves are compared byte by byte.
 
 Every shuffle carries digests, not texts; the byte check moves the texts of positive representatives only.
-Shards follow the digest, which is uniform whatever the data, and their number follows the row count.
+Shards follow the digest, which is uniform whatever the data; a snapshot's are as many as its digests ask for, and a
+larger batch is cut further, each part meeting the filter of its shard.
 
 Defined results: a null text equals an empty one; a null doc_id is smaller than any other; of rows with the same
 doc_id and text one stays; extra columns are ignored by the report and kept by drop_duplicate_texts; empty tables
@@ -15,14 +16,15 @@ give empty results. Very long texts are hashed where they lie.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.llm.common import broadcast_if_small, checkpoint, read
+from folioframe.llm.common import broadcast_if_small, checkpoint, read, stored
 
 #: Digests that one shard's filter holds, about; bounds the memory of a building or screening task.
 SHARD_DIGESTS = 1_000_000
@@ -131,8 +133,11 @@ def snapshot_filters(groups: DataFrame, shards: int) -> DataFrame:
     return keyed.groupBy("shard").applyInPandas(build, "shard int, seed int, segment int, windows int, prints binary")
 
 
-def screen(groups: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
-    """The incoming digests that a snapshot's filters let through: every one it has, and about one in 256 of the rest."""
+def screen(groups: DataFrame, filters: DataFrame, shards: int, parts: int = 1) -> DataFrame:
+    """The incoming digests that a snapshot's filters let through: every one it has, and about one in 256 of the rest.
+
+    The digests of a shard are dealt to so many parts, each with a copy of the shard's filter.
+    """
 
     def positives(keys: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         if rows.empty or keys.empty:
@@ -140,12 +145,34 @@ def screen(groups: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
         hit = BinaryFuseFilter.from_row(rows.iloc[0]).contains(keys["key"].to_numpy(np.int64).view(np.uint64))
         return keys.loc[hit, ["digest", "copies", "top_id"]]
 
+    keyed = _keyed(groups, shards).withColumn("part", F.pmod(F.shiftright("key", 8), F.lit(parts)).cast("int"))
+    copies = filters.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     return (
-        _keyed(groups, shards)
-        .groupBy("shard")
-        .cogroup(filters.groupBy("shard"))
+        keyed.groupBy("shard", "part").cogroup(copies.groupBy("shard", "part"))
         .applyInPandas(positives, "digest binary, copies long, top_id long")
-    )
+    )
+
+
+@dataclass(frozen=True)
+class Snapshot:
+    """An immutable snapshot: its rows (doc_id, digest, text), and tables of its digests' groups and of its filters."""
+
+    rows: DataFrame
+    groups: DataFrame
+    filters: DataFrame
+    shards: int
+
+
+def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return df.select(df[id_col].cast("long").alias("doc_id"), text_digest(df[text_col]).alias("digest"), F.coalesce(df[text_col], F.lit("")).alias("text"))
+
+
+def index_snapshot(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Snapshot:
+    """Index a snapshot once; any number of batches can be screened against it."""
+    rows = _rows(docs, id_col, text_col)
+    groups = stored(digest_groups(rows))
+    shards = max(LEAST_SHARDS, -(-groups.count() // SHARD_DIGESTS))
+    return Snapshot(rows, groups, stored(snapshot_filters(groups, shards)), shards)
 
 
 def _same_bytes(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -167,27 +194,32 @@ def _same_bytes(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     )
 
 
-def dedup_batch(snapshot: DataFrame, batch: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Groups of equal texts over a snapshot and a new batch: (digest, keep_id, group_size), one row per distinct text."""
+def dedup_batch(snapshots: Snapshot | Sequence[Snapshot], batch: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Groups of equal texts over snapshots and a new batch: (digest, keep_id, group_size), one row per distinct text.
 
-    def rows(df: DataFrame) -> DataFrame:
-        return df.select(df[id_col].cast("long").alias("doc_id"), text_digest(df[text_col]).alias("digest"), F.coalesce(df[text_col], F.lit("")).alias("text"))
-
-    old_rows, new_rows = rows(snapshot), rows(batch)
-    old, new = checkpoint(digest_groups(old_rows)), checkpoint(digest_groups(new_rows))
-    shards = max(LEAST_SHARDS, -(-old.count() // SHARD_DIGESTS))
-    passed = screen(new, snapshot_filters(old, shards), shards)
-    pairs = checkpoint(
-        passed.withColumnsRenamed({"copies": "new_copies", "top_id": "new_id"})
-        .join(old.withColumnsRenamed({"copies": "old_copies", "top_id": "old_id"}), "digest")
-        .select("digest", "new_copies", "new_id", "old_copies", "old_id")
-    )
-    matched = checkpoint(_same_bytes(pairs, old_rows.unionByName(new_rows)))
-    joined = matched.select(
-        "digest", F.greatest("new_id", "old_id").alias("keep_id"), (F.col("new_copies") + F.col("old_copies")).alias("group_size")
-    )
-    single = old.unionByName(new).join(matched.select("digest"), "digest", "left_anti")
-    return joined.unionByName(single.select("digest", F.col("top_id").alias("keep_id"), F.col("copies").alias("group_size")))
+    Of several snapshots, none holds a text of another: each was a batch once.
+    """
+    held = [snapshots] if isinstance(snapshots, Snapshot) else list(snapshots)
+    new_rows = _rows(batch, id_col, text_col)
+    new = checkpoint(digest_groups(new_rows))
+    n = new.count()
+    every, matched = new, None
+    for old in held:
+        passed = screen(new, old.filters, old.shards, max(1, -(-n // (old.shards * SHARD_DIGESTS))))
+        pairs = checkpoint(
+            passed.withColumnsRenamed({"copies": "new_copies", "top_id": "new_id"})
+            .join(old.groups.withColumnsRenamed({"copies": "old_copies", "top_id": "old_id"}), "digest")
+            .select("digest", "new_copies", "new_id", "old_copies", "old_id")
+        )
+        same = _same_bytes(pairs, old.rows.unionByName(new_rows))
+        matched = same if matched is None else matched.unionByName(same)
+        every = every.unionByName(old.groups)
+    whole = lambda df: df.select("digest", F.col("top_id").alias("keep_id"), F.col("copies").alias("group_size"))
+    if matched is None:
+        return whole(new)
+    matched = checkpoint(matched)
+    joined = matched.select("digest", F.greatest("new_id", "old_id").alias("keep_id"), (F.col("new_copies") + F.col("old_copies")).alias("group_size"))
+    return joined.unionByName(whole(every.join(matched.select("digest"), "digest", "left_anti")))
 
 
 def halves(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -198,7 +230,8 @@ def halves(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _repeats(docs: DataFrame) -> DataFrame:
     """Groups of two or more only, checkpointed; every other row is its own group."""
-    return checkpoint(dedup_batch(*halves(docs)).where("group_size > 1"))
+    snapshot, batch = halves(docs)
+    return checkpoint(dedup_batch(index_snapshot(snapshot), batch).where("group_size > 1"))
 
 
 def dedup_report(docs: DataFrame) -> DataFrame:
