@@ -1,15 +1,17 @@
 """Quality classifier by attention-based multiple-instance learning.
 
-A document is a bag of passages of PASSAGE_WORDS words. Each passage becomes a vector of shares (classes of bytes,
-word lengths, repetition), a layer encodes it, gated attention weighs the passages of the document, and the weighted
-sum is scored. The weights are learnt from document labels alone, by gradient descent over a bounded sample of
-labelled documents (SAMPLE of them, by a hash of doc_id) whose passages number no more than SAMPLE_PASSAGES in all.
+A document is a bag of passages of PASSAGE_WORDS words. Each passage becomes a vector: shares of hashed words and of
+hashed three-byte strings, classes of bytes, word lengths, repetition. A layer encodes it, gated attention weighs the
+passages of the document, and the weighted sum is scored. The weights are learnt from document labels alone, by gradient
+descent over small batches of a bounded sample of labelled documents (SAMPLE of them, by a hash of doc_id), with all
+their passages.
 
 The sample's features reach the driver, which learns a few thousand weights; every document is then scored where it
 lies, in one pass without a shuffle, its whole text. A task works through texts in slices of SLICE_BYTES.
 
-Defined results: a null or empty text is one passage of zeros; null or missing labels are not learnt from; with labels
-of one kind only, or none, every score is their share, or a half; repeated rows score alike; extra columns are
+Defined results: a null or empty text is one passage of zeros; null or missing labels are not learnt from; a doc_id
+with several labels is good if one of them is; of rows that share a doc_id the greatest text is learnt from; with
+labels of one kind only, or none, every score is their share, or a half; repeated rows score alike; extra columns are
 ignored; an empty table gives an empty table.
 """
 
@@ -26,11 +28,13 @@ from folioframe.llm.common import bounded_batches, read
 
 PASSAGE_WORDS = 50
 SAMPLE = 4_000
-SAMPLE_PASSAGES = 200_000
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 THRESHOLD = 0.3
 HIDDEN, ATTENTION = 16, 8
-STEPS, RATE, DECAY = 400, 0.03, 1e-4
+#: Passes over the sample, documents of a batch, learning rate, decay of the weights.
+EPOCHS, BATCH, RATE, DECAY = 16, 128, 0.01, 1e-4
+#: Hash buckets of words, and of three-byte strings.
+WORD_BUCKETS = GRAM_BUCKETS = 64
 
 #: Classes of bytes; those not named are the last class.
 _GROUPS = (
@@ -41,7 +45,7 @@ _CLASS = np.full(256, len(_GROUPS), np.int64)
 for _i, _g in enumerate(_GROUPS):
     _CLASS[list(_g)] = _i
 CLASSES = len(_GROUPS) + 1
-FEATURES = CLASSES + 6
+FEATURES = CLASSES + 6 + WORD_BUCKETS + GRAM_BUCKETS
 _SPACE = np.zeros(256, bool)
 _SPACE[list(b" \t\n\r\x0b\x0c")] = True
 
@@ -82,7 +86,12 @@ def passage_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     capital = np.bincount(of_word, weights=(data[starts] >= 65) & (data[starts] <= 90), minlength=count) if len(starts) else np.zeros(count)
     mean = np.bincount(of_word, weights=length, minlength=count) / safe
     spread = np.sqrt(np.maximum(np.bincount(of_word, weights=length**2, minlength=count) / safe - mean**2, 0))
-    features = np.column_stack([shares / size[:, None], n / PASSAGE_WORDS, mean / 10, spread / 10, kinds / safe, again / safe, capital / safe])
+    bucket = (hashes * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(58)).astype(np.int64)
+    words_of = np.bincount(of_word * WORD_BUCKETS + bucket, minlength=count * WORD_BUCKETS).reshape(count, WORD_BUCKETS) / safe[:, None]
+    low = data.astype(np.uint32)
+    gram = (((low[:-2] << 16 | low[1:-1] << 8 | low[2:]) * np.uint32(2654435761)) >> np.uint32(26)).astype(np.int64) if len(data) > 2 else np.empty(0, np.int64)
+    grams = np.bincount(of_byte[: len(gram)] * GRAM_BUCKETS + gram, minlength=count * GRAM_BUCKETS).reshape(count, GRAM_BUCKETS) / size[:, None]
+    features = np.column_stack([shares / size[:, None], n / PASSAGE_WORDS, mean / 10, spread / 10, kinds / safe, again / safe, capital / safe, words_of, grams])
     return features, np.repeat(np.arange(len(texts)), passages)
 
 
@@ -107,26 +116,38 @@ class AttentionModel:
         z = np.column_stack([np.bincount(bag, weights=share * h[:, j], minlength=bags) for j in range(h.shape[1])])
         return h, v, u, share, z, 1 / (1 + np.exp(-np.clip(z @ w["c"] + w["b"], -30, 30)))
 
-    def learn(self, features: np.ndarray, bag: np.ndarray, labels: np.ndarray) -> AttentionModel:
+    def gradients(self, x: np.ndarray, bag: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean log loss of the bags' labels, by weight."""
+        w, bags = self.w, len(labels)
+        h, v, u, share, z, p = self._forward(x, bag, bags)
+        d = (p - labels) / bags
+        dz = d[:, None] * w["c"]
+        dh = share[:, None] * dz[bag]
+        ds = np.einsum("ij,ij->i", h, dz[bag])
+        ds = share * (ds - np.bincount(bag, weights=share * ds, minlength=bags)[bag])
+        dv, du = ds[:, None] * w["a"] * u * (1 - v**2), ds[:, None] * w["a"] * v * u * (1 - u)
+        dh += dv @ w["V"].T + du @ w["U"].T
+        de = dh * (1 - h**2)
+        return {"E": x.T @ de, "e": de.sum(0), "V": h.T @ dv, "U": h.T @ du, "a": (v * u).T @ ds, "c": z.T @ d, "b": np.array([d.sum()])}
+
+    def learn(self, features: np.ndarray, bag: np.ndarray, labels: np.ndarray, seed: int = 11) -> AttentionModel:
+        """Adam over batches of documents; bag numbers the documents, a document's passages side by side."""
         self.shift, self.scale = features.mean(axis=0), features.std(axis=0) + 1e-3
-        x, w, bags = (features - self.shift) / self.scale, self.w, len(labels)
-        x = np.clip(x, -8, 8)
+        w, order, step = self.w, np.random.default_rng(seed), 0
+        first, stop = np.searchsorted(bag, np.arange(len(labels))), np.searchsorted(bag, np.arange(len(labels)), "right")
         m, s = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
-        for step in range(1, STEPS + 1):
-            h, v, u, share, z, p = self._forward(x, bag, bags)
-            d = (p - labels) / bags
-            dz = d[:, None] * w["c"]
-            dh = share[:, None] * dz[bag]
-            ds = np.einsum("ij,ij->i", h, dz[bag])
-            ds = share * (ds - np.bincount(bag, weights=share * ds, minlength=bags)[bag])
-            dv, du = ds[:, None] * w["a"] * u * (1 - v**2), ds[:, None] * w["a"] * v * u * (1 - u)
-            dh += dv @ w["V"].T + du @ w["U"].T
-            de = dh * (1 - h**2)
-            g = {"E": x.T @ de, "e": de.sum(0), "V": h.T @ dv, "U": h.T @ du, "a": (v * u).T @ ds, "c": z.T @ d, "b": np.array([d.sum()])}
-            for k in w:
-                m[k] = 0.9 * m[k] + 0.1 * g[k]
-                s[k] = 0.999 * s[k] + 0.001 * g[k] ** 2
-                w[k] -= RATE * (m[k] / (1 - 0.9**step) / (np.sqrt(s[k] / (1 - 0.999**step)) + 1e-8) + DECAY * w[k])
+        for _ in range(EPOCHS):
+            mixed = order.permutation(len(labels))
+            for at in range(0, len(labels), BATCH):
+                some = mixed[at : at + BATCH]
+                rows = np.concatenate([np.arange(first[i], stop[i]) for i in some])
+                x = np.clip((features[rows] - self.shift) / self.scale, -8, 8)
+                g = self.gradients(x, np.repeat(np.arange(len(some)), stop[some] - first[some]), labels[some])
+                step += 1
+                for k in w:
+                    m[k] = 0.9 * m[k] + 0.1 * g[k]
+                    s[k] = 0.999 * s[k] + 0.001 * g[k] ** 2
+                    w[k] -= RATE * (m[k] / (1 - 0.9**step) / (np.sqrt(s[k] / (1 - 0.999**step)) + 1e-8) + DECAY * w[k])
         return self
 
     def score(self, features: np.ndarray, bag: np.ndarray, bags: int) -> np.ndarray:
@@ -164,14 +185,16 @@ def learn_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> A
                 yield pa.RecordBatch.from_arrays([pa.array(ids[at + bag]), pa.array(good[at + bag]), pa.array(list(x.astype(np.float32)))], ["id", "good", "x"])
                 at += len(part)
 
-    rows = docs.select(docs["doc_id"].cast("long").alias("id"), docs["text"]).join(F.broadcast(chosen), "id").dropDuplicates(["id"]).select("id", "text", "good")
-    found = rows.mapInArrow(features, "id long, good int, x array<float>").orderBy("id").limit(SAMPLE_PASSAGES).toArrow()
+    # At most `sample` rows, so their texts may meet in one group each and be sorted by id.
+    rows = docs.select(docs["doc_id"].cast("long").alias("id"), docs["text"]).join(F.broadcast(chosen), "id").groupBy("id", "good").agg(F.max("text").alias("text"))
+    found = rows.select("id", "text", "good").mapInArrow(features, "id long, good int, x array<float>").toArrow()
     ids, good = found["id"].to_numpy(), found["good"].to_numpy()
     _, first, bag = np.unique(ids, return_index=True, return_inverse=True)
     if len(set(good[first])) < 2:
-        return float(good.mean()) if len(good) else 0.5
-    x = np.asarray(found["x"].combine_chunks().flatten()).reshape(-1, FEATURES).astype(np.float64)
-    return AttentionModel().learn(x, bag, good[first].astype(np.float64))
+        return float(good[first].mean()) if len(good) else 0.5
+    by = np.argsort(bag, kind="stable")
+    x = np.asarray(found["x"].combine_chunks().flatten()).reshape(-1, FEATURES)[by]
+    return AttentionModel().learn(x, bag[by], good[first].astype(np.float64))
 
 
 def score_documents(docs: DataFrame, model: AttentionModel | float, threshold: float = THRESHOLD) -> DataFrame:
