@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from folioframe.functions import formats as FM
 from folioframe.functions import scalar as S
 from folioframe.operators import calc as K
 from folioframe.operators import sheet as E
@@ -357,18 +358,18 @@ def format_numbers(spark, sf):
     li = _t(spark, sf, "lineitem")
     price = F.col("l_extendedprice").cast("string")
     return li.select(
-        "l_orderkey", "l_linenumber", S.format_value(price, "0.00").alias("fixed"), S.format_value(price, "thousands2").alias("thousands2"), S.format_value(F.col("l_discount").cast("string"), "percent").alias("percent"),
-        S.format_value(price, "currency").alias("currency"), S.format_value(price, "$#,##0.00").alias("custom"),
+        "l_orderkey", "l_linenumber", FM.format_value(price, "0.00").alias("fixed"), FM.format_value(price, "thousands2").alias("thousands2"), FM.format_value(F.col("l_discount").cast("string"), "percent").alias("percent"),
+        FM.format_value(price, "currency").alias("currency"), FM.format_value(price, "$#,##0.00").alias("custom"),
     )
 
 
 @query("format_dates", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M') AS iso, strftime(o_orderdate, '%y/%-m/%-d') AS short, ['周日', '周一', '周二', '周三', '周四', '周五', '周六'][dayofweek(o_orderdate) + 1] || ' ' || strftime(o_orderdate, '%b %d') AS named FROM orders")
 def format_dates(spark, sf):
     d = F.col("o_orderdate")
-    return _t(spark, sf, "orders").select("o_orderkey", S.format_date(d, "yyyy-mm-dd hh:mm").alias("iso"), S.format_date(d, "yy/m/d").alias("short"), S.format_date(d, "dddd mmm dd").alias("named"))
+    return _t(spark, sf, "orders").select("o_orderkey", FM.format_date(d, "yyyy-mm-dd hh:mm").alias("iso"), FM.format_date(d, "yy/m/d").alias("short"), FM.format_date(d, "dddd mmm dd").alias("named"))
 
 
-@query("date_serials", "SELECT event_id, round(epoch_us(ts) / 86400000000.0 + 25569, 6) AS serial, date_trunc('second', ts + INTERVAL 500 MILLISECOND) AS back FROM events")
+@query("date_serials", "SELECT event_id, round(epoch_us(ts) / 86400000000.0 + 25569, 6) AS serial, date_trunc('second', date_trunc('millisecond', ts) + INTERVAL 499 MILLISECOND) AS back FROM events")
 def date_serials(spark, sf):
     e = _t(spark, sf, "events").select("event_id", "ts").withColumn("s", S.ts_to_serial(F.col("ts").cast("timestamp")))
     return e.select("event_id", F.round("s", 6).alias("serial"), S.serial_to_ts(F.col("s")).cast("timestamp_ntz").alias("back"))
@@ -377,13 +378,13 @@ def date_serials(spark, sf):
 @query("parse_dates", "SELECT o_orderkey, date_trunc('day', o_orderdate)::TIMESTAMP AS day, date_trunc('minute', o_orderdate)::TIMESTAMP AS minute FROM orders")
 def parse_dates(spark, sf):
     d = F.col("o_orderdate")
-    return _t(spark, sf, "orders").select("o_orderkey", S.parse_date_like(S.format_date(d, "yyyy/m/d")).cast("timestamp_ntz").alias("day"), S.parse_date_like(S.format_date(d, "yyyy-mm-dd hh:mm")).cast("timestamp_ntz").alias("minute"))
+    return _t(spark, sf, "orders").select("o_orderkey", S.parse_date_like(FM.format_date(d, "yyyy/m/d")).cast("timestamp_ntz").alias("day"), S.parse_date_like(FM.format_date(d, "yyyy-mm-dd hh:mm")).cast("timestamp_ntz").alias("minute"))
 
 
 @query("format_tokens", "SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN '' WHEN 1 THEN 'int' WHEN 2 THEN '0.00' WHEN 3 THEN 'thousands' ELSE 'thousands2' END AS token, (CASE WHEN p_size % 5 > 0 THEN p_size % 5 ELSE -1 END)::INT AS id FROM part")
 def format_tokens(spark, sf):
-    p = _t(spark, sf, "part").select("p_partkey", S.fmt_token(F.col("p_size") % 5, F.lit("")).alias("token"))
-    return p.select("p_partkey", "token", F.coalesce(S.fmt_id(F.col("token"))["id"], F.lit(-1)).alias("id"))
+    p = _t(spark, sf, "part").select("p_partkey", FM.fmt_token(F.col("p_size") % 5, F.lit("")).alias("token"))
+    return p.select("p_partkey", "token", F.coalesce(FM.fmt_id(F.col("token"))["id"], F.lit(-1)).alias("id"))
 
 
 # Validation, differences, recency -----------------------------------------------------------------------------------

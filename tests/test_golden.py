@@ -5,6 +5,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from folioframe.functions import formats as FM
 from folioframe.functions import scalar as S
 from folioframe.operators import calc as K
 from folioframe.operators import dictionary as B
@@ -80,22 +81,38 @@ def test_affixes(spark):
 
 def test_rounding_and_errors(spark):
     assert one(spark, S.js_round(F.lit(-2.5))) == -2.0
-    assert one(spark, S.to_fixed(F.lit(0.125), 2)) == "0.13" and one(spark, S.to_fixed(F.lit(1.45), 1)) == "1.4" and one(spark, S.to_fixed(F.lit(-2.5), 0)) == "-3"
+    assert one(spark, FM.to_fixed(F.lit(0.125), 2)) == "0.13" and one(spark, FM.to_fixed(F.lit(1.45), 1)) == "1.4" and one(spark, FM.to_fixed(F.lit(-2.5), 0)) == "-3"
     op = lambda o, a, b: one(spark, S.sheet_result(S.sheet_op(o, S.sheet_operand(F.lit(a)), S.sheet_operand(F.lit(b)))))
     assert op("/", "1", "0") == "#DIV/0!" and op("^", "-2", "2") == "4" and op("+", "x", "1") == "#ERROR"
     assert one(spark, S.js_number(F.lit("1d"))) is None and one(spark, S.js_number(F.lit(" "))) == 0 and one(spark, S.parse_float(F.lit("12px"))) == 12
 
 
 def test_formats(spark):
-    fmt = lambda v, t: one(spark, S.format_value(F.lit(v), t))
+    fmt = lambda v, t: one(spark, FM.format_value(F.lit(v), t))
     assert fmt("1234.5", "thousands") == "1,234.5" and fmt("0.256", "percent") == "26%" and fmt("x", "int") == "x" and fmt("1234.5", "¥#,##0.00") == "¥1,234.50" and fmt("1234.5", "0.0") == "1234.5"
-    assert fmt("45292", "yyyy-mm-dd") == "2024-01-01" and fmt("2024/3/5 7:08", "yyyy-mm-dd hh:mm") == "2024-03-05 07:08" and fmt("", "int") == ""
+    assert fmt("45292", "yyyy-mm-dd") == "2024-01-01" and fmt("2024/3/5 7:08", "yyyy-mm-dd hh:mm") == "2024-03-05 07:08" and fmt("", "int") == "" and fmt("  ", "0.00") == "  "
+    assert fmt("2.5", "int") == "3" and fmt("0.1234", "percent2") == "12.34%" and fmt("0.5", "0.0%") == "50.0%" and fmt("7", '"EUR" #,##0') == "EUR7" and fmt("70000", "yyyy-mm-dd") == "70000"
+    # Characters of other scripts are no part of a field's surroundings.
+    assert fmt("45356.3", "yyyy年m月d日 hh:mm") == "2024年3月5日 07:12" and fmt("45356", "yyyy年m月d日") == "45356" and fmt("45356", "date") == "45356"
+    assert fmt("45356.3", "dddd d mmm yy, h:mm:ss") == "周二 5 Mar 24, 7:12:00"
+
+
+def test_format_tokens(spark):
+    token = lambda i, c="": one(spark, FM.fmt_token(F.lit(i), F.lit(c)))
+    assert [token(i) for i in (1, 4, 14, 22, 36, 45, 49, 58, 5)] == ["int", "thousands2", "date", "date", "date", "date", "@", "date", ""]
+    assert token(164, "yyyy年m月d日") == "yyyy年m月d日" and token(164, ' "¥"#,##0.00') == "currency" and token(164, "+0.0") == "+0.0" and token(164, "[Red]0") == ""
+    back = lambda t: tuple(one(spark, FM.fmt_id(F.lit(t))))
+    assert back("date") == (14, "") and back("currency") == (0, "¥#,##0.00") and back("yyyy年m月d日") == (0, "yyyy年m月d日") and back("[Red]") == (None, None)
 
 
 def test_date_serials(spark):
     assert one(spark, S.serial_to_ts(F.lit(45292.5))) == datetime(2024, 1, 1, 12)
     assert one(spark, S.ts_to_serial(F.lit(datetime(2024, 1, 1, 12)))) == 45292.5
     assert one(spark, S.ts_to_serial(F.lit(datetime(1890, 1, 1)))) == 0 and one(spark, S.serial_to_ts(F.lit(-1.0))) is None
+    assert one(spark, S.serial_to_ts(F.lit(61.9999999))) == datetime(1900, 3, 1, 23, 59, 59, 991360) and one(spark, S.serial_to_ts(F.lit(0.0))) == datetime(1899, 12, 30)
+    half = lambda ms: one(spark, S.serial_to_ts(F.lit(45292 + ms / 86_400_000)))
+    assert half(500) == datetime(2024, 1, 1) and half(501) == datetime(2024, 1, 1, 0, 0, 1)
+    assert one(spark, S.serial_to_ts(F.lit(0.25), True)) == datetime(1904, 1, 1, 6) and one(spark, S.serial_to_ts(F.lit(100.0), True)) == datetime(1904, 4, 10)
 
 
 def test_references(spark):
