@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: Words of a built-in list beyond which fuzzy search allows one edit only.
 LARGE_LIST = 50_000
+#: Words of a list that dictionaries of an editor are cut to, if asked for.
 AFFIX_WORD_CAP = 100_000
 
 
@@ -37,11 +38,12 @@ def parse_aff(lines: DataFrame) -> DataFrame:
     )
 
 
-def expand_affixes(stems: DataFrame, rules: DataFrame, per_stem: int = 5, cap: int = AFFIX_WORD_CAP) -> DataFrame:
+def expand_affixes(stems: DataFrame, rules: DataFrame, per_stem: int = 5, cap: int | None = None) -> DataFrame:
     """(word, freq) of stems (line_no, word, flags, freq) under rules: the stem and its derivations, the first per_stem of each.
 
     Suffix conditions without brackets must end the stem, those with brackets always pass; prefixes have no condition.
-    A word's first sighting weighs freq, later derivations half; a stem without flags sets the weight anew.
+    A word's first sighting weighs freq, later derivations half; a stem without flags sets the weight anew. All words are
+    returned, or the first `cap` by line.
     """
     flagged = stems.where("flags <> ''").select("*", F.posexplode(F.filter(F.split("flags", ""), lambda x: x != "")).alias("flag_pos", "flag"))
     r = F.broadcast(rules.withColumn("kind_no", F.when(F.col("kind") == "SFX", 0).otherwise(1)))
@@ -61,7 +63,8 @@ def expand_affixes(stems: DataFrame, rules: DataFrame, per_stem: int = 5, cap: i
     marked = first.withColumn("k", F.row_number().over(seen)).withColumn("last_set", F.max(F.when(F.col("sets"), F.col("k"))).over(Window.partitionBy("word")))
     start = F.coalesce("last_set", F.lit(1))
     total = F.sum(F.when(F.col("k") == start, F.col("freq")).when(F.col("k") > start, F.floor(F.col("freq") / 2)).otherwise(0)).cast("long")
-    return marked.groupBy("word").agg(total.alias("freq"), F.min(F.struct("line_no", "n")).alias("at")).orderBy("at").limit(cap).select("word", "freq")
+    made = marked.groupBy("word").agg(total.alias("freq"), F.min(F.struct("line_no", "n")).alias("at"))
+    return (made if cap is None else made.orderBy("at").limit(cap)).select("word", "freq")
 
 
 def load_wordlist(lines: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ Everything is partitioned by sheet; nothing orders a whole table in one task.
 
 from __future__ import annotations
 
+import re
+import tempfile
 from collections.abc import Sequence
 from functools import reduce
 
@@ -35,8 +37,8 @@ def auto_filter(df: DataFrame, allowed: dict[str, Sequence[str] | DataFrame]) ->
     return df
 
 
-def filter_values(df: DataFrame, col: str, search: str | None = None) -> DataFrame:
-    """(value, pos): the distinct trimmed values in filter order: numbers by value if all are, else text; the blank last.
+def filter_values(df: DataFrame, col: str, search: str | None = None, locale: str | None = "zh") -> DataFrame:
+    """(value, pos): the distinct trimmed values in filter order: numbers by value if all are, else text in the locale's order; the blank last.
 
     A search narrows them, ignoring case; the blank stays.
     """
@@ -45,7 +47,8 @@ def filter_values(df: DataFrame, col: str, search: str | None = None) -> DataFra
     values = values.join(F.broadcast(numeric))
     if search:
         values = values.where((F.col("value") == "") | F.lower("value").contains(search.lower()))
-    ordered = values.orderBy(F.col("value") == "", F.when(F.col("_numeric"), js_number(F.col("value"))), "value")
+    text = F.collate("value", locale) if locale else F.col("value")
+    ordered = values.orderBy(F.col("value") == "", F.when(F.col("_numeric"), js_number(F.col("value"))), text, "value")
     return number_rows(ordered, "pos").select("value", (F.col("pos") + 1).cast("int").alias("pos"))
 
 
@@ -92,15 +95,26 @@ def data_regions(cells: DataFrame) -> DataFrame:
 
 
 def header_rows(regions: DataFrame, anchors: DataFrame) -> DataFrame:
-    """anchors (sheet_id, row) with header: the top of the region they are in, or of the nearest one above."""
-    near = anchors.join(regions, "sheet_id").where(F.col("top") <= F.col("row"))
-    return near.groupBy("sheet_id", "row").agg(F.max("top").alias("header"))
+    """anchors (sheet_id, row) with header: the top of the region they are in, or of the nearest one above.
+
+    The tops and the anchors of a sheet are walked once, in order of their rows.
+    """
+    none = F.lit(None).cast("int")
+    both = regions.select("sheet_id", F.col("top").alias("row"), F.col("top"), F.lit(False).alias("_asked")).unionByName(
+        anchors.select("sheet_id", "row", none.alias("top"), F.lit(True).alias("_asked")).distinct()
+    )
+    above = Window.partitionBy("sheet_id").orderBy("row", "_asked").rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("header", F.last("top", ignorenulls=True).over(above)).where("_asked and header is not null").select("sheet_id", "row", "header")
 
 
 def remove_duplicates(df: DataFrame, col: str, order_col: str) -> DataFrame:
-    """The first row of each value in the order of order_col; rows with a blank value all stay."""
-    first = df.where(~_blank(F.col(col))).groupBy(F.col(col).alias("_v")).agg(F.min(order_col).alias("_first"))
-    kept = df.join(first, (df[col] == first["_v"]) & (df[order_col] == first["_first"]), "left_semi")
+    """The first row of each value in the order of order_col; rows with a blank value all stay.
+
+    Values are grouped and joined by their SHA-256, so that long texts aren't shuffled.
+    """
+    own = F.sha2(F.col(col).cast("string"), 256)
+    first = df.where(~_blank(F.col(col))).groupBy(own.alias("_v")).agg(F.min(order_col).alias("_first"))
+    kept = df.join(first, (own == F.col("_v")) & (df[order_col] == F.col("_first")), "left_semi")
     return kept.unionByName(df.where(_blank(F.col(col))))
 
 
@@ -169,36 +183,41 @@ def split_region(merges: DataFrame, sheet_id: str, r1: int, c1: int, r2: int, c2
     return merges.where(~meets)
 
 
-def coalesce_rects(merges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def coalesce_rects(merges: DataFrame, block: int = 64) -> DataFrame:
     """Bounding boxes of overlapping rectangles, until none overlap.
 
-    Each round joins the rectangles of a sheet that overlap and replaces every one by the box of those it meets; the
-    plan is cut each round, and only a count reaches the driver.
+    Each round joins the rectangles that overlap, by sheet and block of rows, and replaces every one by the box of those
+    it meets; boxes only grow, so the rounds end. The plan is cut each round, and only a count reaches the driver.
     """
     names = ["r1", "c1", "r2", "c2"]
     rects = merges.select("sheet_id", *names).distinct()
-    for _ in range(max_rounds):
+    while True:
         rects = _cut(rects)
-        other = rects.select(F.col("sheet_id").alias("_s"), *[F.col(n).alias(f"_{n}") for n in names])
-        meets = (F.col("sheet_id") == F.col("_s")) & (F.col("r1") <= F.col("_r2")) & (F.col("r2") >= F.col("_r1")) & (F.col("c1") <= F.col("_c2")) & (F.col("c2") >= F.col("_c1"))
-        boxes = rects.join(other, meets).groupBy("sheet_id", *names).agg(F.min("_r1").alias("a"), F.min("_c1").alias("b"), F.max("_r2").alias("c"), F.max("_c2").alias("d"))
-        grown = boxes.where("a <> r1 or b <> c1 or c <> r2 or d <> c2")
-        if grown.isEmpty():
+        tiled = rects.withColumn("_b", F.explode(F.sequence(F.floor(F.col("r1") / block), F.floor(F.col("r2") / block))))
+        other = tiled.select(F.col("sheet_id").alias("_s"), F.col("_b").alias("_o"), *[F.col(n).alias(f"_{n}") for n in names])
+        meets = (F.col("sheet_id") == F.col("_s")) & (F.col("_b") == F.col("_o")) & (F.col("r1") <= F.col("_r2")) & (F.col("r2") >= F.col("_r1")) & (F.col("c1") <= F.col("_c2")) & (F.col("c2") >= F.col("_c1"))
+        boxes = tiled.join(other, meets).groupBy("sheet_id", *names).agg(F.min("_r1").alias("a"), F.min("_c1").alias("b"), F.max("_r2").alias("c"), F.max("_c2").alias("d"))
+        boxes = _cut(boxes)
+        if boxes.where("a <> r1 or b <> c1 or c <> r2 or d <> c2").isEmpty():
             return rects
         rects = boxes.select("sheet_id", F.col("a").alias("r1"), F.col("b").alias("c1"), F.col("c").alias("r2"), F.col("d").alias("c2")).distinct()
-    return rects
 
 
 def _cut(df: DataFrame) -> DataFrame:
     """Cut lineage by a checkpoint in the folder that spark.checkpoint.dir names; in local mode one of our own if unset."""
-    import tempfile
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
 
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The session's folder in spark.checkpoint.dir; one of our own only if driver and executors are one process."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
+        configured = context.getConf().get("spark.checkpoint.dir")
+        if configured is None and not re.fullmatch(r"local(\[.*\])?", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint()
+        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return context.getCheckpointDir()
 
 
 def used_bounds(cells: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Queries over sources, sinks, sheet sets and streams, and their DuckDB SQL.
 
-Those that need files write the given tables out first, into a folder of their own under the warehouse's or the
-checkpoint folder, and read them back.
+Those that need files write the given tables out first, into a folder of their own beside the checkpoints, and read
+them back.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioframe.operators.sheet import _cut
+from folioframe.operators.sheet import _cut, shared_folder
 from folioframe.plans.catalog_sheets import line_cells
 from folioframe.plans.catalog_text import corpus_words
 from folioframe.sources import documents as A
@@ -38,9 +38,8 @@ def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new shared folder: beside the checkpoints if there are any, else in the warehouse."""
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base}/folio-{uuid.uuid4().hex}"
+    """A new folder among those that driver and executors share."""
+    return f"{shared_folder(spark)}/folio-{uuid.uuid4().hex}"
 
 
 @query("read_delimited", """WITH n AS (SELECT n_nationkey, n_name, n_regionkey FROM nation), r AS (SELECT n_nationkey::VARCHAR AS a, '"' || n_name || '", x' AS b, n_regionkey::VARCHAR AS c FROM n)

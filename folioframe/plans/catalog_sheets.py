@@ -87,10 +87,10 @@ def data_regions(spark, sf):
     return E.data_regions(line_cells(spark, sf))
 
 
-@query("header_rows", f"WITH {_CELLS}, r AS (SELECT DISTINCT sheet_id, row FROM cells WHERE trim(value) <> ''), g AS (SELECT *, row - row_number() OVER (PARTITION BY sheet_id ORDER BY row) AS g FROM r), d AS (SELECT sheet_id, min(row) AS top FROM g GROUP BY sheet_id, g), a AS (SELECT DISTINCT sheet_id, row FROM cells WHERE row % 97 = 0) SELECT a.sheet_id, a.row, max(top) AS header FROM a JOIN d ON a.sheet_id = d.sheet_id AND top <= a.row GROUP BY ALL")
+@query("header_rows", f"WITH {_CELLS}, r AS (SELECT DISTINCT sheet_id, row FROM cells WHERE trim(value) <> ''), g AS (SELECT *, row - row_number() OVER (PARTITION BY sheet_id ORDER BY row) AS g FROM r), d AS (SELECT sheet_id, min(row) AS top FROM g GROUP BY sheet_id, g), a AS (SELECT DISTINCT sheet_id, row FROM cells) SELECT a.sheet_id, a.row, d.top AS header FROM a ASOF JOIN d ON a.sheet_id = d.sheet_id AND a.row >= d.top")
 def header_rows(spark, sf):
     cells = line_cells(spark, sf)
-    return E.header_rows(E.data_regions(cells), cells.where("row % 97 = 0").select("sheet_id", "row").distinct())
+    return E.header_rows(E.data_regions(cells), cells.select("sheet_id", "row").distinct())
 
 
 @query("remove_duplicates", "SELECT min(doc_id) AS doc_id FROM documents WHERE trim(text) <> '' GROUP BY text UNION ALL SELECT doc_id FROM documents WHERE trim(text) = ''")

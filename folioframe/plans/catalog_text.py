@@ -155,7 +155,7 @@ def affix_words(spark, sf):
     lines = ["SFX S Y 1", "SFX S 0 s .", "SFX D Y 1", "SFX D 0 d e", "PFX R Y 1", "PFX R 0 re ."]
     aff = spark.range(1).select(F.posexplode(F.array(*map(F.lit, lines))).alias("line_no", "line"))
     rules = B.parse_aff(aff)
-    made = B.expand_affixes(stems, rules, cap=10_000_000)
+    made = B.expand_affixes(stems, rules)
     back = made.select("word").join(
         stems.select("word").unionByName(
             stems.where("flags <> ''").select(F.explode(F.array(F.concat("word", F.lit("s")), F.when(F.col("word").endswith("e"), F.concat("word", F.lit("d"))), F.concat(F.lit("re"), "word"))).alias("word"))
@@ -221,7 +221,7 @@ def edit_distance(spark, sf):
 def osa(spark, sf):
     """Optimal string alignment of each customer name with the segment's: SQL has the unrestricted form only."""
     c = _t(spark, sf, "customer")
-    return c.select("c_custkey", S.osa_distance(F.lower(F.substring("c_name", 1, 12)), F.lower("c_mktsegment")).alias("distance"))
+    return c.select("c_custkey", S.osa_distance(F.lower("c_name"), F.lower("c_mktsegment")).alias("distance"))
 
 
 @query("mark_errors", f"""WITH {_WORDS}, e AS (SELECT DISTINCT doc_id, lower(word) AS word FROM tok WHERE {_CHECKABLE} AND lower(word) NOT IN (SELECT word FROM words))

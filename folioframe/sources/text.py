@@ -2,30 +2,45 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import itertools
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def read_delimited(spark: SparkSession, path: str, max_columns: int = 256) -> DataFrame:
-    """Cells of delimited files: tab-separated if a file's first line has a tab, else by commas. Rows may be ragged.
+def read_delimited(spark: SparkSession, path: str) -> DataFrame:
+    """Cells of delimited files: tab-separated if a file's first line has a tab, else by commas. Rows may be ragged, and of any width.
 
-    Every field is text; records beyond repair are skipped; Spark's readers pass over empty files. The sheet is the file.
+    Every field is text; blank lines are skipped, as are empty fields without quotes; Spark's readers pass over empty
+    files. The sheet is the file. Files without a quote are split line by line, so a large one is read by many tasks;
+    those with quotes may hold line ends in fields, and are parsed file by file.
     """
-    heads = spark.read.option("wholetext", False).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("i"), F.contains("value", F.lit("\t")).alias("tab"))
-    first = heads.groupBy("file").agg(F.min_by("tab", F.struct("block", "i")).alias("tab"))
-    by_tab: dict[bool, list[str]] = {True: [], False: []}
-    for r in first.toLocalIterator():  # as many as files, which the driver lists anyway
-        by_tab[r["tab"]].append(r["file"])
-    schema = ", ".join(f"_{i} string" for i in range(max_columns))
-    out = None
-    for tab, files in by_tab.items():
-        if files:
-            rows = spark.read.schema(schema).options(sep="\t" if tab else ",", quote='"', escape='"', multiLine=True, emptyValue="", nullValue="\0").csv(files)
-            rows = rows.select(F.col("_metadata.file_path").alias("sheet_id"), F.monotonically_increasing_id().alias("_i"), F.array(*[f"_{i}" for i in range(max_columns)]).alias("_v"))
-            out = rows if out is None else out.unionByName(rows)
-    if out is None:
-        return spark.createDataFrame([], "sheet_id string, row int, col int, value string, formula string")
-    return _rows_to_cells(out, F.col("_v"))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("sheet_id"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("i")).alias("_i"), "value")
+    kinds = lines.groupBy("sheet_id").agg(F.min_by(F.contains("value", F.lit("\t")), "_i").alias("_tab"), F.max(F.contains("value", F.lit('"'))).alias("_quoted"))
+    kinds = kinds.withColumnRenamed("sheet_id", "_file")
+    plain = lines.join(kinds.where("not _quoted"), F.col("sheet_id") == F.col("_file")).where("value <> ''")
+    values = F.when(F.col("_tab"), F.split("value", "\t")).otherwise(F.split("value", ","))
+    plain = plain.select("sheet_id", "_i", F.transform(values, lambda x: F.nullif(x, F.lit(""))).alias("_v"))
+    files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("sheet_id"), "content")
+    quoted = files.join(kinds.where("_quoted"), F.col("sheet_id") == F.col("_file")).select("sheet_id", "_tab", "content")
+    rows = quoted.mapInArrow(_parse_quoted, "sheet_id string, _i struct<block: long, i: long>, _v array<string>")
+    return _rows_to_cells(plain.unionByName(rows), F.col("_v"))
+
+
+def _parse_quoted(batches: Iterator[pa.RecordBatch], chunk: int = 10_000) -> Iterator[pa.RecordBatch]:
+    """Records of whole files (sheet_id, tab, content): quotes are doubled inside quotes, an empty field without quotes is null."""
+    csv.field_size_limit(1 << 31 - 1)
+    schema = pa.schema([("sheet_id", pa.string()), ("_i", pa.struct([("block", pa.int64()), ("i", pa.int64())])), ("_v", pa.list_(pa.string()))])
+    for batch in batches:
+        for name, tab, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            text = io.TextIOWrapper(io.BytesIO(content), "utf-8", "replace", newline="")
+            records = enumerate(r for r in csv.reader(text, delimiter="\t" if tab else ",", quoting=csv.QUOTE_NOTNULL) if r)
+            while some := list(itertools.islice(records, chunk)):
+                yield pa.RecordBatch.from_pylist([{"sheet_id": name, "_i": {"block": 0, "i": i}, "_v": r} for i, r in some], schema)
 
 
 def _rows_to_cells(rows: DataFrame, values: Column) -> DataFrame:
