@@ -15,9 +15,11 @@ CJK_WIDE = r"㐀-䶿一-鿿豈-﫿"
 _TOKEN = rf"[A-Za-z0-9][A-Za-z0-9'-]*|[{CJK}]"
 
 
-def placed_matches(df: DataFrame, id_col: str, text_col: str, pattern: str) -> DataFrame:
+def placed_matches(df: DataFrame, id_col: str, text_col: str, pattern: str, wanted: str | None = None) -> DataFrame:
     """(id, idx, word, start, stop) of all matches in a text, offsets in characters; a null text has none.
 
+    wanted names a column of lower-case words: of matches, those alone are returned, with their place among all.
+
     Map-only: placing matches with built-in functions would take a window over each document's tokens, and so a shuffle
     of all of them.
     """
@@ -26,8 +28,12 @@ def placed_matches(df: DataFrame, id_col: str, text_col: str, pattern: str) -> D
         find = re.compile(pattern).finditer
         for batch in batches:
             owner, idx, words, starts, stops = [], [], [], [], []
+            only = batch.column(2).to_pylist() if wanted else None
             for i, text in enumerate(batch.column(1).to_pylist()):
+                mine = set(only[i]) if only else None
                 for k, m in enumerate(find(text or "")):
+                    if mine is not None and m[0].lower() not in mine:
+                        continue
                     owner.append(i)
                     idx.append(k)
                     words.append(m[0])
@@ -37,12 +43,12 @@ def placed_matches(df: DataFrame, id_col: str, text_col: str, pattern: str) -> D
             yield pa.RecordBatch.from_arrays(columns, [id_col, "idx", "word", "start", "stop"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, text_col).mapInArrow(place, f"`{id_col}` {kind}, idx int, word string, start int, stop int")
+    return df.select(id_col, text_col, *([wanted] if wanted else [])).mapInArrow(place, f"`{id_col}` {kind}, idx int, word string, start int, stop int")
 
 
-def tokenize(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def tokenize(df: DataFrame, id_col: str, text_col: str, wanted: str | None = None) -> DataFrame:
     """(id, tok_idx, word, start, stop): runs of ASCII letters and digits with ' and -, or single CJK characters."""
-    return placed_matches(df, id_col, text_col, _TOKEN).withColumnRenamed("idx", "tok_idx")
+    return placed_matches(df, id_col, text_col, _TOKEN, wanted).withColumnRenamed("idx", "tok_idx")
 
 
 def words_only(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -50,6 +56,12 @@ def words_only(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col), F.explode(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(_TOKEN), 0)).alias("word"))
 
 
+def distinct_words(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, low): each token of a document once, lower-cased, with no shuffle."""
+    tokens = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(_TOKEN), 0)
+    return df.select(F.col(id_col), F.explode(F.array_distinct(F.transform(tokens, lambda x: F.lower(x)))).alias("low"))
+
+
 def script_runs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, run_idx, is_cjk, run, start, stop): alternating runs of CJK and other characters, whole text."""
     runs = placed_matches(df, id_col, text_col, rf"[{CJK}]+|[^{CJK}]+")

@@ -11,6 +11,7 @@ from folioframe.operators import documents as D
 from folioframe.operators import markup as M
 from folioframe.operators import spelling as C
 from folioframe.operators import text as T
+from folioframe.operators.sheet import _cut
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -37,9 +38,20 @@ words AS (SELECT lower(word) AS word, count(*) AS freq FROM tok GROUP BY 1 HAVIN
 _CHECKABLE = "octet_length(encode(word)) > 1 AND NOT regexp_matches(word, '^[0-9.,]+$') AND NOT regexp_matches(word, '[㐀-䶿一-鿿]')"
 
 
-def corpus_words(spark: SparkSession, sf: str, least: int = 5) -> DataFrame:
+def word_counts(spark: SparkSession, sf: str) -> DataFrame:
     tokens = T.words_only(_t(spark, sf, "documents"), "doc_id", "text")
-    return tokens.groupBy(F.lower("word").alias("word")).agg(F.count("*").alias("freq")).where(F.col("freq") >= least)
+    return tokens.groupBy(F.lower("word").alias("word")).agg(F.count("*").alias("freq"))
+
+
+def corpus_words(spark: SparkSession, sf: str, least: int = 5) -> DataFrame:
+    return word_counts(spark, sf).where(F.col("freq") >= least)
+
+
+def words_and_misses(spark: SparkSession, sf: str, least: int = 5) -> tuple[DataFrame, DataFrame]:
+    """The corpus's frequent words as a dictionary, and its other checkable words as queries; the corpus is counted once."""
+    counts = _cut(word_counts(spark, sf))
+    misses = counts.where((F.col("freq") < least) & S.is_checkable(F.col("word"))).select(F.col("word").alias("query"))
+    return counts.where(F.col("freq") >= least), misses
 
 
 @query("tokenize", f"""
@@ -170,7 +182,8 @@ _MISSPELT = f"SELECT doc_id, word, count(*) AS n FROM tok WHERE {_CHECKABLE} AND
 
 @query("spell_check", f"WITH {_WORDS} {_MISSPELT}")
 def spell_check(spark, sf):
-    return C.misspelt(_t(spark, sf, "documents"), "doc_id", "text", corpus_words(spark, sf)).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
+    words = _cut(corpus_words(spark, sf))
+    return C.misspelt(_t(spark, sf, "documents"), "doc_id", "text", words).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
 
 
 @query("spell_check_mixed", f"WITH {_WORDS} {_MISSPELT}")
@@ -180,33 +193,43 @@ def spell_check_mixed(spark, sf):
     return found.groupBy("doc_id", "word").agg(F.count("*").alias("n"))
 
 
-def _misses(spark, sf):
-    tokens = T.words_only(_t(spark, sf, "documents"), "doc_id", "text").where(S.is_checkable(F.col("word"))).select(F.lower("word").alias("query")).distinct()
-    return tokens.join(corpus_words(spark, sf).select(F.col("word").alias("query")), "query", "left_anti")
-
-
+_CUT2 = "list_distinct(list_concat([{0}], list_transform(range(1, length({0}) + 1), lambda i: substr({0}, 1, i - 1) || substr({0}, i + 1)), flatten(list_transform(range(1, length({0})), lambda i: list_transform(range(i + 1, length({0}) + 1), lambda j: substr({0}, 1, i - 1) || substr({0}, i + 1, j - i - 1) || substr({0}, j + 1))))))"
+# Within two edits: a word never becomes empty, so that words of one letter have no variants but themselves.
 _NEAR = f"""WITH {_WORDS}, q AS (SELECT DISTINCT lower(word) AS query FROM tok WHERE {_CHECKABLE} AND lower(word) NOT IN (SELECT word FROM words)),
-dq AS (SELECT DISTINCT query, unnest(list_concat([query], list_transform(range(1, length(query) + 1), lambda i: substr(query, 1, i - 1) || substr(query, i + 1)))) AS d FROM q),
-dw AS (SELECT DISTINCT word, freq, unnest(list_concat([word], CASE WHEN length(word) > 1 THEN list_transform(range(1, length(word) + 1), lambda i: substr(word, 1, i - 1) || substr(word, i + 1)) ELSE [] END)) AS d FROM words),
-c AS (SELECT DISTINCT query, word, freq FROM dq JOIN dw USING (d) WHERE query <> word AND abs(length(query) - length(word)) <= 1)"""
+dq AS (SELECT * FROM (SELECT query, unnest({_CUT2.format("query")}) AS d FROM q) WHERE d <> ''),
+dw AS (SELECT * FROM (SELECT word, freq, unnest({_CUT2.format("word")}) AS d FROM words) WHERE d <> ''),
+c AS (SELECT DISTINCT query, word, freq FROM dq JOIN dw USING (d) WHERE query <> word AND abs(length(query) - length(word)) <= 2)"""
+# Optimal string alignment up to 2: plain edits, or a swap of neighbours that nothing comes between, and one more edit or swap on one side.
+_ONE = "(levenshtein({0}, {1}) <= 1 OR (length({0}) > 1 AND length({1}) > 1 AND damerau_levenshtein({0}, {1}) <= 1))"
+_SIDE = "CASE WHEN {0} = {1} THEN 0 WHEN length({0}) = 0 OR length({1}) = 0 THEN abs(length({0}) - length({1})) WHEN " + _ONE + " THEN 1 ELSE 2 END"
+_SWAP = "list_bool_or(list_transform(range(1, length(query)), lambda i: list_bool_or(list_transform([i - 1, i, i + 1], lambda j: j >= 1 AND j < length(word) AND query[i] = word[j + 1] AND query[i + 1] = word[j] AND ({0}) + ({1}) <= 1))))".format(
+    _SIDE.format("query[1:i - 1]", "word[1:j - 1]"), _SIDE.format("query[i + 2:]", "word[j + 2:]")
+)
+_RANKED = f"""{_NEAR}, l AS (SELECT *, levenshtein(query, word) AS lev FROM c), s AS (SELECT *, CASE WHEN lev <= 1 THEN lev WHEN length(query) > 1 AND length(word) > 1 AND damerau_levenshtein(query, word) <= 1 THEN 1 WHEN lev <= 2 OR {_SWAP} THEN 2 ELSE 3 END AS distance FROM l WHERE lev <= 4),
+k AS (SELECT query, word, distance::INT AS distance, row_number() OVER (PARTITION BY query ORDER BY distance, abs(length(query) - length(word)), freq DESC, word)::INT AS rank FROM s WHERE distance <= 2
+QUALIFY row_number() OVER (PARTITION BY query ORDER BY distance, abs(length(query) - length(word)), freq DESC, word) <= 3)"""
 
 
 @query("fuzzy_candidates", f"{_NEAR} SELECT query, word FROM c")
 def fuzzy_candidates(spark, sf):
-    return C.fuzzy_candidates(_misses(spark, sf), B.deletes_index(corpus_words(spark, sf), 1), 1).select("query", "word")
+    words, misses = words_and_misses(spark, sf)
+    return C.fuzzy_candidates(misses, B.deletes_index(words, 2), 2).select("query", "word")
 
 
-@query("rank_candidates", f"""{_NEAR}, s AS (SELECT *, CASE WHEN length(query) > 1 AND length(word) > 1 THEN damerau_levenshtein(query, word) ELSE levenshtein(query, word) END AS distance FROM c)
-SELECT query, word, distance::INT AS distance, row_number() OVER (PARTITION BY query ORDER BY distance, abs(length(query) - length(word)), freq DESC, word)::INT AS rank FROM s WHERE distance <= 1
-QUALIFY row_number() OVER (PARTITION BY query ORDER BY distance, abs(length(query) - length(word)), freq DESC, word) <= 3""")
+@query("rank_candidates", f"{_RANKED} SELECT * FROM k")
 def rank_candidates(spark, sf):
-    return C.suggest(_misses(spark, sf), corpus_words(spark, sf), 3, 1).select("query", "word", "distance", "rank")
+    words, misses = words_and_misses(spark, sf)
+    return C.suggest(misses, words, 3, 2).select("query", "word", "distance", "rank")
 
 
-@query("spell_suggestions")
+@query("spell_suggestions", f"""{_RANKED}, g AS (SELECT query, string_agg(word, ',' ORDER BY rank) AS suggestions FROM k GROUP BY query),
+t AS (SELECT doc_id, text, {_TOKENS} AS ws, regexp_split_to_array(text, '[A-Za-z0-9][A-Za-z0-9''-]*|[㐀-䶿一-鿿]') AS gaps FROM documents),
+u AS (SELECT doc_id, i - 1 AS tok_idx, ws[i] AS word, list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ws[1:i - 1], lambda x: length(x))), 0) AS start
+  FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM t))
+SELECT doc_id, tok_idx::INT AS tok_idx, u.word, start::INT AS start, coalesce(suggestions, '') AS suggestions FROM u JOIN q ON lower(u.word) = q.query LEFT JOIN g ON g.query = q.query""")
 def spell_suggestions(spark, sf):
     """Every misspelt token with its three best corrections within two edits."""
-    found = C.spell_check(_t(spark, sf, "documents"), "doc_id", "text", {"en": corpus_words(spark, sf)}, n=3)
+    found = C.spell_check(_t(spark, sf, "documents"), "doc_id", "text", {"en": _cut(corpus_words(spark, sf))}, n=3)
     return found.select("doc_id", "tok_idx", "word", "start", F.array_join("suggestions", ",").alias("suggestions"))
 
 
@@ -228,7 +251,7 @@ def osa(spark, sf):
 SELECT e.doc_id, e.word, (len(string_split(lower(d.text), e.word)) - 1)::BIGINT AS n FROM e JOIN documents d USING (doc_id)""")
 def mark_errors(spark, sf):
     docs = _t(spark, sf, "documents")
-    errors = C.misspelt(docs, "doc_id", "text", corpus_words(spark, sf)).select("doc_id", "word", F.array().cast("array<string>").alias("suggestions"))
+    errors = C.misspelt(docs, "doc_id", "text", _cut(corpus_words(spark, sf))).select("doc_id", "word", F.array().cast("array<string>").alias("suggestions"))
     runs = docs.select("doc_id", F.lit(0).alias("run_idx"), F.col("text").alias("content"))
     return C.mark_errors(runs, errors).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
 
