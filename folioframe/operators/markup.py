@@ -108,10 +108,10 @@ REMOVED = ("iframe", "object", "embed", "style", "link", "meta", "base", "form",
 def sanitize_html(html: Column) -> Column:
     """HTML without active content: elements that run or embed, on* attributes; scripting and data links lead to #."""
     for tag in WITH_CONTENT:
-        html = F.regexp_replace(html, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "")
-    for tag in REMOVED:
-        html = F.regexp_replace(html, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "")
-    for tag in WITH_CONTENT + REMOVED:
-        html = F.regexp_replace(html, rf"(?is)</?{tag}\b[^>]*>", "")
-    html = F.regexp_replace(html, r"""(?is)\s+on[a-z]+\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", "")
-    return F.regexp_replace(html, r"""(?is)(href|src)\s*=\s*("\s*(?:javascript:|data:text/html)[^"]*"|'\s*(?:javascript:|data:text/html)[^']*'|(?:javascript:|data:text/html)[^\s>]*)""", '$1="#"')
+        html = F.regexp_replace(html, rf"(?is)<{tag}\b.*?</{tag}>", "")
+    names = "|".join(REMOVED)
+    html = F.regexp_replace(html, rf"(?is)<({names})\b[^>]*>.*?</\1>", "")
+    html = F.regexp_replace(html, rf"(?is)</?(?:{names}|{'|'.join(WITH_CONTENT)})\b[^>]*>", "")
+    html = F.regexp_replace(html, r"""(?i)\s+on\w+\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>]+)""", "")
+    quoted = "|".join(rf"{q}\s*(?:javascript:|data:text/html)[^{q}]*{q}" for q in "\"'")
+    return F.regexp_replace(html, rf"(?i)(href|src)\s*=\s*(?:{quoted}|javascript:[^\s>]+)", '$1="#"')

@@ -6,6 +6,7 @@ them back.
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -139,41 +140,52 @@ def doc_json_runs(spark, sf):
     return A.parse_doc_json(c.select("conv_id", body.alias("j")), "conv_id", "j")[1].select("doc_id", "kind", "content")
 
 
-@query("ingest_ooxml", "SELECT n_nationkey, n_name FROM nation")
+@query("ingest_ooxml", """SELECT 'block' AS part, n_nationkey AS key, n_name AS text FROM nation UNION ALL SELECT 'note', n_nationkey, 'see <' || n_name || '> & others' FROM nation UNION ALL SELECT 'comment', n_nationkey, 'A: ' || n_name FROM nation
+UNION ALL SELECT 'cell', n_nationkey, 'Sheet ' || n_name || ' ' || n_regionkey FROM nation UNION ALL SELECT 'slide', n_nationkey, n_name FROM nation UNION ALL SELECT 'warning', n_nationkey, '' FROM nation""")
 def ingest_ooxml(spark, sf):
-    """A document archive per nation, made in tasks from the table, and read back."""
+    """A document, a workbook, a slide and a damaged archive per nation, made in tasks from the table, and read back."""
     import pandas as pd
 
     out = _folder(spark)
 
-    def archive(frames):
+    def archives(frames):
         import io
         import zipfile
+        from xml.sax.saxutils import escape
 
         for frame in frames:
             rows = []
-            for name in frame["n_name"]:
-                data = io.BytesIO()
-                with zipfile.ZipFile(data, "w") as z:
-                    z.writestr("word/document.xml", f'<w:document xmlns:w="w"><w:body><w:p><w:r><w:t>{name}</w:t></w:r></w:p></w:body></w:document>')
-                rows.append(data.getvalue())
-            yield pd.DataFrame({"key": frame["n_nationkey"], "content": rows})
-
-    made = _t(spark, sf, "nation").select("n_nationkey", "n_name").mapInPandas(archive, "key long, content binary")
-    made.write.parquet(out)
-    files = spark.read.parquet(out).select(F.concat(F.lit("n"), F.col("key").cast("string"), F.lit(".doc")).alias("path"), "content")
-    routed = A.route_files(files, "path", "content").where("family = 'docx'")
-
-    def parse(frames):
-        for frame in frames:
-            rows = [r for n, f, c in zip(frame["path"], frame["family"], frame["content"], strict=True) for r in A._read_archive(n, f, bytes(c))]
-            yield pd.DataFrame({"doc": [r[0] for r in rows], "n_name": [r[7] for r in rows]})
-
-    found = routed.select("path", "family", "content").mapInPandas(parse, "doc string, n_name string")
-    return found.select(F.regexp_extract("doc", r"n(\d+)", 1).cast("int").alias("n_nationkey"), "n_name")
-
-
-# Streams ------------------------------------------------------------------------------------------------------------
+            for key, name, region in zip(frame["n_nationkey"], frame["n_name"], frame["n_regionkey"], strict=True):
+                made = {
+                    "docx": {
+                        "word/document.xml": f'<w:document xmlns:w="w"><w:body><w:p><w:r><w:t>{name}</w:t></w:r></w:p></w:body></w:document>',
+                        "word/footnotes.xml": f'<w:footnotes xmlns:w="w"><w:footnote w:id="0"><w:t>x</w:t></w:footnote><w:footnote w:id="2"><w:t>{escape(f"see <{name}> & others")}</w:t></w:footnote></w:footnotes>',
+                        "word/comments.xml": f'<w:comments xmlns:w="w"><w:comment w:id="1" w:author="A"><w:t> {name} </w:t></w:comment></w:comments>',
+                    },
+                    "xlsx": {
+                        "xl/workbook.xml": f'<workbook xmlns:r="r"><sheets><sheet name="Sheet {name}" r:id="i1"/></sheets></workbook>',
+                        "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="i1" Target="worksheets/first.xml"/></Relationships>',
+                        "xl/worksheets/first.xml": f'<worksheet><sheetData><row><c r="A1"><v>{region}</v></c></row></sheetData></worksheet>',
+                    },
+                    "pptx": {"ppt/slides/slide1.xml": f'<p:sld xmlns:p="p" xmlns:a="a"><a:p><a:t>{name}</a:t></a:p></p:sld>'},
+                }
+                for kind, parts in made.items():
+                    data = io.BytesIO()
+                    with zipfile.ZipFile(data, "w") as z:
+                        for part, text in parts.items():
+                            z.writestr(part, text)
+                    rows.append((f"n{key}.{kind}", data.getvalue()))
+                rows.append((f"n{key}.broken.docx", data.getvalue()[:40]))
+            yield pd.DataFrame(rows, columns=["path", "content"])
+
+    _t(spark, sf, "nation").mapInPandas(archives, "path string, content binary").write.parquet(out)
+    found = A.ingest_archives(spark.read.parquet(out))
+    key = F.regexp_extract("doc_id", r"^n(\d+)\.", 1).cast("int").alias("key")
+    texts = {
+        "block": ("blocks", F.col("text")), "note": ("notes", F.col("text")), "comment": ("comments", F.concat_ws(": ", "author", "text")),
+        "cell": ("cells", F.concat_ws(" ", "sheet_id", "value")), "slide": ("slides", F.col("text")), "warning": ("warnings", F.lit("")),
+    }
+    return functools.reduce(DataFrame.unionByName, [found[table].select(F.lit(part).alias("part"), key, text.alias("text")) for part, (table, text) in texts.items()])
 
 
 def _drain(stream: DataFrame, mode: str, spark: SparkSession) -> DataFrame:

@@ -77,9 +77,9 @@ def multi_sort_blanks(spark, sf):
     return E.multi_sort(o, [("p", False)], "o_orderkey", locale=None, pos="pos").select("o_orderkey", "pos")
 
 
-@query("sort_rows_text", "SELECT p_partkey FROM part")
+@query("sort_rows_text", "SELECT p_partkey, row_number() OVER (ORDER BY p_partkey::VARCHAR DESC) - 1 AS pos FROM part")
 def sort_rows_text(spark, sf):
-    return E.sort_rows_text(_t(spark, sf, "part"), "p_partkey", False).select("p_partkey")
+    return E.number_rows(E.sort_rows_text(_t(spark, sf, "part"), "p_partkey", False).select("p_partkey"), "pos")
 
 
 @query("data_regions", f"WITH {_CELLS}, r AS (SELECT DISTINCT sheet_id, row FROM cells WHERE trim(value) <> ''), g AS (SELECT *, row - row_number() OVER (PARTITION BY sheet_id ORDER BY row) AS g FROM r) SELECT sheet_id, min(row) AS top, max(row) AS bottom FROM g GROUP BY sheet_id, g")
@@ -154,7 +154,9 @@ def merge_region(spark, sf):
     return E.merge_region(_merges(spark, sf), "s1", 9, 6, 5, 2)
 
 
-@query("coalesce_rects")
+@query("coalesce_rects", f"""WITH RECURSIVE {_MERGES}, u AS (SELECT DISTINCT * FROM m),
+w AS (SELECT 0 AS turn, * FROM u UNION ALL SELECT * FROM (SELECT DISTINCT a.turn + 1 AS turn, a.sheet_id, min(b.r1) AS r1, min(b.c1) AS c1, max(b.r2) AS r2, max(b.c2) AS c2 FROM w a JOIN w b ON a.sheet_id = b.sheet_id AND a.r1 <= b.r2 AND a.r2 >= b.r1 AND a.c1 <= b.c2 AND a.c2 >= b.c1 WHERE a.turn < 30 GROUP BY a.turn, a.sheet_id, a.r1, a.c1, a.r2, a.c2))
+SELECT sheet_id, r1, c1, r2, c2 FROM w WHERE turn = 30""")
 def coalesce_rects(spark, sf):
     return E.coalesce_rects(_merges(spark, sf))
 

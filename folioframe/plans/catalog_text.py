@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from folioframe.operators import documents as D
 from folioframe.operators import markup as M
 from folioframe.operators import spelling as C
 from folioframe.operators import text as T
-from folioframe.operators.sheet import _cut
+from folioframe.operators.sheet import _cut, number_rows
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -63,15 +65,43 @@ def tokenize(spark, sf):
     return T.tokenize(_t(spark, sf, "documents"), "doc_id", "text")
 
 
-@query("script_runs", "SELECT doc_id, 0 AS run_idx, false AS is_cjk, length(text)::INT AS stop FROM documents WHERE NOT regexp_matches(text, '[㐀-䶿一-鿿]') AND text <> ''")
+_HAN = "".join(chr(0x4E00 + i) for i in range(26))
+_LATIN = "abcdefghijklmnopqrstuvwxyz"
+
+
+@query("script_runs", rf"""WITH t AS (SELECT doc_id, regexp_extract_all(translate(text, 'aeiou', '一七三上下'), '[㐀-䶿一-鿿]+|[^㐀-䶿一-鿿]+') AS rs FROM documents)
+SELECT doc_id, (i - 1)::INT AS run_idx, regexp_matches(rs[i], '[㐀-䶿一-鿿]') AS is_cjk, list_sum(list_transform(rs[1:i], lambda x: length(x)))::INT AS stop FROM (SELECT doc_id, rs, unnest(range(1, len(rs) + 1)) AS i FROM t)""")
 def script_runs(spark, sf):
-    return T.script_runs(_t(spark, sf, "documents"), "doc_id", "text").select("doc_id", "run_idx", "is_cjk", "stop")
+    """Texts whose vowels are made CJK characters."""
+    docs = _t(spark, sf, "documents").select("doc_id", F.translate("text", "aeiou", "一七三上下").alias("text"))
+    return T.script_runs(docs, "doc_id", "text").select("doc_id", "run_idx", "is_cjk", "stop")
+
+
+def _han(c):
+    """Latin letters as CJK characters, one for one."""
+    return F.translate(F.lower(c), _LATIN, _HAN)
+
+
+_HAN_SQL = f"translate(lower({{}}), '{_LATIN}', '{_HAN}')"
 
 
-@query("segment_cjk")
+@query("segment_cjk", rf"""WITH RECURSIVE {_WORDS}, dict AS (SELECT DISTINCT {_HAN_SQL.format("word")} AS w FROM words WHERE length(word) > 1), most AS (SELECT max(length(w)) AS n FROM dict),
+t AS (SELECT doc_id, regexp_extract_all({_HAN_SQL.format("text")}, '[㐀-䶿一-鿿豈-﫿]+|[^㐀-䶿一-鿿豈-﫿]+') AS rs FROM documents), r AS (SELECT doc_id, i, rs[i] AS run FROM (SELECT doc_id, rs, unnest(range(1, len(rs) + 1)) AS i FROM t)),
+kinds AS (SELECT DISTINCT run FROM r WHERE regexp_matches(run, '[㐀-䶿一-鿿豈-﫿]')), places AS (SELECT run, unnest(range(1, length(run) + 1)) AS pos FROM kinds),
+spans AS (SELECT run, pos, unnest(range(2, least(length(run) - pos + 1, (SELECT n FROM most)) + 1)) AS size FROM places),
+best AS (SELECT run, pos, max(size) AS size FROM spans WHERE substr(run, pos, size) IN (SELECT w FROM dict) GROUP BY ALL),
+walk AS (SELECT run, 1::BIGINT AS pos FROM kinds UNION ALL SELECT walk.run, walk.pos + coalesce(best.size, 1) FROM walk LEFT JOIN best ON best.run = walk.run AND best.pos = walk.pos WHERE walk.pos + coalesce(best.size, 1) <= length(walk.run)),
+cuts AS (SELECT run, count(*) AS n, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS cuts FROM walk GROUP BY run)
+SELECT doc_id, sum(coalesce(n, 1))::BIGINT AS n_segments, md5(string_agg(coalesce(cuts, '1'), ';' ORDER BY i)) AS digest FROM r LEFT JOIN cuts USING (run) GROUP BY doc_id""")
 def segment_cjk(spark, sf):
-    words = corpus_words(spark, sf).select("word")
-    return T.segment_cjk(_t(spark, sf, "documents"), "doc_id", "text", words).select("doc_id", "seg_idx", F.length("word").alias("n_chars"))
+    """Texts and the dictionary with their letters made CJK characters; the digest is of each run's cuts."""
+    words = _cut(corpus_words(spark, sf).where(F.length("word") > 1).select(_han(F.col("word")).alias("word")))
+    docs = _t(spark, sf, "documents").select("doc_id", _han(F.col("text")).alias("text"))
+    found = T.segment_cjk(docs, "doc_id", "text", words)
+    runs = T.placed_matches(docs, "doc_id", "text", rf"[{T.CJK_WIDE}]+|[^{T.CJK_WIDE}]+").select("doc_id", F.col("idx").alias("run_idx"), F.explode(F.sequence(F.col("start"), F.col("stop") - 1)).alias("start"), F.col("start").alias("at"))
+    placed = found.join(runs, ["doc_id", "start"]).groupBy("doc_id", "run_idx").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list(F.col("start") - F.col("at") + 1)), ",").alias("cuts"))
+    cuts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run_idx", "cuts"))), lambda x: x["cuts"]), ";")
+    return placed.groupBy("doc_id").agg(F.sum("n").alias("n_segments"), F.md5(cuts).alias("digest"))
 
 
 @query("checkable_words", f"WITH {_WORDS} SELECT word, {_CHECKABLE} AS checkable FROM words")
@@ -136,9 +166,9 @@ def dict_stats(spark, sf):
     return B.dict_stats(user_dict(spark, sf))
 
 
-@query("list_words", f"WITH {_USER_DICT} SELECT word, frequency FROM ud")
+@query("list_words", f"WITH {_USER_DICT} SELECT word, frequency, row_number() OVER (ORDER BY frequency DESC, word) - 1 AS pos FROM ud")
 def list_words(spark, sf):
-    return B.list_words(user_dict(spark, sf), "en").select("word", "frequency")
+    return number_rows(B.list_words(user_dict(spark, sf), "en").select("word", "frequency"), "pos")
 
 
 @query("build_dictionary", f"WITH {_WORDS}, {_USER_DICT} SELECT 'en' AS lang, word, sum(freq)::BIGINT AS freq FROM (SELECT word, freq FROM words UNION ALL SELECT word, frequency + 1 FROM ud) GROUP BY word")
@@ -186,11 +216,15 @@ def spell_check(spark, sf):
     return C.misspelt(_t(spark, sf, "documents"), "doc_id", "text", words).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
 
 
-@query("spell_check_mixed", f"WITH {_WORDS} {_MISSPELT}")
+@query("spell_check_mixed", rf"""WITH {_WORDS}, d AS (SELECT doc_id, CASE WHEN lang = 'en' THEN text ELSE {_HAN_SQL.format("text")} END AS text FROM documents), m AS (SELECT doc_id, unnest({_TOKENS}) AS word FROM d)
+SELECT doc_id, word, 'en' AS lang, count(*) AS n FROM m WHERE {_CHECKABLE} AND lower(word) NOT IN (SELECT word FROM words) GROUP BY ALL""")
 def spell_check_mixed(spark, sf):
-    """Mixed mode: no zh word list, so CJK is passed over."""
-    found = C.spell_check(_t(spark, sf, "documents"), "doc_id", "text", {"en": corpus_words(spark, sf)}, lang="mixed", n=1, distance=1)
-    return found.groupBy("doc_id", "word").agg(F.count("*").alias("n"))
+    """Mixed mode: English texts, and others with their letters made CJK characters, whose segments are words of the zh list or single, and so no errors."""
+    words = _cut(corpus_words(spark, sf))
+    zh = words.where(F.length("word") > 1).select(_han(F.col("word")).alias("word"), "freq").unionByName(words.limit(1).select(F.lit("的").alias("word"), "freq"))
+    text = F.when(F.col("lang") == "en", F.col("text")).otherwise(_han(F.col("text")))
+    found = C.spell_check(_t(spark, sf, "documents").select("doc_id", text.alias("text")), "doc_id", "text", {"en": words, "zh": zh}, lang="mixed")
+    return found.groupBy("doc_id", "word", "lang").agg(F.count("*").alias("n"))
 
 
 _CUT2 = "list_distinct(list_concat([{0}], list_transform(range(1, length({0}) + 1), lambda i: substr({0}, 1, i - 1) || substr({0}, i + 1)), flatten(list_transform(range(1, length({0})), lambda i: list_transform(range(i + 1, length({0}) + 1), lambda j: substr({0}, 1, i - 1) || substr({0}, i + 1, j - i - 1) || substr({0}, j + 1))))))"
@@ -287,9 +321,19 @@ def markdown_blocks(spark, sf):
     return M.markdown_blocks(_t(spark, sf, "documents"), "doc_id", "text").groupBy("doc_id", "block_type").agg(F.count("*").alias("n"))
 
 
-@query("markdown_inlines")
+_MARKS = {" the ": " **the** ", " de ": " *de* ", " und ": " `und` ", " of ": " [of](http://x) ", " le ": " ![le](y.png) "}
+_MARKED = functools.reduce(lambda x, m: f"replace({x}, '{m[0]}', '{m[1]}')", _MARKS.items(), "text")
+
+
+@query("markdown_inlines", rf"""WITH l AS (SELECT doc_id, unnest(string_split(regexp_replace({_MARKED}, '\r\n?', chr(10), 'g'), chr(10))) AS line FROM documents),
+b AS (SELECT doc_id, regexp_replace(line, '^(#+ |[-*] |\d\. |> )', '') AS t FROM l WHERE trim(line) <> '' AND trim(line) NOT LIKE '|%'),
+p AS (SELECT doc_id, unnest(regexp_extract_all(t, '(?s){M._INLINE}')) AS p FROM b UNION ALL SELECT doc_id, unnest(list_filter(regexp_split_to_array(t, '(?s){M._INLINE}'), lambda x: x <> '')) || chr(0) FROM b)
+SELECT doc_id, CASE WHEN p LIKE '%' || chr(0) THEN 'text' WHEN p LIKE '**%' THEN 'bold' WHEN p LIKE '*%' THEN 'italic' WHEN p LIKE '`%' THEN 'code' WHEN p LIKE '!%' THEN 'image' ELSE 'link' END AS kind, count(*) AS n FROM p GROUP BY ALL""")
 def markdown_inlines(spark, sf):
-    return M.markdown_inlines(M.markdown_blocks(_t(spark, sf, "documents"), "doc_id", "text")).groupBy("doc_id", "kind").agg(F.count("*").alias("n"))
+    """Some words set in bold, italic, as code, links and images."""
+    text = functools.reduce(lambda x, m: F.replace(x, F.lit(m[0]), F.lit(m[1])), _MARKS.items(), F.col("text"))
+    docs = _t(spark, sf, "documents").select("doc_id", text.alias("text"))
+    return M.markdown_inlines(M.markdown_blocks(docs, "doc_id", "text")).groupBy("doc_id", "kind").agg(F.count("*").alias("n"))
 
 
 @query("markdown_tables")
@@ -403,9 +447,11 @@ def element_counts(spark, sf):
     return D.element_counts(M.markdown_blocks(_t(spark, sf, "documents"), "doc_id", "text"), ["heading", "bullet"])
 
 
-@query("elements", r"SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE regexp_matches(line, '^[-*] ') GROUP BY doc_id")
+@query("elements", r"SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(string_split(regexp_replace(text, '(?m)^([A-M])', '- \1', 'g'), chr(10))) AS line FROM documents) WHERE regexp_matches(line, '^[-*] ') GROUP BY doc_id")
 def elements(spark, sf):
-    return D.elements(M.markdown_blocks(_t(spark, sf, "documents"), "doc_id", "text"), "bullet").groupBy("doc_id").agg(F.count("*").alias("n"))
+    """Lines that begin with A to M made items of a list, and picked."""
+    docs = _t(spark, sf, "documents").select("doc_id", F.regexp_replace("text", r"(?md)^([A-M])", "- $1").alias("text"))
+    return D.elements(M.markdown_blocks(docs, "doc_id", "text"), "bullet").groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
 @query("doc_text", "SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id")
@@ -439,19 +485,31 @@ def slide_shapes(spark, sf):
 _S = "'(?is)<{t}\\b[^>]*>.*?</{t}\\s*>'"
 
 
+_ACTIVE = (
+    """<a onclick="x('y')" on_x=1 ON1='"' title="on y">a</a><a href="javascript:f()">b</a><img src= 'data:text/html,x'><a HREF=javascript:g(1)>c</a><iframe><form></iframe>d</form >"""
+    """<svg onload=z><math></svg></math><noscript>e</noscript><script>if (a < b) {}</script ><p onx = y>f</p><input><object data="x">g</object>"""
+)
+
+
 def _sanitise_sql() -> str:
-    x = "html"
-    for tag in M.WITH_CONTENT + M.REMOVED:
-        x = f"regexp_replace({x}, {_S.format(t=tag)}, '', 'g')"
-    for tag in M.WITH_CONTENT + M.REMOVED:
-        x = f"regexp_replace({x}, '(?is)</?{tag}\\b[^>]*>', '', 'g')"
-    x = f"""regexp_replace({x}, '(?is)\\s+on[a-z]+\\s*=\\s*("[^"]*"|''[^'']*''|[^\\s>]+)', '', 'g')"""
-    return f"""SELECT page_id, md5(regexp_replace({x}, '(?is)(href|src)\\s*=\\s*("\\s*(?:javascript:|data:text/html)[^"]*"|''\\s*(?:javascript:|data:text/html)[^'']*''|(?:javascript:|data:text/html)[^\\s>]*)', '\\1="#"', 'g')) AS digest FROM pages"""
+    """Every rule as one replacement of RE2, which has neither look-ahead nor back-reference: a branch for each element."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    x = f"({quoted(_ACTIVE)} || html)"
+    every = (*M.REMOVED, *M.WITH_CONTENT)
+    steps = [(f"(?is)<{t}\\b.*?</{t}>", "") for t in M.WITH_CONTENT]
+    steps += [("(?is)" + "|".join(f"<{t}\\b[^>]*>.*?</{t}>" for t in M.REMOVED), ""), ("(?is)" + "|".join(f"</?{t}\\b[^>]*>" for t in every), "")]
+    steps += [("(?i)\\s+on\\w+\\s*=\\s*" + q, "") for q in ('"[^"]*"', "'[^']*'", "[^\\s>]+")]
+    steps += [(f"(?i)(href|src)\\s*=\\s*{q}\\s*{kind}[^{q}]*{q}", '\\1="#"') for kind in ("javascript:", "data:text/html") for q in ('"', "'")]
+    steps += [("(?i)(href|src)\\s*=\\s*javascript:[^\\s>]+", '\\1="#"')]
+    for pattern, new in steps:
+        x = f"regexp_replace({x}, {quoted(pattern)}, {quoted(new)}, 'g')"
+    return f"SELECT page_id, md5({x}) AS digest FROM pages"
 
 
 @query("sanitize_html", _sanitise_sql())
 def sanitize_html(spark, sf):
-    return _t(spark, sf, "pages").select("page_id", F.md5(M.sanitize_html(F.col("html"))).alias("digest"))
+    """Pages with active content of every kind put in front."""
+    return _t(spark, sf, "pages").select("page_id", F.md5(M.sanitize_html(F.concat(F.lit(_ACTIVE), "html"))).alias("digest"))
 
 
 @query("escape_html", """SELECT page_id, md5(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')) AS digest FROM pages""")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import io
 import re
 import zipfile
@@ -77,77 +78,117 @@ def read_doc_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     return parse_doc_json(files, "doc_id", "value")
 
 
+_PART_COLUMNS = ("doc_id", "part", "seq", "row", "col", "kind", "level", "value", "formula", "message")
 _PART_SCHEMA = "doc_id string, part string, seq int, row int, col int, kind string, level int, value string, formula string, message string"
 
 
-def ingest_ooxml(spark: SparkSession, path: str, max_bytes: int = 200_000_000) -> dict[str, DataFrame]:
-    """blocks, cells, merges, slides and warnings of office archives under a path.
+def ingest_ooxml(spark: SparkSession, path: str, max_bytes: int | None = None) -> dict[str, DataFrame]:
+    """blocks, notes, comments, cells, merges, slides and warnings of office archives under a path; see ingest_archives.
 
-    Each file is one row of binaryFile and is read in a Python task; a damaged or too large one becomes a warning.
+    Files of more than max_bytes, if it is given, become a warning.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    large = files.where(F.col("length") > max_bytes) if max_bytes is not None else files.limit(0)
+    out = ingest_archives(files if max_bytes is None else files.where(F.col("length") <= max_bytes))
+    out["warnings"] = out["warnings"].unionByName(large.select(F.col("path").alias("doc_id"), F.lit("error").alias("level"), F.lit("file too large").alias("message")))
+    return out
+
+
+def ingest_archives(files: DataFrame) -> dict[str, DataFrame]:
+    """blocks, notes, comments, cells, merges, slides and warnings of office archives (path, content).
+
+    Each archive is read in a Python task; one that can't be read, whatever is wrong with it, becomes a warning.
     """
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["doc_id", "part", "seq", "row", "col", "kind", "level", "value", "formula", "message"]
         for frame in frames:
-            rows: list[tuple] = []
+            rows: list[dict] = []
             for name, family, content in zip(frame["path"], frame["family"], frame["content"], strict=True):
                 try:
-                    rows += _read_archive(name, family, bytes(content))
-                except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, ValueError) as error:
-                    rows.append((name, "warning", 0, None, None, "error", None, None, None, str(error)))
-            yield pd.DataFrame(rows, columns=columns).astype({c: "Int32" for c in ("seq", "row", "col", "level")})
-
-    files = route_files(spark.read.format("binaryFile").load(path), "path", "content").where("family in ('docx', 'xlsx', 'pptx')")
-    small = files.where(F.col("length") <= max_bytes).select("path", "family", "content").repartition("path")
-    parts = small.mapInPandas(parse, _PART_SCHEMA)
-    large = files.where(F.col("length") > max_bytes).select(F.col("path").alias("doc_id"), F.lit("error").alias("level"), F.lit("file too large").alias("message"))
+                    rows += [{"doc_id": name, **r} for r in _READERS[family](zipfile.ZipFile(io.BytesIO(bytes(content))))]
+                except Exception as error:  # noqa: BLE001  (whatever a damaged archive raises)
+                    rows.append({"doc_id": name, "part": "warning", "message": f"{type(error).__name__}: {error}"})
+            yield pd.DataFrame(rows, columns=_PART_COLUMNS).astype({c: "Int32" for c in ("seq", "row", "col", "level")})
+
+    files = route_files(files, "path", "content").where(F.col("family").isin(*_READERS)).select("path", "family", "content").repartition("path")
+    parts = files.mapInPandas(parse, _PART_SCHEMA)
     of = lambda kind: parts.where(F.col("part") == kind)
     return {
         "blocks": of("block").select("doc_id", F.col("seq").alias("block_idx"), F.col("kind").alias("block_type"), "level", F.col("value").alias("text")),
+        "notes": of("note").select("doc_id", F.col("kind").alias("note_id"), F.col("value").alias("text")),
+        "comments": of("comment").select("doc_id", F.col("kind").alias("comment_id"), F.col("formula").alias("author"), F.col("value").alias("text")),
         "cells": of("cell").select("doc_id", F.col("kind").alias("sheet_id"), "row", "col", "value", "formula"),
         "merges": of("merge").select("doc_id", F.col("kind").alias("sheet_id"), F.col("value").alias("ref")),
         "slides": of("slide").select("doc_id", F.col("seq").alias("slide_no"), "kind", F.col("value").alias("text")),
-        "warnings": of("warning").select("doc_id", F.lit("error").alias("level"), "message").unionByName(large),
+        "warnings": of("warning").select("doc_id", F.lit("error").alias("level"), "message"),
     }
 
 
-def _local(tag: str) -> str:
-    return tag.rpartition("}")[2]
-
-
-def _texts(node, tag: str = "t") -> str:
-    return "".join(x.text or "" for x in node.iter() if _local(x.tag) == tag)
-
-
-def _read_archive(name: str, family: str, content: bytes) -> list[tuple]:
-    """Rows (doc_id, part, seq, row, col, kind, level, value, formula, message) of one archive."""
-    z = zipfile.ZipFile(io.BytesIO(content))
-    tree = lambda part: ElementTree.fromstring(z.read(part))
-    out: list[tuple] = []
-    if family == "docx":
-        body = next(x for x in tree("word/document.xml") if _local(x.tag) == "body")
-        for i, block in enumerate(x for x in body if _local(x.tag) in ("p", "tbl")):
-            style = next((v for x in block.iter() if _local(x.tag) == "pStyle" for k, v in x.attrib.items() if _local(k) == "val"), "")
-            level = re.fullmatch(r"(?i)heading\s*([1-9])", style)
-            kind = "table" if _local(block.tag) == "tbl" else "heading" if level else "paragraph"
-            out.append((name, "block", i, None, None, kind, int(level[1]) if level else None, _texts(block), None, None))
-    elif family == "xlsx":
-        shared = [_texts(x) for x in tree("xl/sharedStrings.xml") if _local(x.tag) == "si"] if "xl/sharedStrings.xml" in z.namelist() else []
-        for part in sorted(n for n in z.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)):
-            sheet = part[14:-4]
-            for x in tree(part).iter():
-                if _local(x.tag) == "mergeCell":
-                    out.append((name, "merge", 0, None, None, sheet, None, x.get("ref"), None, None))
-                elif _local(x.tag) == "c" and (at := re.fullmatch(r"([A-Z]+)(\d+)", x.get("r", ""))):
-                    col = 0
-                    for letter in at[1]:
-                        col = col * 26 + ord(letter) - 64
-                    parts = {_local(y.tag): y.text or "" for y in x}
-                    value = shared[int(parts["v"])] if x.get("t") == "s" and parts.get("v") else _texts(x) if x.get("t") == "inlineStr" else parts.get("v", "")
-                    out.append((name, "cell", 0, int(at[2]) - 1, col - 1, sheet, None, value, parts.get("f"), None))
-    elif family == "pptx":
-        for kind, shape in (("slide", r"ppt/slides/slide(\d+)\.xml"), ("notes", r"ppt/notesSlides/notesSlide(\d+)\.xml")):
-            for number, part in sorted((int(m[1]), n) for n in z.namelist() if (m := re.fullmatch(shape, n))):
-                lines = [t for p in tree(part).iter() if _local(p.tag) == "p" and (t := _texts(p))]
-                out.append((name, "slide", number, None, None, kind, None, "\n".join(lines), None, None))
-    return out
+def _local(name: str) -> str:
+    return name.rpartition("}")[2]
+
+
+def _all(node, tag: str) -> Iterator:
+    return (x for x in node.iter() if _local(x.tag) == tag)
+
+
+def _texts(node) -> str:
+    return "".join(x.text or "" for x in _all(node, "t"))
+
+
+def _attr(node, name: str, default: str = "") -> str:
+    return next((v for k, v in node.attrib.items() if _local(k) == name), default)
+
+
+def _tree(z: zipfile.ZipFile, part: str, needed: bool = True):
+    """The root of a part; an empty one if it is missing and not needed."""
+    if not needed and part not in z.namelist():
+        return ElementTree.Element("none")
+    return ElementTree.fromstring(z.read(part))
+
+
+def _read_document(z: zipfile.ZipFile) -> Iterator[dict]:
+    body = next(_all(_tree(z, "word/document.xml"), "body"), None)
+    if body is None:
+        raise ValueError("no body")
+    for i, block in enumerate(x for x in body if _local(x.tag) in ("p", "tbl")):
+        level = re.fullmatch(r"(?i)heading\s*([1-9])", next((_attr(x, "val") for x in _all(block, "pStyle")), ""))
+        kind = "table" if _local(block.tag) == "tbl" else "heading" if level else "paragraph"
+        yield {"part": "block", "seq": i, "kind": kind, "level": int(level[1]) if level else None, "value": _texts(block)}
+    # Notes -1 and 0 are separators.
+    for note in _all(_tree(z, "word/footnotes.xml", False), "footnote"):
+        if _attr(note, "id") not in ("-1", "0"):
+            yield {"part": "note", "kind": _attr(note, "id"), "value": _texts(note).strip()}
+    for comment in _all(_tree(z, "word/comments.xml", False), "comment"):
+        yield {"part": "comment", "kind": _attr(comment, "id"), "formula": _attr(comment, "author"), "value": _texts(comment).strip()}
+
+
+def _sheet_names(z: zipfile.ZipFile) -> list[tuple[str, str]]:
+    """(part, name) of the sheets in the workbook's order; without a workbook, the parts under their own names."""
+    targets = {_attr(r, "Id"): _attr(r, "Target") for r in _all(_tree(z, "xl/_rels/workbook.xml.rels", False), "Relationship")}
+    named = [(targets.get(_attr(s, "id"), ""), s.get("name", "")) for s in _all(_tree(z, "xl/workbook.xml", False), "sheet")]
+    found = [(t.lstrip("/") if t.startswith("/") else f"xl/{t}", name) for t, name in named if t]
+    return found or [(n, n[14:-4]) for n in sorted(z.namelist()) if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)]
+
+
+def _read_workbook(z: zipfile.ZipFile) -> Iterator[dict]:
+    shared = [_texts(x) for x in _all(_tree(z, "xl/sharedStrings.xml", False), "si")]
+    for part, sheet in _sheet_names(z):
+        for x in _tree(z, part).iter():
+            if _local(x.tag) == "mergeCell":
+                yield {"part": "merge", "kind": sheet, "value": x.get("ref")}
+            elif _local(x.tag) == "c" and (at := re.fullmatch(r"([A-Z]+)(\d+)", x.get("r", ""))):
+                col = functools.reduce(lambda n, letter: n * 26 + ord(letter) - 64, at[1], 0)
+                parts = {_local(y.tag): y.text or "" for y in x}
+                value = shared[int(parts["v"])] if x.get("t") == "s" and parts.get("v") else _texts(x) if x.get("t") == "inlineStr" else parts.get("v", "")
+                yield {"part": "cell", "row": int(at[2]) - 1, "col": col - 1, "kind": sheet, "value": value, "formula": parts.get("f")}
+
+
+def _read_slides(z: zipfile.ZipFile) -> Iterator[dict]:
+    for kind, shape in (("slide", r"ppt/slides/slide(\d+)\.xml"), ("notes", r"ppt/notesSlides/notesSlide(\d+)\.xml")):
+        for number, part in sorted((int(m[1]), n) for n in z.namelist() if (m := re.fullmatch(shape, n))):
+            lines = [t for p in _all(_tree(z, part), "p") if (t := _texts(p))]
+            yield {"part": "slide", "seq": number, "kind": kind, "value": "\n".join(lines)}
+
+
+_READERS = {"docx": _read_document, "xlsx": _read_workbook, "pptx": _read_slides}
