@@ -93,10 +93,12 @@ def forecast(df: DataFrame, x: str, y: str, by: list[str], n: int = 5) -> DataFr
     return ahead.select(*by, "x", js_round(F.col("_a") + F.col("_b") * F.col("x"), 2).alias("forecast"))
 
 
-def fill_series(seeds: DataFrame, n: int) -> DataFrame:
-    """(series, step, value): the next n values of seeds (series, idx, value).
+def fill_series(seeds: DataFrame, n: int, backwards: bool = False) -> DataFrame:
+    """(series, step, value): the next n values of seeds (series, idx, value), step by step away from them.
 
     One number counts on by 1; an arithmetic, else a geometric progression goes on (to 1e-9); anything else repeats.
+    backwards fills upwards or to the left: progressions still go on from the last seed, as editors do, and what repeats
+    is read from the first seed back round.
     """
     text = F.trim("value")
     num = F.when(text.rlike(r"^-?\d+(\.\d+)?$"), text.cast("double"))
@@ -113,7 +115,7 @@ def fill_series(seeds: DataFrame, n: int) -> DataFrame:
         F.col("_numeric") & F.col("_geo") & (F.col("_ratio") != 1), r9(F.col("_last") * F.pow("_ratio", "step"))
     )
     whole = F.when(value == F.floor(value), value.cast("long").cast("string")).otherwise(value.cast("string"))
-    return g.select("series", "step", F.coalesce(whole, F.get("_all", F.pmod(F.col("step") - 1, F.col("_n")).cast("int"))).alias("value"))
+    return g.select("series", "step", F.coalesce(whole, F.get("_all", F.pmod(1 - F.col("step") if backwards else F.col("step") - 1, F.col("_n")).cast("int"))).alias("value"))
 
 
 def cond_rule(df: DataFrame, col: str, kind: str, by: list[str] | None = None, order_col: str | None = None) -> DataFrame:

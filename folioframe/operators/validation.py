@@ -57,8 +57,29 @@ def compress_runs(cells: DataFrame) -> DataFrame:
     return spans.withColumn("sqref", F.when(F.col("c1") == F.col("c2"), first).otherwise(F.concat(first, F.lit(":"), last)))
 
 
+def squash_cells(cells: DataFrame) -> DataFrame:
+    """(sheet_id, valid, n, c1, r1, c2, r2, sqref): cells with the same list, walked by column and row, as corners of ranges.
+
+    A range ends only where the next cell is in the column of the last one and leaves a gap there, so that columns next
+    to each other run on in one range, from the first cell to the last. n numbers the ranges.
+    """
+    listed = cells.where(F.coalesce("valid", F.lit("")) != "").select("sheet_id", "valid", "row", "col").distinct()
+    by = ["sheet_id", "valid"]
+    w = Window.partitionBy(*by).orderBy("col", "row")
+    gap = (F.lag("col").over(w) == F.col("col")) & (F.col("row") - F.lag("row").over(w) > 1)
+    runs = islands(listed.withColumn("_new", F.coalesce(gap, F.lit(True))), by, ["col", "row"], F.col("_new"))
+    at = F.struct("col", "row")
+    ends = runs.groupBy(*by, F.col("island").cast("int").alias("n")).agg(F.min(at).alias("a"), F.max(at).alias("b"))
+    name = lambda c, r: cell_ref(c + 1, r + 1)
+    corner = lambda f, x: f(F.col(f"a.{x}"), F.col(f"b.{x}"))
+    c1, r1, c2, r2 = corner(F.least, "col"), corner(F.least, "row"), corner(F.greatest, "col"), corner(F.greatest, "row")
+    first, last = (name(F.col(f"{x}.col"), F.col(f"{x}.row")) for x in "ab")
+    sqref = F.when(F.col("a") == F.col("b"), first).otherwise(F.concat(first, F.lit(":"), last))
+    return ends.select(*by, "n", c1.alias("c1"), r1.alias("r1"), c2.alias("c2"), r2.alias("r2"), sqref.alias("sqref"))
+
+
 #: Properties that say nothing beyond a sheet's defaults.
-DEFAULTS = {"color": ("000000", "#000000", "FF000000"), "size": ("11", "11.0"), "font": ("Calibri",)}
+DEFAULTS = {"color": ("#000000", "#000000ff"), "fontSize": ("11", "11.0"), "fontFamily": ("Calibri",), "bold": ("false",), "italic": ("false",)}
 
 
 def normalise_defaults(df: DataFrame, defaults: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
@@ -95,4 +116,5 @@ def recent_k(df: DataFrame, owner: str, item: str, ts: str, k: int = 5) -> DataF
 
 
 def absolute_paths(df: DataFrame, item: str) -> DataFrame:
-    return df.where(F.col(item).rlike(r"^(/|[A-Za-z]:[\\/]|\\\\)"))
+    """Rows whose item is a path from a root: one that begins with a slash, or with a drive."""
+    return df.where(F.col(item).rlike(r"^(/|[A-Za-z]:[\\/])"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from folioframe.operators.sheet import _cut, shared_folder
 from folioframe.plans.catalog_sheets import line_cells
-from folioframe.plans.catalog_text import corpus_words
+from folioframe.plans.catalog_text import _RANKED, corpus_words
 from folioframe.sources import documents as A
 from folioframe.sources import tables as G
 from folioframe.sources import text as X
@@ -212,7 +212,9 @@ def stream_user_dict(spark, sf):
     e = _stream(spark, sf, "events")
     op = F.when(F.col("event_type") == "error", "remove").otherwise("add")
     events = e.select(op.alias("op"), F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("word"), F.lit("en").alias("lang"), F.col("event_type").alias("source"), (F.col("event_id") % 4).cast("int").alias("inc"), "ts")
-    return _drain(J.stream_user_dict(events), "complete", spark).drop("source")
+    out = _folder(spark)
+    J.stream_user_dict(events, f"{out}/log", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    return J.user_dict_of(spark, f"{out}/log").drop("source")
 
 
 @query("stream_recent", "WITH l AS (SELECT user_id, event_type, max(ts) AS ts FROM events GROUP BY ALL) SELECT user_id, event_type, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_type)::INT AS rank FROM l QUALIFY rank <= 3")
@@ -221,16 +223,20 @@ def stream_recent(spark, sf):
     return J.recent_items(state, "user_id", "event_type", "ts", 3)
 
 
-@query("stream_spell_check", """WITH tok AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9''-]*|[㐀-䶿一-鿿]')) AS word FROM documents), words AS (SELECT lower(word) AS word FROM tok GROUP BY 1 HAVING count(*) >= 5)
-SELECT doc_id, word, count(*) AS n FROM tok WHERE octet_length(encode(word)) > 1 AND NOT regexp_matches(word, '^[0-9.,]+$') AND lower(word) NOT IN (SELECT word FROM words) GROUP BY ALL""")
+@query("stream_spell_check", f"""{_RANKED}, g AS (SELECT query, string_agg(word, ',' ORDER BY rank) AS suggestions FROM k GROUP BY query)
+SELECT doc_id, tok.word, coalesce(suggestions, '') AS suggestions, count(*) AS n FROM tok JOIN q ON lower(tok.word) = q.query LEFT JOIN g ON g.query = q.query GROUP BY ALL""")
 def stream_spell_check(spark, sf):
-    """Documents arrive as a stream; errors of each micro-batch are appended to a table."""
+    """Documents arrive as a stream; errors and suggestions of each micro-batch are written to tables."""
     words = _cut(corpus_words(spark, sf))
     out = _folder(spark)
 
     def sink(errors, suggestions, number):
         errors.select("doc_id", "word").write.mode("overwrite").parquet(f"{out}/errors/batch={number}")
+        suggestions.write.mode("overwrite").parquet(f"{out}/suggestions/batch={number}")
 
-    q = J.stream_spell_check(_stream(spark, sf, "documents"), words, "doc_id", "text", sink, f"{out}/state").trigger(availableNow=True).start()
+    q = J.stream_spell_check(_stream(spark, sf, "documents"), words, "doc_id", "text", sink, f"{out}/state", n=3).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(f"{out}/errors").groupBy("doc_id", "word").agg(F.count("*").alias("n"))
+    errors, found = spark.read.parquet(f"{out}/errors"), spark.read.parquet(f"{out}/suggestions")
+    best = found.groupBy("query", "batch").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda x: x["word"]), ",").alias("suggestions"))
+    joined = errors.join(best, (F.lower(errors["word"]) == best["query"]) & (errors["batch"] == best["batch"]), "left")
+    return joined.groupBy("doc_id", "word", F.coalesce("suggestions", F.lit("")).alias("suggestions")).agg(F.count("*").alias("n"))

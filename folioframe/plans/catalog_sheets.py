@@ -285,11 +285,21 @@ def forecast(spark, sf):
 FROM supplier, (SELECT unnest([1, 2, 3, 4]) AS step)""")
 def fill_series(spark, sf):
     """Seeds of each supplier: arithmetic, geometric, or mixed."""
+    return K.fill_series(_seeds(spark, sf), 4)
+
+
+def _seeds(spark, sf):
     k = F.col("s_suppkey")
     arith, geo, mixed = F.array(k, k + 2, k + 4), F.array(k, k * 3, k * 9), F.array(F.lit("x"), F.lit("4"))
     pair = F.when(k % 3 == 0, arith.cast("array<string>")).when(k % 3 == 1, geo.cast("array<string>")).otherwise(mixed)
-    seeds = _t(spark, sf, "supplier").select(k.cast("string").alias("series"), F.posexplode(pair).alias("idx", "value"))
-    return K.fill_series(seeds, 4)
+    return _t(spark, sf, "supplier").select(k.cast("string").alias("series"), F.posexplode(pair).alias("idx", "value"))
+
+
+@query("fill_series_up", """SELECT s_suppkey::VARCHAR AS series, step::INT AS step, CASE s_suppkey % 3 WHEN 0 THEN (s_suppkey + 2 * (step + 2))::VARCHAR WHEN 1 THEN (s_suppkey * 3 ** (step + 2))::BIGINT::VARCHAR ELSE ['x', '4', 'x', '4'][step] END AS value
+FROM supplier, (SELECT unnest([1, 2, 3, 4]) AS step)""")
+def fill_series_up(spark, sf):
+    """The same seeds, filled upwards."""
+    return K.fill_series(_seeds(spark, sf), 4, backwards=True)
 
 
 def _rule(kind):
@@ -419,6 +429,16 @@ def compress_runs(spark, sf):
     return V.compress_runs(line_cells(spark, sf).select("sheet_id", "row", "col", F.col("value").alias("valid")))
 
 
+@query("squash_cells", f"""WITH {_CELLS}, d AS (SELECT DISTINCT sheet_id, value AS valid, row, col FROM cells WHERE value <> ''),
+g AS (SELECT *, coalesce(lag(col) OVER w = col AND row - lag(row) OVER w > 1, true) AS fresh, row_number() OVER w AS k FROM d WINDOW w AS (PARTITION BY sheet_id, valid ORDER BY col, row)),
+n AS (SELECT *, count(*) FILTER (fresh) OVER (PARTITION BY sheet_id, valid ORDER BY k) AS n FROM g)
+SELECT sheet_id, valid, n::INT AS n, min(col) AS c1, min(arg) AS r1, max(col) AS c2, max(arg) AS r2, CASE WHEN count(*) = 1 THEN first_name ELSE first_name || ':' || last_name END AS sqref FROM (
+  SELECT *, unnest([first(row) OVER w, last(row) OVER w]) AS arg, chr((65 + first(col) OVER w)::INT) || (1 + first(row) OVER w) AS first_name, chr((65 + last(col) OVER w)::INT) || (1 + last(row) OVER w) AS last_name, count(*) OVER w AS size
+  FROM n WINDOW w AS (PARTITION BY sheet_id, valid, n ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) GROUP BY sheet_id, valid, n, first_name, last_name""".replace("CASE WHEN count(*) = 1", "CASE WHEN max(size) = 1"))
+def squash_cells(spark, sf):
+    return V.squash_cells(line_cells(spark, sf).select("sheet_id", "row", "col", F.col("value").alias("valid")))
+
+
 _CHANGED = "b AS (SELECT o_orderkey + CASE WHEN o_orderkey % 50 = 0 THEN 100000000 ELSE 0 END AS o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 10 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders)"
 
 
@@ -433,3 +453,26 @@ def table_diff(spark, sf):
 @query("recent_items", "WITH l AS (SELECT user_id, event_type, max(ts) AS ts FROM events GROUP BY ALL) SELECT user_id, event_type, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_type)::INT AS rank FROM l QUALIFY rank <= 3")
 def recent_items(spark, sf):
     return V.recent_k(_t(spark, sf, "events"), "user_id", "event_type", "ts", 3)
+
+
+@query("diff_totals", """WITH a AS (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN '#000000' WHEN 1 THEN '#ff0000' END AS color, CASE WHEN c_custkey % 2 = 0 THEN 11.0 ELSE 12 END AS size FROM customer),
+b AS (SELECT c_custkey, CASE WHEN c_custkey % 3 = 1 THEN CASE WHEN c_custkey % 7 = 0 THEN '#00ff00' ELSE '#ff0000' END END AS color, CASE WHEN c_custkey % 2 = 1 THEN 12.0 END AS size FROM customer WHERE c_custkey % 11 <> 0)
+SELECT (SELECT count(*) FROM a) AS n_left, (SELECT count(*) FROM b) AS n_right, (SELECT count(*) FROM customer WHERE c_custkey % 11 = 0 OR (c_custkey % 3 = 1 AND c_custkey % 7 = 0)) AS n_diffs""")
+def diff_totals(spark, sf):
+    """Styles of a cell per customer, with defaults spelt out on one side and left out on the other."""
+    k = F.col("c_custkey")
+    customer = _t(spark, sf, "customer")
+    a = customer.select(k, F.when(k % 3 == 0, "#000000").when(k % 3 == 1, "#ff0000").alias("color"), F.when(k % 2 == 0, 11.0).otherwise(12.0).alias("fontSize"))
+    red = F.when(k % 7 == 0, "#00ff00").otherwise("#ff0000")
+    b = customer.where(k % 11 != 0).select(k, F.when(k % 3 == 1, red).alias("color"), F.when(k % 2 == 1, 12.0).alias("fontSize"))
+    return V.diff_totals(a, b, ["c_custkey"], V.normalise_defaults)
+
+
+@query("recent_paths", """WITH p AS (SELECT user_id, CASE event_id % 3 WHEN 0 THEN '/home/' || event_type WHEN 1 THEN 'C:\\' || event_type ELSE event_type || '/x' END AS path, ts FROM events),
+l AS (SELECT user_id, path, max(ts) AS ts FROM p WHERE path LIKE '/%' OR path LIKE 'C:%' GROUP BY ALL)
+SELECT user_id, path, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, path)::INT AS rank FROM l QUALIFY rank <= 5""")
+def recent_paths(spark, sf):
+    """The five latest absolute paths of each user; others aren't recorded."""
+    path = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("/home/"), "event_type")).when(F.col("event_id") % 3 == 1, F.concat(F.lit("C:\\"), "event_type")).otherwise(F.concat("event_type", F.lit("/x")))
+    events = _t(spark, sf, "events").select("user_id", path.alias("path"), "ts")
+    return V.recent_k(V.absolute_paths(events, "path"), "user_id", "path", "ts")

@@ -2,30 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from folioframe.operators.dictionary import upsert_user_words
 from folioframe.operators.spelling import misspelt, suggest
 from folioframe.operators.validation import recent_k
 
 
-def stream_user_dict(events: DataFrame) -> DataFrame:
-    """(word, lang, frequency, source, created_at, last_used) from a stream of dictionary events, for update or complete mode.
+def stream_user_dict(events: DataFrame, log: str, checkpoint: str) -> DataStreamWriter:
+    """Keep a log of dictionary events (op, word, lang, source, inc, ts) as they arrive, a folder for each micro-batch.
 
-    State is one row per word: its events as (ts, op, inc, source), folded anew whenever one arrives, so late events land
-    in their place. Additions count from the last removal on.
+    Each batch overwrites its own folder, so one that is run again counts once. user_dict_of folds the log; as the log keeps
+    every event, late ones land in their place, and no word's events are ever gathered in one row.
     """
-    add = F.col("op") == "add"
-    keyed = events.select("op", F.when(add, F.lower(F.trim("word"))).otherwise(F.lower("word")).alias("word"), "lang", "source", F.when(F.col("inc") > 0, F.col("inc")).otherwise(1).cast("long").alias("inc"), "ts").where("word <> ''")
-    every = keyed.groupBy("word", "lang").agg(F.collect_list(F.struct("ts", "op", "inc", "source")).alias("e"), F.max(F.when(~add, F.col("ts"))).alias("gone_at"))
-    live = F.filter("e", lambda x: (x["op"] == "add") & (F.col("gone_at").isNull() | (x["ts"] > F.col("gone_at"))))
-    times = F.array_sort(live)
-    folded = every.withColumn("e", times)
-    return folded.select(
-        "word", "lang", F.aggregate("e", F.lit(0).cast("long"), lambda s, x: s + x["inc"]).alias("frequency"), F.get("e", F.lit(0))["source"].alias("source"),
-        F.get("e", F.lit(0))["ts"].alias("created_at"), F.get("e", F.size("e") - 1)["ts"].alias("last_used"),
-    ).where("frequency > 0")
+
+    def append(batch: DataFrame, number: int) -> None:
+        batch.select("op", "word", "lang", "source", "inc", "ts").write.mode("overwrite").parquet(f"{log}/batch={number}")
+
+    return events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(append)
+
+
+def user_dict_of(spark: SparkSession, log: str) -> DataFrame:
+    """The user dictionary that stream_user_dict's log amounts to so far."""
+    return upsert_user_words(None, spark.read.parquet(log).drop("batch"))
 
 
 def stream_spell_check(texts: DataFrame, words: DataFrame, id_col: str, text_col: str, sink, checkpoint: str, n: int = 5) -> DataStreamWriter:
