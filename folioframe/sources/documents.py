@@ -9,7 +9,7 @@ import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,18 +100,19 @@ def ingest_archives(files: DataFrame) -> dict[str, DataFrame]:
     Each archive is read in a Python task; one that can't be read, whatever is wrong with it, becomes a warning.
     """
 
-    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows: list[dict] = []
-            for name, family, content in zip(frame["path"], frame["family"], frame["content"], strict=True):
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = ("seq", "row", "col", "level")
+        schema = pa.schema([(c, pa.int32() if c in whole else pa.string()) for c in _PART_COLUMNS])
+        for batch in batches:
+            for name, family, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 try:
-                    rows += [{"doc_id": name, **r} for r in _READERS[family](zipfile.ZipFile(io.BytesIO(bytes(content))))]
+                    rows = [{"doc_id": name, **r} for r in _READERS[family](zipfile.ZipFile(io.BytesIO(content)))]
                 except Exception as error:  # noqa: BLE001  (whatever a damaged archive raises)
-                    rows.append({"doc_id": name, "part": "warning", "message": f"{type(error).__name__}: {error}"})
-            yield pd.DataFrame(rows, columns=_PART_COLUMNS).astype({c: "Int32" for c in ("seq", "row", "col", "level")})
+                    rows = [{"doc_id": name, "part": "warning", "message": f"{type(error).__name__}: {error}"}]
+                yield pa.RecordBatch.from_pylist(rows, schema)
 
     files = route_files(files, "path", "content").where(F.col("family").isin(*_READERS)).select("path", "family", "content").repartition("path")
-    parts = files.mapInPandas(parse, _PART_SCHEMA)
+    parts = files.mapInArrow(parse, _PART_SCHEMA)
     of = lambda kind: parts.where(F.col("part") == kind)
     return {
         "blocks": of("block").select("doc_id", F.col("seq").alias("block_idx"), F.col("kind").alias("block_type"), "level", F.col("value").alias("text")),

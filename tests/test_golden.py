@@ -201,7 +201,11 @@ def test_delimited(spark, tmp_path):
     (tmp_path / "a.csv").write_text('a,"b ""q"", c"\n1\n')
     (tmp_path / "b.csv").write_text("x\ty,z\n")
     (tmp_path / "c.csv").write_text("")
+    (tmp_path / "d.csv").write_text(",".join(map(str, range(300))) + "\n\nlast,,x\n")
+    (tmp_path / "e.csv").write_text('p,"two\nlines",,""\n' + ",".join(["q"] * 300) + "\n")
     got = {(r.sheet_id.rsplit("/", 1)[1], r.row, r.col): r.value for r in X.read_delimited(spark, str(tmp_path)).collect()}
+    assert {k: got.pop(k) for k in list(got) if k[0] == "d.csv"} == {**{("d.csv", 0, i): str(i) for i in range(300)}, ("d.csv", 1, 0): "last", ("d.csv", 1, 2): "x"}
+    assert {k: got.pop(k) for k in list(got) if k[0] == "e.csv"} == {("e.csv", 0, 0): "p", ("e.csv", 0, 1): "two\nlines", ("e.csv", 0, 3): "", **{("e.csv", 1, i): "q" for i in range(300)}}
     assert got == {("a.csv", 0, 0): "a", ("a.csv", 0, 1): 'b "q", c', ("a.csv", 1, 0): "1", ("b.csv", 0, 0): "x", ("b.csv", 0, 1): "y,z"}
 
 
@@ -214,9 +218,24 @@ def test_damaged_archive_is_a_warning(spark, tmp_path):
         z.writestr("xl/worksheets/sheet1.xml", '<worksheet><sheetData><row><c r="B2" t="inlineStr"><is><t>v</t></is></c></row></sheetData><mergeCells><mergeCell ref="B2:C3"/></mergeCells></worksheet>')
     (tmp_path / "ok.xlsx").write_bytes(data.getvalue())
     (tmp_path / "bad.docx").write_bytes(b"nothing")
+
+    def archive(name, parts, cut=None):
+        made = io.BytesIO()
+        with zipfile.ZipFile(made, "w", zipfile.ZIP_DEFLATED) as z:
+            for part, text in parts.items():
+                z.writestr(part, text)
+        content = bytearray(made.getvalue())
+        if cut:
+            content[cut : cut + 20] = bytes(20)
+        (tmp_path / name).write_bytes(content)
+
+    archive("nobody.docx", {"word/document.xml": "<w:document xmlns:w='w'/>"})
+    archive("index.xlsx", {"xl/sharedStrings.xml": "<sst/>", "xl/worksheets/sheet1.xml": "<worksheet><c r='A1' t='s'><v>7</v></c></worksheet>"})
+    archive("stream.docx", {"word/document.xml": "<w:document xmlns:w='w'><w:body>" + "".join(f"<w:p>{i}</w:p>" for i in range(500)) + "</w:body></w:document>"}, cut=200)
     parts = A.ingest_ooxml(spark, str(tmp_path))
     assert [(c.row, c.col, c.value) for c in parts["cells"].collect()] == [(1, 1, "v")] and [m.ref for m in parts["merges"].collect()] == ["B2:C3"]
-    assert parts["warnings"].count() == 1
+    assert {w.doc_id.rsplit("/", 1)[1] for w in parts["warnings"].collect()} == {"bad.docx", "nobody.docx", "index.xlsx", "stream.docx"}
+    assert A.ingest_ooxml(spark, str(tmp_path), max_bytes=10)["warnings"].where("message = 'file too large'").count() == 4
 
 
 def test_recalc_settles_a_long_chain(spark):
