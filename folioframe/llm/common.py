@@ -38,10 +38,17 @@ def checkpoint(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame) -> DataFrame:
     """df as a table written to the shared folder: cuts lineage like a checkpoint, and readers take only the columns that they use."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # Small row groups, as several tasks of an executor hold one each while they write.
+    df.write.option("parquet.block.size", 16 << 20).parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate results that nothing reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 #: Narrow rows to a partition, where a checkpointed frame is made compact.
 COMPACT_ROWS = 100_000
 
