@@ -245,3 +245,41 @@ def test_recalc_settles_a_long_chain(spark):
     assert {r.row: float(r.value) for r in K.recalc(cells, formulas).collect()} == {r: 1.0 for r in range(22)}
     with pytest.warns(UserWarning, match="still change"):
         K.recalc(cells, formulas, max_iter=3)
+
+
+def test_boxes_that_reach_each_other_step_by_step(spark):
+    """A staircase of which each box is met only by the box of all before it, and random rectangles, against a plain loop."""
+    import random
+
+    draw = random.Random(5)
+    rects = [("r", a, b, a + draw.randint(0, 6), b + draw.randint(0, 6)) for a, b in ((draw.randint(0, 90), draw.randint(0, 90)) for _ in range(40))]
+    for k in range(8):
+        rects += [("stairs", 3 * k, 3 * k + 2, 3 * k + 2, 3 * k + 2), ("stairs", 3 * k + 2, 3 * k, 3 * k + 4, 3 * k)]
+    left = set(rects)
+    while True:
+        meets = lambda x, y: x[0] == y[0] and x[1] <= y[3] and x[3] >= y[1] and x[2] <= y[4] and x[4] >= y[2]
+        grown = {(x[0], *(f(y[i] for y in left if meets(x, y)) for f, i in ((min, 1), (min, 2), (max, 3), (max, 4)))) for x in left}
+        if grown == left:
+            break
+        left = grown
+    df = spark.createDataFrame(rects, "sheet_id string, r1 int, c1 int, r2 int, c2 int")
+    assert {tuple(r) for r in E.coalesce_rects(df).select("sheet_id", "r1", "c1", "r2", "c2").collect()} == left
+
+
+def test_many_unknown_words_are_placed_without_a_broadcast(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "the qat sat the Qat"), (2, "the mat"), (3, None), (4, "zzz 汉 12")], "doc_id long, text string")
+    words = spark.createDataFrame([("the", 9), ("sat", 5), ("mat", 5)], "word string, freq long")
+    found = lambda: sorted((r.doc_id, r.tok_idx, r.word, r.start, r.stop, r.lang) for r in C.misspelt(docs, "doc_id", "text", words).collect())
+    few = found()
+    assert few == [(1, 1, "qat", 4, 7, "en"), (1, 4, "Qat", 16, 19, "en"), (4, 0, "zzz", 0, 3, "en")]
+    monkeypatch.setattr(C, "FEW_WORDS", 0)
+    assert found() == few
+
+
+def test_fill_and_squash(spark):
+    seeds = spark.createDataFrame([("s", 0, "a"), ("s", 1, "b"), ("s", 2, "c"), ("n", 0, "5")], "series string, idx int, value string")
+    got = {(r.series, r.step): r.value for r in K.fill_series(seeds, 4, backwards=True).collect()}
+    assert [got["s", k] for k in (1, 2, 3, 4)] == ["a", "c", "b", "a"] and [got["n", k] for k in (1, 2)] == ["6", "7"]
+    cells = [(r, c) for r, c in ((0, 0), (1, 0), (3, 0), (4, 0), (0, 1), (2, 3))]
+    df = spark.createDataFrame([("s", r, c, "x,y") for r, c in cells], "sheet_id string, row int, col int, valid string")
+    assert [r.sqref for r in V.squash_cells(df).orderBy("n").collect()] == ["A1:A2", "A4:D3"]
