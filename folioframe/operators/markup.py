@@ -1,70 +1,127 @@
-"""Markdown and HTML: blocks, inlines, tables, contents, sanitising. Lines of a document are numbered, never gathered."""
+"""Markdown and HTML: blocks, inlines, tables, contents, sanitising.
+
+Lines are walked where their document lies, map-only: code fences and tables depend on the lines before and after, and
+windows over them would shuffle every line of the corpus.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import itertools
+import re
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioframe.functions.scalar import slugify
 
+_SEPARATOR = re.compile(r"^\s*\|?\s*:?-+:?\s*(\|\s*:?-+:?\s*)*\|?\s*$", re.ASCII)
+_ORDERED = re.compile(r"\d\. ", re.ASCII)
 
-def text_lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, line_no, line, fenced, fence): lines with their place; fenced: between code fences; fence: is one."""
-    lines = df.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.regexp_replace(F.col(text_col), "\r\n?", "\n"), "\n")).alias("line_no", "line"))
-    fence = F.col("line").startswith("```")
-    w = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    n = F.sum(fence.cast("int")).over(w)
-    return lines.select("doc_id", "line_no", "line", ((n % 2 == 1) & ~fence).alias("fenced"), fence.alias("fence"), F.floor((n + 1) / 2).cast("int").alias("fence_no"))
 
+class Line(NamedTuple):
+    """A line with its place; fenced: between code fences; fence: is one; tab: the line that its table begins at, if it is in one."""
 
-_SEPARATOR = r"^\s*\|?\s*:?-+:?\s*(\|\s*:?-+:?\s*)*\|?\s*$"
+    line_no: int
+    line: str
+    fenced: bool
+    fence: bool
+    fence_no: int
+    tab: int | None = None
+    separates: bool = False
 
 
-def _table_lines(lines: DataFrame) -> DataFrame:
-    """lines with tab: the number of the table that a line is in, null outside, and head: whether it is the header.
+def _lines(text: str | None) -> list[Line]:
+    """The lines of a text.
 
     A table starts at a line with a leading bar whose next non-blank line is a separator, and ends before the first
-    line that is blank or has no bar.
+    line that is blank or has no bar; blank lines are let through between header and separator only.
     """
-    w = Window.partitionBy("doc_id").orderBy("line_no")
-    plain = ~F.col("fenced") & ~F.col("fence")
-    after = w.rowsBetween(1, Window.unboundedFollowing)
-    solid = F.when(F.trim("line") != "", F.struct("line_no", "line"))
-    nxt = F.first(solid, ignorenulls=True).over(after)
-    bar = plain & F.trim("line").startswith("|")
-    rows = lines.withColumn("_next", nxt).withColumn("_bar", plain & F.col("line").contains("|") & (F.trim("line") != ""))
-    rows = rows.withColumn("_start", bar & F.coalesce(F.col("_next.line").rlike(_SEPARATOR) & F.col("_next.line").contains("-"), F.lit(False)))
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    # Inside a run of bar lines the first start opens the table; blank lines are let through between header and separator only.
-    rows = rows.withColumn("_sep", F.coalesce(F.max(F.when(F.col("_start"), F.col("_next.line_no"))).over(upto), F.lit(-1)))
-    rows = rows.withColumn("_in", F.col("_bar") | (F.col("line_no") < F.col("_sep")))
-    rows = rows.withColumn("_run", F.sum((~F.col("_in")).cast("int")).over(upto))
-    rows = rows.withColumn("_first", F.min(F.when(F.col("_start") & F.col("_in"), F.col("line_no"))).over(Window.partitionBy("doc_id", "_run")))
-    inside = F.col("_in") & (F.col("line_no") >= F.col("_first"))
-    sep = F.first(F.when(F.col("line_no") == F.col("_first"), F.col("_next.line_no")), True).over(Window.partitionBy("doc_id", "_run"))
-    return rows.select(
-        *lines.columns, F.when(inside, F.col("_first")).alias("tab"), F.coalesce(F.col("line_no") == F.col("_first"), F.lit(False)).alias("head"), F.coalesce(F.col("line_no") == sep, F.lit(False)).alias("sep")
-    )
+    if text is None:
+        return []
+    lines = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
+    following: list[int | None] = [None] * len(lines)
+    for i in range(len(lines) - 2, -1, -1):
+        following[i] = i + 1 if lines[i + 1].strip(" ") else following[i + 1]
+    found, fences, tab, separator, latest = [], 0, None, -1, -1
+    for i, line in enumerate(lines):
+        fence = line.startswith("```")
+        fences += fence
+        fenced = fences % 2 == 1 and not fence
+        plain, after = not fenced and not fence, following[i]
+        starts = plain and line.strip(" ").startswith("|") and after is not None and "-" in lines[after] and bool(_SEPARATOR.search(lines[after]))
+        if starts:
+            latest = max(latest, after)
+        if not ((plain and "|" in line) or i < latest):
+            tab = None
+        elif starts and tab is None:
+            tab, separator = i, after
+        found.append(Line(i, line, fenced, fence, (fences + 1) // 2, tab, tab is not None and i == separator))
+    return found
+
+
+def _blocks(text: str | None) -> Iterator[tuple[str, int | None, str | None, str]]:
+    """(kind, level, language, text) of the blocks of a text, in order."""
+
+    def part(line: Line) -> tuple:
+        if line.fenced or line.fence:
+            return "code", line.fence_no
+        return ("table", line.tab) if line.tab is not None else ("line", line.line_no)
+
+    for (kind, _), run in itertools.groupby(_lines(text), part):
+        own = list(run)
+        line = own[0].line
+        if kind == "code":
+            yield "code", None, line[3:].strip(" "), "\n".join(x.line for x in own if x.fenced)
+        elif kind == "table":
+            yield "table", None, None, "\n".join(x.line.strip(" ") for x in own if not x.separates and x.line.strip(" "))
+        elif line.strip(" "):
+            hashes = len(line) - len(line.lstrip("#"))
+            if hashes and line[hashes : hashes + 1] == " ":
+                yield "heading", min(hashes, 6), None, line[hashes + 1 :]
+            elif line[:2] in ("- ", "* ", "> "):
+                yield "quote" if line[0] == ">" else "bullet", None, None, line[2:]
+            elif _ORDERED.match(line):
+                yield "ordered", None, None, line[3:]
+            else:
+                yield "paragraph", None, None, line
+
+
+def _walk(df: DataFrame, id_col: str, text_col: str, rows: Callable, names: list[str], kinds: list[pa.DataType], schema: str) -> DataFrame:
+    """doc_id and the tuples that rows makes of each text."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner, made = [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                new = list(rows(text))
+                owner += [i] * len(new)
+                made += new
+            columns = list(zip(*made, strict=True)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64())), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], ["doc_id", *names])
+
+    kind = df.schema[id_col].dataType.simpleString()
+    return df.select(id_col, text_col).mapInArrow(walk, f"doc_id {kind}, {schema}")
+
+
+def _marked_lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    kinds = [pa.int32(), pa.string(), pa.bool_(), pa.bool_(), pa.int32(), pa.int32(), pa.bool_()]
+    schema = "line_no int, line string, fenced boolean, fence boolean, fence_no int, tab int, separates boolean"
+    return _walk(df, id_col, text_col, _lines, list(Line._fields), kinds, schema)
+
+
+def text_lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, line_no, line, fenced, fence, fence_no): lines with their place; fenced: between code fences; fence: is one."""
+    return _marked_lines(df, id_col, text_col).drop("tab", "separates")
 
 
 def markdown_blocks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, block_idx, block_type, level, lang, text): code fences, headings, items, quotes, tables, paragraphs, in order."""
-    lines = _table_lines(text_lines(df, id_col, text_col))
-    line = F.col("line")
-    code = lines.where("fenced or fence").groupBy("doc_id", "fence_no").agg(
-        F.min("line_no").alias("line_no"), F.min_by(F.trim(F.substring(line, F.lit(4), F.length(line))), "line_no").alias("lang"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("fenced"), F.struct("line_no", "line")))), lambda x: x["line"]), "\n").alias("text"),
-    ).select("doc_id", "line_no", F.lit("code").alias("block_type"), F.lit(None).cast("int").alias("level"), "lang", "text")
-    tables = lines.where("tab is not null and not sep and trim(line) <> ''").groupBy("doc_id", "tab").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: F.trim(x["line"])), "\n").alias("text")
-    ).select("doc_id", F.col("tab").alias("line_no"), F.lit("table").alias("block_type"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("string").alias("lang"), "text")
-    rest = lines.where("not fenced and not fence and tab is null and trim(line) <> ''")
-    hashes = F.length(F.regexp_extract(line, r"^(#+) ", 1))
-    kind = F.when(hashes > 0, "heading").when(line.rlike(r"^[-*] "), "bullet").when(line.rlike(r"^\d\. "), "ordered").when(line.startswith("> "), "quote").otherwise("paragraph")
-    text = F.when(kind == "heading", F.regexp_replace(line, r"^#+ ", "")).when(kind == "ordered", F.substring(line, F.lit(4), F.length(line))).when(kind.isin("bullet", "quote"), F.substring(line, F.lit(3), F.length(line))).otherwise(line)
-    plain = rest.select("doc_id", "line_no", kind.alias("block_type"), F.when(kind == "heading", F.least(hashes, F.lit(6))).cast("int").alias("level"), F.lit(None).cast("string").alias("lang"), text.alias("text"))
-    every = plain.unionByName(code).unionByName(tables)
-    return every.select("doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no")) - 1).alias("block_idx"), "block_type", "level", "lang", "text")
+    numbered = lambda text: [(i, *b) for i, b in enumerate(_blocks(text))]
+    names, kinds = ["block_idx", "block_type", "level", "lang", "text"], [pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string()]
+    return _walk(df, id_col, text_col, numbered, names, kinds, "block_idx int, block_type string, level int, lang string, text string")
 
 
 _INLINE = r"\*\*.+?\*\*|\*[^*]+?\*|`[^`]+`|!\[[^\]]*\]\([^)]*\)|\[[^\]]*\]\([^)]*\)"
@@ -84,11 +141,17 @@ def markdown_inlines(blocks: DataFrame) -> DataFrame:
 
 def markdown_tables(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, table_line, row, col, value, is_header) of tables; the separator row isn't one."""
-    lines = _table_lines(text_lines(df, id_col, text_col)).where("tab is not null and not sep and trim(line) <> ''")
-    row = F.row_number().over(Window.partitionBy("doc_id", "tab").orderBy("line_no")) - 1
-    inner = F.regexp_replace(F.trim("line"), r"^\||\|$", "")
-    rows = lines.withColumn("row", row).select("doc_id", F.col("tab").alias("table_line"), "row", "head", F.posexplode(F.split(inner, r"\|")).alias("col", "value"))
-    return rows.select("doc_id", "table_line", "row", "col", F.trim("value").alias("value"), F.col("head").alias("is_header"))
+
+    def rows(text: str | None) -> Iterator[tuple[int, int, str, bool]]:
+        inside = (x for x in _lines(text) if x.tab is not None and not x.separates and x.line.strip(" "))
+        for tab, own in itertools.groupby(inside, lambda x: x.tab):
+            for i, x in enumerate(own):
+                yield tab, i, x.line.strip(" ").removeprefix("|").removesuffix("|"), x.line_no == tab
+
+    names, kinds = ["table_line", "row", "line", "is_header"], [pa.int32(), pa.int32(), pa.string(), pa.bool_()]
+    found = _walk(df, id_col, text_col, rows, names, kinds, "table_line int, row int, line string, is_header boolean")
+    cells = found.select("doc_id", "table_line", "row", F.posexplode(F.split("line", r"\|")).alias("col", "value"), "is_header")
+    return cells.select("doc_id", "table_line", "row", "col", F.trim("value").alias("value"), "is_header")
 
 
 def markdown_toc(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
