@@ -1,6 +1,9 @@
 """Literal cases of each operator family."""
 
+import subprocess
+import sys
 from datetime import datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -283,3 +286,39 @@ def test_fill_and_squash(spark):
     cells = [(r, c) for r, c in ((0, 0), (1, 0), (3, 0), (4, 0), (0, 1), (2, 3))]
     df = spark.createDataFrame([("s", r, c, "x,y") for r, c in cells], "sheet_id string, row int, col int, valid string")
     assert [r.sqref for r in V.squash_cells(df).orderBy("n").collect()] == ["A1:A2", "A4:D3"]
+
+
+def test_outline_rules(spark):
+    level = lambda style, rule: one(spark, S.outline_level(F.lit(style), F.lit(None).cast("int"), rule))
+    assert [level(s, "docx") for s in ("Heading2", "heading 9", "MyHeading2", "Heading0")] == [2, 9, None, None]
+    assert [level(s, "library") for s in ("Heading6", "h1", "Heading7", "Heading 1")] == [6, 1, None, None]
+    assert [level(s, "editor") for s in ("style3", "a12", "9")] == [3, None, 9]
+
+
+def test_notes_rules_and_rectangles(spark):
+    refs = spark.createDataFrame([(1, 5, "b"), (1, 2, "a"), (1, 9, "b"), (1, 1, "0")], "doc_id long, pos int, footnote_id string")
+    notes = spark.createDataFrame([(1, "a", "first"), (1, "b", "second"), (1, "c", "never")], "doc_id long, footnote_id string, text string")
+    listed = D.footnote_list(D.number_footnotes(refs), notes).orderBy("footnote_no").collect()
+    assert [(r.footnote_no, r.text) for r in listed] == [(1, "first"), (2, "second")]
+    values = spark.createDataFrame([(i, v) for i, v in enumerate(["0", "5", "10", "x", ""])], "i int, v string")
+    shares = [r.rule for r in K.cond_rule(values, "v", "scale").orderBy("i").collect()]
+    assert shares == [0.0, 0.5, 1.0, None, None] and one(spark, K.bar_alpha(F.lit(1.0))) == pytest.approx(0.7)
+    merges = spark.createDataFrame([("s", 0, 0, 1, 1), ("s", 3, 3, 4, 4), ("t", 0, 0, 1, 1)], "sheet_id string, r1 int, c1 int, r2 int, c2 int")
+    assert sorted((m.sheet_id, m.r1) for m in E.split_region(merges, "s", 9, 9, 4, 4).collect()) == [("s", 0), ("t", 0)]
+
+
+def test_user_words_over_an_old_dictionary(spark):
+    t = lambda d: datetime(2024, 1, d)
+    old = spark.createDataFrame([("cat", "en", 3, "a", t(1), t(2)), ("dog", "en", 5, "a", t(1), t(1))], "word string, lang string, frequency long, source string, created_at timestamp, last_used timestamp")
+    events = [("add", " Cat ", "en", "b", 2, t(5)), ("remove", "dog", "en", "b", 0, t(6)), ("add", "dog", "en", "c", 1, t(7)), ("add", "new", "en", "c", 0, t(8))]
+    got = {r.word: (r.frequency, r.source, r.created_at, r.last_used) for r in B.upsert_user_words(old, spark.createDataFrame(events, "op string, word string, lang string, source string, inc int, ts timestamp")).collect()}
+    assert got == {"cat": (5, "a", t(1), t(5)), "dog": (1, "c", t(7), t(7)), "new": (1, "c", t(8), t(8))}
+    zh = B.build_dictionary(spark.createDataFrame([(" 的 ", 0), ("Ab", 2)], "word string, freq long"), None, "zh").collect()
+    assert sorted((r.word, r.freq) for r in zh) == [("Ab", 2), ("的", 1)] and B.max_distance(old, "zh") == 1 and B.max_distance(old, "en") == 2
+    web = X.import_text(spark.createDataFrame([(1, "a b,c\td")], "i int, t string"), "i", "t", "web").orderBy("col").collect()
+    assert [r.value for r in web] == ["a b", "c", "d"]
+
+
+def test_entry_without_the_corpus_operators():
+    code = "import sys; sys.modules['folioframe.llm'] = None\nimport __spark_entry__ as e\nassert 'spell_check' in e.queries() and 'spell_check' in e.oracle_sql() and 'pipeline' not in e.queries()"
+    subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], check=True)
