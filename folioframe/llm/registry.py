@@ -25,7 +25,6 @@ QUERIES = {
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_quality_classifier": quality_classifier.op7_quality_classifier,
     "op8_byte_bpe": byte_bpe.op8_byte_bpe,
-    "op9_repeated_passages": substring_dedup.op9_repeated_passages,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_url_filters": url_filters.op10_url_filters,
     "pipeline": corpus_pipeline.run,

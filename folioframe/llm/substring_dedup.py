@@ -1,158 +1,104 @@
-"""Substring dedup by line hashing: of equal lines in the whole corpus, the earliest ranked one stays.
-
-A unit is a line. It is normalised (A-Z lower-cased, runs of ASCII white space made one space, ends trimmed) and
-hashed; digests are grouped over all documents with partial sums, so a line in a third of all documents is one row a
-task before the shuffle; only digests met twice join back to the units. The removed units are returned as spans of
-the original text, from which the texts can be cut.
-
-Defined results: a null or empty text has no units; lines of fewer than MIN_WORDS words are left alone, being alike by
-chance; a null doc_id ranks first; rows of one doc_id are one document at one rank, so a repeated row loses nothing
-to itself; extra columns are ignored; an empty table gives an empty result. A text of any length is taken whole.
-
-Lines miss passages that don't fill the same lines, so repeated_passages finds those, wherever they begin or end: a
-passage is a run of PASSAGE tokens that an earlier place in rank has too; overlapping ones are one span. A token is a
-run of characters between ASCII white space, A-Z lower-cased; each character of Chinese, Japanese, Thai, Lao, Khmer and
-Burmese is a token of its own. The result is exact, up to 64-bit hashes of tokens: of each run of PASSAGE tokens the
-GRAM tokens of the least hash are an anchor, so equal runs have equal anchors. Occurrences of an anchor with equal
-surroundings (all tokens of the runs that it anchors) are settled by one group; only for an anchor met in several
-surroundings are the runs of one occurrence of each compared. A place may overlap its earlier one: of a period, one stays.
+"""Substring dedup by line hashing: of equal neighbouring units in the whole corpus, the earliest ranked ones stay.
+
+A unit is a line, cut further at the ends of sentences and after marker words (those whose code points sum to a
+multiple of MARKER), so that a passage holds whole units wherever it begins and ends and whatever lines it fills. Every
+unit is hashed, together with the next one of its document; a unit of PASSAGE words also by itself. A unit is
+normalised: words are runs of characters between ASCII white space, A-Z lower-cased; each character of Chinese,
+Japanese, Thai, Lao, Khmer and Burmese is a word of its own. Digests are grouped over all documents with partial sums,
+so a line in a third of all documents is one row a task before the shuffle. What an earlier place has too is repeated;
+repeated neighbours are one span, and spans of PASSAGE words or more are removed. A short unit that is alike by chance
+is therefore left alone, but none is left out. The spans are returned with their offsets in the original text.
+
+Texts are cut twice, which is cheaper than to keep all units: once for the least doc_id of every digest, once for the
+places of those met again.
+
+Defined results: a null or empty text has no units; documents rank by doc_id, null last; rows that share a doc_id, or
+have none, lose nothing to one another, so neither does a repeated row; within a document earlier places rank first;
+extra columns are ignored; an empty table gives an empty result. A text of any length is taken whole. Digests have 64 bits; a span rests on several of them, so one collision removes nothing by itself.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.llm.common import bounded_batches, broadcast_if_small, checkpoint, read
+from folioframe.llm.common import bounded_batches, checkpoint, let, read
 from folioframe.llm.jaccard_join import _mix
 
-MIN_WORDS = 5
-#: Tokens of the shortest passage, and of an anchor.
-PASSAGE, GRAM = 50, 25
+#: Words of the shortest span that is removed.
+PASSAGE = 25
+#: One word in so many, about, ends a unit.
+MARKER = 8
+#: Characters that end a sentence.
+SENTENCE_ENDS = ".!?…。！？"
+#: Code points written without blanks between words.
+UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
-_BYTES = np.random.default_rng(9).integers(1, 1 << 63, 256, np.uint64)
-#: Code points written without blanks between words, of three bytes in UTF-8.
-_UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF))
-
-
-def text_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, unit, start, stop, digest) of docs (doc_id, text): lines with their offsets in characters."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, units, starts, stops, digests = [], [], [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                at = 0
-                for unit, line in enumerate((text or "").split("\n")):
-                    words = line.encode().lower().split()
-                    if len(words) >= min_words:
-                        ids.append(doc)
-                        units.append(unit)
-                        starts.append(at)
-                        stops.append(at + len(line))
-                        digests.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest())
-                    at += len(line) + 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(units, pa.int32()), pa.array(starts, pa.int32()), pa.array(stops, pa.int32()), pa.array(digests, pa.binary())],
-                ["doc_id", "unit", "start", "stop", "digest"],
-            )
-
-    bounded_batches(docs.sparkSession)
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
-    return rows.mapInArrow(cut, "doc_id long, unit int, start int, stop int, digest binary")
-
-
-def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per removed unit: doc_id, unit, start, stop, first_doc_id, first_unit, group_size (occurrences in all)."""
-    units = checkpoint(text_units(docs, min_words))
-    groups = units.groupBy("digest").agg(F.count("*").alias("group_size"), F.min(F.struct(F.col("doc_id").alias("d"), F.col("unit").alias("u"))).alias("first"))
-    groups = broadcast_if_small(checkpoint(groups.where("group_size > 1").withColumnRenamed("digest", "same")), 100_000)
-    joined = units.join(groups, units["digest"] == groups["same"])
-    later = ~(joined["doc_id"].eqNullSafe(F.col("first.d")) & (joined["unit"] == F.col("first.u")))
-    return joined.where(later).select("doc_id", "unit", "start", "stop", F.col("first.d").alias("first_doc_id"), F.col("first.u").alias("first_unit"), "group_size")
-
-
-def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """docs with the spans (doc_id, start, stop) cut out of text, each with one line end; the spans are kept in `removed`."""
-    cuts = spans.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("removed")).withColumnRenamed("doc_id", "__id")
-    joined = docs.join(cuts, docs["doc_id"].cast("long").eqNullSafe(F.col("__id")), "left").drop("__id")
-    lines = F.split("text", "\n")
-    starts = F.transform(F.col("removed"), lambda x: x["start"])
-    # Every line's start is the length of the lines before it and their line ends.
-    walked = F.aggregate(
-        lines,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("kept")),
-        lambda s, x: F.struct(
-            (s["at"] + F.length(x) + 1).alias("at"),
-            F.when(F.array_contains(starts, s["at"]), s["kept"]).otherwise(F.array_append(s["kept"], x)).alias("kept"),
-        ),
-    )
-    return joined.withColumn("text", F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(walked["kept"], "\n")))
+_ENDS = np.array([ord(c) for c in SENTENCE_ENDS], np.uint32)
 
 
 def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(n - 1, 0), base, np.uint64)]), dtype=np.uint64)[:n]
 
 
-class Tokens:
-    """Tokens of texts: document, place in it, offsets in characters; hashes of the runs between any two of a document."""
-
-    def __init__(self, texts: list[bytes]):
-        b = np.frombuffer(b"\n".join([*texts, b"   "]).lower(), np.uint8)
-        sizes = np.array([len(t) + 1 for t in texts])
-        begins = np.cumsum(sizes) - sizes
-        space = (b == 32) | ((b >= 9) & (b <= 13))
-        lead, wide = (b & 0xC0) != 0x80, np.zeros(len(b), bool)
-        three = np.flatnonzero(b >> 4 == 0xE)
-        point = (b[three].astype(np.int32) & 15) << 12 | (b[three + 1].astype(np.int32) & 63) << 6 | b[three + 2].astype(np.int32) & 63
-        wide[three] = np.any([(point >= lo) & (point <= hi) for lo, hi in _UNSPACED], axis=0)
-        four = np.flatnonzero(b == 0xF0)
-        wide[four] = b[four + 1] >= 0xA0
-        # The character that a byte belongs to is wide if its lead is.
-        at = np.maximum.accumulate(np.where(lead, np.arange(len(b)), 0))
-        inside = wide[at]
-        before = np.concatenate([[True], (space | inside)[:-1]])
-        first = np.flatnonzero(~space & lead & (before | wide))
-        edge = (space | (lead & wide)) | np.concatenate([[False], inside[:-1] & lead[1:]])
-        edges = np.flatnonzero(edge)
-        stop = edges[np.searchsorted(edges, first, "right")]
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[b] * _powers(_BASE, len(b)), dtype=np.uint64)])
-        self.inverse = _powers(pow(_BASE, -1, 1 << 64), len(b))
-        hashes = _mix((sums[stop] - sums[first]) * self.inverse[first], 1)
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * _powers(_BASE, len(first)), dtype=np.uint64)])
-        self.doc = np.searchsorted(begins, first, "right") - 1
-        self.begin = np.searchsorted(self.doc, np.arange(len(texts)))
-        chars = np.concatenate([[0], np.cumsum(lead)])
-        self.start, self.stop = chars[first] - chars[begins[self.doc]], chars[stop] - chars[begins[self.doc]]
-
-    def runs(self, first: np.ndarray, length: int | np.ndarray, seed: int) -> np.ndarray:
-        return _mix((self.sums[first + length] - self.sums[first]) * self.inverse[first], seed)
-
-    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(token, hash, first run, last run) of the anchors; the runs that an anchor has are neighbours."""
-        n, wide = len(self.doc), PASSAGE - GRAM + 1
-        if n < PASSAGE:
-            return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-        grams = self.runs(np.arange(n - GRAM + 1), GRAM, 2) | _U(1)
-        least = np.lib.stride_tricks.sliding_window_view(grams, wide).min(axis=1)
-        least = np.where(self.doc[: n - PASSAGE + 1] == self.doc[PASSAGE - 1 :], least, _U(0))
-        padded = np.concatenate([np.zeros(wide - 1, np.uint64), least, np.zeros(wide - 1, np.uint64)])
-        around = np.lib.stride_tricks.sliding_window_view(padded, wide)
-        token = np.flatnonzero(around.max(axis=1) == grams)
-        own = around[token] == grams[token, None]
-        return token, grams[token], token - wide + 1 + own.argmax(axis=1), token - own[:, ::-1].argmax(axis=1)
-
-
-def _some_texts(batch: pa.RecordBatch, size: int = 500_000) -> Iterator[tuple[int, list[bytes]]]:
-    """(row of the first, texts) of slices of a batch (doc_id, text, ...)."""
-    texts, first, held = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()], 0, 0
+class Spans:
+    """Hashes of any spans of a sequence of hashes: differences of running sums, the power at the start divided out."""
+
+    def __init__(self, values: np.ndarray):
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * _powers(_BASE, len(values)), dtype=np.uint64)])
+        self.inverse = _powers(pow(_BASE, -1, 1 << 64), len(values) + 1)
+
+    def __call__(self, first: np.ndarray, stop: np.ndarray, seed: int) -> np.ndarray:
+        return _mix((self.sums[stop] - self.sums[first]) * self.inverse[first] + (stop - first).astype(np.uint64), seed)
+
+
+def hashed_windows(texts: list[str], passage: int, marker: int) -> tuple[np.ndarray, ...]:
+    """(text, digest, again, first word, words, start, characters) of every two neighbouring units, and of long units.
+
+    again tells that the text has an equal one before.
+    """
+    points = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "replace"), np.uint32).copy()
+    points[(points >= 65) & (points <= 90)] += 32
+    begins = np.cumsum([0, *[len(t) + 1 for t in texts]])[: len(texts)]
+    space = (points == 32) | ((points >= 9) & (points <= 13))
+    wide = np.zeros(len(points), bool)
+    high = np.flatnonzero(points >= UNSPACED[0][0])
+    wide[high] = np.any([(points[high] >= lo) & (points[high] <= hi) for lo, hi in UNSPACED], axis=0)
+    edge = space | wide
+    first = np.flatnonzero(~space & (wide | np.concatenate([[True], edge[:-1]])))
+    edges = np.flatnonzero(edge)
+    stop = np.where(wide[first], first + 1, edges[np.minimum(np.searchsorted(edges, first, "right"), len(edges) - 1)])
+    n = len(first)
+    text = np.searchsorted(begins, first, "right") - 1
+    sums = np.concatenate([[0], np.cumsum(points, dtype=np.int64)])
+    lines = np.cumsum(points == 10)
+    last = np.concatenate([text[1:] != text[:-1], np.ones(min(n, 1), bool)])
+    ends_line = np.concatenate([lines[first[1:]] > lines[stop[:-1]- 1], np.ones(min(n, 1), bool)])
+    cut = last | ends_line | np.isin(points[stop - 1], _ENDS) | ((sums[stop] - sums[first]) % marker == 0)
+    to = np.flatnonzero(cut) + 1
+    at = np.concatenate([np.zeros(min(n, 1), np.int64), to[:-1]])
+    pair = np.flatnonzero(text[at[:-1]] == text[at[1:]]) if len(at) else at
+    lone = np.flatnonzero(to - at >= passage)
+    w0, w1 = np.concatenate([at[pair], at[lone]]), np.concatenate([to[pair + 1], to[lone]])
+    order = np.lexsort((w1, w0))
+    w0, w1 = w0[order], w1[order]
+    digest = Spans(Spans(points.astype(np.uint64) + _U(1))(first, stop, 1))(w0, w1, 2)
+    of = text[w0]
+    again = np.ones(len(of), bool)
+    again[np.unique(_mix(digest + of.astype(np.uint64) * _U(_BASE), 3), return_index=True)[1]] = False
+    begin = np.searchsorted(text, np.arange(len(texts)))
+    return of, digest, again, w0 - begin[of], w1 - w0, first[w0] - begins[of], stop[w1 - 1] - first[w0]
+
+
+def _some_texts(texts: list[str], size: int = 500_000) -> Iterator[tuple[int, list[str]]]:
+    """(place of the first, texts) of slices of about so many characters."""
+    first, held = 0, 0
     for i, t in enumerate(texts):
         held += len(t)
         if held > size or i == len(texts) - 1:
@@ -160,93 +106,94 @@ def _some_texts(batch: pa.RecordBatch, size: int = 500_000) -> Iterator[tuple[in
             first, held = i + 1, 0
 
 
-def text_anchors(docs: DataFrame) -> DataFrame:
-    """(doc_id, at, anchor, around, start, stop) of docs (doc_id, text): anchors by token, hash of the tokens of all their runs, and those tokens' offsets."""
+def _strings(column: pa.Array) -> list[str]:
+    return [(t or b"").decode("utf-8", "replace") for t in column.cast(pa.binary()).to_pylist()]
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row, texts in _some_texts(batch):
-                t = Tokens(texts)
-                token, anchor, lo, hi = t.anchors()
-                around = _mix(t.runs(lo, hi - lo + PASSAGE, 3) + (token - lo).astype(np.uint64) * _U(64) + (hi - lo).astype(np.uint64), 4)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(row + t.doc[token])), pa.array((token - t.begin[t.doc[token]]).astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(around.view(np.int64)),
-                     pa.array(t.start[lo].astype(np.int32)), pa.array(t.stop[hi + PASSAGE - 1].astype(np.int32))], ["doc_id", "at", "anchor", "around", "start", "stop"],
-                )
 
-    bounded_batches(docs.sparkSession)
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
-    return rows.mapInArrow(cut, "doc_id long, at int, anchor long, around long, start int, stop int")
+def _documents(docs: DataFrame) -> DataFrame:
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("text_hash"), docs["text"].alias("text"))
 
 
-def anchored_runs(docs: DataFrame) -> DataFrame:
-    """(doc_id, at, anchor, run, start, stop) of docs (doc_id, text, wanted): every run of PASSAGE tokens of the anchors at the wanted tokens."""
+def text_windows(docs: DataFrame, passage: int = PASSAGE, marker: int = MARKER) -> DataFrame:
+    """(doc_id, text_hash, digest, again, w0, words, start, chars) of docs (doc_id, text_hash, text)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wanted = batch.column(2).to_pylist()
-            for row, texts in _some_texts(batch):
-                t = Tokens(texts)
-                token, anchor, lo, hi = t.anchors()
-                wants = np.concatenate([t.begin[i] + np.array(wanted[row + i], np.int64) for i in range(len(texts))])
-                use = np.isin(token, wants)
-                anchor, lo, hi = anchor[use], lo[use], hi[use]
-                size = hi - lo + 1
-                run = np.repeat(lo, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            for row, texts in _some_texts(_strings(batch.column(2))):
+                of, digest, again, *places = hashed_windows(texts, passage, marker)
+                own = pa.array(row + of)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(row + t.doc[run])), pa.array((run - t.begin[t.doc[run]]).astype(np.int32)), pa.array(np.repeat(anchor, size).view(np.int64)),
-                     pa.array(t.runs(run, PASSAGE, 5).view(np.int64)), pa.array(t.start[run].astype(np.int32)), pa.array(t.stop[run + PASSAGE - 1].astype(np.int32))],
-                    ["doc_id", "at", "anchor", "run", "start", "stop"],
-                )
+                    [batch.column(0).take(own), batch.column(1).take(own), pa.array(digest.view(np.int64)), pa.array(again), *[pa.array(p.astype(np.int32)) for p in places]],
+                    ["doc_id", "text_hash", "digest", "again", "w0", "words", "start", "chars"],
+                )
+
+    bounded_batches(docs.sparkSession)
+    return docs.select("doc_id", "text_hash", "text").mapInArrow(cut, "doc_id long, text_hash long, digest long, again boolean, w0 int, words int, start int, chars int")
 
-    return docs.select("doc_id", "text", "wanted").mapInArrow(cut, "doc_id long, at int, anchor long, run long, start int, stop int")
 
+def _joined_runs(found) -> F.Column:
+    """Windows (w0, w1, start, stop, first), sorted, as runs of such as overlap or touch."""
+    begins = F.filter(F.sequence(F.lit(0), F.size(found) - 1), lambda i: (i == 0) | (F.get(found, i)["w0"] > F.get(found, i - 1)["w1"]))
 
-def _firsts(rows: DataFrame, *keys: str) -> DataFrame:
-    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "at")).alias("first"))
+    def run(b, end):
+        head, tail = F.get(found, b), F.get(found, end - 1)
+        first = F.array_min(F.transform(F.slice(found, b + 1, end - b), lambda x: x["first"]))
+        return F.struct(head["start"].alias("start"), tail["stop"].alias("stop"), (tail["w1"] - head["w0"]).alias("n_words"), first["doc_id"].alias("first_doc_id"))
 
+    return let(begins, lambda at: F.transform(at, lambda b, k: run(b, F.coalesce(F.get(at, k + 1), F.size(found)))))
 
-def _later(rows: DataFrame, firsts: DataFrame, *keys: str) -> DataFrame:
-    """(doc_id, start, stop, first_doc_id) of the rows whose keys an earlier row has."""
-    joined = rows.join(broadcast_if_small(firsts), [*keys])
-    same = joined["doc_id"].eqNullSafe(F.col("first.doc_id")) & (joined["at"] == F.col("first.at"))
-    return joined.where(~same).select("doc_id", "start", "stop", F.col("first.doc_id").alias("first_doc_id"))
 
+def repeated_spans(docs: DataFrame, passage: int = PASSAGE, marker: int = MARKER) -> DataFrame:
+    """One row per removed span: doc_id, text_hash, start, stop (in characters), n_words, first_doc_id (the earliest document that has a part of it)."""
+    windows = text_windows(_documents(docs), passage, marker)
+    groups = windows.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
+    # Never broadcast: shared units are as many as the corpus is large.
+    groups = checkpoint(groups.select(F.col("digest").alias("same"), "first_id"))
+    joined = windows.join(groups.hint("merge"), F.col("digest") == F.col("same"))
+    later = joined.where(F.col("again") | ~F.col("doc_id").eqNullSafe(F.col("first_id")))
+    window = F.struct("w0", (F.col("w0") + F.col("words")).alias("w1"), "start", (F.col("start") + F.col("chars")).alias("stop"), F.struct(F.col("first_id").alias("doc_id")).alias("first"))
+    found = later.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set(window)).alias("found"))
+    return found.select("doc_id", "text_hash", F.inline(_joined_runs(F.col("found")))).where(F.col("n_words") >= passage)
 
-def repeated_passages(docs: DataFrame) -> DataFrame:
-    """One row per maximal span of repeated passages: doc_id, start, stop (in characters), first_doc_id (the earliest document that has a part of it)."""
-    docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
-    # Anchors are cut twice, which is cheaper than to keep them all: only those met twice are.
-    met = text_anchors(docs).select("anchor").groupBy("anchor").agg(F.count("*").alias("met")).where("met > 1").select("anchor")
-    anchors = checkpoint(text_anchors(docs).join(broadcast_if_small(checkpoint(met)), "anchor"))
-    groups = checkpoint(_firsts(anchors, "anchor", "around"))
-    kinds = groups.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    whole = _later(anchors, groups.where("n > 1").select("anchor", "around", "first"), "anchor", "around")
-    wanted = groups.join(kinds, "anchor").groupBy(F.col("first.doc_id").alias("_id")).agg(F.collect_set("first.at").alias("wanted"))
-    runs = checkpoint(anchored_runs(docs.join(broadcast_if_small(checkpoint(wanted), 50_000), docs["doc_id"].eqNullSafe(F.col("_id")))))
-    part = _later(runs, checkpoint(_firsts(runs, "anchor", "run").where("n > 1").select("anchor", "run", "first")), "anchor", "run")
-    by = Window.partitionBy("doc_id").orderBy("start", "stop")
-    spans = whole.unionByName(part).groupBy("doc_id", "start", "stop").agg(F.min(F.struct("first_doc_id")).alias("first"))
-    reach = F.max("stop").over(by.rowsBetween(Window.unboundedPreceding, -1))
-    spans = spans.withColumn("_new", F.coalesce((F.col("start") > reach).cast("int"), F.lit(1))).withColumn("_span", F.sum("_new").over(by))
-    return spans.groupBy("doc_id", "_span").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("first")["first_doc_id"].alias("first_doc_id")).drop("_span")
 
+def remove_spans(docs: DataFrame, spans: DataFrame, into: str = "removed") -> DataFrame:
+    """docs with the spans (doc_id, text_hash, start, stop) cut out of text; a column `into`, replaced if docs has one, keeps their offsets.
 
-def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_passages(read(spark, sf_dir, "documents"))
+    A text without spans is unchanged, with null in `into`. The cut joins what is left as it is, white space included.
+    """
+    columns = [c for c in docs.columns if c != into]
+    cuts = spans.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("__cuts"))
+    joined = docs.join(cuts, docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__hash")), "left")
+    cut = F.col("__cuts")
+    # What is kept lies between the end of one span and the start of the next.
+    kept = F.transform(cut, lambda x, i: F.substring("text", F.coalesce(F.get(cut, i - 1)["stop"], F.lit(0)) + 1, x["start"] - F.coalesce(F.get(cut, i - 1)["stop"], F.lit(0))))
+    tail = F.substr("text", F.element_at(cut, -1)["stop"] + 1)
+    text = F.when(cut.isNull(), docs["text"]).otherwise(F.concat(F.array_join(kept, ""), tail))
+    return joined.select(*[text.alias(c) if c == "text" else docs[c] for c in columns], cut.alias(into))
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_spans(read(spark, sf_dir, "documents"))
-
-
-ORACLE = r"""
-WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
-u AS (SELECT doc_id, i - 1 AS unit, ls[i] AS line, coalesce(list_sum(list_transform(ls[1:i - 1], lambda x: length(x) + 1)), 0) AS start FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM l)),
-w AS (SELECT *, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM u),
-k AS (SELECT *, array_to_string(ws, ' ') AS k FROM w WHERE len(ws) >= 5),
-g AS (SELECT *, count(*) OVER (PARTITION BY k) AS group_size, first(doc_id) OVER o AS first_doc_id, first(unit) OVER o AS first_unit FROM k
-  WINDOW o AS (PARTITION BY k ORDER BY doc_id NULLS FIRST, unit))
-SELECT doc_id, unit::INT AS unit, start::INT AS start, (start + length(line))::INT AS stop, first_doc_id, first_unit::INT AS first_unit, group_size
-FROM g WHERE group_size > 1 AND NOT (doc_id = first_doc_id AND unit = first_unit)
+    return repeated_spans(read(spark, sf_dir, "documents")).drop("text_hash")
+
+
+_WIDE = "".join(f"\\x{{{lo:X}}}-\\x{{{hi:X}}}" for lo, hi in UNSPACED)
+
+ORACLE = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*(?:[{_WIDE}]|[^\x20\x09-\x0D{_WIDE}]+)') AS ps FROM documents),
+p AS (SELECT doc_id, ps[i] AS p, i FROM (SELECT *, unnest(range(1, len(ps) + 1)) AS i FROM d)),
+w AS (SELECT doc_id, i, p, translate(regexp_replace(p, '^[\x20\x09-\x0D]+', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w,
+  sum(length(p)) OVER (PARTITION BY doc_id ORDER BY i) AS stop FROM p),
+c AS (SELECT *, contains('{SENTENCE_ENDS}', w[-1:]) OR list_sum(list_transform(string_split(w, ''), lambda x: ord(x))) % {MARKER} = 0
+  OR lead(p) OVER (PARTITION BY doc_id ORDER BY i) ~ '(?s)^[\x20\x09-\x0D]*\n.*' AS cut FROM w),
+k AS (SELECT *, count(*) FILTER (cut) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS unit FROM c),
+u AS (SELECT doc_id, unit, string_agg(w, ' ' ORDER BY i) AS words, min(i) - 1 AS w0, max(i) AS w1, min(stop - length(w)) AS start, max(stop) AS stop FROM k GROUP BY doc_id, unit),
+n AS (SELECT *, lead(words) OVER o AS words2, lead(w1) OVER o AS w2, lead(stop) OVER o AS stop2 FROM u WINDOW o AS (PARTITION BY doc_id ORDER BY unit)),
+x AS (SELECT doc_id, words || ' ' || words2 AS words, w0, w2 AS w1, start, stop2 AS stop FROM n WHERE w2 IS NOT NULL
+  UNION ALL SELECT doc_id, words, w0, w1, start, stop FROM u WHERE w1 - w0 >= {PASSAGE}),
+g AS (SELECT *, first(doc_id) OVER o AS d1, first(w0) OVER o AS p1 FROM x WINDOW o AS (PARTITION BY words ORDER BY doc_id, w0)),
+l AS (SELECT * FROM g WHERE NOT (doc_id = d1 AND w0 = p1)),
+b AS (SELECT *, coalesce(w0 > max(w1) OVER (PARTITION BY doc_id ORDER BY w0, w1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS begins FROM l),
+r AS (SELECT *, count(*) FILTER (begins) OVER (PARTITION BY doc_id ORDER BY w0, w1) AS run FROM b)
+SELECT doc_id, min(start)::INT AS start, max(stop)::INT AS stop, (max(w1) - min(w0))::INT AS n_words, min(d1) AS first_doc_id
+FROM r GROUP BY doc_id, run HAVING max(w1) - min(w0) >= {PASSAGE}
 """
