@@ -15,8 +15,7 @@ What keeps this in bounds:
 * buckets with the same members are one bucket;
 * links are sought in rounds: everyone in a bucket is compared with one member, components are formed, and members
   of different components go on, each round with another member. What is left after the rounds is compared pair by
-  pair, but never within a component; buckets that are still large are first cut by the prefix tokens of the other
-  orders, which a similar pair shares too. So a bucket of copies costs its size, not its square, and no link is lost.
+  pair, but never within a component. So a bucket of copies costs its size, not its square, and no link is lost.
 
 Defined results: a null or empty text has an empty set and is linked with nothing; a null doc_id takes part and
 counts as none in the smallest doc_id; repeated rows share a set; extra columns are ignored; an empty table gives an
@@ -44,8 +43,7 @@ FREQUENT_COUNT = 8
 FREQUENT_LIMIT = 2_000_000
 #: Rounds of one against all in each bucket, before what is left is compared pair by pair.
 STAR_ROUNDS = 2
-#: Members of a bucket beyond which it is cut by the other orders before that.
-PAIRED = 64
+
 
 _U = np.uint64
 
@@ -208,26 +206,28 @@ def _sets(docs: DataFrame, order, words: int, percent: int) -> DataFrame:
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, seen, tokens = Shingler(words), set(), TokenOrder(*order.value)
         for batch in batches:
-            sizes, ids, prefixes, others = [], [], [], []
+            sizes, ids, prefixes, others = [], [], [], tuple([] for _ in range(1, ORDERS))
             for s in shingler(_binary(batch.column(1))):
                 own = set_id(s) if len(s) else None
                 sizes.append(len(s))
                 ids.append(own)
                 known = own is None or own in seen
                 prefixes.append(None if known else tokens.prefix(s, 0, percent).view(np.int64))
-                others.append(None if known else [tokens.prefix(s, k, percent).view(np.int64) for k in range(1, ORDERS)])
+                # Of the other orders, whose tokens only need to be met, half of each key is kept.
+                for k, other in enumerate(others, 1):
+                    other.append(None if known else tokens.prefix(s, k, percent).astype(np.uint32).view(np.int32))
                 if len(seen) > 1_000_000:
                     seen.clear()
                 seen.add(own)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())),
-                    pa.array(others, pa.list_(pa.list_(pa.int64()))),
+                    *[pa.array(other, pa.list_(pa.int32())) for other in others],
                 ],
-                ["doc_id", "n_shingles", "set_id", "prefix", "others"],
+                ["doc_id", "n_shingles", "set_id", "prefix", *[f"prefix_{k}" for k in range(1, ORDERS)]],
             )
 
-    return docs.mapInArrow(shingle, "doc_id long, n_shingles long, set_id long, prefix array<long>, others array<array<long>>")
+    return docs.mapInArrow(shingle, "doc_id long, n_shingles long, set_id long, prefix array<long>, " + ", ".join(f"prefix_{k} array<int>" for k in range(1, ORDERS)))
 
 
 def _buckets(sets: DataFrame) -> DataFrame:
@@ -250,37 +250,25 @@ def _ids(pairs: DataFrame) -> DataFrame:
 
 
 def _overlapping(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose prefixes share enough under every order: beyond the prefix that ends first, no more can be shared than it leaves."""
+    """The pairs (a, b) whose prefixes share enough under the first order, and meet early enough under every other.
+
+    Beyond the prefix that ends first, no more can be shared than it leaves; the first token that a similar pair shares
+    lies so early in both, in any order, that all they need to share can come after it.
+    """
+    orders = range(1, ORDERS)
     own = sets.where("prefix is not null").join(_ids(pairs), "set_id", "left_semi").dropDuplicates(["set_id"])
-    every = F.concat(F.array("prefix"), "others")
-    left = own.select(F.col("set_id").alias("a"), F.col("n_shingles").alias("na"), every.alias("pa"))
-    right = own.select(F.col("set_id").alias("b"), F.col("n_shingles").alias("nb"), every.alias("pb"))
+    left = own.select(F.col("set_id").alias("a"), F.col("n_shingles").alias("na"), F.col("prefix").alias("pa"), *[F.col(f"prefix_{k}").alias(f"pa_{k}") for k in orders])
+    right = own.select(F.col("set_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("prefix").alias("pb"), *[F.col(f"prefix_{k}").alias(f"pb_{k}") for k in orders])
     both = pairs.join(left, "a").join(right, "b")
-    need = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))
-
-    def enough(p: Column, q: Column) -> Column:
-        left_over = F.when(F.element_at(p, -1) <= F.element_at(q, -1), F.col("na") - F.size(p)).otherwise(F.col("nb") - F.size(q))
-        return F.size(F.array_intersect(p, q)) + left_over >= need
-
-    for k in range(ORDERS):
-        both = both.where(enough(F.get("pa", F.lit(k)), F.get("pb", F.lit(k))))
+    need = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent)).cast("int")
+    left_over = F.when(F.element_at("pa", -1) <= F.element_at("pb", -1), F.col("na") - F.size("pa")).otherwise(F.col("nb") - F.size("pb"))
+    both = both.where(F.size(F.array_intersect("pa", "pb")) + left_over >= need)
+    early = lambda side, k: F.slice(f"p{side}_{k}", F.lit(1), (F.col(f"n{side}") - need + 1).cast("int"))
+    for k in orders:
+        both = both.where(F.arrays_overlap(early("a", k), early("b", k)))
     return both.select("a", "b")
 
 
-def _narrowed(left: DataFrame, sets: DataFrame, order: int) -> DataFrame:
-    """left (bucket, s) with large buckets cut by the prefix tokens of another order; those with one component alone go."""
-    sizes = compact(left.groupBy("bucket").agg(F.count("*").alias("size")).where(F.col("size") > PAIRED).select("bucket"))
-    if sizes.isEmpty():
-        return left
-    hot = broadcast_if_small(sizes)
-    many = left.join(hot, "bucket", "left_semi").withColumn("set_id", F.col("s.set_id"))
-    own = sets.where("prefix is not null").select("set_id", F.get("others", F.lit(order - 1)).alias("tokens"))
-    own = own.join(broadcast_if_small(compact(many.select("set_id").distinct())), "set_id", "left_semi").dropDuplicates(["set_id"])
-    cut = many.join(own, "set_id").select("bucket", "s", F.explode("tokens").alias("token")).select(F.xxhash64("bucket", "token").alias("bucket"), "s")
-    mixed = cut.groupBy("bucket").agg(F.min("s.root").alias("low"), F.max("s.root").alias("high")).where("low < high").select("bucket")
-    return compact(left.join(hot, "bucket", "left_anti").unionByName(cut.join(mixed, "bucket", "left_semi")))
-
-
 def _texts(docs: DataFrame, sets: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
     """(set_id, text) of every set of the pairs (a, b): one document's text for each."""
     wanted = _ids(pairs)
@@ -337,8 +325,6 @@ def set_components(docs: DataFrame, sets: DataFrame, words: int, percent: int) -
             met = now.join(mixed, "bucket")
         else:
             left = now.join(mixed.select("bucket"), "bucket", "left_semi")
-            for order in range(1, ORDERS):
-                left = _narrowed(left, sets, order)
             met = left.join(left.select("bucket", F.col("s").alias("t")), "bucket").where("s.set_id < t.set_id")
         need = F.ceil(percent * (F.col("s.n") + F.col("t.n")) / (100 + percent))
         early = (F.col("s.pos") <= F.col("s.n") - need) & (F.col("t.pos") <= F.col("t.n") - need)
