@@ -6,11 +6,11 @@ training texts, and a Krichevsky-Trofimov estimate of them; a node's weighted pr
 and half the product of its children's (the contexts one byte longer). The probability of a bit is the mixture of the
 estimates along the path that those weights imply, down to the deepest context that training has seen.
 
-Scale: the model isn't broadcast. Documents form blocks of BLOCK_ROWS rows; a block knows its distinct byte strings of
-DEPTH + 1 and its distinct words, and asks only for those. Keys are dealt to buckets: byte strings by the two bytes
+Scale: the model isn't broadcast. Documents form blocks of so many rows, long texts each one of their own; a block knows
+its distinct byte strings of DEPTH + 1 and its distinct words, and asks only for those. Keys are dealt to buckets: byte strings by the two bytes
 before the next, so that a bucket holds whole subtrees; words by their hash. Bucket by bucket, counts of all blocks are
-merged (in salted parts first, if there are many blocks), trees weighted, and answers sent back to the blocks, where
-they are summed per document. Only the nodes of depth 0 and 1 (65,536 at most) pass through the driver.
+merged (in salted parts first, if there are many blocks), trees weighted, and answers sent back to the blocks, in the
+order of their keys, which a block makes again; there they are summed per document. Only the nodes of depth 0 and 1 (65,536 at most) pass through the driver.
 
 Defined results: a null or empty text is its end alone; a null doc_id counts as an empty string where rows are dealt to
 training; repeated rows count each; without training rows every bit has probability one half; extra columns are
@@ -33,6 +33,8 @@ from folioframe.llm.jaccard_join import Shingler, _mix
 DEPTH = 6
 #: 2 to this power is the number of rows of a block.
 BLOCK_BITS = 12
+#: Characters of a text from which on it is a block of its own.
+LONG_TEXT = 100_000
 #: Blocks whose answers one task gives at most.
 SALT_BLOCKS = 512
 #: Key of the end in the table of words.
@@ -133,43 +135,64 @@ def _bucket(kind: int, keys: np.ndarray, buckets: int) -> np.ndarray:
     return (_mix(keys >> _U(8 * (DEPTH - 1)) if kind == _STRINGS else keys, 5) % _U(buckets)).astype(np.int64)
 
 
+class BlockKeys:
+    """The distinct keys of a block, strings and words, with their training counts, from its texts in slices."""
+
+    def __init__(self, hasher: Shingler):
+        self.hasher, self.parts = hasher, ([], [])
+
+    def add(self, texts: list[bytes], learn: bool) -> None:
+        for some in _slices(texts):
+            for kind, keys in enumerate((byte_strings(some)[0], word_keys(some, self.hasher)[0])):
+                self.parts[kind].append(_distinct(keys, learn))
+                if len(self.parts[kind]) > 16:
+                    self.parts[kind][:] = [_merge(*zip(*self.parts[kind], strict=True))]
+
+    def by_bucket(self, kind: int, buckets: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(bucket, keys, counts), keys in order."""
+        keys, n = _merge(*zip(*self.parts[kind], strict=True)) if self.parts[kind] else _merge([], [])
+        at = _bucket(kind, keys, buckets)
+        for b in np.unique(at):
+            yield int(b), keys[at == b], n[at == b]
+
+
 def count_blocks(docs: DataFrame, buckets: int) -> DataFrame:
-    """(kind, bucket, block, keys, counts) of docs (block, text, train): a block's distinct keys with their training counts."""
+    """(kind, bucket, block, keys, counts) of docs (block, text, train, alone): a block's distinct keys with their training counts.
+
+    Rows of a block lie side by side, those aside that are alone in theirs.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Shingler()
 
-        def finish(block: int, parts: tuple[list, list]) -> pa.RecordBatch:
-            rows = []
-            for kind in (_STRINGS, _WORDS):
-                keys, n = _merge(*zip(*parts[kind], strict=True)) if parts[kind] else _merge([], [])
-                at = _bucket(kind, keys, buckets)
-                for b in np.unique(at):
-                    rows.append((kind, int(b), block, _pack(keys[at == b], steps=True), _pack(n[at == b])))
-            return pa.RecordBatch.from_pylist([dict(zip(("kind", "bucket", "block", "keys", "counts"), r, strict=True)) for r in rows], schema)
+        def finish(block: int, held: BlockKeys) -> pa.RecordBatch:
+            rows = [
+                {"kind": kind, "bucket": b, "block": block, "keys": _pack(keys, steps=True), "counts": _pack(n)}
+                for kind in (_STRINGS, _WORDS) for b, keys, n in held.by_bucket(kind, buckets)
+            ]
+            return pa.RecordBatch.from_pylist(rows, schema)
 
         schema = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
-        block, parts = None, ([], [])
+        block, held = None, BlockKeys(hasher)
         for batch in batches:
-            blocks, train = batch.column(0).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
+            blocks, train, alone = batch.column(0).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False), batch.column(3).to_numpy(zero_copy_only=False)
             texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            for own in np.unique(blocks):
-                if own != block:
+            for i in np.flatnonzero(alone):
+                own = BlockKeys(hasher)
+                own.add([texts[i]], train[i])
+                yield finish(int(blocks[i]), own)
+            for this in dict.fromkeys(blocks[~alone].tolist()):
+                if this != block:
                     if block is not None:
-                        yield finish(block, parts)
-                    block, parts = int(own), ([], [])
-                here = np.flatnonzero(blocks == own)
+                        yield finish(block, held)
+                    block, held = this, BlockKeys(hasher)
+                here = np.flatnonzero((blocks == this) & ~alone)
                 for learn in (True, False):
-                    for some in _slices([texts[i] for i in here if train[i] == learn]):
-                        for kind, keys in enumerate((byte_strings(some)[0], word_keys(some, hasher)[0])):
-                            parts[kind].append(_distinct(keys, learn))
-                for kind in (_STRINGS, _WORDS):
-                    if len(parts[kind]) > 16:
-                        parts[kind][:] = [_merge(*zip(*parts[kind], strict=True))]
+                    held.add([texts[i] for i in here if train[i] == learn], learn)
         if block is not None:
-            yield finish(block, parts)
+            yield finish(block, held)
 
-    return docs.select("block", "text", "train").mapInArrow(count, "kind int, bucket long, block long, keys binary, counts binary")
+    return docs.select("block", "text", "train", "alone").mapInArrow(count, "kind int, bucket long, block long, keys binary, counts binary")
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -289,9 +312,9 @@ def top_tables(model: DataFrame) -> list[tuple[np.ndarray, np.ndarray, np.ndarra
     return [one.table(), Nodes(every, *(np.bincount(at, weights=v, minlength=len(every)) for v in (one.zeros, one.ones, one.weighted))).table()]
 
 
-def answer_blocks(counted: DataFrame, model: DataFrame, top, salts: int) -> DataFrame:
-    """(block, kind, keys, values): log10 probabilities of a block's byte strings, training counts of its words."""
-    schema = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("keys", pa.binary()), ("values", pa.binary())])
+def answer_blocks(counted: DataFrame, model: DataFrame, top, salts: int, tasks: int) -> DataFrame:
+    """(block, kind, bucket, values): log10 probabilities of a block's byte strings, training counts of its words, in the order of its keys."""
+    schema = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int64()), ("values", pa.binary())])
 
     def answer(asked: pa.Table, part: pa.Table) -> pa.Table:
         if not asked.num_rows:
@@ -308,53 +331,64 @@ def answer_blocks(counted: DataFrame, model: DataFrame, top, salts: int) -> Data
         if asked["kind"][0].as_py() == _STRINGS:
             values = values.astype(np.float32)
         out = [_pack(values[np.searchsorted(want, k)]) for k in keys]
-        return pa.table([asked["block"], asked["kind"], asked["keys"], pa.array(out, pa.binary())], schema=schema)
+        return pa.table([asked["block"], asked["kind"], asked["bucket"], pa.array(out, pa.binary())], schema=schema)
 
     salt = F.pmod(F.xxhash64("block"), F.lit(salts).cast("long"))
-    asked = counted.select("kind", "bucket", salt.alias("salt"), "block", "keys")
-    parts = model.select("kind", "bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"), "blob")
-    return asked.groupBy("kind", "bucket", "salt").cogroup(parts.groupBy("kind", "bucket", "salt")).applyInArrow(answer, "block long, kind int, keys binary, values binary")
+    by = ("kind", "bucket", "salt")
+    asked = counted.select("kind", "bucket", salt.alias("salt"), "block", "keys").repartition(tasks, *by)
+    parts = model.select("kind", "bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"), "blob").repartition(tasks, *by)
+    return asked.groupBy("kind", "bucket", "salt").cogroup(parts.groupBy("kind", "bucket", "salt")).applyInArrow(answer, "block long, kind int, bucket long, values binary")
 
 
-def score_blocks(docs: DataFrame, answers: DataFrame) -> DataFrame:
-    """doc_id, train, n_tokens, n_known, base_sum, score, of docs (block, doc_id, text, train)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("train", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_sum", pa.float64()), ("score", pa.float64())])
+def score_blocks(docs: DataFrame, answers: DataFrame, buckets: int, tasks: int) -> DataFrame:
+    """doc_id, train, n_bytes, n_tokens, n_known, base_sum, score, of docs (block, doc_id, text, train)."""
+    schema = pa.schema([
+        ("doc_id", pa.int64()), ("train", pa.bool_()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_sum", pa.float64()), ("score", pa.float64()),
+    ])
 
     def score(rows: pa.Table, found: pa.Table) -> pa.Table:
         if not rows.num_rows:
             return schema.empty_table()
-        tables, kinds = [], found["kind"].to_numpy()
-        for kind in (_STRINGS, _WORDS):
-            at = [int(i) for i in np.flatnonzero(kinds == kind)]
-            keys = np.concatenate([_unpack(found["keys"][i].as_py(), np.uint64, steps=True) for i in at])
-            values = np.concatenate([_unpack(found["values"][i].as_py(), np.float32 if kind == _STRINGS else np.float64) for i in at]).astype(np.float64)
-            tables.append(Lookup(keys, values))
-        hasher, out = Shingler(), []
+        hasher, out, tables = Shingler(), [], []
         texts = [t or b"" for t in rows["text"].cast(pa.binary()).to_pylist()]
+        own = BlockKeys(hasher)
+        own.add(texts, False)
+        given = dict(zip(zip(found["kind"].to_pylist(), found["bucket"].to_pylist(), strict=True), found["values"].to_pylist(), strict=True))
+        for kind in (_STRINGS, _WORDS):
+            keys, values = [], []
+            for b, k, _ in own.by_bucket(kind, buckets):
+                keys.append(k)
+                values.append(_unpack(given.pop((kind, b)), np.float32 if kind == _STRINGS else np.float64))
+            tables.append(Lookup(np.concatenate(keys), np.concatenate(values).astype(np.float64)))
         for some in _slices(texts):
             (keys, doc), (words, of) = byte_strings(some), word_keys(some, hasher)
             bits = np.bincount(doc, weights=tables[_STRINGS](keys), minlength=len(some))
             c = tables[_WORDS](words)
             out.append((np.bincount(of, minlength=len(some)), np.bincount(of, weights=c > 0, minlength=len(some)), np.bincount(of, weights=np.log10(c + 0.5), minlength=len(some)), bits))
         n, known, base, bits = (np.concatenate(x) for x in zip(*out, strict=True))
-        return pa.table([rows["doc_id"], rows["train"], pa.array(n.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(bits)], schema=schema)
+        size = pa.array([len(t) for t in texts], pa.int64())
+        return pa.table([rows["doc_id"], rows["train"], size, pa.array(n.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(bits)], schema=schema)
 
-    return docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, "doc_id long, train boolean, n_tokens long, n_known long, base_sum double, score double")
+    both = docs.repartition(tasks, "block").groupBy("block").cogroup(answers.repartition(tasks, "block").groupBy("block"))
+    return both.applyInArrow(score, "doc_id long, train boolean, n_bytes long, n_tokens long, n_known long, base_sum double, score double")
 
 
-def score_texts(docs: DataFrame, block: Column | None = None, block_bits: int = BLOCK_BITS) -> DataFrame:
-    """doc_id, train, n_tokens, n_known, train_tokens, base_score, score of docs (doc_id, text, train); learns from rows with train.
+def score_texts(docs: DataFrame, block: Column | None = None, place: Column | None = None, block_bits: int = BLOCK_BITS) -> DataFrame:
+    """doc_id, train, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte of docs (doc_id, text, train); learns from rows with train.
 
-    block numbers the blocks, alike whenever docs is read, rows of a block side by side; without it the rows are
-    checkpointed and numbered in the order that they then have.
+    bits_per_byte is the code length of the text and its end, for each of its bytes and the end. block numbers the
+    blocks and place the rows in them, alike whenever docs is read, rows of a block side by side; without the two the
+    rows are checkpointed and numbered in the order that they then have.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     columns = [docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), F.coalesce(docs["train"], F.lit(False)).alias("train")]
-    if block is None:
-        rows = checkpoint(docs.select(*columns)).withColumn("block", F.shiftright(F.monotonically_increasing_id(), block_bits))
+    if block is None or place is None:
+        rows = checkpoint(docs.select(*columns)).withColumn("place", F.monotonically_increasing_id()).withColumn("block", F.shiftright("place", block_bits))
     else:
-        rows = docs.select(*columns, block.cast("long").alias("block"))
+        rows = docs.select(*columns, block.cast("long").alias("block"), place.cast("long").alias("place"))
+    long = F.coalesce(F.length("text") >= LONG_TEXT, F.lit(False))
+    rows = rows.select("doc_id", "text", "train", long.alias("alone"), F.when(long, F.xxhash64("block", "place")).otherwise(F.col("block")).alias("block"))
     blocks = max(1, -(-docs.count() >> block_bits))
     buckets, salts = min(4096, max(32, blocks)), max(1, -(-blocks // SALT_BLOCKS))
     counted = checkpoint(count_blocks(rows, buckets))
@@ -362,9 +396,12 @@ def score_texts(docs: DataFrame, block: Column | None = None, block_bits: int =
     totals = model.where(F.col("kind") == _WORDS).agg(F.sum("total").alias("n"), F.sum("kinds").alias("v")).first()
     n, v = totals["n"] or 0, totals["v"] or 0
     top = spark.sparkContext.broadcast(top_tables(model))
-    scored = score_blocks(rows, answer_blocks(counted, model, top, salts))
+    # A task takes a few blocks, or a few parts of the model, however many there are.
+    answers = answer_blocks(counted, model, top, salts, max(32, buckets * salts // 4))
+    scored = score_blocks(rows, answers, buckets, max(32, blocks // 4))
     base = F.col("base_sum") - F.col("n_tokens") * F.lit(float(np.log10(n + 0.5 * (v + 1))))
-    return scored.select("doc_id", "train", "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    bits = -F.col("score") * F.lit(float(np.log2(10))) / (F.col("n_bytes") + 1)
+    return scored.select("doc_id", "train", "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), base.alias("base_score"), "score", "n_bytes", bits.alias("bits_per_byte"))
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -372,5 +409,5 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = F.pmod(F.crc32(F.coalesce(docs["doc_id"].cast("string"), F.lit(""))), F.lit(5)) == 1
     # A block is so many rows of a file, by their place in it.
     block = F.xxhash64(F.col("_metadata.file_path"), F.shiftright(F.col("_metadata.row_index"), BLOCK_BITS))
-    scored = score_texts(docs.withColumn("train", ~out), block)
-    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    scored = score_texts(docs.withColumn("train", ~out), block, F.col("_metadata.row_index"))
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte")
