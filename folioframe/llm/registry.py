@@ -10,8 +10,10 @@ from folioframe.llm import (
     language_id,
     lm_scoring,
     mixing,
+    piece_chunks,
     quality_classifier,
     quality_rules,
+    ranked_search,
     substring_dedup,
     url_filters,
 )
@@ -27,6 +29,8 @@ QUERIES = {
     "op8_byte_bpe": byte_bpe.op8_byte_bpe,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_url_filters": url_filters.op10_url_filters,
+    "op12_ranked_search": ranked_search.op12_ranked_search,
+    "op13_sentencepiece": piece_chunks.op13_sentencepiece,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -37,4 +41,5 @@ ORACLES = {
     "op6_quality_rules": quality_rules.ORACLE,
     "op9_substring_dedup": substring_dedup.ORACLE,
     "op10_url_filters": url_filters.ORACLE,
+    "op12_ranked_search": ranked_search.ORACLE,
 }
