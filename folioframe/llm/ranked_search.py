@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioframe.llm.common import bounded_batches, checkpoint, read, stored
+from folioframe.operators.sheet import number_rows
 
 #: A term is a run of ASCII letters and digits and of any other character beyond ASCII (Java and RE2 syntax).
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -295,15 +296,8 @@ def search(items: DataFrame, docs: DataFrame, k: int = 20) -> DataFrame:
     spark = docs.sparkSession
     terms = checkpoint(item_terms(items))
     plans = sharing_plans(terms)
-    numbered = terms.select("term").distinct().sort("term").select("term")
-    # Numbers without gaps, from the sizes of range partitions.
-    numbered = checkpoint(numbered.withColumn("part", F.spark_partition_id()).withColumn("i", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
-    sizes = {r.part: r["count"] for r in numbered.groupBy("part").count().collect()}
-    before, total = {}, 0
-    for part in sorted(sizes):
-        before[part], total = total, total + sizes[part]
-    start = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])[F.col("part")] if before else F.lit(0)
-    numbered = checkpoint(numbered.select("term", (F.col("i") + start).cast("int").alias("term_id")))
+    numbered = number_rows(terms.select("term").distinct().sort("term"), "term_id")
+    numbered = checkpoint(numbered.select("term", F.col("term_id").cast("int").alias("term_id")))
     counted = document_terms(docs, numbered)
     n, length, weights = term_weights(counted)
     id_type = terms.schema["item_id"].dataType.simpleString()
