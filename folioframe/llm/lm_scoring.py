@@ -319,7 +319,11 @@ def answer_blocks(counted: DataFrame, model: DataFrame, top, salts: int, tasks:
     def answer(asked: pa.Table, part: pa.Table) -> pa.Table:
         if not asked.num_rows:
             return schema.empty_table()
-        keys = [_unpack(k, np.uint64, steps=True) for k in asked["keys"].to_pylist()]
+        # A block that several tasks read has sent several lists of keys: one answer, to all of them in order.
+        lists: dict[int, list[np.ndarray]] = {}
+        for block, k in zip(asked["block"].to_pylist(), asked["keys"].to_pylist(), strict=True):
+            lists.setdefault(block, []).append(_unpack(k, np.uint64, steps=True))
+        keys = [k[0] if len(k) == 1 else np.unique(np.concatenate(k)) for k in lists.values()]
         want = np.unique(np.concatenate(keys))
         blob = pickle.loads(part["blob"][0].as_py())
         known, n = _unpack(blob[0], np.uint64, steps=True), _unpack(blob[1], np.int64)
@@ -331,7 +335,8 @@ def answer_blocks(counted: DataFrame, model: DataFrame, top, salts: int, tasks:
         if asked["kind"][0].as_py() == _STRINGS:
             values = values.astype(np.float32)
         out = [_pack(values[np.searchsorted(want, k)]) for k in keys]
-        return pa.table([asked["block"], asked["kind"], asked["bucket"], pa.array(out, pa.binary())], schema=schema)
+        same = lambda name: [asked[name][0].as_py()] * len(out)
+        return pa.table([pa.array(list(lists), pa.int64()), pa.array(same("kind"), pa.int32()), pa.array(same("bucket"), pa.int64()), pa.array(out, pa.binary())], schema=schema)
 
     salt = F.pmod(F.xxhash64("block"), F.lit(salts).cast("long"))
     by = ("kind", "bucket", "salt")

@@ -572,3 +572,12 @@ def test_passages_are_found_and_clean_documents_left(spark):
     clean = {i for i, w in texts.items() if all(count[g] == 1 for g in grams(w, 20))}
     got = {r.doc_id for r in QUERIES["op9_substring_dedup"](spark, "/root/testdata/sf0.01").collect()}
     assert len(got & repeats) >= 0.9 * len(repeats) > 50 and len(clean - got) >= 0.9 * len(clean) > 500
+
+
+def test_a_block_read_by_several_tasks(spark):
+    """Rows of a block in three partitions score as they do in blocks of their own partition."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * k) % 17} ab" for k in range(1, 40))) for i in range(60)], "doc_id long, text string")
+    docs = common.stored(docs.withColumn("train", F.col("doc_id") % 5 != 1).repartition(3))
+    plain = {r.doc_id: r.score for r in lm_scoring.score_texts(docs).collect()}
+    mixed = {r.doc_id: r.score for r in lm_scoring.score_texts(docs, F.col("doc_id") % 2, F.col("doc_id")).collect()}
+    assert plain.keys() == mixed.keys() and all(abs(plain[k] - mixed[k]) < 1e-6 for k in plain)
