@@ -14,6 +14,7 @@ from folioframe.llm import (
     quality_classifier,
     quality_rules,
     ranked_search,
+    spelling_variants,
     substring_dedup,
     url_filters,
 )
@@ -29,6 +30,7 @@ QUERIES = {
     "op8_byte_bpe": byte_bpe.op8_byte_bpe,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_url_filters": url_filters.op10_url_filters,
+    "op11_spelling_variants": spelling_variants.op11_spelling_variants,
     "op12_ranked_search": ranked_search.op12_ranked_search,
     "op13_sentencepiece": piece_chunks.op13_sentencepiece,
     "pipeline": corpus_pipeline.run,
