@@ -27,6 +27,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -349,8 +350,8 @@ def set_components(docs: DataFrame, sets: DataFrame, words: int, percent: int) -
     return roots
 
 
-def near_duplicate_components(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
+def named_components(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, and set_id (null if empty), of every row of docs (doc_id, text)."""
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
@@ -364,20 +365,42 @@ def near_duplicate_components(docs: DataFrame, words: int = SHINGLE_WORDS, perce
     low = some.groupBy("root").agg(F.min("first").alias("component"))
     named = some.join(low, "root").select(F.col("set_id").alias("own"), "component").unionByName(lone)
     return sets.join(named, sets["set_id"] == named["own"], "left").select(
-        "doc_id", "n_shingles", F.when(F.col("own").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id")
+        "doc_id", "n_shingles", F.when(F.col("own").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), "set_id"
     )
 
 
+def near_duplicate_components(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
+    return named_components(docs, words, percent).drop("set_id")
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_components(read(spark, sf_dir, "documents"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one with the smallest doc_id; the rest of a null doc_id stay."""
-    found = near_duplicate_components(docs)
-    gone = compact(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct())
-    gone = broadcast_if_small(gone)
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    """One document of each group of near duplicates stays, the one with the smallest doc_id; the rest of a null doc_id stay.
+
+    Rows go by doc_id; where a doc_id has rows that go and rows that stay, the text decides.
+    """
+    found = named_components(docs)
+    gone = compact(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id"), F.col("set_id").alias("gone_set")).distinct())
+    stays = found.where("doc_id = component_id").select(F.col("doc_id").alias("mixed_id"))
+    mixed = compact(stays.join(broadcast_if_small(gone.select("gone_id").distinct()), F.col("mixed_id") == F.col("gone_id"), "left_semi").distinct())
+    whole = broadcast_if_small(compact(gone.join(mixed, F.col("gone_id") == F.col("mixed_id"), "left_anti").select("gone_id").distinct()))
+    rest = docs.join(whole, docs["doc_id"] == whole["gone_id"], "left_anti")
+    if mixed.isEmpty():
+        return rest
+
+    @F.pandas_udf("long")
+    def set_of(texts: pd.Series) -> pd.Series:
+        return pd.Series([set_id(s) if len(s) else None for s in Shingler(SHINGLE_WORDS)([(t or "").encode() for t in texts])], dtype="Int64")
+
+    few = broadcast_if_small(mixed)
+    sure = rest.join(few, rest["doc_id"] == few["mixed_id"], "left_anti")
+    unsure = rest.join(few, rest["doc_id"] == few["mixed_id"], "left_semi").withColumn("__set", set_of(rest["text"]))
+    judged = unsure.join(gone, (unsure["doc_id"] == gone["gone_id"]) & (unsure["__set"] == gone["gone_set"]), "left_anti").drop("__set")
+    return sure.unionByName(judged)
 
 
 ORACLE = r"""

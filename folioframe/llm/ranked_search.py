@@ -217,11 +217,10 @@ class Evaluator:
         self.n, self.length, self.items = n, length, [i for p in plans for i in p["items"]]
         leaves = sorted({(number[t], r) for p in plans for t, r in zip(p["terms"], p["repeats"])})
         place = {leaf: i for i, leaf in enumerate(leaves)}
-        # Leaves by term: the places that a term's score goes to, and how often it counts there.
-        ids = np.array([t for t, _ in leaves], np.int64)
+        # Leaves in the order of their terms, and how often each counts.
+        self.terms = np.array([t for t, _ in leaves], np.int64)
         self.repeats = np.array([r for _, r in leaves], np.int64)
         self.weight = np.array([weights.get(t, 0) for t, _ in leaves], np.int64)
-        self.first = np.searchsorted(ids, np.arange(max(number.values(), default=0) + 2))
         self.nodes, self.sums, size = [], [], len(leaves)
         for p in plans:
             own = [place[number[t], r] for t, r in zip(p["terms"], p["repeats"])] + list(range(size, size + len(p["left"])))
@@ -237,7 +236,7 @@ class Evaluator:
         at = np.repeat(np.arange(len(lengths)), [len(t) for t in terms])
         term, tf = np.concatenate(terms).astype(np.int64), np.concatenate(counts).astype(np.int64)
         gain = (1_000_000_000 * tf) // (1000 * tf + 12 * m[at])
-        low, high = self.first[term], self.first[term + 1]
+        low, high = np.searchsorted(self.terms, term), np.searchsorted(self.terms, term, side="right")
         # A term has a leaf for each number of repeats that items have of it, seldom more than one.
         while (more := low < high).any():
             low, high, at, gain = low[more], high[more], at[more], gain[more]
