@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioframe.functions.scalar import js_number, js_round, parse_float, sheet_op, sheet_operand, sheet_result
+from folioframe.operators.formulas import range_steps, recalc_formulas
 from folioframe.operators.sheet import _cut
 from folioframe.plans.islands import in_rectangles
 
@@ -40,16 +41,21 @@ def range_agg(cells: DataFrame, ranges: DataFrame, cap: int | None = RANGE_CAP)
 def recalc(cells: DataFrame, formulas: DataFrame, max_iter: int | None = None, cap: int | None = RANGE_CAP) -> DataFrame:
     """cells after formulas (sheet_id, row, col, fn, r1, c1, r2, c2), range aggregates over other cells, have settled.
 
-    Every pass evaluates all formulas on the last values; it ends when none changed. Without cycles that takes a pass a
-    level, so at most as many as there are formulas; values that still change after those, or after max_iter, are
-    returned with a warning.
+    They settle along the graph of their dependencies (`recalc_formulas`); those of a cycle keep their values, with a
+    warning. With max_iter, plain passes instead: each evaluates all formulas on the last values, until none changes;
+    values that still change after max_iter are returned with a warning.
     An error doesn't replace a value. Lineage is cut each pass; only whether anything changed reaches the driver.
     """
     keys = ["sheet_id", "row", "col"]
+    if max_iter is None:
+        done = _cut(recalc_formulas(cells, range_steps(formulas), None, cap))
+        if not done.where("cyclic").isEmpty():
+            warnings.warn("recalc: formulas of a cycle keep their values", stacklevel=2)
+        return done.drop("cyclic")
     f = formulas.withColumn("target", F.concat_ws("|", *keys))
     plain = cells.select(*keys, "value")
     state = plain
-    for _ in range(f.count() + 1 if max_iter is None else max_iter):
+    for _ in range(max_iter):
         found = range_agg(state, f.select("target", "fn", "sheet_id", "r1", "c1", "r2", "c2"), cap)
         text = sheet_result(F.struct(F.col("result").alias("number"), F.col("error").alias("error")))
         new = f.select(*keys, "target").join(found, "target").select(*keys, text.alias("new"))

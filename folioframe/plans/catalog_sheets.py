@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from folioframe.functions import formats as FM
 from folioframe.functions import scalar as S
 from folioframe.operators import calc as K
+from folioframe.operators import formulas as R
 from folioframe.operators import sheet as E
 from folioframe.operators import validation as V
 
@@ -237,6 +238,43 @@ def recalc(spark, sf):
     return done.where("row >= 100000 and col = 0").select("sheet_id", "row", "col", F.col("value").cast("double").alias("value"))
 
 
+@query("recalc_composed", f"""WITH {_CELLS}, r AS (SELECT sheet_id, row, max(CASE WHEN col = 0 THEN x END) AS a, max(CASE WHEN col = 1 THEN x END) AS b, sum(CASE WHEN col BETWEEN 2 AND 3 THEN x END) AS c,
+  bool_or(col = 0 AND value = 'n/a') OR bool_or(col = 1 AND value = 'n/a') AS is_text FROM num GROUP BY ALL),
+v AS (SELECT sheet_id, row, row_number() OVER w AS k, CASE WHEN is_text THEN NULL ELSE coalesce(a, 0) + coalesce(b, 0) * (coalesce(c, 0) + 1) END AS p, coalesce(c, 0) AS c FROM r WINDOW w AS (PARTITION BY sheet_id ORDER BY row)),
+t AS (SELECT *, sum(coalesce(p, 0)) OVER (PARTITION BY sheet_id ORDER BY row) AS total FROM v)
+SELECT sheet_id, row, 20 AS col, CASE WHEN p IS NULL THEN '#ERROR' ELSE p::BIGINT::VARCHAR END AS value, false AS cyclic FROM t
+UNION ALL SELECT sheet_id, row, 21, total::BIGINT::VARCHAR, false FROM t
+UNION ALL SELECT sheet_id, row, 22, CASE WHEN c = 0 THEN '#ERROR' ELSE (floor(total / c + 0.5))::BIGINT::VARCHAR END, false FROM t
+UNION ALL SELECT sheet_id, row, 23, NULL, true FROM t WHERE k = 1 UNION ALL SELECT sheet_id, row, 24, NULL, true FROM t WHERE k = 1""")
+def recalc_composed(spark, sf):
+    """For each row, `A + B * SUM(C:D, 1)`, a running total over all rows of the sheet, and its rounded quotient by a sum; two cells of each sheet refer to each other."""
+    cells = line_cells(spark, sf).select("sheet_id", "row", "col", "value")
+    last = F.lag("row").over(Window.partitionBy("sheet_id").orderBy("row"))
+    rows = cells.select("sheet_id", "row").distinct().withColumn("before", last)
+    none = lambda kind: F.lit(None).cast(kind)
+
+    def of(col, *program, where="true"):
+        """Steps of one formula a row; a step is (kind, op, n, number, r1, c1, r2, c2)."""
+        made = [F.struct(F.lit(i).alias("step"), F.lit(k).alias("kind"), F.lit(op).cast("string").alias("op"), F.lit(n).cast("int").alias("n"), F.lit(x).cast("double").alias("number"), *[(none("int") if v is None else v if not isinstance(v, int) else F.lit(v)).cast("int").alias(name) for name, v in zip(("r1", "c1", "r2", "c2"), at, strict=True)]) for i, (k, op, n, x, *at) in enumerate(program)]
+        return rows.where(where).select("sheet_id", "row", F.lit(col).alias("col"), F.explode(F.array(*made)).alias("s")).select("sheet_id", "row", "col", "s.*")
+
+    own, above = F.col("row"), F.col("before")
+    ref = lambda r, c: ("ref", None, None, None, r, c, None, None)
+    box = ("range", None, None, None, own, 2, own, 3)
+    num = lambda x: ("num", None, None, x, None, None, None, None)
+    op = lambda o: ("op", o, None, None, None, None, None, None)
+    fn = lambda f, n: ("fn", f, n, None, None, None, None, None)
+    steps = (
+        of(20, ref(own, 0), ref(own, 1), box, num(1.0), fn("SUM", 2), op("*"), op("+"))
+        # The function makes 0 of a product that is an error.
+        .unionByName(of(21, ref(own, 20), fn("SUM", 1), where="before is null"))
+        .unionByName(of(21, ref(above, 21), ref(own, 20), fn("SUM", 2), where="before is not null"))
+        .unionByName(of(22, ref(own, 21), box, fn("SUM", 1), op("/"), num(0.0), fn("ROUND", 2)))
+        .unionByName(of(23, ref(own, 24), where="before is null")).unionByName(of(24, ref(own, 23), where="before is null"))
+    )
+    return R.recalc_formulas(cells, steps).where("col >= 20")
+
+
 @query("sheet_arithmetic", """SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity::INT % 7 = 0 THEN '#DIV/0!' ELSE NULL END AS error, round(CASE WHEN l_quantity::INT % 7 = 0 THEN NULL ELSE (l_extendedprice - l_quantity) * 2 / (l_quantity::INT % 7) END, 6) AS number, sum(1) OVER (PARTITION BY l_orderkey, l_linenumber)::BIGINT AS copies FROM lineitem""")
 def sheet_arithmetic(spark, sf):
     li = _t(spark, sf, "lineitem")

@@ -21,14 +21,42 @@ def changes(columns: list[str], by: list[str], order: list[str]) -> Column:
     return ~same | F.row_number().over(w).eqNullSafe(1)
 
 
-def in_rectangles(cells: DataFrame, rects: DataFrame, block: int = 64) -> DataFrame:
+#: A tile's side is one of these, times eight each; a rectangle meets nine tiles of its size a side at most.
+_TILE, _LEVELS, _SPAN = 64, 6, 8
+
+
+def _level(length: Column) -> Column:
+    """The least level whose tiles a length meets _SPAN + 1 of at most."""
+    out = F.lit(_LEVELS - 1)
+    for level in reversed(range(_LEVELS - 1)):
+        out = F.when(length <= _TILE * 8**level * _SPAN, F.lit(level)).otherwise(out)
+    return out
+
+
+def _tile(value: Column, level: Column) -> Column:
+    return F.floor(value / (F.lit(_TILE) * F.pow(F.lit(8), level))).cast("long")
+
+
+def tiles(rects: DataFrame) -> DataFrame:
+    """rects (r1, c1, r2, c2, ...), once for each tile that they meet: _lr, _lc the level of its height and width, _br, _bc its place."""
+    sized = rects.withColumn("_lr", _level(F.col("r2") - F.col("r1") + 1)).withColumn("_lc", _level(F.col("c2") - F.col("c1") + 1))
+    out = sized.withColumn("_br", F.explode(F.sequence(_tile(F.col("r1"), F.col("_lr")), _tile(F.col("r2"), F.col("_lr")))))
+    return out.withColumn("_bc", F.explode(F.sequence(_tile(F.col("c1"), F.col("_lc")), _tile(F.col("c2"), F.col("_lc")))))
+
+
+def in_rectangles(cells: DataFrame, rects: DataFrame) -> DataFrame:
     """Cells (sheet_id, row, col, ...) joined to the rectangles (sheet_id, r1, c1, r2, c2, ...) that hold them.
 
-    An equi-join by sheet and block of rows and columns: a rectangle is repeated for the blocks it meets, a cell is in
-    one block, so each pair is found once.
+    An equi-join by sheet and tile. A rectangle's tiles are of a size that fits its height and its width, so it meets 81
+    at most, a whole column of a sheet nine; a cell is in one tile of each pair of sizes that rectangles use, which are
+    looked up first, so each pair of cell and rectangle is found once.
     """
-    tiles = rects.withColumn("_br", F.explode(F.sequence(F.floor(F.col("r1") / block), F.floor(F.col("r2") / block))))
-    tiles = tiles.withColumn("_bc", F.explode(F.sequence(F.floor(F.col("c1") / block), F.floor(F.col("c2") / block))))
-    tiled = cells.withColumn("_br", F.floor(F.col("row") / block)).withColumn("_bc", F.floor(F.col("col") / block))
-    found = tiled.join(tiles, ["sheet_id", "_br", "_bc"])
-    return found.where(F.col("row").between(F.col("r1"), F.col("r2")) & F.col("col").between(F.col("c1"), F.col("c2"))).drop("_br", "_bc")
+    cut = tiles(rects)
+    # At most _LEVELS squared rows.
+    levels = rects.select(_level(F.col("r2") - F.col("r1") + 1).alias("_lr"), _level(F.col("c2") - F.col("c1") + 1).alias("_lc")).distinct()
+    used = sorted(tuple(r) for r in levels.collect()) or [(0, 0)]
+    sizes = F.array(*[F.struct(F.lit(a).alias("r"), F.lit(b).alias("c")) for a, b in used])
+    tiled = cells.withColumn("_s", F.explode(sizes)).withColumn("_lr", F.col("_s.r")).withColumn("_lc", F.col("_s.c")).drop("_s")
+    tiled = tiled.withColumn("_br", _tile(F.col("row"), F.col("_lr"))).withColumn("_bc", _tile(F.col("col"), F.col("_lc")))
+    found = tiled.join(cut, ["sheet_id", "_lr", "_lc", "_br", "_bc"])
+    return found.where(F.col("row").between(F.col("r1"), F.col("r2")) & F.col("col").between(F.col("c1"), F.col("c2"))).drop("_lr", "_lc", "_br", "_bc")
