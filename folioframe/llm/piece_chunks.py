@@ -149,12 +149,13 @@ class Block:
     def requests(self, buckets: int) -> Iterator[tuple]:
         """A row for each bucket that has chunks of the block: the chunks, and the steps between their numbers."""
         chunks, _ = self.numbered()
+        key = self.key(chunks)
         bucket = np.fromiter((zlib.crc32(c.encode()) % buckets for c in chunks), np.int64, len(chunks))
         order = np.argsort(bucket, kind="stable")
         cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
         for part in np.split(order, cuts[1:]) if len(order) else []:
             payload = _pack(chunk=pa.array([chunks[i] for i in part], pa.large_string()), step=_small(np.diff(part, prepend=0)))
-            yield int(bucket[part[0]]), _REQUEST, self.key(chunks), len(chunks), payload
+            yield int(bucket[part[0]]), _REQUEST, key, len(chunks), payload
 
     def rows(self) -> Iterator[tuple]:
         """The texts as numbers of chunks."""
