@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,10 +16,11 @@ CJK_WIDE = r"㐀-䶿一-鿿豈-﫿"
 _TOKEN = rf"[A-Za-z0-9][A-Za-z0-9'-]*|[{CJK}]"
 
 
-def placed_matches(df: DataFrame, id_col: str, text_col: str, pattern: str, wanted: str | None = None) -> DataFrame:
+def placed_matches(df: DataFrame, id_col: str, text_col: str, pattern: str, wanted: str | None = None, only: Broadcast | None = None) -> DataFrame:
     """(id, idx, word, start, stop) of all matches in a text, offsets in characters; a null text has none.
 
-    wanted names a column of lower-case words: of matches, those alone are returned, with their place among all.
+    wanted names a column of lower-case words, only is a broadcast set of them: of matches, those alone are returned, with
+    their place among all.
 
     Map-only: placing matches with built-in functions would take a window over each document's tokens, and so a shuffle
     of all of them.
@@ -26,11 +28,12 @@ def placed_matches(df: DataFrame, id_col: str, text_col: str, pattern: str, want
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = re.compile(pattern).finditer
+        every = only.value if only else None
         for batch in batches:
             owner, idx, words, starts, stops = [], [], [], [], []
-            only = batch.column(2).to_pylist() if wanted else None
+            own = batch.column(2).to_pylist() if wanted else None
             for i, text in enumerate(batch.column(1).to_pylist()):
-                mine = set(only[i]) if only else None
+                mine = set(own[i]) if own else every
                 for k, m in enumerate(find(text or "")):
                     if mine is not None and m[0].lower() not in mine:
                         continue
@@ -46,9 +49,9 @@ def placed_matches(df: DataFrame, id_col: str, text_col: str, pattern: str, want
     return df.select(id_col, text_col, *([wanted] if wanted else [])).mapInArrow(place, f"`{id_col}` {kind}, idx int, word string, start int, stop int")
 
 
-def tokenize(df: DataFrame, id_col: str, text_col: str, wanted: str | None = None) -> DataFrame:
+def tokenize(df: DataFrame, id_col: str, text_col: str, wanted: str | None = None, only: Broadcast | None = None) -> DataFrame:
     """(id, tok_idx, word, start, stop): runs of ASCII letters and digits with ' and -, or single CJK characters."""
-    return placed_matches(df, id_col, text_col, _TOKEN, wanted).withColumnRenamed("idx", "tok_idx")
+    return placed_matches(df, id_col, text_col, _TOKEN, wanted, only).withColumnRenamed("idx", "tok_idx")
 
 
 def words_only(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

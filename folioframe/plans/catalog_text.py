@@ -176,11 +176,6 @@ def build_dictionary(spark, sf):
     return B.build_dictionary(corpus_words(spark, sf), user_dict(spark, sf), "en")
 
 
-@query("deletes_index", f"""WITH {_WORDS} SELECT word, unnest(list_distinct(list_concat([word], CASE WHEN length(word) > 1 THEN list_transform(range(1, length(word) + 1), lambda i: substr(word, 1, i - 1) || substr(word, i + 1)) ELSE [] END))) AS delete FROM words""")
-def deletes_index(spark, sf):
-    return B.deletes_index(corpus_words(spark, sf), 1).select("word", "delete")
-
-
 def _stems(spark, sf):
     """Stems with flags and rules, made from the corpus: every word of the dictionary may take -s, -ed and re-."""
     w = corpus_words(spark, sf)
@@ -228,6 +223,11 @@ def spell_check_mixed(spark, sf):
 
 
 _CUT2 = "list_distinct(list_concat([{0}], list_transform(range(1, length({0}) + 1), lambda i: substr({0}, 1, i - 1) || substr({0}, i + 1)), flatten(list_transform(range(1, length({0})), lambda i: list_transform(range(i + 1, length({0}) + 1), lambda j: substr({0}, 1, i - 1) || substr({0}, i + 1, j - i - 1) || substr({0}, j + 1))))))"
+@query("deletes_index", f"""WITH {_WORDS} SELECT word, unnest({_CUT2.format("word")}) AS delete FROM words WHERE length(word) > 2 UNION ALL SELECT word, unnest(CASE WHEN length(word) = 2 THEN list_distinct([word, word[1], word[2]]) ELSE [word] END) FROM words WHERE length(word) <= 2""")
+def deletes_index(spark, sf):
+    return B.deletes_index(corpus_words(spark, sf), 2).select("word", "delete")
+
+
 # Within two edits: a word never becomes empty, so that words of one letter have no variants but themselves.
 _NEAR = f"""WITH {_WORDS}, q AS (SELECT DISTINCT lower(word) AS query FROM tok WHERE {_CHECKABLE} AND lower(word) NOT IN (SELECT word FROM words)),
 dq AS (SELECT * FROM (SELECT query, unnest({_CUT2.format("query")}) AS d FROM q) WHERE d <> ''),
