@@ -110,6 +110,7 @@ def ts_to_serial(ts: Column, date1904: bool = False) -> Column:
 def parse_date_like(value: Column) -> Column:
     """Timestamp of `Y-M-D` or `Y/M/D`, with ` h:m` or `Th:m:s` if there is a time; null otherwise."""
     s = F.trim(value)
+    # The shapes that are read; a month of 13, or a day that its month lacks, is no date here.
     shape = r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})(?:[ T](\d{1,2}):(\d{2})(?::(\d{2}))?)?$"
     part = lambda i: F.coalesce(F.try_to_number(F.regexp_extract(s, shape, i), F.lit("9999")), F.lit(0)).cast("int")
     return F.when(s.rlike(shape), F.try_make_timestamp(part(1), part(2), part(3), part(4), part(5), part(6).cast("decimal(8,6)")))
@@ -193,9 +194,10 @@ def outline_level(style: Column, level: Column, rule: str = "editor") -> Column:
 
 
 def slugify(title: Column) -> Column:
-    """Lower case; only word characters, CJK, spaces and hyphens stay; spaces become hyphens, runs of them one."""
-    s = F.regexp_replace(F.trim(F.lower(title)), r"[^\w一-龥\s-]", "")
-    return F.regexp_replace(F.regexp_replace(s, r"\s+", "-"), r"-+", "-")
+    """Lower case; only word characters, CJK, spaces and hyphens stay; spaces become hyphens, runs of them one, a leading one too."""
+    # The characters that stay.
+    s = F.regexp_replace(F.lower(title), r"[^\w一-龥\s-]", "")
+    return F.trim(F.regexp_replace(F.regexp_replace(s, r"\s+", "-"), r"-+", "-"))
 
 
 def escape_html(text: Column) -> Column:

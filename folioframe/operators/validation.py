@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioframe.functions.scalar import cell_ref, parse_range
+from folioframe.functions.scalar import MAX_COLUMN, cell_ref, parse_range
 from folioframe.plans.islands import in_rectangles, islands
 
 _REF = r"^\$?[A-Za-z]{1,3}\$?[0-9]+(:\$?[A-Za-z]{1,3}\$?[0-9]+)?$"
-#: A list of so many characters or more can't be a rule.
+#: Rows of a sheet.
+MAX_ROW = 1_048_576
+#: A list that takes so many bytes or more, its items trimmed and joined, can't be a rule.
 LONGEST_LIST = 255
 
 
@@ -22,13 +24,24 @@ def literal_list(formula: Column) -> Column:
     return F.when((quoted | ~(s.contains("!") | s.rlike(_REF))) & (inner != "") & (inner != '""'), items)
 
 
-def expand_ranges(rules: DataFrame, sqref: str = "sqref", max_rows: int = 2000, max_cols: int = 200) -> DataFrame:
-    """rules with row and col, 0-based, of every cell of their space-separated references, clipped to the grid first."""
+def expand_ranges(rules: DataFrame, sqref: str = "sqref", max_rows: int | None = None, max_cols: int | None = None, bounds: DataFrame | None = None) -> DataFrame:
+    """rules with row and col, 0-based, of every cell of their space-separated references, clipped to the grid first.
+
+    The grid is a whole sheet, or max_rows by max_cols, or that of each sheet in bounds (sheet_id, max_row, max_col), the
+    last row and column in use; a sheet that bounds lacks has no cells.
+    """
+    r = rules
+    if bounds is not None:
+        own = bounds.select("sheet_id", (F.col("max_row") + 1).alias("_rows"), (F.col("max_col") + 1).alias("_cols"))
+        r = r.join(own, "sheet_id")
+    else:
+        r = r.withColumn("_rows", F.lit(MAX_ROW)).withColumn("_cols", F.lit(MAX_COLUMN))
+    r = r.withColumn("_rows", F.least("_rows", F.lit(max_rows or MAX_ROW))).withColumn("_cols", F.least("_cols", F.lit(max_cols or MAX_COLUMN)))
     parts = F.filter(F.split(F.trim(F.col(sqref)), r"\s+"), lambda x: x != "")
-    r = rules.select("*", F.explode(parts).alias("_part")).withColumn("_r", parse_range(F.col("_part")))
-    r = r.where("_r.c1 is not null").where((F.col("_r.r1") <= max_rows) & (F.col("_r.c1") <= max_cols))
-    rows = r.withColumn("row", F.explode(F.sequence(F.col("_r.r1") - 1, F.least(F.col("_r.r2"), F.lit(max_rows)) - 1)))
-    return rows.withColumn("col", F.explode(F.sequence(F.col("_r.c1") - 1, F.least(F.col("_r.c2"), F.lit(max_cols)) - 1))).drop("_part", "_r")
+    r = r.select("*", F.explode(parts).alias("_part")).withColumn("_r", parse_range(F.col("_part")))
+    r = r.where("_r.c1 is not null").where((F.col("_r.r1") <= F.col("_rows")) & (F.col("_r.c1") <= F.col("_cols")))
+    rows = r.withColumn("row", F.explode(F.sequence(F.col("_r.r1") - 1, F.least(F.col("_r.r2"), F.col("_rows")) - 1)))
+    return rows.withColumn("col", F.explode(F.sequence(F.col("_r.c1") - 1, F.least(F.col("_r.c2"), F.col("_cols")) - 1))).drop("_part", "_r", "_rows", "_cols")
 
 
 def apply_validation(cells: DataFrame, rules: DataFrame) -> DataFrame:
@@ -46,9 +59,20 @@ def validation_violations(cells: DataFrame) -> DataFrame:
     return cells.where((F.coalesce("valid", F.lit("")) != "") & (F.trim(F.coalesce("value", F.lit(""))) != "") & ~F.array_contains(items, F.trim("value")))
 
 
+def _list_bytes(valid: Column) -> Column:
+    items = F.filter(F.transform(F.split(valid, ","), lambda x: F.trim(x)), lambda x: x != "")
+    return F.octet_length(F.array_join(items, ","))
+
+
+def long_lists(cells: DataFrame) -> DataFrame:
+    """(sheet_id, valid, n_bytes, n_cells): the lists that compress_runs leaves out, being too long for a rule."""
+    size = _list_bytes(F.col("valid"))
+    return cells.where(size >= LONGEST_LIST).groupBy("sheet_id", "valid").agg(F.first(size).alias("n_bytes"), F.count("*").alias("n_cells"))
+
+
 def compress_runs(cells: DataFrame) -> DataFrame:
-    """(sheet_id, valid, row, c1, c2, sqref): the longest horizontal runs of cells with the same list; too long lists go."""
-    listed = cells.where((F.coalesce("valid", F.lit("")) != "") & (F.length("valid") < LONGEST_LIST)).select("sheet_id", "valid", "row", "col").distinct()
+    """(sheet_id, valid, row, c1, c2, sqref): the longest horizontal runs of cells with the same list; long_lists tells which are left out."""
+    listed = cells.where((F.coalesce("valid", F.lit("")) != "") & (_list_bytes(F.col("valid")) < LONGEST_LIST)).select("sheet_id", "valid", "row", "col").distinct()
     by = ["sheet_id", "valid", "row"]
     w = Window.partitionBy(*by).orderBy("col")
     runs = islands(listed.withColumn("_new", F.coalesce(F.lag("col").over(w) + 1 != F.col("col"), F.lit(True))), by, ["col"], F.col("_new"))

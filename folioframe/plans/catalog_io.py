@@ -19,6 +19,7 @@ from folioframe.sources import documents as A
 from folioframe.sources import tables as G
 from folioframe.sources import text as X
 from folioframe.streaming import jobs as J
+from folioframe.streaming import state as Z
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -217,12 +218,51 @@ def stream_user_dict(spark, sf):
     return J.user_dict_of(spark, f"{out}/log").drop("source")
 
 
-@query("stream_recent", "WITH l AS (SELECT user_id, event_type, max(ts) AS ts FROM events GROUP BY ALL) SELECT user_id, event_type, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_type)::INT AS rank FROM l QUALIFY rank <= 3")
+_RECENT = "WITH l AS (SELECT user_id, event_type, max(ts) AS ts FROM events GROUP BY ALL) SELECT user_id, event_type, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_type)::INT AS rank FROM l QUALIFY rank <= 3"
+
+
+@query("stream_recent", _RECENT)
 def stream_recent(spark, sf):
     state = _drain(J.stream_recent(_stream(spark, sf, "events"), "user_id", "event_type", "ts"), "complete", spark)
     return J.recent_items(state, "user_id", "event_type", "ts", 3)
 
 
+def _in_time_order(spark, sf, parts: int = 3):
+    """Events as a stream of files, each of a later time than the one before, read one by one."""
+    e, out = _t(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")), _folder(spark)
+    cuts = e.agg(F.percentile_approx(F.unix_micros("ts"), [k / parts for k in range(1, parts)])).first()[0]
+    at = F.unix_micros("ts")
+    for k, (low, high) in enumerate(zip([None, *cuts], [*cuts, None], strict=True)):
+        own = e.where((F.lit(True) if low is None else at > low) & (F.lit(True) if high is None else at <= high))
+        own.coalesce(1).write.mode("append").parquet(f"{out}/{k}")
+    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(out)
+
+
+def _settled(state: DataFrame, keys: list[str], spark: SparkSession) -> DataFrame:
+    """The latest entries that a job with keyed state has written over all available input."""
+    out, before = _folder(spark), spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    Z.use_state_store(spark)
+    try:
+        Z.keep(state, f"{out}/kept", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    return Z.current(spark.read.parquet(f"{out}/kept"), keys)
+
+
+@query("stream_user_dict_state", f"WITH {_UD}")
+def stream_user_dict_state(spark, sf):
+    """The dictionary as keyed state, current after each micro-batch; events of one that are out of order are put in order."""
+    op = F.when(F.col("event_type") == "error", "remove").otherwise("add")
+    events = _in_time_order(spark, sf).select(op.alias("op"), F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("word"), F.lit("en").alias("lang"), F.col("event_type").alias("source"), (F.col("event_id") % 4).cast("int").alias("inc"), "ts")
+    return _settled(Z.user_dict_state(events), ["word", "lang"], spark).where("frequency > 0").drop("source", "n_held")
+
+
+@query("stream_recent_state", _RECENT)
+def stream_recent_state(spark, sf):
+    """The three latest types of event of each user, kept as three items a user."""
+    return _settled(Z.recent_state(_in_time_order(spark, sf), "user_id", "event_type", "ts", 3), ["user_id"], spark)
+
+
 @query("stream_spell_check", f"""{_RANKED}, g AS (SELECT query, string_agg(word, ',' ORDER BY rank) AS suggestions FROM k GROUP BY query)
 SELECT doc_id, tok.word, coalesce(suggestions, '') AS suggestions, count(*) AS n FROM tok JOIN q ON lower(tok.word) = q.query LEFT JOIN g ON g.query = q.query GROUP BY ALL""")
 def stream_spell_check(spark, sf):

@@ -306,19 +306,33 @@ def compare_docs(spark, sf):
     return c.select("source", F.md5("text").alias("digest"), "change")
 
 
-_FENCED = """ln AS (SELECT doc_id, i - 1 AS line_no, ls[i] AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS ls FROM documents)))"""
+#: Lines that begin with some letters made headings, items, quotes, fences and tables.
+_STYLES = (("A-B", "## "), ("C-D", "- "), ("E-F", "1. "), ("G-H", "> "), ("I", "```\n"), ("J", "| k | v |\n|---|:-:|\n| a | b |\n\n"))
+_STYLED_SQL = functools.reduce(lambda x, m: rf"regexp_replace({x}, '(?m)^([{m[0]}])', '{m[1]}\1', 'g')", _STYLES, "replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))")
+_STYLED = f"""ln AS (SELECT doc_id, i - 1 AS line_no, ls[i] AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split({_STYLED_SQL}, chr(10)) AS ls FROM documents))),
+f AS (SELECT *, line LIKE '```%' AS fence, sum((line LIKE '```%')::INT) OVER (PARTITION BY doc_id ORDER BY line_no) AS fences FROM ln),
+plain AS (SELECT * FROM f WHERE NOT fence AND fences % 2 = 0),
+bl AS (SELECT doc_id, CASE WHEN regexp_matches(line, '^#+ ') THEN 'heading' WHEN regexp_matches(line, '^[-*] ') THEN 'bullet' WHEN regexp_matches(line, '^\\d\\. ') THEN 'ordered' WHEN starts_with(line, '> ') THEN 'quote'
+  WHEN line = '| k | v |' THEN 'table' ELSE 'paragraph' END AS block_type FROM plain WHERE trim(line) <> '' AND line NOT IN ('|---|:-:|', '| a | b |')
+  UNION ALL SELECT doc_id, 'code' FROM (SELECT doc_id, unnest(range(0, (max(fences) + 1)::BIGINT // 2)) FROM f GROUP BY doc_id))"""
 
 
-@query("markdown_toc", rf"""WITH {_FENCED} SELECT doc_id, line_no::INT AS line_no, length(regexp_extract(line, '^(#{{1,6}})\s+(.+?)\s*#*\s*$', 1))::INT AS level, regexp_extract(line, '^(#{{1,6}})\s+(.+?)\s*#*\s*$', 2) AS title
-FROM ln WHERE regexp_matches(line, '^(#{{1,6}})\s+(.+?)\s*#*\s*$')""")
+def _styled(spark, sf):
+    text = F.regexp_replace(F.regexp_replace("text", "\r\n?", "\n"), "\r", "\n")
+    text = functools.reduce(lambda x, m: F.regexp_replace(x, f"(?md)^([{m[0]}])", f"{m[1]}$1"), _STYLES, text)
+    return _t(spark, sf, "documents").select("doc_id", text.alias("text"))
+
+
+@query("markdown_toc", rf"""WITH {_STYLED} SELECT doc_id, line_no::INT AS line_no, length(regexp_extract(line, '^(#{{1,6}})\s+(.+?)\s*#*\s*$', 1))::INT AS level, regexp_extract(line, '^(#{{1,6}})\s+(.+?)\s*#*\s*$', 2) AS title
+FROM plain WHERE regexp_matches(line, '^(#{{1,6}})\s+(.+?)\s*#*\s*$')""")
 def markdown_toc(spark, sf):
-    return M.markdown_toc(_t(spark, sf, "documents"), "doc_id", "text").select("doc_id", "line_no", "level", "title")
+    return M.markdown_toc(_styled(spark, sf), "doc_id", "text").select("doc_id", "line_no", "level", "title")
 
 
-@query("markdown_blocks", rf"""WITH {_FENCED} SELECT doc_id, CASE WHEN regexp_matches(line, '^#+ ') THEN 'heading' WHEN regexp_matches(line, '^[-*] ') THEN 'bullet' WHEN regexp_matches(line, '^\d\. ') THEN 'ordered' WHEN starts_with(line, '> ') THEN 'quote' ELSE 'paragraph' END AS block_type, count(*) AS n
-FROM ln WHERE trim(line) <> '' GROUP BY ALL""")
+@query("markdown_blocks", rf"""WITH {_STYLED} SELECT doc_id, block_type, count(*) AS n FROM bl GROUP BY ALL""")
 def markdown_blocks(spark, sf):
-    return M.markdown_blocks(_t(spark, sf, "documents"), "doc_id", "text").groupBy("doc_id", "block_type").agg(F.count("*").alias("n"))
+    """Blocks of every kind, as lines that begin with some letters are made headings, items, quotes, fences and tables."""
+    return M.markdown_blocks(_styled(spark, sf), "doc_id", "text").groupBy("doc_id", "block_type").agg(F.count("*").alias("n"))
 
 
 _MARKS = {" the ": " **the** ", " de ": " *de* ", " und ": " `und` ", " of ": " [of](http://x) ", " le ": " ![le](y.png) "}
@@ -442,9 +456,9 @@ def reject_changes(spark, sf):
     return D.reject_changes(_tracked(spark, sf))
 
 
-@query("element_counts", """SELECT doc_id, count(*) FILTER (k = 'heading') AS n_heading, count(*) FILTER (k = 'bullet') AS n_bullet, count(*) AS n_blocks FROM (SELECT doc_id, CASE WHEN regexp_matches(line, '^#+ ') THEN 'heading' WHEN regexp_matches(line, '^[-*] ') THEN 'bullet' END AS k FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE trim(line) <> '') GROUP BY doc_id""")
+@query("element_counts", f"WITH {_STYLED} SELECT doc_id, count(*) FILTER (block_type = 'heading') AS n_heading, count(*) FILTER (block_type = 'bullet') AS n_bullet, count(*) AS n_blocks FROM bl GROUP BY doc_id")
 def element_counts(spark, sf):
-    return D.element_counts(M.markdown_blocks(_t(spark, sf, "documents"), "doc_id", "text"), ["heading", "bullet"])
+    return D.element_counts(M.markdown_blocks(_styled(spark, sf), "doc_id", "text"), ["heading", "bullet"])
 
 
 @query("elements", r"SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(string_split(regexp_replace(text, '(?m)^([A-M])', '- \1', 'g'), chr(10))) AS line FROM documents) WHERE regexp_matches(line, '^[-*] ') GROUP BY doc_id")
@@ -524,6 +538,6 @@ def fold_math(spark, sf):
     return p.select("p_partkey", S.fold_math(text).alias("folded"))
 
 
-@query("slugify", r"SELECT p_partkey, regexp_replace(regexp_replace(regexp_replace(lower(trim(p_name || ' (' || p_brand || ')')), '[^\w一-龥\s-]', '', 'g'), '\s+', '-', 'g'), '-+', '-', 'g') AS slug FROM part")
+@query("slugify", r"SELECT p_partkey, regexp_replace(regexp_replace(regexp_replace(lower(' ' || p_name || ' (' || p_brand || ')'), '[^\w一-龥\s-]', '', 'g'), '\s+', '-', 'g'), '-+', '-', 'g') AS slug FROM part")
 def slugify(spark, sf):
-    return _t(spark, sf, "part").select("p_partkey", S.slugify(F.concat("p_name", F.lit(" ("), "p_brand", F.lit(")"))).alias("slug"))
+    return _t(spark, sf, "part").select("p_partkey", S.slugify(F.concat(F.lit(" "), "p_name", F.lit(" ("), "p_brand", F.lit(")"))).alias("slug"))

@@ -322,3 +322,37 @@ def test_user_words_over_an_old_dictionary(spark):
 def test_entry_without_the_corpus_operators():
     code = "import sys; sys.modules['folioframe.llm'] = None\nimport __spark_entry__ as e\nassert 'spell_check' in e.queries() and 'spell_check' in e.oracle_sql() and 'pipeline' not in e.queries()"
     subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], check=True)
+
+
+def test_rules_longer_than_a_rule_can_be(spark):
+    """Bytes of the trimmed items count, joined by commas."""
+    lists = ["汉" * 201, "a" * 254 + ",", "a" * 254, "a" * 255, "x , " * 100, " x ,y"]
+    cells = spark.createDataFrame([("s", v, i, 0) for i, v in enumerate(lists)], "sheet_id string, valid string, row int, col int")
+    assert {r.row for r in V.compress_runs(cells).collect()} == {1, 2, 4, 5}
+    assert {(r.valid, r.n_bytes, r.n_cells) for r in V.long_lists(cells).collect()} == {(lists[0], 603, 1), (lists[3], 255, 1)}
+
+
+def test_ranges_of_whole_columns_and_of_used_cells(spark):
+    rules = spark.createDataFrame([("s", "A2500:B2501 C1"), ("t", "A1:A3"), ("u", "A1")], "sheet_id string, sqref string")
+    key = lambda df: {(r.sheet_id, r.row, r.col) for r in df.collect()}
+    assert key(V.expand_ranges(rules)) == {("s", 2499, 0), ("s", 2499, 1), ("s", 2500, 0), ("s", 2500, 1), ("s", 0, 2), ("t", 0, 0), ("t", 1, 0), ("t", 2, 0), ("u", 0, 0)}
+    assert V.expand_ranges(spark.createDataFrame([("s", "B1:B1048576")], "sheet_id string, sqref string")).count() == 1_048_576
+    used = E.used_bounds(spark.createDataFrame([("s", 2499, 0, "x", None), ("t", 1, 5, None, "=A1")], "sheet_id string, row int, col int, value string, formula string"))
+    assert key(V.expand_ranges(rules, bounds=used)) == {("s", 2499, 0), ("t", 0, 0), ("t", 1, 0)}
+
+
+def test_a_null_list_clears_a_rule(spark):
+    cells = spark.createDataFrame([("s", 0, 0, "a,b"), ("s", 1, 0, "c"), ("s", 2, 0, None)], "sheet_id string, row int, col int, valid string")
+    rules = spark.createDataFrame([("s", 0, 0, 0, 0, None), ("s", 2, 0, 9, 0, "d")], "sheet_id string, r1 int, c1 int, r2 int, c2 int, valid string")
+    assert {r.row: r.valid for r in V.apply_validation(cells, rules).collect()} == {0: None, 1: "c", 2: "d"}
+
+
+def test_days_of_the_system_that_starts_in_1904(spark):
+    assert one(spark, S.serial_to_ts(F.lit(0.5), True)) == datetime(1904, 1, 1, 12)
+    assert one(spark, S.serial_to_ts(F.lit(1.0), True)) == datetime(1904, 1, 2)
+    assert one(spark, S.ts_to_serial(F.lit(datetime(1904, 1, 2, 6)), True)) == 1.25
+    assert one(spark, S.ts_to_serial(F.lit(datetime(1900, 1, 1)), True)) == 0.0
+
+
+def test_slugs_keep_a_leading_blank_as_a_hyphen(spark):
+    assert one(spark, S.slugify(F.lit(" A (b)  c "))) == "-a-b-c-"
