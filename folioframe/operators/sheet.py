@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioframe.functions.scalar import cell_ref, js_number, parse_float
-from folioframe.plans.islands import islands
+from folioframe.plans.islands import islands, number_runs
 
 
 def _blank(c: Column) -> Column:
@@ -89,22 +89,28 @@ def filled_rows(cells: DataFrame) -> DataFrame:
 
 def data_regions(cells: DataFrame) -> DataFrame:
     """(sheet_id, top, bottom) of each block of rows that have a value."""
-    rows = filled_rows(cells)
-    rank = F.row_number().over(Window.partitionBy("sheet_id").orderBy("row"))
-    return rows.withColumn("_g", F.col("row") - rank).groupBy("sheet_id", "_g").agg(F.min("row").alias("top"), F.max("row").alias("bottom")).drop("_g")
+    return number_runs(filled_rows(cells), ["sheet_id"], "row", "top", "bottom")
+
+
+#: Rows to a block, where headers are looked up block by block.
+HEADER_ROWS = 65_536
 
 
 def header_rows(regions: DataFrame, anchors: DataFrame) -> DataFrame:
     """anchors (sheet_id, row) with header: the top of the region they are in, or of the nearest one above.
 
-    The tops and the anchors of a sheet are walked once, in order of their rows.
+    That is the largest top up to the row: the largest of the blocks of rows before, or one within its own block, whose
+    tops and anchors are walked once.
     """
     none = F.lit(None).cast("int")
     both = regions.select("sheet_id", F.col("top").alias("row"), F.col("top"), F.lit(False).alias("_asked")).unionByName(
         anchors.select("sheet_id", "row", none.alias("top"), F.lit(True).alias("_asked")).distinct()
-    )
-    above = Window.partitionBy("sheet_id").orderBy("row", "_asked").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("header", F.last("top", ignorenulls=True).over(above)).where("_asked and header is not null").select("sheet_id", "row", "header")
+    ).withColumn("_block", F.floor(F.col("row") / HEADER_ROWS))
+    before = Window.partitionBy("sheet_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = both.groupBy("sheet_id", "_block").agg(F.max("top").alias("_top")).select("sheet_id", "_block", F.max("_top").over(before).alias("_above"))
+    above = Window.partitionBy("sheet_id", "_block").orderBy("row", "_asked").rowsBetween(Window.unboundedPreceding, 0)
+    own = both.withColumn("header", F.max("top").over(above)).join(blocks, ["sheet_id", "_block"])
+    return own.withColumn("header", F.coalesce("header", "_above")).where("_asked and header is not null").select("sheet_id", "row", "header")
 
 
 def remove_duplicates(df: DataFrame, col: str, order_col: str) -> DataFrame:
@@ -279,9 +285,7 @@ def duplicate_row(cells: DataFrame, row: int, to: int | None = None) -> DataFram
 def numeric_runs(cells: DataFrame) -> DataFrame:
     """(sheet_id, col, top, bottom): runs of numeric cells down a column."""
     numeric = cells.where(~_blank(F.col("value")) & js_number(F.col("value")).isNotNull())
-    w = Window.partitionBy("sheet_id", "col").orderBy("row")
-    runs = islands(numeric.withColumn("_new", F.coalesce(F.lag("row").over(w) + 1 != F.col("row"), F.lit(True))), ["sheet_id", "col"], ["row"], F.col("_new"))
-    return runs.groupBy("sheet_id", "col", "island").agg(F.min("row").alias("top"), F.max("row").alias("bottom")).drop("island")
+    return number_runs(numeric, ["sheet_id", "col"], "row", "top", "bottom")
 
 
 def union_sheets(*sheets: DataFrame) -> DataFrame:

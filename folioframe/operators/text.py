@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark import Broadcast
@@ -75,11 +75,70 @@ def contains_cjk(text: Column) -> Column:
     return text.rlike(rf"[{CJK}]")
 
 
+#: Words that are broadcast to segmentation at most.
+BROADCAST_WORDS = 1_000_000
+
+
+class WordTrie:
+    """Words by their first character: the lengths that occur behind it, longest first, and the words themselves."""
+
+    def __init__(self, words: list[str]):
+        self.words = frozenset(words)
+        lengths: dict[str, set[int]] = {}
+        for w in words:
+            lengths.setdefault(w[0], set()).add(len(w))
+        self.lengths = {c: tuple(sorted(n, reverse=True)) for c, n in lengths.items()}
+
+    def longest(self, text: str, at: int) -> int:
+        """The length of the longest word at a place, 1 if there is none."""
+        for n in self.lengths.get(text[at], ()):
+            # A slice at the end of the text is shorter, and so no word of that length.
+            if text[at : at + n] in self.words and at + n <= len(text):
+                return n
+        return 1
+
+
 def segment_cjk(df: DataFrame, id_col: str, text_col: str, words: DataFrame) -> DataFrame:
     """(id, seg_idx, word, start, stop): greedy longest match of dictionary words (two characters or more) in CJK runs.
 
+    A run without CJK is one segment. The dictionary's CJK words are counted: up to BROADCAST_WORDS go to every task, and
+    texts are walked where they lie; beyond, substrings of the runs meet the dictionary in a join.
+    """
+    useful = words.select("word").where(F.col("word").rlike(rf"^[{CJK_WIDE}]{{2,}}$")).distinct()
+    if useful.count() > BROADCAST_WORDS:
+        return _segment_by_join(df, id_col, text_col, words)
+    trie = df.sparkSession.sparkContext.broadcast([r.word for r in useful.toLocalIterator()])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        longest, runs = WordTrie(trie.value).longest, re.compile(rf"[{CJK_WIDE}]+|[^{CJK_WIDE}]+").finditer
+        is_cjk = re.compile(rf"[{CJK_WIDE}]").match
+        for batch in batches:
+            owner, idx, found, starts, stops = [], [], [], [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                k = 0
+                for run in runs(text or ""):
+                    own, at = run[0], 0
+                    cjk = is_cjk(own)
+                    while at < len(own):
+                        n = longest(own, at) if cjk else len(own)
+                        owner.append(i)
+                        idx.append(k)
+                        found.append(own[at : at + n])
+                        starts.append(run.start() + at)
+                        stops.append(run.start() + at + n)
+                        at, k = at + n, k + 1
+            columns = [batch.column(0).take(pa.array(owner, pa.int64())), pa.array(idx, pa.int32()), pa.array(found, pa.string()), pa.array(starts, pa.int32()), pa.array(stops, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, [id_col, "seg_idx", "word", "start", "stop"])
+
+    kind = df.schema[id_col].dataType.simpleString()
+    return df.select(id_col, text_col).mapInArrow(walk, f"`{id_col}` {kind}, seg_idx int, word string, start int, stop int")
+
+
+def _segment_by_join(df: DataFrame, id_col: str, text_col: str, words: DataFrame) -> DataFrame:
+    """segment_cjk with a dictionary of any size.
+
     Candidate substrings of each run meet the dictionary in a semi-join, so the dictionary is never held whole; the
-    longest word at each place is then walked from the left. A run without CJK is one segment.
+    longest word at each place is then walked from the left.
     """
     longest = words.agg(F.max(F.length("word"))).first()[0] or 1
     runs = placed_matches(df, id_col, text_col, rf"[{CJK_WIDE}]+|[^{CJK_WIDE}]+")
@@ -151,6 +210,74 @@ def find_matches(df: DataFrame, id_col: str, text_col: str, query: str, case_sen
     return df.where(F.col(text_col).isNotNull()).select(id_col, F.posexplode(starts).alias("match_idx", "start")).withColumn("stop", F.col("start") + size)
 
 
+#: Patterns that are broadcast at most.
+MANY_PATTERNS = 200_000
+
+
+def automaton(patterns: Iterable[str]):
+    """Finds all patterns in one pass over a text: a function of a text that gives (pattern, start), overlaps of one pattern left out."""
+    import ahocorasick
+
+    machine = ahocorasick.Automaton()
+    for p in patterns:
+        machine.add_word(p, p)
+    machine.make_automaton()
+
+    def find(text: str) -> list[tuple[str, int]]:
+        out, free = [], {}
+        for end, p in machine.iter(text):
+            start = end + 1 - len(p)
+            if start >= free.get(p, 0):
+                free[p] = end + 1
+                out.append((p, start))
+        return out
+
+    return find if len(machine) else lambda text: []
+
+
+def find_patterns(df: DataFrame, id_col: str, text_col: str, patterns: DataFrame, case_sensitive: bool = False) -> DataFrame:
+    """(id, pattern, match_idx, start, stop) of every occurrence of each pattern (pattern), those of one not overlapping.
+
+    All patterns are found in one pass over a text, in time of its length and the matches. Without case, patterns and
+    texts are compared lower-cased, character by character, so that places are those of the text. Patterns are counted;
+    more than MANY_PATTERNS are an error, as they go to every task.
+    """
+    names = patterns.select("pattern").where("pattern <> ''").distinct()
+    if names.count() > MANY_PATTERNS:
+        raise ValueError(f"more than {MANY_PATTERNS} patterns")
+    shared = df.sparkSession.sparkContext.broadcast([r.pattern for r in names.toLocalIterator()])
+
+    def low(text: str) -> str:
+        lower = text.lower()
+        # Where lower case changes the length, each character that it lengthens stays as it is.
+        return lower if len(lower) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fold = (lambda x: x) if case_sensitive else low
+        written: dict[str, list[str]] = {}
+        for p in shared.value:
+            written.setdefault(fold(p), []).append(p)
+        find = automaton(written)
+        for batch in batches:
+            owner, which, idx, starts, stops = [], [], [], [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                count: dict[str, int] = {}
+                for p, start in find(fold(text or "")):
+                    k = count.get(p, 0)
+                    count[p] = k + 1
+                    for name in written[p]:
+                        owner.append(i)
+                        which.append(name)
+                        idx.append(k)
+                        starts.append(start)
+                        stops.append(start + len(p))
+            columns = [batch.column(0).take(pa.array(owner, pa.int64())), pa.array(which, pa.string()), pa.array(idx, pa.int32()), pa.array(starts, pa.int32()), pa.array(stops, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, [id_col, "pattern", "match_idx", "start", "stop"])
+
+    kind = df.schema[id_col].dataType.simpleString()
+    return df.select(id_col, text_col).mapInArrow(walk, f"`{id_col}` {kind}, pattern string, match_idx int, start int, stop int")
+
+
 def replace_text(df: DataFrame, text_col: str, query: str, replacement: str, case_sensitive: bool = False) -> DataFrame:
     """df with every match replaced, and n_replaced."""
     if not query:

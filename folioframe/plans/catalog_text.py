@@ -122,6 +122,16 @@ def find_matches(spark, sf):
     return T.find_matches(_t(spark, sf, "documents"), "doc_id", "text", "tion").groupBy("doc_id").agg(F.count("*").alias("n_matches"))
 
 
+@query("find_patterns", """WITH p AS (SELECT DISTINCT pattern FROM (SELECT unnest(['TION', 'the ', 'a', 'aa', 'ñ', 'é']) AS pattern UNION ALL SELECT lower(n_name) FROM nation)),
+c AS (SELECT doc_id, pattern, string_split(lower(text), lower(pattern)) AS ps FROM documents, p WHERE contains(lower(text), lower(pattern))), u AS (SELECT *, unnest(range(1, len(ps))) AS i FROM c)
+SELECT doc_id, pattern, (i - 1)::INT AS match_idx, (list_sum(list_transform(ps[1:i], lambda x: length(x))) + (i - 1) * length(pattern))::INT AS start FROM u""")
+def find_patterns(spark, sf):
+    """Places of some syllables and of the names of nations."""
+    names = _t(spark, sf, "nation").select(F.lower("n_name").alias("pattern"))
+    some = spark.createDataFrame([(p,) for p in ("TION", "the ", "a", "aa", "ñ", "é")], "pattern string")
+    return T.find_patterns(_t(spark, sf, "documents"), "doc_id", "text", some.unionByName(names)).select("doc_id", "pattern", "match_idx", "start")
+
+
 @query("replace_text", "SELECT doc_id, md5(replace(text, 'tion', 'xyz')) AS digest, (len(string_split(text, 'tion')) - 1)::INT AS n_replaced FROM documents")
 def replace_text(spark, sf):
     r = T.replace_text(_t(spark, sf, "documents"), "text", "tion", "xyz", case_sensitive=True)

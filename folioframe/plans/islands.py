@@ -21,6 +21,42 @@ def changes(columns: list[str], by: list[str], order: list[str]) -> Column:
     return ~same | F.row_number().over(w).eqNullSafe(1)
 
 
+#: Whole numbers to a block, where islands of numbers are found block by block.
+_RUN_BLOCK = 65_536
+
+
+def number_runs(df: DataFrame, by: list[str], at: str, first: str, last: str, block: int = _RUN_BLOCK) -> DataFrame:
+    """(by, first, last): the runs of neighbouring whole numbers in column at, per group.
+
+    A group of any size spreads over its blocks of numbers: runs are found within blocks, and only those that reach
+    the end of a block, two a block at most, meet again to be joined.
+    """
+    place = [*by, "_block"]
+    own = df.select(*by, F.col(at).alias("_at")).distinct().withColumn("_block", F.floor(F.col("_at") / block))
+    rank = F.row_number().over(Window.partitionBy(*place).orderBy("_at"))
+    runs = own.withColumn("_g", F.col("_at") - rank).groupBy(*place, "_g").agg(F.min("_at").alias("_a"), F.max("_at").alias("_b"))
+    edge = (F.col("_a") == F.col("_block") * block) | (F.col("_b") == (F.col("_block") + 1) * block - 1)
+    order = Window.partitionBy(*by).orderBy("_a")
+    starts = F.coalesce(F.col("_a") != F.lag("_b").over(order) + 1, F.lit(True))
+    joined = islands(runs.where(edge).withColumn("_new", starts), by, ["_a"], F.col("_new"), "_n").groupBy(*by, "_n").agg(F.min("_a").alias("_a"), F.max("_b").alias("_b"))
+    kind = df.schema[at].dataType
+    every = runs.where(~edge).select(*by, "_a", "_b").unionByName(joined.select(*by, "_a", "_b"))
+    return every.select(*by, F.col("_a").cast(kind).alias(first), F.col("_b").cast(kind).alias(last))
+
+
+def number_within(df: DataFrame, by: list[str], block: str, order: str, name: str) -> DataFrame:
+    """df with its 0-based place in its group by (block, order): its place in its block, and the sizes of the blocks before.
+
+    A group of any size spreads over its blocks, of which only the sizes meet.
+    """
+    sizes = df.groupBy(*by, block).agg(F.count("*").alias("_size"))
+    before = Window.partitionBy(*by).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(*[F.col(c).alias(f"_{c}") for c in (*by, block)], F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(*by, block).orderBy(order)) - 1
+    met = df.withColumn("_inside", inside).join(sizes, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*by, block)])
+    return met.withColumn(name, F.col("_inside") + F.col("_before")).drop("_inside", "_before", *[f"_{c}" for c in (*by, block)])
+
+
 #: A tile's side is one of these, times eight each; a rectangle meets nine tiles of its size a side at most.
 _TILE, _LEVELS, _SPAN = 64, 6, 8
 
