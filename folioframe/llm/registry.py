@@ -43,5 +43,6 @@ ORACLES = {
     "op6_quality_rules": quality_rules.ORACLE,
     "op9_substring_dedup": substring_dedup.ORACLE,
     "op10_url_filters": url_filters.ORACLE,
+    "op11_spelling_variants": spelling_variants.ORACLE,
     "op12_ranked_search": ranked_search.ORACLE,
 }

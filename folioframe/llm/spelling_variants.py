@@ -288,3 +288,26 @@ def group_variants(words: DataFrame) -> DataFrame:
 
 def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_variants(count_words(read(spark, sf_dir, "documents")))
+
+
+# The hash is CRC-32, byte by byte over a table that is made first; near words meet by what they are without one code point.
+ORACLE = r"""
+WITH RECURSIVE tab AS (
+  SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END) AS v FROM range(256) r(i))),
+r AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+k AS (SELECT doc_id, run, count(*) AS c, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM r WHERE length(run) >= 6 GROUP BY doc_id, run),
+h AS (
+  SELECT run, c, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(x), 2), lambda i: ('0x' || substr(x, i, 2))::BIGINT)), lambda s, b: xor(s // 256, t[(xor(s, b) % 256) + 1]))) AS h
+  FROM k, tab),
+w AS (
+  SELECT word, sum(c)::BIGINT AS n FROM (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, c FROM h) WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
+p AS (SELECT word, i, substr(word, 1, i - 1) AS a, substr(word, i + 1) AS b FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w)),
+e AS (
+  SELECT x.word AS u, y.word AS v FROM p x JOIN p y ON x.a = y.a AND x.b = y.b AND x.word <> y.word
+  UNION SELECT p.word, w.word FROM p JOIN w ON w.word = p.a || p.b UNION SELECT w.word, p.word FROM p JOIN w ON w.word = p.a || p.b),
+near AS (SELECT u, v, w.n AS vn, row_number() OVER (PARTITION BY u ORDER BY w.n DESC, encode(v)) AS k, count(*) OVER (PARTITION BY u) AS n_near FROM e JOIN w ON w.word = v),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN vn >= 5 * w.n THEN v END AS form, CASE WHEN vn >= 5 * w.n THEN vn END AS form_n FROM w LEFT JOIN near ON u = w.word AND k = 1),
+up(word, root) AS (SELECT word, word FROM f UNION ALL SELECT up.word, f.form FROM up JOIN f ON f.word = up.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, up.root, f.n, f.n_near, f.form_n FROM f JOIN up USING (word) JOIN f g ON g.word = up.root AND g.form IS NULL
+"""
