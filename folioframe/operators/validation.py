@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioframe.functions.scalar import MAX_COLUMN, cell_ref, parse_range
+from folioframe.operators.sheet import _cut
 from folioframe.plans.islands import in_rectangles, islands
 
 _REF = r"^\$?[A-Za-z]{1,3}\$?[0-9]+(:\$?[A-Za-z]{1,3}\$?[0-9]+)?$"
+#: Keys of differing rows that are broadcast at most.
+FEW_KEYS = 200_000
 #: Rows of a sheet.
 MAX_ROW = 1_048_576
 #: A list that takes so many bytes or more, its items trimmed and joined, can't be a rule.
@@ -114,17 +117,31 @@ def normalise_defaults(df: DataFrame, defaults: dict[str, tuple[str, ...]] | Non
     return df
 
 
+def _row_digest(columns: dict[str, str]) -> Column:
+    """128 bits of a row's columns (name: type), nulls told apart; columns of a nested type count as they are and as text."""
+    flags = F.concat(*[F.when(F.col(c).isNull(), "1").otherwise("0") for c in columns]) if columns else F.lit("")
+    parts = [p for c, kind in columns.items() for p in ((F.col(c), F.col(c).cast("string")) if kind.startswith(("array", "struct")) else (F.col(c),))]
+    return F.struct(F.xxhash64(flags, *parts).alias("a"), F.xxhash64(F.lit(1), *parts, flags).alias("b"))
+
+
 def table_diff(a: DataFrame, b: DataFrame, keys: list[str], normalise=None) -> DataFrame:
-    """(keys, status, columns): keys that one side lacks (left or right only), or whose other columns differ, null-safe."""
+    """(keys, status, columns): keys that one side lacks (left or right only), or whose other columns differ, null-safe.
+
+    Keys and digests of rows are compared first; whole rows are fetched for keys whose digests differ alone.
+    """
     if normalise:
         a, b = normalise(a), normalise(b)
     others = [c for c in a.columns if c not in keys]
-    l, r = a.select(*keys, F.struct(*others).alias("_l")), b.select(*keys, F.struct(*others).alias("_r"))
-    j = l.join(r, keys, "full_outer")
+    own = {c: kind for c, kind in a.dtypes if c in others}
+    l, r = a.select(*keys, _row_digest(own).alias("_l")), b.select(*keys, _row_digest({c: dict(b.dtypes)[c] for c in others}).alias("_r"))
+    j = _cut(l.join(r, keys, "full_outer").where("_l is null or _r is null or _l <> _r"))
+    alone = j.where("_l is null or _r is null").select(*keys, F.when(F.col("_r").isNull(), "left_only").otherwise("right_only").alias("status"), F.lit("").alias("columns"))
+    some = _cut(j.where("_l is not null and _r is not null").select(*keys).distinct())
+    some = F.broadcast(some) if some.count() <= FEW_KEYS else some
+    l, r = (df.join(some, keys, "left_semi").select(*keys, F.struct(*others).alias(name)) for df, name in ((a, "_l"), (b, "_r")))
     differing = F.array_compact(F.array(*[F.when(~F.col(f"_l.{c}").eqNullSafe(F.col(f"_r.{c}")), F.lit(c)) for c in others]))
-    status = F.when(F.col("_r").isNull(), "left_only").when(F.col("_l").isNull(), "right_only").when(F.size(differing) > 0, "differs")
-    names = F.when(status == "differs", F.array_join(differing, ",")).otherwise("")
-    return j.select(*keys, status.alias("status"), names.alias("columns")).where("status is not null")
+    met = l.join(r, keys).select(*keys, differing.alias("_d")).where(F.size("_d") > 0)
+    return alone.unionByName(met.select(*keys, F.lit("differs").alias("status"), F.array_join("_d", ",").alias("columns")))
 
 
 def diff_totals(a: DataFrame, b: DataFrame, keys: list[str], normalise=None) -> DataFrame:

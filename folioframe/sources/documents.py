@@ -4,15 +4,20 @@ from __future__ import annotations
 
 import functools
 import io
+import itertools
 import re
+import uuid
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
+from xml.parsers import expat
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioframe.operators.sheet import shared_folder
+
 #: File extensions of each family and of each view.
 FAMILIES = {"docx": ("docx",), "doc": ("doc",), "xlsx": ("xlsx",), "xls": ("xls",), "pptx": ("pptx",), "ppt": ("ppt",), "csv": ("csv",), "markdown": ("md", "markdown"), "text": ("txt",), "html": ("html", "htm")}
 VIEWS = {
@@ -94,10 +99,16 @@ def ingest_ooxml(spark: SparkSession, path: str, max_bytes: int | None = None) -
     return out
 
 
+#: Rows of an archive that leave its task together.
+BATCH_ROWS = 10_000
+
+
 def ingest_archives(files: DataFrame) -> dict[str, DataFrame]:
-    """blocks, notes, comments, cells, merges, slides and warnings of office archives (path, content).
+    """What office archives (path, content) hold: blocks, notes, comments, table_cells, cells, formats, validations, merges, slides, warnings.
 
-    Each archive is read in a Python task; one that can't be read, whatever is wrong with it, becomes a warning.
+    Each archive is parsed once, in a Python task, part by part as a stream of elements; the rows are written to the shared
+    folder by kind, and each result reads its own. One that can't be read to its end, whatever is wrong with it, or that
+    declares entities, becomes a warning alone.
     """
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,22 +117,33 @@ def ingest_archives(files: DataFrame) -> dict[str, DataFrame]:
         for batch in batches:
             for name, family, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 try:
-                    rows = [{"doc_id": name, **r} for r in _READERS[family](zipfile.ZipFile(io.BytesIO(content)))]
+                    rows = _READERS[family](zipfile.ZipFile(io.BytesIO(content)))
+                    while some := list(itertools.islice(rows, BATCH_ROWS)):
+                        yield pa.RecordBatch.from_pylist([{"doc_id": name, **r} for r in some], schema)
                 except Exception as error:  # noqa: BLE001  (whatever a damaged archive raises)
-                    rows = [{"doc_id": name, "part": "warning", "message": f"{type(error).__name__}: {error}"}]
-                yield pa.RecordBatch.from_pylist(rows, schema)
+                    yield pa.RecordBatch.from_pylist([{"doc_id": name, "part": "warning", "message": f"{type(error).__name__}: {error}"}], schema)
 
+    spark = files.sparkSession
     files = route_files(files, "path", "content").where(F.col("family").isin(*_READERS)).select("path", "family", "content").repartition("path")
-    parts = files.mapInArrow(parse, _PART_SCHEMA)
-    of = lambda kind: parts.where(F.col("part") == kind)
+    out = f"{shared_folder(spark)}/folio-parts-{uuid.uuid4().hex}"
+    files.mapInArrow(parse, _PART_SCHEMA).write.partitionBy("part").parquet(out)
+    parts = spark.read.schema(_PART_SCHEMA).parquet(out)
+    warnings = parts.where(F.col("part") == "warning").select("doc_id", F.lit("error").alias("level"), "message")
+    damaged = warnings.select("doc_id").distinct()
+    # Rows that a damaged archive gave before its damage don't count.
+    drop = not damaged.isEmpty()
+    of = lambda kind: parts.where(F.col("part") == kind).join(damaged, "doc_id", "left_anti") if drop else parts.where(F.col("part") == kind)
     return {
         "blocks": of("block").select("doc_id", F.col("seq").alias("block_idx"), F.col("kind").alias("block_type"), "level", F.col("value").alias("text")),
         "notes": of("note").select("doc_id", F.col("kind").alias("note_id"), F.col("value").alias("text")),
         "comments": of("comment").select("doc_id", F.col("kind").alias("comment_id"), F.col("formula").alias("author"), F.col("value").alias("text")),
+        "table_cells": of("table_cell").select("doc_id", F.col("seq").alias("block_idx"), "row", "col", F.col("value").alias("text")),
         "cells": of("cell").select("doc_id", F.col("kind").alias("sheet_id"), "row", "col", "value", "formula"),
+        "formats": of("format").select("doc_id", F.col("kind").alias("sheet_id"), "row", "col", F.col("level").alias("format_id"), F.col("value").alias("format")),
+        "validations": of("validation").select("doc_id", F.col("kind").alias("sheet_id"), F.col("value").alias("sqref"), F.col("formula").alias("formula1")),
         "merges": of("merge").select("doc_id", F.col("kind").alias("sheet_id"), F.col("value").alias("ref")),
         "slides": of("slide").select("doc_id", F.col("seq").alias("slide_no"), "kind", F.col("value").alias("text")),
-        "warnings": of("warning").select("doc_id", F.lit("error").alias("level"), "message"),
+        "warnings": warnings,
     }
 
 
@@ -141,54 +163,121 @@ def _attr(node, name: str, default: str = "") -> str:
     return next((v for k, v in node.attrib.items() if _local(k) == name), default)
 
 
-def _tree(z: zipfile.ZipFile, part: str, needed: bool = True):
-    """The root of a part; an empty one if it is missing and not needed."""
+#: Bytes of a part that are parsed at once.
+PIECE = 1 << 16
+
+
+def _elements(z: zipfile.ZipFile, part: str, *wanted: str, needed: bool = True, level: int | None = None) -> Iterator:
+    """The outermost elements of a part with one of the names, each once it is complete; nothing else of the part is held.
+
+    level: only those with so many elements around them. A part that is missing and not needed has none. Declared entities are refused, as a few of them can stand for any
+    amount of text.
+    """
     if not needed and part not in z.namelist():
-        return ElementTree.Element("none")
-    return ElementTree.fromstring(z.read(part))
+        return
+    done, builder, depth, around = [], ElementTree.TreeBuilder(), 0, 0
+
+    def start(name: str, attributes: dict) -> None:
+        nonlocal depth, around
+        if depth or (_local(name) in wanted and level in (None, around)):
+            builder.start(name, attributes)
+            depth += 1
+        around += 1
+
+    def data(text: str) -> None:
+        if depth:
+            builder.data(text)
+
+    def end(name: str) -> None:
+        nonlocal builder, depth, around
+        around -= 1
+        if depth:
+            node = builder.end(name)
+            depth -= 1
+            if not depth:
+                done.append(node)
+                builder = ElementTree.TreeBuilder()
+
+    def refuse(*_) -> None:
+        raise ValueError("entities are refused")
+
+    parser = expat.ParserCreate(namespace_separator="}")
+    parser.buffer_text = True
+    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler, parser.EntityDeclHandler = start, end, data, refuse
+    with z.open(part) as f:
+        while piece := f.read(PIECE):
+            parser.Parse(piece)
+            yield from done
+            done.clear()
+    parser.Parse(b"", True)
+    yield from done
 
 
 def _read_document(z: zipfile.ZipFile) -> Iterator[dict]:
-    body = next(_all(_tree(z, "word/document.xml"), "body"), None)
-    if body is None:
-        raise ValueError("no body")
-    for i, block in enumerate(x for x in body if _local(x.tag) in ("p", "tbl")):
+    seen = False
+    for i, block in enumerate(_elements(z, "word/document.xml", "p", "tbl", level=2)):
+        seen = True
         level = re.fullmatch(r"(?i)heading\s*([1-9])", next((_attr(x, "val") for x in _all(block, "pStyle")), ""))
         kind = "table" if _local(block.tag) == "tbl" else "heading" if level else "paragraph"
         yield {"part": "block", "seq": i, "kind": kind, "level": int(level[1]) if level else None, "value": _texts(block)}
+        if kind == "table":
+            for r, row in enumerate(x for x in block if _local(x.tag) == "tr"):
+                for c, cell in enumerate(x for x in row if _local(x.tag) == "tc"):
+                    yield {"part": "table_cell", "seq": i, "row": r, "col": c, "value": "\n".join(_texts(p) for p in cell if _local(p.tag) in ("p", "tbl"))}
+    if not seen and not any(True for _ in _elements(z, "word/document.xml", "body")):
+        raise ValueError("no body")
     # Notes -1 and 0 are separators.
-    for note in _all(_tree(z, "word/footnotes.xml", False), "footnote"):
+    for note in _elements(z, "word/footnotes.xml", "footnote", needed=False):
         if _attr(note, "id") not in ("-1", "0"):
             yield {"part": "note", "kind": _attr(note, "id"), "value": _texts(note).strip()}
-    for comment in _all(_tree(z, "word/comments.xml", False), "comment"):
+    for comment in _elements(z, "word/comments.xml", "comment", needed=False):
         yield {"part": "comment", "kind": _attr(comment, "id"), "formula": _attr(comment, "author"), "value": _texts(comment).strip()}
 
 
 def _sheet_names(z: zipfile.ZipFile) -> list[tuple[str, str]]:
     """(part, name) of the sheets in the workbook's order; without a workbook, the parts under their own names."""
-    targets = {_attr(r, "Id"): _attr(r, "Target") for r in _all(_tree(z, "xl/_rels/workbook.xml.rels", False), "Relationship")}
-    named = [(targets.get(_attr(s, "id"), ""), s.get("name", "")) for s in _all(_tree(z, "xl/workbook.xml", False), "sheet")]
+    targets = {_attr(r, "Id"): _attr(r, "Target") for r in _elements(z, "xl/_rels/workbook.xml.rels", "Relationship", needed=False)}
+    named = [(targets.get(_attr(s, "id"), ""), s.get("name", "")) for s in _elements(z, "xl/workbook.xml", "sheet", needed=False)]
     found = [(t.lstrip("/") if t.startswith("/") else f"xl/{t}", name) for t, name in named if t]
     return found or [(n, n[14:-4]) for n in sorted(z.namelist()) if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)]
 
 
+def _cell_formats(z: zipfile.ZipFile) -> list[tuple[int, str | None]]:
+    """(number format, its pattern if the workbook declares one) of each cell style."""
+    codes, styles = {}, []
+    for x in _elements(z, "xl/styles.xml", "numFmts", "cellXfs", needed=False):
+        if _local(x.tag) == "numFmts":
+            codes = {int(f.get("numFmtId", "0")): f.get("formatCode", "") for f in x}
+        else:
+            styles = [int(f.get("numFmtId", "0")) for f in x]
+    return [(n, codes.get(n)) for n in styles]
+
+
 def _read_workbook(z: zipfile.ZipFile) -> Iterator[dict]:
-    shared = [_texts(x) for x in _all(_tree(z, "xl/sharedStrings.xml", False), "si")]
+    shared = [_texts(x) for x in _elements(z, "xl/sharedStrings.xml", "si", needed=False)]
+    formats = _cell_formats(z)
     for part, sheet in _sheet_names(z):
-        for x in _tree(z, part).iter():
-            if _local(x.tag) == "mergeCell":
+        for x in _elements(z, part, "c", "mergeCell", "dataValidation"):
+            name = _local(x.tag)
+            if name == "mergeCell":
                 yield {"part": "merge", "kind": sheet, "value": x.get("ref")}
-            elif _local(x.tag) == "c" and (at := re.fullmatch(r"([A-Z]+)(\d+)", x.get("r", ""))):
-                col = functools.reduce(lambda n, letter: n * 26 + ord(letter) - 64, at[1], 0)
+            elif name == "dataValidation":
+                if x.get("type", "").lower() == "list":
+                    yield {"part": "validation", "kind": sheet, "value": x.get("sqref") or next(("".join(f.itertext()) for f in _all(x, "sqref")), ""), "formula": next(("".join(f.itertext()) for f in _all(x, "formula1")), "")}
+            elif at := re.fullmatch(r"([A-Z]+)(\d+)", x.get("r", "")):
+                row, col = int(at[2]) - 1, functools.reduce(lambda n, letter: n * 26 + ord(letter) - 64, at[1], 0) - 1
                 parts = {_local(y.tag): y.text or "" for y in x}
                 value = shared[int(parts["v"])] if x.get("t") == "s" and parts.get("v") else _texts(x) if x.get("t") == "inlineStr" else parts.get("v", "")
-                yield {"part": "cell", "row": int(at[2]) - 1, "col": col - 1, "kind": sheet, "value": value, "formula": parts.get("f")}
+                yield {"part": "cell", "row": row, "col": col, "kind": sheet, "value": value, "formula": parts.get("f")}
+                number, code = formats[int(x.get("s", "0"))] if int(x.get("s", "0")) < len(formats) else (0, None)
+                if number:
+                    yield {"part": "format", "row": row, "col": col, "kind": sheet, "level": number, "value": code}
 
 
 def _read_slides(z: zipfile.ZipFile) -> Iterator[dict]:
     for kind, shape in (("slide", r"ppt/slides/slide(\d+)\.xml"), ("notes", r"ppt/notesSlides/notesSlide(\d+)\.xml")):
         for number, part in sorted((int(m[1]), n) for n in z.namelist() if (m := re.fullmatch(shape, n))):
-            lines = [t for p in _all(_tree(z, part), "p") if (t := _texts(p))]
+            lines = [t for p in _elements(z, part, "p") if (t := _texts(p))]
             yield {"part": "slide", "seq": number, "kind": kind, "value": "\n".join(lines)}
 
 
