@@ -6,11 +6,13 @@ Everything is partitioned by sheet; nothing orders a whole table in one task.
 
 from __future__ import annotations
 
+import bisect
 import re
 import tempfile
 from collections.abc import Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -189,21 +191,65 @@ def split_region(merges: DataFrame, sheet_id: str, r1: int, c1: int, r2: int, c2
     return merges.where(~meets)
 
 
-def coalesce_rects(merges: DataFrame, block: int = 64) -> DataFrame:
+def _boxes(rects: pd.DataFrame) -> pd.DataFrame:
+    """rects (r1, c1, r2, c2, ...) with the box (a, b, c, d) of each one's group, by a sweep down the rows.
+
+    The boxes that reach the row lie apart in columns; a rectangle takes in those that it overlaps, as often as its box
+    grows by that. Time follows the number of rectangles, not of pairs.
+    """
+    corners = rects[["r1", "c1", "r2", "c2"]].to_numpy()
+    group, boxes = list(range(len(corners))), corners.tolist()
+
+    def root(k: int) -> int:
+        while group[k] != k:
+            group[k] = group[group[k]]
+            k = group[k]
+        return k
+
+    starts: list[int] = []
+    open_boxes: list[int] = []
+    for k in sorted(range(len(corners)), key=lambda k: (boxes[k][0], boxes[k][1])):
+        row, own = boxes[k][0], boxes[k]
+        grown = True
+        while grown:
+            grown = False
+            j = bisect.bisect_right(starts, own[3]) - 1
+            while j >= 0 and boxes[open_boxes[j]][3] >= own[1]:
+                other = open_boxes.pop(j)
+                del starts[j]
+                # A box that ends above the row is passed for good.
+                if boxes[other][2] >= row:
+                    met = boxes[other]
+                    own[0], own[1], own[2], own[3] = min(own[0], met[0]), min(own[1], met[1]), max(own[2], met[2]), max(own[3], met[3])
+                    group[other] = k
+                    grown = True
+                j -= 1
+        at = bisect.bisect_left(starts, own[1])
+        starts.insert(at, own[1])
+        open_boxes.insert(at, k)
+    out = rects[["sheet_id", "r1", "c1", "r2", "c2"]].copy()
+    found = [boxes[root(k)] for k in range(len(corners))]
+    for i, name in enumerate("abcd"):
+        out[name] = [x[i] for x in found]
+    return out
+
+
+def coalesce_rects(merges: DataFrame, block: int = 1024) -> DataFrame:
     """Bounding boxes of overlapping rectangles, until none overlap.
 
-    Each round joins the rectangles that overlap, by sheet and block of rows, and replaces every one by the box of those
-    it meets; boxes only grow, so the rounds end. The plan is cut each round, and only a count reaches the driver.
+    Each round sweeps the rectangles of every tile of block by block cells, and replaces each one by the box of its
+    groups in all its tiles; boxes only grow, so the rounds end. The plan is cut each round, and only a count reaches the
+    driver.
     """
     names = ["r1", "c1", "r2", "c2"]
-    rects = merges.select("sheet_id", *names).distinct()
+    rects = merges.select("sheet_id", *[F.col(n).cast("int").alias(n) for n in names]).distinct()
+    schema = f"sheet_id {merges.schema['sheet_id'].dataType.simpleString()}, {', '.join(f'{n} int' for n in (*names, *'abcd'))}"
     while True:
         rects = _cut(rects)
-        tiled = rects.withColumn("_b", F.explode(F.sequence(F.floor(F.col("r1") / block), F.floor(F.col("r2") / block))))
-        other = tiled.select(F.col("sheet_id").alias("_s"), F.col("_b").alias("_o"), *[F.col(n).alias(f"_{n}") for n in names])
-        meets = (F.col("sheet_id") == F.col("_s")) & (F.col("_b") == F.col("_o")) & (F.col("r1") <= F.col("_r2")) & (F.col("r2") >= F.col("_r1")) & (F.col("c1") <= F.col("_c2")) & (F.col("c2") >= F.col("_c1"))
-        boxes = tiled.join(other, meets).groupBy("sheet_id", *names).agg(F.min("_r1").alias("a"), F.min("_c1").alias("b"), F.max("_r2").alias("c"), F.max("_c2").alias("d"))
-        boxes = _cut(boxes)
+        tiled = rects.withColumn("_br", F.explode(F.sequence(F.floor(F.col("r1") / block), F.floor(F.col("r2") / block))))
+        tiled = tiled.withColumn("_bc", F.explode(F.sequence(F.floor(F.col("c1") / block), F.floor(F.col("c2") / block))))
+        met = tiled.groupBy("sheet_id", "_br", "_bc").applyInPandas(_boxes, schema)
+        boxes = _cut(met.groupBy("sheet_id", *names).agg(F.min("a").alias("a"), F.min("b").alias("b"), F.max("c").alias("c"), F.max("d").alias("d")))
         if boxes.where("a <> r1 or b <> c1 or c <> r2 or d <> c2").isEmpty():
             return rects
         rects = boxes.select("sheet_id", F.col("a").alias("r1"), F.col("b").alias("c1"), F.col("c").alias("r2"), F.col("d").alias("c2")).distinct()

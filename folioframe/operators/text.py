@@ -197,17 +197,13 @@ def count_matches(text: Column, query: str, case_sensitive: bool = False) -> Col
 
 
 def find_matches(df: DataFrame, id_col: str, text_col: str, query: str, case_sensitive: bool = False) -> DataFrame:
-    """(id, match_idx, start, stop) of every occurrence, none overlapping; an empty query finds nothing."""
+    """(id, match_idx, start, stop) of every occurrence, none overlapping; an empty query finds nothing. Map-only."""
     if not query:
         return df.select(id_col, F.lit(0).alias("match_idx"), F.lit(0).alias("start"), F.lit(0).alias("stop")).limit(0)
-    pieces = _pieces(F.col(text_col), query, case_sensitive)
-    size = len(query)
-    starts = F.aggregate(
-        F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0))),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
-        lambda s, x: F.struct((s["at"] + F.length(x) + size).alias("at"), F.array_append(s["out"], s["at"] + F.length(x)).alias("out")),
-    )["out"]
-    return df.where(F.col(text_col).isNotNull()).select(id_col, F.posexplode(starts).alias("match_idx", "start")).withColumn("stop", F.col("start") + size)
+    # Case is that of ASCII letters alone, unless the query has others.
+    flags = "" if case_sensitive else "(?i)" if re.search("[^\x00-\x7f]", query) else "(?ai)"
+    found = placed_matches(df, id_col, text_col, flags + re.escape(query))
+    return found.select(id_col, F.col("idx").alias("match_idx"), "start", "stop")
 
 
 #: Patterns that are broadcast at most.
