@@ -6,7 +6,8 @@ Normalisation is the identity and no space is added or escaped. Texts are cut in
 pattern, each pre-token is encoded on its own, and ids are turned back into bytes by the inverse mapping.
 
 The model's bytes are made on the driver from the vocabulary file (its size is fixed by the file), and broadcast.
-Documents are encoded where they lie: no shuffle. A task remembers the ids of pre-tokens it has met, up to a bound.
+Documents are encoded where they lie: no shuffle. A task remembers the ids of pre-tokens it has met,
+up to a number and a size.
 
 Defined results: a null or empty text has no tokens and decodes to no bytes; repeated rows are encoded alike; extra
 columns are ignored; an empty table gives an empty table; a text of any length is encoded whole.
@@ -25,8 +26,9 @@ from pyspark.sql import functions as F
 
 from folioframe.llm.common import bounded_batches, read
 
-#: Pre-tokens whose ids a task keeps.
+#: Pre-tokens whose ids a task keeps, and their characters.
 REMEMBERED = 200_000
+REMEMBERED_SIZE = 8_000_000
 
 
 def byte_characters() -> list[str]:
@@ -91,6 +93,7 @@ class PieceCodec:
         inverse = {c: b for b, c in self.symbols.items()}
         self.bytes_of = [bytes(inverse[c] for c in "".join(self.symbols[b] for b in t)) for t in tokens]
         self.known: dict[str, tuple[int, ...]] = {}
+        self.size = 0
 
     def _ids(self, piece: str) -> tuple[int, ...]:
         raw = piece.encode()
@@ -103,9 +106,11 @@ class PieceCodec:
         pieces, known = self.split(text), self.known
         for p in set(pieces).difference(known):
             known[p] = self._ids(p)
+            self.size += len(p)
         ids = list(chain.from_iterable(map(known.__getitem__, pieces)))
-        if len(known) > REMEMBERED:
+        if len(known) > REMEMBERED or self.size > REMEMBERED_SIZE:
             known.clear()
+            self.size = 0
         return ids
 
     def decode(self, ids: list[int]) -> bytes:

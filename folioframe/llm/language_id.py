@@ -79,6 +79,15 @@ def learn_trigrams(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str]
     return languages, np.log(table / table.sum(axis=1, keepdims=True))
 
 
+def mean_logs(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The mean of each language's logs at the trigrams of a text; a long text's trigrams are counted first."""
+    if not len(at):
+        return np.zeros(len(table))
+    if len(at) <= BUCKETS:
+        return table[:, at].mean(axis=1, dtype=np.float64)
+    return np.array([row.astype(np.float64) @ np.bincount(at, minlength=BUCKETS) for row in table]) / len(at)
+
+
 def text_votes(pages: DataFrame, logs: np.ndarray) -> DataFrame:
     """pages (page_id, url, html) as page_id, url, declared, and votes: the text's log likelihood per language, tempered."""
     shared = pages.sparkSession.sparkContext.broadcast(logs.astype(np.float32))
@@ -92,8 +101,7 @@ def text_votes(pages: DataFrame, logs: np.ndarray) -> DataFrame:
                 found = declared.search(html or "")
                 said.append(found[1].lower() if found else None)
                 at = trigram_buckets(visible_text(html))
-                mean = table[:, at].mean(axis=1, dtype=np.float64) if len(at) else np.zeros(len(table))
-                votes.append(mean * min(len(at), TEXT_WEIGHT))
+                votes.append(mean_logs(table, at) * min(len(at), TEXT_WEIGHT))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(said, pa.string()), pa.array([v.tolist() for v in votes], pa.list_(pa.float64()))],
                 ["page_id", "url", "declared", "votes"],

@@ -3,8 +3,8 @@
 A document is a bag of passages of PASSAGE_WORDS words. Each passage becomes a vector: shares of hashed words and of
 hashed three-byte strings, classes of bytes, word lengths, repetition. A layer encodes it, gated attention weighs the
 passages of the document, and the weighted sum is scored. The weights are learnt from document labels alone, by gradient
-descent over small batches of a bounded sample of labelled documents (SAMPLE of them, by a hash of doc_id), with all
-their passages.
+descent over small batches of a bounded sample of labelled documents (SAMPLE of them, by a hash of doc_id, with texts of
+SAMPLE_BYTES at most), with all their passages.
 
 The sample's features reach the driver, which learns a few thousand weights; every document is then scored where it
 lies, in one pass without a shuffle, its whole text. A task works through texts in slices of SLICE_BYTES.
@@ -24,10 +24,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.llm.common import bounded_batches, read
+from folioframe.llm.common import bounded_batches, checkpoint, read
 
 PASSAGE_WORDS = 50
+#: Labelled documents that are learnt from at most, and the bytes of their texts: their features take some two times as many.
 SAMPLE = 4_000
+SAMPLE_BYTES = 32 << 20
 SLICE_BYTES = 1_000_000
 THRESHOLD = 0.3
 HIDDEN, ATTENTION = 16, 8
@@ -170,8 +172,12 @@ def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(5)) == 0
 
 
-def learn_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> AttentionModel | float:
-    """A model learnt from labels (doc_id, quality) that are not held out; their share if they are of one kind."""
+def learn_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, budget: int = SAMPLE_BYTES) -> AttentionModel | float:
+    """A model learnt from labels (doc_id, quality) that are not held out; their share if they are of one kind.
+
+    At most `sample` documents, in the order of a hash, and of those only so many that their texts take at most `budget`
+    bytes: one that would exceed it is passed over.
+    """
     known = labels.where(labels["quality"].isNotNull() & labels["doc_id"].isNotNull() & ~held_out(labels["doc_id"]))
     known = known.groupBy(known["doc_id"].cast("long").alias("id")).agg(F.max((known["quality"] == 1).cast("int")).alias("good"))
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(sample)
@@ -187,6 +193,14 @@ def learn_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> A
 
     # At most `sample` rows, so their texts may meet in one group each and be sorted by id.
     rows = docs.select(docs["doc_id"].cast("long").alias("id"), docs["text"]).join(F.broadcast(chosen), "id").groupBy("id", "good").agg(F.max("text").alias("text"))
+    rows = checkpoint(rows.withColumn("size", F.octet_length(F.coalesce("text", F.lit("")))))
+    within, held = [], 0
+    for r in rows.select("id", "size").orderBy(F.xxhash64("id"), "id").collect():
+        if held + r.size <= budget:
+            within.append((r.id,))
+            held += r.size
+    if len(within) < rows.count():
+        rows = rows.join(F.broadcast(rows.sparkSession.createDataFrame(within, "id long")), "id", "left_semi")
     found = rows.select("id", "text", "good").mapInArrow(features, "id long, good int, x array<float>").toArrow()
     ids, good = found["id"].to_numpy(), found["good"].to_numpy()
     _, first, bag = np.unique(ids, return_index=True, return_inverse=True)

@@ -233,3 +233,34 @@ def test_a_repeated_id_loses_only_what_is_alike(spark):
     docs = spark.createDataFrame([(3, a, 1), (5, a + " more", 2), (5, z, 3), (6, a, 4), (None, a, 5), (7, "", 6), (7, z + " and", 7), (8, None, 8)], "doc_id long, text string, tag int")
     kept = jaccard_join.near_duplicate_stage(spark, stored(docs), "")
     assert kept.columns == docs.columns and {r.tag for r in kept.collect()} == {1, 3, 5, 6, 8}
+
+
+# --- bounds of earlier operators
+
+
+def test_long_texts_in_bounded_memory(spark):
+    """Trigrams of a long text are counted; learning takes texts within its budget; encoding forgets long pre-tokens."""
+    import numpy as np
+    import public_tokenizers as P
+
+    from folioframe.llm import byte_bpe, language_id, quality_classifier
+
+    table = np.log(np.random.default_rng(1).random((3, language_id.BUCKETS)) + 0.1)
+    at = np.random.default_rng(2).integers(0, language_id.BUCKETS, language_id.BUCKETS * 2)
+    assert np.allclose(language_id.mean_logs(table, at), table[:, at].mean(axis=1)) and np.allclose(language_id.mean_logs(table, at[:9]), table[:, at[:9]].mean(axis=1))
+    assert (language_id.mean_logs(table, at[:0]) == 0).all()
+
+    draw = random.Random(3)
+    rows = [(i, " ".join(draw.choices("good fine text here".split() if i % 2 else "$$ BUY ### now".split(), k=40)), i % 2) for i in range(80)] + [(500, "good " * 400_000, 0)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int")
+    model = quality_classifier.learn_quality(docs, labels, budget=100_000)
+    scores = {r.doc_id: r.score for r in quality_classifier.score_documents(docs, model).collect()}
+    assert min(scores[i] for i in range(1, 80, 2)) > max(scores[i] for i in range(0, 80, 2))
+    assert isinstance(quality_classifier.learn_quality(docs, labels, budget=0), float)
+
+    tokens = byte_bpe.read_ranks(P.path("byte_bpe_50k.tiktoken"))
+    codec = byte_bpe.PieceCodec(byte_bpe.serialise_model(tokens), tokens, P.PATTERN)
+    for k in range(3):
+        codec.encode("a" * (byte_bpe.REMEMBERED_SIZE // 2 + 10 + k))
+    assert codec.size <= byte_bpe.REMEMBERED_SIZE and len(codec.known) <= 2
