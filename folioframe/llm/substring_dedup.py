@@ -5,9 +5,10 @@ multiple of MARKER), so that a passage holds whole units wherever it begins and
 unit is hashed, together with the next one of its document; a unit of PASSAGE words also by itself. A unit is
 normalised: words are runs of characters between ASCII white space, A-Z lower-cased; each character of Chinese,
 Japanese, Thai, Lao, Khmer and Burmese is a word of its own. Digests are grouped over all documents with partial sums,
-so a line in a third of all documents is one row a task before the shuffle. What an earlier place has too is repeated;
+so a line in a third of all documents is one row a task before the shuffle; where its places are sought, they are dealt
+to as many tasks as they ask for. What an earlier place has too is repeated;
 repeated neighbours are one span, and spans of PASSAGE words or more are removed. A short unit that is alike by chance
-is therefore left alone, but none is left out. The spans are returned with their offsets in the original text.
+is therefore left alone, but none is left out; with a passage of one word every repeated unit goes, as by plain hashes of lines. The spans are returned with their offsets in the original text.
 
 Texts are cut twice, which is cheaper than to keep all units: once for the least doc_id of every digest, once for the
 places of those met again.
@@ -26,11 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.llm.common import bounded_batches, checkpoint, let, read
+from folioframe.llm.common import bounded_batches, broadcast_if_small, checkpoint, let, read
 from folioframe.llm.jaccard_join import _mix
 
 #: Words of the shortest span that is removed.
 PASSAGE = 25
+#: A unit of more windows than this, and than its share of all of them, is dealt to several tasks; such units are so many at most.
+HOT_WINDOWS = 20_000
+HOT_UNITS = 100_000
 #: One word in so many, about, ends a unit.
 MARKER = 8
 #: Characters that end a sentence.
@@ -148,8 +152,15 @@ def repeated_spans(docs: DataFrame, passage: int = PASSAGE, marker: int = MARKER
     windows = text_windows(_documents(docs), passage, marker)
     groups = windows.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
     # Never broadcast: shared units are as many as the corpus is large.
-    groups = checkpoint(groups.select(F.col("digest").alias("same"), "first_id"))
-    joined = windows.join(groups.hint("merge"), F.col("digest") == F.col("same"))
+    groups = checkpoint(groups.select(F.col("digest").alias("same"), "first_id", "n"))
+    # A unit of very many windows is dealt to parts; there are few of those, whatever the size of the corpus.
+    total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    parts = F.ceil(F.col("n") / max(HOT_WINDOWS, total // HOT_UNITS)).cast("int")
+    hot = broadcast_if_small(groups.select(F.col("same").alias("hot"), parts.alias("parts")).where("parts > 1"))
+    dealt = windows.join(hot, F.col("digest") == F.col("hot"), "left")
+    dealt = dealt.withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id", "w0"), F.col("parts"))).cast("int")).drop("hot", "parts")
+    copies = groups.select("same", "first_id", F.explode(F.sequence(F.lit(0), parts - 1)).alias("of_part"))
+    joined = dealt.join(copies.hint("merge"), (F.col("digest") == F.col("same")) & (F.col("part") == F.col("of_part")))
     later = joined.where(F.col("again") | ~F.col("doc_id").eqNullSafe(F.col("first_id")))
     window = F.struct("w0", (F.col("w0") + F.col("words")).alias("w1"), "start", (F.col("start") + F.col("chars")).alias("stop"), F.struct(F.col("first_id").alias("doc_id")).alias("first"))
     found = later.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set(window)).alias("found"))

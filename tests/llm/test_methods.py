@@ -557,6 +557,17 @@ def test_repeated_spans_and_what_is_left(spark, seed):
         assert left[doc][0] == text and [tuple(c) for c in left[doc][1] or []] == cuts
 
 
+@pytest.mark.parametrize("passage,hot", [(1, 20_000), (1, 3), (25, 2)])
+def test_single_units_and_units_dealt_to_parts(spark, monkeypatch, passage, hot):
+    """Every repeated unit with a passage of one word; units of many windows in parts."""
+    monkeypatch.setattr(substring_dedup, "HOT_WINDOWS", hot)
+    docs = passages(12) + [(100 + k, "the same footer of all pages.\n" + f"own {k} text.") for k in range(40)]
+    got = substring_dedup.repeated_spans(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), passage).collect()
+    want = brute_spans(docs, passage, substring_dedup.MARKER)
+    assert {(r.doc_id, r.start, r.stop) for r in got} == want and len(got) == len(want)
+    assert passage > 1 or {d for d, _, _ in want} >= set(range(101, 140))
+
+
 def test_passages_are_found_and_clean_documents_left(spark):
     """Of documents that repeat a run of 51 words of an earlier one nine in ten are found; of those without a repeated run of 20, fewer than one in ten is touched."""
     rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
