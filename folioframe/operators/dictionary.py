@@ -38,6 +38,10 @@ def parse_aff(lines: DataFrame) -> DataFrame:
     )
 
 
+#: Rules that are broadcast at most.
+FEW_RULES = 100_000
+
+
 def expand_affixes(stems: DataFrame, rules: DataFrame, per_stem: int = 5, cap: int | None = None) -> DataFrame:
     """(word, freq) of stems (line_no, word, flags, freq) under rules: the stem and its derivations, the first per_stem of each.
 
@@ -46,7 +50,8 @@ def expand_affixes(stems: DataFrame, rules: DataFrame, per_stem: int = 5, cap: i
     returned, or the first `cap` by line.
     """
     flagged = stems.where("flags <> ''").select("*", F.posexplode(F.filter(F.split("flags", ""), lambda x: x != "")).alias("flag_pos", "flag"))
-    r = F.broadcast(rules.withColumn("kind_no", F.when(F.col("kind") == "SFX", 0).otherwise(1)))
+    r = rules.withColumn("kind_no", F.when(F.col("kind") == "SFX", 0).otherwise(1))
+    r = F.broadcast(r) if rules.count() <= FEW_RULES else r
     met = flagged.join(r, "flag")
     w = F.col("word")
     # A condition is taken literally unless it has brackets; "." stands for any.

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioframe.functions.scalar import cell_ref, js_number, parse_float
-from folioframe.plans.islands import islands, number_runs
+from folioframe.plans.islands import in_rectangles, number_runs
 
 
 def _blank(c: Column) -> Column:
@@ -279,8 +279,13 @@ def used_bounds(cells: DataFrame) -> DataFrame:
 
 
 def hide_collapsed(df: DataFrame, groups: DataFrame, order_col: str = "row", by: str = "sheet_id") -> DataFrame:
-    """Rows but those that a collapsed group (sheet_id, start, end, collapsed) hides: after its first, to its end."""
-    hidden = groups.where("collapsed and end > start").select(F.col(by).alias("_s"), F.explode(F.sequence(F.col("start") + 1, F.col("end"))).alias("_row")).distinct()
+    """Rows but those that a collapsed group (sheet_id, start, end, collapsed) hides: after its first, to its end.
+
+    Rows meet the ranges of groups by tiles, so a group of any number of rows is a few rows itself.
+    """
+    ranges = groups.where("collapsed and end > start").select(F.col(by).alias("sheet_id"), (F.col("start") + 1).alias("r1"), F.lit(0).alias("c1"), F.col("end").alias("r2"), F.lit(0).alias("c2"))
+    places = df.select(df[by].alias("sheet_id"), df[order_col].alias("row"), F.lit(0).alias("col")).distinct()
+    hidden = in_rectangles(places, ranges).select(F.col("sheet_id").alias("_s"), F.col("row").alias("_row")).distinct()
     return df.join(hidden, (df[by] == hidden["_s"]) & (df[order_col] == hidden["_row"]), "left_anti")
 
 

@@ -27,11 +27,13 @@ def cells_to_table(cells: DataFrame, columns: list[str], start: tuple[int, int]
     return body.groupBy("sheet_id", "row").agg(*values)
 
 
-def _ordered(cells: DataFrame, key: str, other: str, max_other: int | None = None) -> DataFrame:
+def _ordered(cells: DataFrame, key: str, other: str) -> DataFrame:
     """(sheet_id, key, values): values along `other`, gaps empty, trailing blanks trimmed; keys without a value up to the last are empty."""
-    filled = cells.where("value <> ''")
-    pairs = filled.groupBy("sheet_id", key).agg(F.map_from_entries(F.collect_list(F.struct(other, "value"))).alias("_m"), F.max(other).alias("_last"))
-    rows = pairs.select("sheet_id", key, F.transform(F.sequence(F.lit(0), "_last"), lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(""))).alias("values"))
+    filled = cells.where("value <> ''").groupBy("sheet_id", key, other).agg(F.max("value").alias("value"))
+    last = filled.groupBy("sheet_id", key).agg(F.max(other).alias("_last"))
+    places = last.select("sheet_id", key, F.explode(F.sequence(F.lit(0), "_last")).alias(other))
+    pairs = F.sort_array(F.collect_list(F.struct(other, F.coalesce("value", F.lit("")).alias("value"))))
+    rows = places.join(filled, ["sheet_id", key, other], "left").groupBy("sheet_id", key).agg(F.transform(pairs, lambda x: x["value"]).alias("values"))
     every = filled.groupBy("sheet_id").agg(F.max(key).alias("_top")).select("sheet_id", F.explode(F.sequence(F.lit(0), "_top")).alias(key))
     return every.join(rows, ["sheet_id", key], "left").withColumn("values", F.coalesce("values", F.array().cast("array<string>")))
 
