@@ -204,7 +204,7 @@ def _grams(words: DataFrame, dictionary: set[str]) -> DataFrame:
 
 
 def _postings(words: DataFrame) -> DataFrame:
-    """(list, word, size) of words (word, bound, places, grams): each in its rarest lists, as many as its bound asks for.
+    """(list, word, size, parity) of words (word, bound, places, grams): each in its rarest lists, as many as its bound asks for.
 
     A list is a gram with its distance from the start or from the end. All of a word's entries of one gram stay
     together, so that near words which share a gram share it whole.
@@ -215,9 +215,11 @@ def _postings(words: DataFrame) -> DataFrame:
     ranked = flat.join(broadcast_if_small(lengths), "gram").groupBy("word", "bound", "n").agg(F.sort_array(F.collect_list(F.struct("in_list", "gram", "place"))).alias("x"))
     # The last gram that must be entered; with a bound of all grams, every one.
     last = F.element_at("x", F.least(F.col("bound") + 1, F.col("n")))
-    kept = ranked.select("word", F.filter("x", lambda g: F.struct(g["in_list"], g["gram"]) <= F.struct(last["in_list"], last["gram"])).alias("x"))
-    one = kept.select("word", F.length("word").alias("size"), F.explode("x").alias("x"))
-    return one.select("word", "size", F.explode(F.array(F.xxhash64("x.gram", F.lit("<"), "x.place"), F.xxhash64("x.gram", F.lit(">"), F.col("size") - F.col("x.place")))).alias("list"))
+    # A bit of 64 for each letter, turned by every occurrence: an edit turns two at most.
+    parity = F.aggregate(F.split("word", ""), F.lit(0).cast("long"), lambda m, c: m.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.ascii(c) % 64)))
+    kept = ranked.select("word", parity.alias("parity"), F.filter("x", lambda g: F.struct(g["in_list"], g["gram"]) <= F.struct(last["in_list"], last["gram"])).alias("x"))
+    one = kept.select("word", F.length("word").alias("size"), "parity", F.explode("x").alias("x"))
+    return one.select("word", "size", "parity", F.explode(F.array(F.xxhash64("x.gram", F.lit("<"), "x.place"), F.xxhash64("x.gram", F.lit(">"), F.col("size") - F.col("x.place")))).alias("list"))
 
 
 def _halves(size: str, word: str):
@@ -232,7 +234,7 @@ def _halves(size: str, word: str):
 def _merged(postings: DataFrame) -> DataFrame:
     """(a, b) of different words in a common list that are within an edit; a comes first in code-point order.
 
-    Pairs are verified where they meet. A long list is merged by halves of its words.
+    Pairs are verified where they meet, most by the parity of their letters alone. A long list is merged by halves of its words.
     """
     counts = checkpoint(postings.groupBy("list").agg(F.count("*").alias("in_list")).where(F.col("in_list") > HOT))
     hot = broadcast_if_small(counts.select("list"))
@@ -242,10 +244,10 @@ def _merged(postings: DataFrame) -> DataFrame:
     ]
     out = None
     for entries, keys in parts:
-        left = entries.select(*keys, F.col("word").alias("a"), F.col("size").alias("la"))
-        right = entries.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("word").alias("b"), F.col("size").alias("lb"))
+        left = entries.select(*keys, F.col("word").alias("a"), F.col("size").alias("la"), F.col("parity").alias("pa"))
+        right = entries.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("word").alias("b"), F.col("size").alias("lb"), F.col("parity").alias("pb"))
         same = [F.col(k) == F.col(f"_{k}") for k in keys]
-        met = left.join(right, [*same, F.col("a") < F.col("b"), F.abs(F.col("la") - F.col("lb")) <= 1])
+        met = left.join(right, [*same, F.col("a") < F.col("b"), F.abs(F.col("la") - F.col("lb")) <= 1, F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) <= 2])
         near = met.where(F.levenshtein("a", "b", 1) == 1).select("a", "b")
         out = near if out is None else out.unionByName(near)
     return out
