@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterable, Iterator
 
@@ -206,7 +207,7 @@ def find_matches(df: DataFrame, id_col: str, text_col: str, query: str, case_sen
     return found.select(id_col, F.col("idx").alias("match_idx"), "start", "stop")
 
 
-#: Patterns that are broadcast at most.
+#: Patterns that are broadcast together, about.
 MANY_PATTERNS = 200_000
 
 
@@ -235,12 +236,16 @@ def find_patterns(df: DataFrame, id_col: str, text_col: str, patterns: DataFrame
     """(id, pattern, match_idx, start, stop) of every occurrence of each pattern (pattern), those of one not overlapping.
 
     All patterns are found in one pass over a text, in time of its length and the matches. Without case, patterns and
-    texts are compared lower-cased, character by character, so that places are those of the text. Patterns are counted;
-    more than MANY_PATTERNS are an error, as they go to every task.
+    texts are compared lower-cased, character by character, so that places are those of the text. Patterns are counted, as
+    they go to every task; of more than MANY_PATTERNS, each so many are a pass of their own.
     """
     names = patterns.select("pattern").where("pattern <> ''").distinct()
-    if names.count() > MANY_PATTERNS:
-        raise ValueError(f"more than {MANY_PATTERNS} patterns")
+    passes = max(1, -(-names.count() // MANY_PATTERNS))
+    found = [_find_some(df, id_col, text_col, names.where(F.pmod(F.xxhash64("pattern"), F.lit(passes)) == k), case_sensitive) for k in range(passes)]
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+def _find_some(df: DataFrame, id_col: str, text_col: str, names: DataFrame, case_sensitive: bool) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast([r.pattern for r in names.toLocalIterator()])
 
     def low(text: str) -> str:

@@ -39,8 +39,10 @@ def occurrences(text: str, pattern: str) -> list[int]:
     return out
 
 
-@pytest.mark.parametrize("case_sensitive", [False, True])
-def test_patterns(spark, case_sensitive):
+@pytest.mark.parametrize("case_sensitive,together", [(False, 200_000), (True, 200_000), (False, 3)])
+def test_patterns(spark, monkeypatch, case_sensitive, together):
+    """In one pass, and in several of a few patterns."""
+    monkeypatch.setattr(T, "MANY_PATTERNS", together)
     draw = random.Random(3)
     docs = [(i, "".join(draw.choices("aAbBéÉ ", k=draw.randint(0, 80)))) for i in range(40)] + [(50, None), (51, "İa İA")]
     patterns = ["a", "aa", "AB", "ab", "bab", "É", "", "zz", "ba b"]
