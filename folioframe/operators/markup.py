@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioframe.functions.scalar import slugify
+from folioframe.plans.batches import made_rows
 
 _SEPARATOR = re.compile(r"^\s*\|?\s*:?-+:?\s*(\|\s*:?-+:?\s*)*\|?\s*$", re.ASCII)
 _ORDERED = re.compile(r"\d\. ", re.ASCII)
@@ -93,14 +94,7 @@ def _walk(df: DataFrame, id_col: str, text_col: str, rows: Callable, names: list
     """doc_id and the tuples that rows makes of each text."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            owner, made = [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                new = list(rows(text))
-                owner += [i] * len(new)
-                made += new
-            columns = list(zip(*made, strict=True)) or [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64())), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], ["doc_id", *names])
+        return made_rows(batches, rows, ["doc_id", *names], kinds)
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(id_col, text_col).mapInArrow(walk, f"doc_id {kind}, {schema}")
@@ -119,7 +113,7 @@ def text_lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def markdown_blocks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, block_idx, block_type, level, lang, text): code fences, headings, items, quotes, tables, paragraphs, in order."""
-    numbered = lambda text: [(i, *b) for i, b in enumerate(_blocks(text))]
+    numbered = lambda text: ((i, *b) for i, b in enumerate(_blocks(text)))
     names, kinds = ["block_idx", "block_type", "level", "lang", "text"], [pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string()]
     return _walk(df, id_col, text_col, numbered, names, kinds, "block_idx int, block_type string, level int, lang string, text string")
 
