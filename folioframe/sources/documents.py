@@ -78,8 +78,12 @@ def parse_doc_json(df: DataFrame, id_col: str, json_col: str) -> tuple[DataFrame
     return blocks, runs
 
 
-def read_doc_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("doc_id"), "value")
+def read_doc_json(spark: SparkSession, path: str, key: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(blocks, runs) of files of one document each, whose path is its id; with a key, of files of a document a line, whose id is what the key holds."""
+    if key is None:
+        files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("doc_id"), "value")
+    else:
+        files = spark.read.text(path).select(F.from_json("value", f"`{key}` string")[key].alias("doc_id"), "value")
     return parse_doc_json(files, "doc_id", "value")
 
 
