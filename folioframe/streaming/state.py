@@ -32,25 +32,19 @@ class RecentItems(StatefulProcessor):
         self.owner, self.item, self.ts, self.k, self.expiry = owner, item, ts, k, expiry_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.items = handle.getMapState("items", "item string", "ts timestamp", self.expiry)
-        self.version = handle.getValueState("version", "version long", self.expiry)
+        # One list, the version in each row: a key is read once and written once, as each call to the store is a round trip.
+        self.items = handle.getListState("items", "item string, ts timestamp, version long", self.expiry)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = {k[0]: v[0] for k, v in self.items.iterator()}
-        before = dict(held)
+        held, version = {}, 1
+        for item, ts, old in self.items.get():
+            held[item], version = ts, old + 1
         for batch in rows:
-            for item, ts in batch.groupby(self.item)[self.ts].max().items():
-                held[item] = max(held.get(item, ts), ts)
+            for item, ts in zip(batch[self.item], batch[self.ts], strict=True):
+                if item not in held or ts > held[item]:
+                    held[item] = ts
         best = sorted(held.items(), key=lambda x: (-pd.Timestamp(x[1]).value, x[0]))[: self.k]
-        kept = dict(best)
-        for item in before.keys() - kept.keys():
-            self.items.removeKey((item,))
-        for item, ts in best:
-            if before.get(item) != ts:
-                self.items.updateValue((item,), (ts,))
-        old = self.version.get()
-        version = (old[0] if old else 0) + 1
-        self.version.update((version,))
+        self.items.put([(item, ts, version) for item, ts in best])
         yield pd.DataFrame({self.owner: [key[0]] * len(best), self.item: [i for i, _ in best], self.ts: [t for _, t in best], "rank": pd.array(range(1, len(best) + 1), "int32"), "version": version})
 
     def close(self) -> None:
@@ -81,39 +75,40 @@ class UserWord(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.base = handle.getValueState("base", "n long, source string, created timestamp, used timestamp, version long")
-        self.tail = handle.getMapState("tail", "at timestamp", "n long, source string, removed boolean")
+        # A list that is read and written whole, once for a key of a micro-batch: each call to the store is a round trip.
+        self.tail = handle.getListState("tail", "at timestamp, n long, source string, removed boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        tail = {k[0]: tuple(v) for k, v in self.tail.iterator()}
-        old = tail.keys() | set()
+        tail = {at: (n, source, removed) for at, n, source, removed in self.tail.get()}
+        held = bool(tail)
         for batch in rows:
-            # Of additions at one time, the source that comes first by name is the first.
-            for (at, removed), g in batch.assign(removed=batch["op"] == "remove").groupby(["ts", "removed"]):
+            for op, at, name, inc in zip(batch["op"], batch["ts"], batch["source"], batch["inc"], strict=True):
                 n, source, gone = tail.get(at, (0, None, False))
-                if removed:
+                if op == "remove":
                     tail[at] = (n, source, True)
                 else:
-                    names = [s for s in [source, *g["source"]] if s is not None]
-                    tail[at] = (n + int(g["inc"].sum()), min(names, default=None), gone)
+                    # Of additions at one time, the source that comes first by name is the first.
+                    names = [x for x in (source, name) if isinstance(x, str)]
+                    tail[at] = (n + int(inc), min(names, default=None), gone)
         state = self.base.get()
         base = list(state) if state else [0, None, None, None, 0]
         mark = pd.Timestamp(timerValues.getCurrentWatermarkInMs(), unit="ms")
         entry, done = list(base), []
-        for at in sorted(tail, key=lambda t: pd.Timestamp(t).value):
+        for at in sorted(tail):
             n, source, removed = tail[at]
             # A removal outdoes additions of the same time.
             if removed:
                 entry[:4] = [0, None, None, None]
             elif n:
                 entry[:4] = [entry[0] + n, entry[1] if entry[0] else source, entry[2] if entry[0] else at, at]
-            if pd.Timestamp(at) < mark:
+            if at < mark:
                 base[:4], done = list(entry[:4]), [*done, at]
         for at in done:
-            if at in old:
-                self.tail.removeKey((at,))
             del tail[at]
-        for at, value in tail.items():
-            self.tail.updateValue((at,), value)
+        if tail:
+            self.tail.put([(at, *value) for at, value in tail.items()])
+        elif held:
+            self.tail.clear()
         version = base[4] + 1
         self.base.update((base[0], base[1], base[2], base[3], version))
         yield pd.DataFrame({
