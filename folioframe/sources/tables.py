@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioframe.operators.sheet import number_rows
@@ -29,11 +29,18 @@ def cells_to_table(cells: DataFrame, columns: list[str], start: tuple[int, int]
 
 def _ordered(cells: DataFrame, key: str, other: str) -> DataFrame:
     """(sheet_id, key, values): values along `other`, gaps empty, trailing blanks trimmed; keys without a value up to the last are empty."""
-    filled = cells.where("value <> ''").groupBy("sheet_id", key, other).agg(F.max("value").alias("value"))
-    last = filled.groupBy("sheet_id", key).agg(F.max(other).alias("_last"))
-    places = last.select("sheet_id", key, F.explode(F.sequence(F.lit(0), "_last")).alias(other))
-    pairs = F.sort_array(F.collect_list(F.struct(other, F.coalesce("value", F.lit("")).alias("value"))))
-    rows = places.join(filled, ["sheet_id", key, other], "left").groupBy("sheet_id", key).agg(F.transform(pairs, lambda x: x["value"]).alias("values"))
+    filled = cells.where("value <> ''")
+    pairs = F.sort_array(F.collect_list(F.struct(F.col(other).alias("at"), "value")))
+    found = filled.groupBy("sheet_id", key).agg(pairs.alias("_p"))
+
+    def piece(x: Column, i: Column) -> Column:
+        """A value behind the gap before it; of several at one place the last, the greatest."""
+        before, after = F.get("_p", i - 1)["at"], F.get("_p", i + 1)["at"]
+        gap = F.array_repeat(F.lit(""), (x["at"] - F.coalesce(before, F.lit(-1)) - 1).cast("int"))
+        own = F.when(after.eqNullSafe(x["at"]), F.array().cast("array<string>")).otherwise(F.array(x["value"]))
+        return F.when(before.eqNullSafe(x["at"]), own).otherwise(F.concat(gap, own))
+
+    rows = found.select("sheet_id", key, F.flatten(F.transform("_p", piece)).alias("values"))
     every = filled.groupBy("sheet_id").agg(F.max(key).alias("_top")).select("sheet_id", F.explode(F.sequence(F.lit(0), "_top")).alias(key))
     return every.join(rows, ["sheet_id", key], "left").withColumn("values", F.coalesce("values", F.array().cast("array<string>")))
 
