@@ -1,11 +1,13 @@
 """Queries on tables whose keys, times and files are those of large ones."""
 
+import math
 import os
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from folioframe.operators import calc as K
 from folioframe.sources import documents as A
 from tests.oracle import TABLES, matches
 
@@ -57,3 +59,16 @@ def test_documents_of_a_line_each(spark, tmp_path):
     (tmp_path / "a.txt").write_text('{"id": 7, "blocks": [{"level": "1", "text": "x"}, {"code": "y"}]}\n{"blocks": [{"text": "z"}], "id": 8}\n')
     blocks, _ = A.read_doc_json(spark, str(tmp_path), "id")
     assert sorted((b.doc_id, b.block_idx, b.block_type, b.text) for b in blocks.collect()) == [("7", 0, "heading", "x"), ("7", 1, "code", "y"), ("8", 0, "paragraph", "z")]
+
+
+def test_half_hundredths_of_a_line(spark):
+    # The steps of the fit are those of plain sums and co-moments, in order.
+    ys = [529.6, 411.15, 292.7, 174.24, 55.79]
+    found = K.forecast(spark.createDataFrame([(1, i + 1, y) for i, y in enumerate(ys)], "k int, x int, y double"), "x", "y", ["k"], 1).first()
+    n, mx, my, c = 0, 0.0, 0.0, 0.0
+    for i, y in enumerate(ys):
+        n, dx, dy = n + 1, i + 1 - mx, y - my
+        mx, my = mx + dx / n, my + dy / n
+        c += dx * (y - my)
+    b = (c / n) / (10.0 / n)
+    assert found.forecast == math.floor((sum(ys) / n - b * 3.0 + b * 6.0) * 100 + 0.5) / 100
