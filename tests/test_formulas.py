@@ -159,6 +159,36 @@ def test_random_graphs(spark, monkeypatch, seed, block):
     assert all(near(got[p][0], value[p] if p not in left else cells.get(p)) for p in formulas)
 
 
+def test_blocks_are_read_once_in_the_order_of_their_needs(spark, monkeypatch):
+    """Each formula of a chain over many blocks goes to a task once, whichever way it runs; blocks in a ring of blocks, and behind it, settle too."""
+    counted, settle_block = spark.sparkContext.accumulator(0), R._settle
+
+    def counting(rows, arrived=None):
+        counted.add(rows.num_rows)
+        return settle_block(rows, arrived)
+
+    monkeypatch.setattr(R, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(R, "GROUP_FORMULAS", 40)
+    monkeypatch.setattr(R, "_settle", counting)
+    n = 400
+    cells = {(r, 0): str(r % 7) for r in range(n)}
+    down = {(0, 1): [ref(0, 0)]} | {(r, 1): [ref(r - 1, 1), ref(r, 0), op("+")] for r in range(1, n)} | {(r, 2): [area(r, 0, r, 1), fn("MAX", 1)] for r in range(n)}
+    got = settle(spark, cells, down)
+    total = 0
+    for r in range(n):
+        total += r % 7
+        assert got[r, 1] == (str(total), False) and got[r, 2] == (str(max(total, r % 7)), False)
+    assert counted.value == 2 * n
+    # Up and down at once: every block needs its neighbours.
+    n = 48
+    total = sum(r % 7 for r in range(n))
+    up = {(n - 1, 3): [num(1)]} | {(r, 3): [ref(r + 1, 3), num(1), op("+")] for r in range(n - 1)}
+    both = {k: v for k, v in down.items() if k[1] == 1 and k[0] < n} | up | {(5000, 1): [ref(n - 1, 1), ref(0, 3), op("+")]}
+    got = settle(spark, cells, both)
+    assert got[n - 1, 1] == (str(total), False) and got[0, 3] == (str(n), False) and got[5000, 1] == (str(total + n), False)
+    assert not any(cyclic for _, cyclic in got.values())
+
+
 def test_plain_passes_agree(spark):
     cells = spark.createDataFrame([("s", r, 0, str(r)) for r in range(9)], CELLS)
     chain = [("s", r, 1, "SUM", 0, 0, r, 0) for r in range(9)] + [("s", r, 2, "MAX", 0, 1, r, 1) for r in range(9)]
