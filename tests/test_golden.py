@@ -18,6 +18,7 @@ from folioframe.operators import sheet as E
 from folioframe.operators import spelling as C
 from folioframe.operators import text as T
 from folioframe.operators import validation as V
+from folioframe.plans import catalog_text as Q
 from folioframe.sources import documents as A
 from folioframe.sources import text as X
 
@@ -279,6 +280,38 @@ def test_many_unknown_words_are_placed_without_a_broadcast(spark, monkeypatch):
     assert found() == few
 
 
+def test_texts_of_a_spell_check_are_walked_once(spark, monkeypatch):
+    """The texts are in the plan once, with all known words left out or with some, and no token that is left out is shuffled."""
+    docs = spark.createDataFrame([(1, "the qat sat the Qat on"), (2, "the mat"), (3, None), (4, "zzz 汉 12 own")], "doc_id long, text string")
+    words = spark.createDataFrame([("the", 9), ("sat", 5), ("mat", 5), ("on", 7)], "word string, freq long")
+    mine = spark.createDataFrame([("own", "en"), ("zzz", "fr")], "word string, lang string")
+    for few in (1, 2, 3, 250_000):
+        monkeypatch.setattr(C, "FEW_WORDS", few)
+        for user_dict, more in ((None, {"own"}), (mine, set())):
+            found = C.misspelt(docs, "doc_id", "text", words, user_dict)
+            assert {r.word for r in found.collect()} == {"qat", "Qat", "zzz"} | more
+            plan = found._jdf.queryExecution().optimizedPlan().toString()
+            assert plan.count("MapInArrow") == 1 and "regexp_extract_all" not in plan
+
+
+def test_words_are_counted_in_tasks(spark, monkeypatch):
+    """Counts are whole where a task lets go of what it holds, and what lies between tokens makes none of its own."""
+    monkeypatch.setattr(T, "HELD_WORDS", 3)
+    texts = ["The cat's the THE x-1 汉汉", None, "", "\u0130a \u212ab The", "one two three four one"] * 3
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    counted = T.count_words(df, "text")
+    want = {r["low"]: r["count"] for r in T.words_only(df, "doc_id", "text").groupBy(F.lower("word").alias("low")).count().collect()}
+    assert {r.word: r.freq for r in counted.collect()} == want and want["the"] == 12 and want["汉"] == 6
+    assert counted._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_stems_are_counted_once(spark, tmp_path):
+    spark.createDataFrame([(i, "table tables retable tabled ab") for i in range(6)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    made = Q.affix_words(spark, str(tmp_path))
+    assert "documents.parquet" not in made._jdf.queryExecution().executedPlan().toString()
+    assert {r.word: r.n_stems for r in made.collect()}["tables"] == 2
+
+
 def test_fill_and_squash(spark):
     seeds = spark.createDataFrame([("s", 0, "a"), ("s", 1, "b"), ("s", 2, "c"), ("n", 0, "5")], "series string, idx int, value string")
     got = {(r.series, r.step): r.value for r in K.fill_series(seeds, 4, backwards=True).collect()}
