@@ -86,3 +86,16 @@ def test_ranks_of_candidates_are_those_of_the_index(spark):
     queries = spark.createDataFrame([(w,) for w in names[1::2]], "query string")
     by_variants = C.rank_candidates(C.fuzzy_candidates(queries, deletes_index(words, 2), 2), 4, 2)
     assert sorted(map(tuple, by_variants.collect())) == sorted(map(tuple, C.suggest(queries, words, 4, 2).collect()))
+
+
+def test_variants_are_made_in_batches_without_lambdas(spark):
+    """Each once, for short, repeating, empty and missing words, with the words' other columns; none of it in interpreted array functions."""
+    names = ["", "a", "aa", "ab", "éaé", "汉字汉", "abcabcabcd"]
+    words = spark.createDataFrame([(i, w) for i, w in enumerate([*names, None])], "n int, word string")
+    for distance in (0, 1, 2, 3):
+        made = deletes_index(words, distance)
+        want = sorted((i, w, v) for i, w in enumerate(names) for v in variants(w, distance))
+        rows = [tuple(r) for r in made.collect()]
+        assert sorted(r for r in rows if r[1] is not None) == want and [r for r in rows if r[1] is None] == [(len(names), None, None)]
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert made.columns == ["n", "word", "delete"] and "MapInArrow" in plan and "lambda" not in plan
