@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioframe.functions.scalar import MAX_COLUMN, cell_ref, parse_range
 from folioframe.operators.sheet import _cut
-from folioframe.plans.islands import in_rectangles, islands
+from folioframe.plans.islands import in_rectangles, spans
 
 _REF = r"^\$?[A-Za-z]{1,3}\$?[0-9]+(:\$?[A-Za-z]{1,3}\$?[0-9]+)?$"
 #: Keys of differing rows that are broadcast at most.
@@ -75,13 +75,11 @@ def long_lists(cells: DataFrame) -> DataFrame:
 
 def compress_runs(cells: DataFrame) -> DataFrame:
     """(sheet_id, valid, row, c1, c2, sqref): the longest horizontal runs of cells with the same list; long_lists tells which are left out."""
-    listed = cells.where((F.coalesce("valid", F.lit("")) != "") & (_list_bytes(F.col("valid")) < LONGEST_LIST)).select("sheet_id", "valid", "row", "col").distinct()
-    by = ["sheet_id", "valid", "row"]
-    w = Window.partitionBy(*by).orderBy("col")
-    runs = islands(listed.withColumn("_new", F.coalesce(F.lag("col").over(w) + 1 != F.col("col"), F.lit(True))), by, ["col"], F.col("_new"))
-    spans = runs.groupBy(*by, "island").agg(F.min("col").alias("c1"), F.max("col").alias("c2")).drop("island")
+    listed = cells.where((F.coalesce("valid", F.lit("")) != "") & (_list_bytes(F.col("valid")) < LONGEST_LIST))
+    runs = spans(listed, ["sheet_id", "valid", "row"], ["col"], F.col("before_col") + 1 == F.col("col"))
+    runs = runs.select("sheet_id", "valid", "row", F.col("col").alias("c1"), F.col("last_col").alias("c2"))
     first, last = cell_ref(F.col("c1") + 1, F.col("row") + 1), cell_ref(F.col("c2") + 1, F.col("row") + 1)
-    return spans.withColumn("sqref", F.when(F.col("c1") == F.col("c2"), first).otherwise(F.concat(first, F.lit(":"), last)))
+    return runs.withColumn("sqref", F.when(F.col("c1") == F.col("c2"), first).otherwise(F.concat(first, F.lit(":"), last)))
 
 
 def squash_cells(cells: DataFrame) -> DataFrame:
@@ -90,19 +88,15 @@ def squash_cells(cells: DataFrame) -> DataFrame:
     A range ends only where the next cell is in the column of the last one and leaves a gap there, so that columns next
     to each other run on in one range, from the first cell to the last. n numbers the ranges.
     """
-    listed = cells.where(F.coalesce("valid", F.lit("")) != "").select("sheet_id", "valid", "row", "col").distinct()
-    by = ["sheet_id", "valid"]
-    w = Window.partitionBy(*by).orderBy("col", "row")
-    gap = (F.lag("col").over(w) == F.col("col")) & (F.col("row") - F.lag("row").over(w) > 1)
-    runs = islands(listed.withColumn("_new", F.coalesce(gap, F.lit(True))), by, ["col", "row"], F.col("_new"))
-    at = F.struct("col", "row")
-    ends = runs.groupBy(*by, F.col("island").cast("int").alias("n")).agg(F.min(at).alias("a"), F.max(at).alias("b"))
-    name = lambda c, r: cell_ref(c + 1, r + 1)
-    corner = lambda f, x: f(F.col(f"a.{x}"), F.col(f"b.{x}"))
+    listed = cells.where(F.coalesce("valid", F.lit("")) != "")
+    gap = (F.col("before_col") == F.col("col")) & (F.col("row") - F.col("before_row") > 1)
+    runs = spans(listed, ["sheet_id", "valid"], ["col", "row"], ~gap)
+    corner = lambda f, x: f(F.col(x), F.col(f"last_{x}"))
     c1, r1, c2, r2 = corner(F.least, "col"), corner(F.least, "row"), corner(F.greatest, "col"), corner(F.greatest, "row")
-    first, last = (name(F.col(f"{x}.col"), F.col(f"{x}.row")) for x in "ab")
-    sqref = F.when(F.col("a") == F.col("b"), first).otherwise(F.concat(first, F.lit(":"), last))
-    return ends.select(*by, "n", c1.alias("c1"), r1.alias("r1"), c2.alias("c2"), r2.alias("r2"), sqref.alias("sqref"))
+    first, last = cell_ref(F.col("col") + 1, F.col("row") + 1), cell_ref(F.col("last_col") + 1, F.col("last_row") + 1)
+    one = (F.col("col") == F.col("last_col")) & (F.col("row") == F.col("last_row"))
+    sqref = F.when(one, first).otherwise(F.concat(first, F.lit(":"), last))
+    return runs.select("sheet_id", "valid", "n", c1.alias("c1"), r1.alias("r1"), c2.alias("c2"), r2.alias("r2"), sqref.alias("sqref"))
 
 
 #: Properties that say nothing beyond a sheet's defaults.

@@ -12,6 +12,26 @@ def islands(df: DataFrame, by: list[str], order: list[str], starts: Column, name
     return df.withColumn(name, F.sum(F.when(starts, 1).otherwise(0)).over(w))
 
 
+def spans(df: DataFrame, by: list[str], order: list[str], follows: Column) -> DataFrame:
+    """(by, n, order, last_<order>): the runs of each group, numbered in order, from their first row to their last.
+
+    follows says, by columns before_<order>, whether a row goes on with the run of the row before; equal rows do. Rows
+    are sorted once and only first rows of runs go on, so a task keeps its sorted rows and no tables of rows and runs.
+    """
+    # The last key comes first, as it differs most.
+    w = Window.partitionBy(*reversed(by)).orderBy(*order)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before, ends = ([f(c).over(v).alias(f"{name}_{c}") for c in order] for f, v, name in ((F.lag, w, "before"), (F.last, whole, "end")))
+    placed = df.select(*by, *order, F.row_number().over(w).alias("_k"), *before, *ends)
+    same = F.lit(True)
+    for c in order:
+        same = same & F.col(c).eqNullSafe(F.col(f"before_{c}"))
+    heads = placed.where((F.col("_k") == 1) | ~(same | F.coalesce(follows, F.lit(False))))
+    # A run ends before the next one starts, the last with its group.
+    last = [F.when(F.lead("_k").over(w).isNull(), F.col(f"end_{c}")).otherwise(F.lead(f"before_{c}").over(w)).alias(f"last_{c}") for c in order]
+    return heads.select(*by, F.row_number().over(w).alias("n"), *order, *last)
+
+
 def changes(columns: list[str], by: list[str], order: list[str]) -> Column:
     """True where any of the columns differs from the row before in the group, and on its first row."""
     w = Window.partitionBy(*by).orderBy(*order)

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioframe.operators import sheet as E
+from folioframe.operators import validation as V
 from folioframe.plans.islands import number_runs, number_within
 from folioframe.sources import text as X
 
@@ -80,6 +81,25 @@ def test_runs_over_blocks(spark, block):
     assert got == {g: sorted(x for k, x in rows if k == g) for g in "abcd"}
 
 
+def test_runs_of_lists_are_sorted_once(spark):
+    """Against a plain loop, with cells given twice; a task sorts its cells, and has no tables of cells and of runs beside them."""
+    draw = random.Random(3)
+    rows = [(s, v, r, c) for s in "st" for v in ("x,y", "z") for r in range(6) for c in draw.choices(range(12), k=9)] + [("u", "z", 0, c) for c in range(16_384)]
+    want = set()
+    for s, v, r in {x[:3] for x in rows}:
+        xs = {c for *key, c in rows if key == [s, v, r]} if s != "u" else set(range(16_384))
+        want |= {(s, v, r, x, next(y for y in range(x, 16_384) if y + 1 not in xs)) for x in xs if x - 1 not in xs}
+    cells = spark.createDataFrame(rows, "sheet_id string, valid string, row int, col int")
+    runs = V.compress_runs(cells)
+    for made in (runs, V.squash_cells(cells)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert (plan.count("Aggregate"), plan.count("Exchange hashpartitioning"), plan.count("Sort [")) == (0, 1, 1)
+    got = [tuple(r) for r in runs.drop("sqref").collect()]
+    assert len(got) == len(want) and set(got) == want
+    ends = {r.n: r.sqref for r in V.squash_cells(cells.where("sheet_id = 'u'").unionByName(spark.createDataFrame([("u", "z", r, 16_383) for r in (1, 1, 3, 3, 4)], cells.schema))).collect()}
+    assert ends == {1: "A1:XFD2", 2: "XFD4:XFD5"}
+
+
 def test_a_giant_sheet_spreads_over_its_blocks(spark, monkeypatch):
     """A million rows of one sheet: regions and headers, in many groups."""
     rows = spark.range(1_000_000).select(F.lit("s").alias("sheet_id"), F.col("id").cast("int").alias("row"), F.lit(0).alias("col"), F.lit("1").alias("value")).where("row % 100000 <> 99999")
