@@ -99,3 +99,14 @@ def test_variants_are_made_in_batches_without_lambdas(spark):
         assert sorted(r for r in rows if r[1] is not None) == want and [r for r in rows if r[1] is None] == [(len(names), None, None)]
         plan = made._jdf.queryExecution().optimizedPlan().toString()
         assert made.columns == ["n", "word", "delete"] and "MapInArrow" in plan and "lambda" not in plan
+
+
+LONG_LIST = 50_001
+
+
+def test_suggestions_do_not_change_as_the_list_grows(spark):
+    """A word two edits away is suggested from a long list, too."""
+    words = spark.range(LONG_LIST).select(F.concat(F.lit("w"), "id").alias("word"), F.lit(1).cast("long").alias("freq")).unionByName(spark.createDataFrame([("correction", 9)], "word string, freq long"))
+    docs = spark.createDataFrame([(1, "corectoin w7 corecton")], "doc_id long, text string")
+    found = C.spell_check(docs, "doc_id", "text", {"en": words}, n=3).collect()
+    assert sorted((r.word, r.suggestions) for r in found) == [("corectoin", ["correction"]), ("corecton", ["correction"])]
