@@ -9,6 +9,7 @@ from folioframe.functions.scalar import osa_distance
 from folioframe.operators import fuzzy as Z
 from folioframe.operators import spelling as C
 from folioframe.operators.dictionary import deletes_index
+from folioframe.streaming import jobs as J
 
 
 def osa(a: str, b: str) -> int:
@@ -110,3 +111,12 @@ def test_suggestions_do_not_change_as_the_list_grows(spark):
     docs = spark.createDataFrame([(1, "corectoin w7 corecton")], "doc_id long, text string")
     found = C.spell_check(docs, "doc_id", "text", {"en": words}, n=3).collect()
     assert sorted((r.word, r.suggestions) for r in found) == [("corectoin", ["correction"]), ("corecton", ["correction"])]
+
+
+def test_streamed_suggestions_do_not_change_as_the_list_grows(spark, tmp_path):
+    words = spark.range(LONG_LIST).select(F.concat(F.lit("w"), "id").alias("word"), F.lit(1).cast("long").alias("freq")).unionByName(spark.createDataFrame([("correction", 9)], "word string, freq long"))
+    spark.createDataFrame([(1, "corectoin w7 corecton")], "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    texts, got = spark.readStream.schema("doc_id long, text string").parquet(f"{tmp_path}/docs"), []
+    sink = lambda errors, suggestions, number: got.extend((r["query"], r.word, r.distance) for r in suggestions.collect())
+    J.stream_spell_check(texts, words, "doc_id", "text", sink, f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    assert sorted(got) == [("corectoin", "correction", 2), ("corecton", "correction", 2)]
