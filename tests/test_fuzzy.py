@@ -9,6 +9,7 @@ from folioframe.functions.scalar import osa_distance
 from folioframe.operators import fuzzy as Z
 from folioframe.operators import spelling as C
 from folioframe.operators.dictionary import deletes_index
+from folioframe.plans import catalog_text
 from folioframe.streaming import jobs as J
 
 
@@ -120,3 +121,12 @@ def test_streamed_suggestions_do_not_change_as_the_list_grows(spark, tmp_path):
     sink = lambda errors, suggestions, number: got.extend((r["query"], r.word, r.distance) for r in suggestions.collect())
     J.stream_spell_check(texts, words, "doc_id", "text", sink, f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
     assert sorted(got) == [("corectoin", "correction", 2), ("corecton", "correction", 2)]
+
+
+def test_the_query_of_a_spell_check_suggests(spark):
+    """Each misspelt word has up to eight corrections, those of the operator."""
+    found = {r.word: r.suggestions.split(",") for r in catalog_text.QUERIES["spell_check"](spark, "/root/testdata/sf0.001").collect()}
+    few = sorted(found)[::97]
+    ranked = C.suggest(spark.createDataFrame([(w.lower(),) for w in few], "query string"), catalog_text.corpus_words(spark, "/root/testdata/sf0.001"), 8).orderBy("rank").collect()
+    assert found == found | {w: [r.word for r in ranked if r["query"] == w.lower()] or [""] for w in few}
+    assert max(map(len, found.values())) == 8
