@@ -116,3 +116,52 @@ def in_rectangles(cells: DataFrame, rects: DataFrame) -> DataFrame:
     tiled = tiled.withColumn("_br", _tile(F.col("row"), F.col("_lr"))).withColumn("_bc", _tile(F.col("col"), F.col("_lc")))
     found = tiled.join(cut, ["sheet_id", "_lr", "_lc", "_br", "_bc"])
     return found.where(F.col("row").between(F.col("r1"), F.col("r2")) & F.col("col").between(F.col("c1"), F.col("c2"))).drop("_lr", "_lc", "_br", "_bc")
+
+
+#: A block's side is two to the power of _FOLD times its level; places are whole numbers of 32 bits.
+_FOLD, _FOLDS = 3, 11
+
+
+def _fold_level(length: Column) -> Column:
+    """The highest level whose side isn't longer than a length, 0 at least."""
+    return sum(((length >= 2 ** (_FOLD * level)).cast("int") for level in range(1, _FOLDS)), F.lit(0))
+
+
+def _blocks(first: Column, last: Column, top: int) -> Column:
+    """Blocks (level, at) that make up first to last, none twice: of each level those before and behind the blocks of the next."""
+    up = lambda level: -F.shiftright(-first.cast("long"), _FOLD * level)
+    down = lambda level: F.shiftright(last.cast("long") + 1, _FOLD * level)
+    between = lambda a, b: F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<bigint>"))
+
+    def own(level: int) -> Column:
+        a, b, above, below = up(level), down(level), up(level + 1), down(level + 1)
+        outer = F.concat(between(a, above * 2**_FOLD), between(below * 2**_FOLD, b))
+        return F.transform(between(a, b) if level == top else F.when(above < below, outer).otherwise(between(a, b)), lambda at: F.struct(F.lit(level).alias("level"), at.alias("at")))
+
+    return F.concat(*map(own, range(top + 1)))
+
+
+def sums_in_rectangles(numbers: DataFrame, rects: DataFrame, by: str) -> DataFrame:
+    """(by, s, lo, hi, n): sum, least, greatest and count of the numbers (sheet_id, row, col, x) in rectangles (by, sheet_id, r1, c1, r2, c2).
+
+    A rectangle is made up of blocks whose sides are powers of eight, so many as go by the logarithms of its height and
+    width; each block is summed once. A number is in one block of each pair of sizes, so it never meets each rectangle that holds it.
+    """
+    height, width = F.col("r2") - F.col("r1") + 1, F.col("c2") - F.col("c1") + 1
+    edges = [F.min("r1").alias("r1"), F.max("r2").alias("r2"), F.min("c1").alias("c1"), F.max("c2").alias("c2")]
+    # At most a row for each pair of levels.
+    sizes = rects.where((height > 0) & (width > 0)).groupBy(_fold_level(height).alias("h"), _fold_level(width).alias("w")).agg(*edges).collect()
+    used = sorted({(h, w) for z in sizes for h in range(z.h + 1) for w in range(z.w + 1)}) or [(0, 0)]
+    held = numbers
+    if sizes:
+        held = numbers.where(F.col("row").between(min(z.r1 for z in sizes), max(z.r2 for z in sizes)) & F.col("col").between(min(z.c1 for z in sizes), max(z.c2 for z in sizes)))
+    at = lambda place, level: F.shiftright(F.col(place).cast("long"), _FOLD * level).alias(f"b_{place}")
+    levels = F.array(*[F.struct(F.lit(h).alias("lr"), F.lit(w).alias("lc"), at("row", h), at("col", w)) for h, w in used])
+    key = ["sheet_id", "lr", "lc", "b_row", "b_col"]
+    blocks = held.select("sheet_id", "x", F.explode(levels).alias("_b")).groupBy("sheet_id", *(F.col(f"_b.{c}").alias(c) for c in key[1:]))
+    blocks = blocks.agg(F.sum("x").alias("s"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n"))
+    cut = rects.select(by, "sheet_id", "c1", "c2", F.explode(_blocks(F.col("r1"), F.col("r2"), max(h for h, _ in used))).alias("_r"))
+    cut = cut.select(by, "sheet_id", "_r", F.explode(_blocks(F.col("c1"), F.col("c2"), max(w for _, w in used))).alias("_c"))
+    cut = cut.select(by, "sheet_id", F.col("_r.level").alias("lr"), F.col("_c.level").alias("lc"), F.col("_r.at").alias("b_row"), F.col("_c.at").alias("b_col"))
+    met = cut.join(blocks, key)
+    return met.groupBy(by).agg(F.sum("s").alias("s"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"))

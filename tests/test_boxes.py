@@ -5,8 +5,11 @@ import time
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from folioframe.operators import calc as K
 from folioframe.operators import sheet as E
+from folioframe.plans import islands as I
 
 SCHEMA = "sheet_id string, r1 int, c1 int, r2 int, c2 int"
 
@@ -48,3 +51,29 @@ def test_a_sweep_follows_the_number_of_rectangles():
     out = E._boxes(pd.DataFrame(rows, columns=["sheet_id", "r1", "c1", "r2", "c2"]))
     assert time.perf_counter() - began < 20 and len(out) == 100_000
     assert ((out["a"] <= out["r1"]) & (out["d"] >= out["c2"])).all()
+
+
+def test_a_range_is_a_few_blocks_that_hold_each_place_once(spark):
+    draw = random.Random(3)
+    ends = [(a, a + draw.choice([0, 1, 7, 8, 63, 64, 500, 5000])) for a in [draw.randrange(3000) for _ in range(150)] + [0, 8, 64, 512]] + [(5, 1_048_575), (0, 262_143), (9, 3)]
+    rows = spark.createDataFrame(ends, "a int, b int").select("a", "b", I._blocks(F.col("a"), F.col("b"), 6).alias("blocks")).collect()
+    for r in rows:
+        assert len(r.blocks) <= 14 * 7
+        held = sorted((x.at * 8**x.level, 8**x.level) for x in r.blocks)
+        # Each block begins where the one before it ends.
+        assert [at for at, _ in held] == [r.a + sum(n for _, n in held[:i]) for i in range(len(held))] and sum(n for _, n in held) == max(0, r.b - r.a + 1)
+
+
+def test_sums_of_ranges_are_those_of_their_cells(spark):
+    draw = random.Random(4)
+    cells = [(draw.choice("st"), draw.randrange(2000), draw.randrange(90), draw.choice(["3", "-7", "0.5", "n/a", " ", "0", None])) for _ in range(3000)]
+    ranges = [(f"r{i}", fn, draw.choice("stu"), a, b, a + draw.choice([0, 8, 70, 1500]), b + draw.choice([0, 1, 9, 80])) for i, fn in enumerate(["SUM", "AVERAGE", "MIN", "MAX", "COUNT", "ODD"] * 25) for a, b in [(draw.randrange(1500), draw.randrange(70))]]
+    ranges += [("whole", "SUM", "s", 0, 0, 1_048_575, 2), ("wide", "MIN", "t", 5, 0, 9, 16_383), ("none", "MAX", "s", 4, 4, 3, 4)]
+    found = K.range_agg(spark.createDataFrame(cells, "sheet_id string, row int, col int, value string"), spark.createDataFrame(ranges, "target string, fn string, sheet_id string, r1 int, c1 int, r2 int, c2 int"), None)
+    got = {r.target: (r.result, r.error) for r in found.collect()}
+    for target, fn, sheet, r1, c1, r2, c2 in ranges:
+        xs = [float(v) for s, r, c, v in cells if s == sheet and r1 <= r <= r2 and c1 <= c <= c2 and v not in ("n/a", " ", "0", None)]
+        area = (r2 - r1 + 1) * (c2 - c1 + 1)
+        ends = xs + [0.0] * (len(xs) < area)
+        want = {"SUM": sum(xs), "AVERAGE": sum(xs) / area if area else None, "MIN": min(ends, default=None), "MAX": max(ends, default=None), "COUNT": float(area), "ODD": None}[fn]
+        assert got[target] == (want, "#NAME?" if want is None else None)
