@@ -31,6 +31,29 @@ def test_segments_are_the_same_by_list_and_by_join(spark, monkeypatch):
         assert all(w in known or len(w) == 1 for w, _, _ in own if "一" <= w[0] <= "鿿")
 
 
+def test_longest_words_are_found_in_strings():
+    draw = random.Random(7)
+    words = {"".join(draw.choices("我们在北京", k=draw.randint(2, 6))) for _ in range(700)}
+    held: dict = {"words": {}}
+    for c in "我们在北京":
+        held["words"][c] = [(n, own) for n in range(6, 1, -1) if (own := "".join(sorted(w for w in words if w[0] == c and len(w) == n)))]
+    longest = T.longest_word(held)
+    for _ in range(3000):
+        text = "".join(draw.choices("我们在北京x", k=9))
+        at = draw.randrange(9)
+        assert longest(text, at) == max([n for n in range(2, 7) if text[at : at + n] in words and at + n <= 9], default=1)
+
+
+def test_texts_are_walked_with_more_than_a_million_words(spark):
+    """No substring of a text is shuffled to meet a long dictionary."""
+    numbered = F.translate(F.lpad(F.col("id").cast("string"), 7, "0"), "0123456789", "我们在北京编辑文档的")
+    words = spark.range(1_000_100).select(numbered.alias("word"))
+    docs = spark.createDataFrame([(1, "我们在北京编辑文档的我我我我我我我们x我我"), (2, "档的")], "doc_id long, text string")
+    found = T.segment_cjk(docs, "doc_id", "text", words)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [r.word for r in found.where("doc_id = 1").orderBy("seg_idx").collect()] == ["我们在北京编辑", "文", "档", "的", "我我我我我我我", "们", "x", "我", "我"]
+
+
 def occurrences(text: str, pattern: str) -> list[int]:
     out, at = [], text.find(pattern)
     while at >= 0:
