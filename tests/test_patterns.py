@@ -83,3 +83,12 @@ def test_errors_of_each_document_are_marked(spark):
     want = {(d, k, w.lower(), at, at + len(w), "s" + w) for d, k, t in runs for e, w, s in errors if d == e and w for at in occurrences((t or "").lower(), w.lower())}
     assert {(r.doc_id, r.run_idx, r.word, r.start, r.stop, r.suggestions[0]) for r in found.collect()} == want and all(len(r.suggestions) == 2 for r in found.collect())
     assert C.mark_errors(spark.createDataFrame(runs, "doc_id long, run_idx int, content string"), spark.createDataFrame([], "doc_id long, word string, suggestions array<string>")).count() == 0
+
+
+def test_mixed_texts_are_walked_with_more_than_a_million_words(spark):
+    numbered = F.translate(F.lpad(F.col("id").cast("string"), 7, "0"), "0123456789", "我们在北京编辑文档的")
+    zh = spark.range(1_000_100).select(numbered.alias("word"), F.lit(1).cast("long").alias("freq")).unionByName(spark.createDataFrame([("的", 1)], "word string, freq long"))
+    en = spark.createDataFrame([("word", 9)], "word string, freq long")
+    found = C.spell_check(spark.createDataFrame([(1, "我们在北京编辑x wrod 文")], "doc_id long, text string"), "doc_id", "text", {"en": en, "zh": zh}, lang="mixed")
+    plan = found.select("doc_id", "word")._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(" not in plan and [(r.word, r.lang, r.suggestions) for r in found.collect()] == [("wrod", "en", ["word"])]
