@@ -163,5 +163,6 @@ def sums_in_rectangles(numbers: DataFrame, rects: DataFrame, by: str) -> DataFra
     cut = rects.select(by, "sheet_id", "c1", "c2", F.explode(_blocks(F.col("r1"), F.col("r2"), max(h for h, _ in used))).alias("_r"))
     cut = cut.select(by, "sheet_id", "_r", F.explode(_blocks(F.col("c1"), F.col("c2"), max(w for _, w in used))).alias("_c"))
     cut = cut.select(by, "sheet_id", F.col("_r.level").alias("lr"), F.col("_c.level").alias("lc"), F.col("_r.at").alias("b_row"), F.col("_c.at").alias("b_col"))
-    met = cut.join(blocks, key)
+    # Spark takes them for as few as the rectangles and would broadcast them.
+    met = cut.hint("merge").join(blocks, key)
     return met.groupBy(by).agg(F.sum("s").alias("s"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"))

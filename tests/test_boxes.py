@@ -71,6 +71,9 @@ def test_sums_of_ranges_are_those_of_their_cells(spark):
     ranges += [("whole", "SUM", "s", 0, 0, 1_048_575, 2), ("wide", "MIN", "t", 5, 0, 9, 16_383), ("none", "MAX", "s", 4, 4, 3, 4)]
     found = K.range_agg(spark.createDataFrame(cells, "sheet_id string, row int, col int, value string"), spark.createDataFrame(ranges, "target string, fn string, sheet_id string, r1 int, c1 int, r2 int, c2 int"), None)
     got = {r.target: (r.result, r.error) for r in found.collect()}
+    # Blocks are many more than the ranges whose size Spark knows: they are never broadcast.
+    joins = I.sums_in_rectangles(spark.range(9).selectExpr("'s' sheet_id", "id row", "id col", "1.0D x"), spark.range(9).selectExpr("id target", "'s' sheet_id", "id r1", "0 c1", "id + 9 r2", "1 c2"), "target")
+    assert "SortMergeJoin" in joins._jdf.queryExecution().executedPlan().toString() and "BroadcastHashJoin" not in joins._jdf.queryExecution().executedPlan().toString()
     for target, fn, sheet, r1, c1, r2, c2 in ranges:
         xs = [float(v) for s, r, c, v in cells if s == sheet and r1 <= r <= r2 and c1 <= c <= c2 and v not in ("n/a", " ", "0", None)]
         area = (r2 - r1 + 1) * (c2 - c1 + 1)
